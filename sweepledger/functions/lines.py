@@ -21,8 +21,12 @@ def split_lines(text: Column) -> Column:
 
 
 def blamed_crate(line: Column, patterns: Sequence[str] = BLAME_PATTERNS) -> Column:
-    """The crate a resolver line blames, null when it blames none."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in patterns])
+    """What a resolver line blames: null when no pattern matches, else the crate.
+
+    The crate may be empty, when a message quotes nothing; such a message still
+    counts as the first one, and leaves its log unhandled.
+    """
+    return F.coalesce(*[F.get(F.regexp_extract_all(line, F.lit(p), F.lit(1)), F.lit(0)) for p in patterns])
 
 
 def is_cancel_notice(line: Column, text: str = CANCEL_TEXT) -> Column:

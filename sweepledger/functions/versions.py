@@ -13,12 +13,10 @@ def version_key(version: Column) -> Column:
 
     Pre-release and build parts are left out; see ``is_prerelease``.
     """
-    numbers = F.transform(
-        F.split(F.regexp_extract(version, r"^\s*([0-9]+(?:\.[0-9]+)*)", 1), r"\."),
-        lambda part: part.try_cast("bigint"),
-    )
+    release = F.trim(F.substring_index(F.substring_index(version, "+", 1), "-", 1))
+    numbers = F.split(release, r"\.").try_cast("array<bigint>")
     padding = F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.lit(3) - F.size(numbers)))
-    return F.when(version.rlike(r"^\s*[0-9]"), F.concat(numbers, padding))
+    return F.concat(numbers, padding)
 
 
 def is_prerelease(version: Column) -> Column:

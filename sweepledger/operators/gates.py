@@ -64,16 +64,16 @@ def resolve_override(directives: DataFrame, resolved: DataFrame) -> DataFrame:
     """Directives in force per rig: a rig's own file replaces the shared one whole.
 
     ``directives(rig_scope, crate, …)``, shared rows with an empty ``rig_scope``;
-    ``resolved(rig, crate, …)`` says which rig has which crate. Result has ``rig``.
+    ``resolved(rig, crate, …)`` says which rig has which crate. Every resolved row
+    looks up both files at once, by ``(rig_scope, crate)``, so the directives are
+    read once; then the own file is kept where there is one. Result: all columns
+    of ``resolved`` and of ``directives``.
     """
-    columns = [c for c in directives.columns if c != "rig_scope"]
-    local = directives.where(F.col("rig_scope") != "").withColumnRenamed("rig_scope", "rig")
-    shared = directives.where(F.col("rig_scope") == "").select(*columns)
-    uses = resolved.select("rig", "crate").distinct()
-    own = local.select("rig", "crate").distinct()
-    from_shared = uses.join(own, ["rig", "crate"], "left_anti").join(shared, "crate")
-    from_local = local.join(uses, ["rig", "crate"], "left_semi")
-    return from_shared.select("rig", *columns).unionByName(from_local.select("rig", *columns))
+    lookups = resolved.distinct().withColumn("rig_scope", F.explode(F.array_distinct(F.array(F.lit(""), "rig"))))
+    found = lookups.join(directives, ["rig_scope", "crate"])
+    has_own = F.max(F.col("rig_scope") != "").over(W.partitionBy("rig", "crate"))
+    chosen = found.withColumn("has_own", has_own).where((F.col("rig_scope") != "") == F.col("has_own"))
+    return chosen.drop("has_own")
 
 
 def last_wins(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
@@ -91,15 +91,14 @@ def effective_directives(
     then each gated section that holds, in order; the last one wins per key, for
     arrays and maps too. Overrides are resolved first.
     """
-    in_force = with_bounds(resolve_override(directives, resolved))
-    packages = with_version_key(resolved).select("rig", "crate", "version", "v").distinct()
-    sections = packages.join(in_force, ["rig", "crate"])
+    sections = resolve_override(with_bounds(directives), with_version_key(resolved.select("rig", "crate", "version")))
     each = F.array(
         *[
             F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("platform", "os", "arch", "env"), platform)])
             for platform in platforms
         ]
     )
+    sections = sections.where(F.col("key").isNotNull())
     matches = within(F.col("v"), F.col("lo"), F.col("hi"), F.col("hi_inc"))
     holding = (
         sections.withColumn("version_matches", matches)

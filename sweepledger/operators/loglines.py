@@ -68,24 +68,26 @@ def first_blame(
     lines: DataFrame, keys: Sequence[str] = ("slot", "round"), patterns: Sequence[str] = BLAME_PATTERNS
 ) -> DataFrame:
     """The crate the first blaming line names, per log; null when none blames."""
-    crate = blamed_crate(F.col("line"), patterns)
-    return (
-        lines.withColumn("crate", crate)
-        .groupBy(*keys)
-        .agg(F.min_by("crate", F.when(F.col("crate").isNotNull(), F.col("line_no"))).alias("crate"))
-    )
+    crate = F.col("crate")
+    first = F.min_by(crate, F.when(crate.isNotNull(), F.col("line_no")))
+    blamed = lines.select(*keys, "line_no", blamed_crate(F.col("line"), patterns).alias("crate"))
+    return blamed.groupBy(*keys).agg(F.nullif(first, F.lit("")).alias("crate"))
 
 
 def first_blame_of_text(
     texts: DataFrame, patterns: Sequence[str] = BLAME_PATTERNS, content: str = "content"
 ) -> DataFrame:
-    """As ``first_blame`` for whole logs in one column; no shuffle."""
-    blamed = F.filter(
-        F.transform(split_lines(F.col(content)), lambda line: blamed_crate(line, patterns)),
-        lambda crate: crate.isNotNull(),
+    """As ``first_blame`` for whole logs in one column; no shuffle.
+
+    Lines after the first blaming one are not matched any more.
+    """
+    first = F.aggregate(
+        split_lines(F.col(content)),
+        F.lit(None).cast("string"),
+        lambda found, line: F.coalesce(found, blamed_crate(line, patterns)),
     )
     others = [c for c in texts.columns if c != content]
-    return texts.select(*others, F.get(blamed, F.lit(0)).alias("crate"))
+    return texts.select(*others, F.nullif(first, F.lit("")).alias("crate"))
 
 
 def gap_lines(lines: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,6 +57,11 @@ def package_count(packages: DataFrame, keys: Sequence[str] = ("rig",)) -> DataFr
     return packages.groupBy(*keys).agg(F.count("*").alias("package_count"))
 
 
+def _count_true(flags) -> Column:
+    """How many of the flags hold, without a distinct count and its second shuffle."""
+    return reduce(lambda a, b: a + b, [F.col(flag).cast("bigint") for flag in flags])
+
+
 def slot_matrix(deps: DataFrame, slots: Sequence[str], main: str = "main") -> DataFrame:
     """Presence of each crate per slot, first slot, number of slots, absence from main.
 
@@ -62,29 +69,23 @@ def slot_matrix(deps: DataFrame, slots: Sequence[str], main: str = "main") -> Da
     collapse before the shuffle. Absent from main does not mean pruned, since main
     changes after a slot is minted.
     """
-    in_slot = F.col("rig").isin(*slots)
-    return (
-        deps.where(in_slot | (F.col("rig") == main))
-        .groupBy("crate")
-        .agg(
-            *[F.bool_or(F.col("rig") == slot).alias(f"in_{slot}") for slot in slots],
-            F.min(F.when(in_slot, F.col("rig"))).alias("first_slot"),
-            F.count_distinct(F.when(in_slot, F.col("rig"))).alias("n_slots"),
-            (~F.bool_or(F.col("rig") == main)).alias("absent_vs_main"),
-        )
+    flags = {f"in_{slot}": slot for slot in sorted(slots)}
+    present = deps.where(F.col("rig").isin(*slots, main)).groupBy("crate").agg(
+        *[F.bool_or(F.col("rig") == slot).alias(flag) for flag, slot in flags.items()],
+        (~F.bool_or(F.col("rig") == main)).alias("absent_vs_main"),
     )
+    first = F.coalesce(*[F.when(F.col(flag), F.lit(slot)) for flag, slot in flags.items()])
+    return present.withColumns({"first_slot": first, "n_slots": _count_true(flags)})
 
 
 def platform_matrix(known: DataFrame, platforms: Sequence[str]) -> DataFrame:
     """Presence of each known failure per platform, and on how many it fails."""
-    return (
-        known.groupBy("label")
-        .agg(
-            *[F.bool_or(F.col("platform") == p).alias(f"on_{p}") for p in platforms],
-            F.count_distinct("platform").alias("n_platforms"),
-        )
-        .withColumn("everywhere", F.col("n_platforms") == len(platforms))
+    flags = {f"on_{p}": p for p in platforms}
+    present = known.where(F.col("platform").isin(*platforms)).groupBy("label").agg(
+        *[F.bool_or(F.col("platform") == p).alias(flag) for flag, p in flags.items()]
     )
+    counted = present.withColumn("n_platforms", _count_true(flags))
+    return counted.withColumn("everywhere", F.col("n_platforms") == len(platforms))
 
 
 def latest_by_slot(index: DataFrame, slots: Sequence[str], keys: Sequence[str], order: Column) -> DataFrame:
@@ -170,7 +171,17 @@ def prune_to_consistent(
     classes do not depend on their order.
 
     Returns ``(slot, crate, round)`` and whether it ended before ``max_rounds``.
+    Both tables are persisted while it runs, since each serves several tests.
     """
+    shared = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in (members, requirements)]
+    try:
+        return _prune(members, requirements, conflicts, offered_features, max_rounds)
+    finally:
+        for df in shared:
+            df.unpersist()
+
+
+def _prune(members, requirements, conflicts, offered_features, max_rounds) -> tuple[DataFrame, bool]:
     keys = ["slot", "crate"]
     alive = members.where("available").select(*keys)
     absent = members.where("NOT available").select(*keys, F.lit("absent").alias("reason"))

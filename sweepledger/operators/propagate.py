@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .setops import except_distinct
 
 # A frontier up to this many bytes of keys is broadcast, so that a round reads the
 # edges without shuffling them. Each round measures it; larger ones are shuffled.
@@ -39,8 +40,8 @@ def spread(
     ``max_rounds``. Every node enters the frontier once, so cycles end too.
 
     Per round one join of the frontier with the edges (a hot ``dst`` is split by
-    adaptive execution, or met by a broadcast frontier), one distinct, and one
-    anti-join with the nodes seen. The two edge columns are persisted for the
+    adaptive execution, or met by a broadcast frontier), and one grouping with the
+    nodes seen, which leaves the new ones. The two edge columns are persisted for the
     rounds and recomputed from their source where an executor is lost; each round
     is checkpointed, so a loss costs a round at most.
     """
@@ -76,7 +77,6 @@ def _reach(steps, frontier, layers, keys, scope, size_bytes) -> DataFrame:
     start = frontier.select(*keys)
     if size_bytes <= BROADCAST_BYTES:
         start = F.broadcast(start)
-    candidates = steps.join(start, keys).select(*scope, F.col("next").alias("node")).distinct()
-    seen = reduce(DataFrame.unionByName, layers).select(*keys)
-    return candidates.join(seen, keys, "left_anti")
+    candidates = steps.join(start, keys).select(*scope, F.col("next").alias("node"))
+    return except_distinct(candidates, reduce(DataFrame.unionByName, layers))
 

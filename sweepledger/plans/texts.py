@@ -24,10 +24,10 @@ LINES_SQL = lines_sql()
 
 # Words of the documents in the place of resolver messages.
 WORD_PATTERNS = (
-    r"^.*under the ([A-Za-z0-9.-]*) [Ll]icense",
-    r"^.*https?://([^/ ]*)",
-    r"^.*[Tt]ion ([a-z]*) of",
-    r"^.*was ([a-z]*) by",
+    r"^.*under the ([A-Za-z0-9.-]+) [Ll]icense",
+    r"^.*https?://([^/ ]+)",
+    r"^.*[Tt]ion ([a-z]+) of",
+    r"^.*was ([a-z]+) by",
 )
 BLAME_SQL = "coalesce({})".format(", ".join(f"nullif(regexp_extract(line, '{p}', 1), '')" for p in WORD_PATTERNS))
 FIRST_BLAME_SQL = f"""WITH {LINES_SQL}, blamed AS (SELECT doc_id, line_no, {BLAME_SQL} AS crate FROM lines)

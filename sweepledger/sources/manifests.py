@@ -87,6 +87,9 @@ def _directive_rows(document: dict):
     gates = [k for k in document if k.startswith("cfg(")]
     for number, gate in enumerate(gates, start=1):
         yield from _section(number, gate, document[gate])
+    if not document:
+        # The file still counts: it overrides a shared file, and can be unused.
+        yield 0, None, None, None, None
 
 
 def parse_manifest_deps(texts: DataFrame) -> DataFrame:
@@ -99,7 +102,10 @@ def parse_lock_packages(texts: DataFrame) -> DataFrame:
 
 
 def parse_fixup_directives(texts: DataFrame) -> DataFrame:
-    """One row per (source, section, key); the base section is number 0, ungated."""
+    """One row per (source, section, key); the base section is number 0, ungated.
+
+    A file without directives gives one row with a null key.
+    """
     return _rows_of(texts, _directive_rows, DIRECTIVE_SCHEMA)
 
 

@@ -16,12 +16,7 @@ def read_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     files into partitions by ``spark.sql.files.maxPartitionBytes`` and
     ``spark.sql.files.openCostInBytes``.
     """
-    texts = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .text(root)
-    )
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 

@@ -15,7 +15,7 @@ from .files import read_texts, relative_path
 
 _PARSED_SCHEMA = (
     "source STRING, kind STRING, name STRING, crate STRING, edition STRING, version STRING, actual STRING, "
-    "features ARRAY<STRING>, deps ARRAY<STRING>, attrs STRING"
+    "features ARRAY<STRING>, deps ARRAY<STRING>, unread ARRAY<STRING>, attrs STRING"
 )
 
 
@@ -35,7 +35,12 @@ def _targets_of(text: str) -> Iterator[tuple]:
         call = getattr(statement, "value", None)
         if not isinstance(call, ast.Call):
             continue
-        given = {k.arg: _literal(k.value) for k in call.keywords}
+        given, unread = {}, []
+        for keyword in call.keywords:
+            try:
+                given[keyword.arg] = _literal(keyword.value)
+            except ValueError:
+                unread.append(keyword.arg)
         if "name" not in given:
             continue
         nested = {k: given.get(k) or {} for k in ("named_deps", "platform", "env")}
@@ -45,6 +50,7 @@ def _targets_of(text: str) -> Iterator[tuple]:
             *(given.get(k) for k in ("crate", "edition", "version", "actual")),
             given.get("features") or [],
             given.get("deps") or [],
+            unread,
             json.dumps(nested),
         )
 
@@ -52,7 +58,8 @@ def _targets_of(text: str) -> Iterator[tuple]:
 def parse_targets(texts: DataFrame) -> DataFrame:
     """One row per rule call of ``(source, content)`` texts.
 
-    ``named_deps``, ``platform_deps`` and ``env`` are maps.
+    ``named_deps``, ``platform_deps`` and ``env`` are maps. ``unread`` names the
+    attributes that are no literals; they are left out, since nothing is evaluated.
     """
     names = [field.split()[0] for field in _PARSED_SCHEMA.split(", ")]
 

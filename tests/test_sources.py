@@ -3,7 +3,6 @@
 import hashlib
 import json
 
-import pytest
 from conftest import as_set
 from pyspark.sql import functions as F
 
@@ -239,9 +238,14 @@ def test_target_graph(spark, tmp_path):
 
 
 def test_targets_are_never_evaluated(spark):
-    texts = spark.createDataFrame([("a", 'rule(name = __import__("os").getcwd())')], "source STRING, content STRING")
-    with pytest.raises(Exception, match="malformed node"):
-        ST.parse_targets(texts).collect()
+    text = """
+NAMES = ["a", "b"]
+rule(name = __import__("os").getcwd())
+rule(name = "a", deps = select({"x": [":y"]}), features = ["f"])
+[rule(name = n) for n in NAMES]
+"""
+    targets = ST.parse_targets(spark.createDataFrame([("s", text)], "source STRING, content STRING"))
+    assert [(r["name"], r["deps"], r["features"], r["unread"]) for r in targets.collect()] == [("a", [], ["f"], ["deps"])]
 
 
 def test_collection(spark, tmp_path):

@@ -64,16 +64,20 @@ def resolve_override(directives: DataFrame, resolved: DataFrame) -> DataFrame:
     """Directives in force per rig: a rig's own file replaces the shared one whole.
 
     ``directives(rig_scope, crate, …)``, shared rows with an empty ``rig_scope``;
-    ``resolved(rig, crate, …)`` says which rig has which crate. Every resolved row
-    looks up both files at once, by ``(rig_scope, crate)``, so the directives are
-    read once; then the own file is kept where there is one. Result: all columns
-    of ``resolved`` and of ``directives``.
+    ``resolved(rig, crate, …)`` says which rig has which crate. Each resolved row
+    first learns whether its rig has an own file, from the keys of the local rows
+    alone, and then looks up that file or the shared one by ``(rig_scope, crate)``:
+    two equi-joins, and no group is gathered. Result: all columns of ``resolved``
+    and of ``directives``.
     """
-    lookups = resolved.distinct().withColumn("rig_scope", F.explode(F.array_distinct(F.array(F.lit(""), "rig"))))
-    found = lookups.join(directives, ["rig_scope", "crate"])
-    has_own = F.max(F.col("rig_scope") != "").over(W.partitionBy("rig", "crate"))
-    chosen = found.withColumn("has_own", has_own).where((F.col("rig_scope") != "") == F.col("has_own"))
-    return chosen.drop("has_own")
+    own = (
+        directives.where(F.col("rig_scope") != "")
+        .select(F.col("rig_scope").alias("rig"), "crate", F.lit(True).alias("has_own"))
+        .distinct()
+    )
+    scope = F.when(F.col("has_own"), F.col("rig")).otherwise("")
+    lookups = resolved.distinct().join(own, ["rig", "crate"], "left").withColumn("rig_scope", scope).drop("has_own")
+    return lookups.join(directives, ["rig_scope", "crate"])
 
 
 def last_wins(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

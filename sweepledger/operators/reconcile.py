@@ -11,7 +11,7 @@ from ..fixed_values import LABEL_CELL
 from ..functions.labels import in_scope, package_of, scope_key, strip_config
 from ..functions.outcomes import not_success
 from ..functions.lines import is_cancel_notice
-from .setops import membership
+from .setops import flag_groups, membership
 
 KEYS = ("platform", "label")
 RUN = ("run_id", "platform")
@@ -79,7 +79,19 @@ def scope_to(labels: DataFrame, patterns: DataFrame, cell: str = LABEL_CELL) ->
 
 def reconcile(observed: DataFrame, known: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Status of every label on either side: ``new``, ``stale`` or ``known``."""
-    flags = membership(observed, known, keys, ("seen", "listed"))
+    return _with_status(membership(observed, known, keys, ("seen", "listed")), keys)
+
+
+def reconcile_flagged(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """As ``reconcile`` where both sides come from one table, ``(keys…, seen, listed)``.
+
+    The table is read once; a row says whether it counts as observed, as known, or
+    both. Keys that are neither do not come out.
+    """
+    return _with_status(flag_groups(rows.where("seen OR listed"), keys, ("seen", "listed")), keys)
+
+
+def _with_status(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
     status = F.when(F.col("seen") & F.col("listed"), "known").when(F.col("seen"), "new").otherwise("stale")
     return flags.select(*keys, status.alias("status"))
 

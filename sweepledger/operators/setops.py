@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def flag_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """One row per key; each flag is true where it is true in any of the key's rows."""
+    return rows.groupBy(*keys).agg(*[F.bool_or(name).alias(name) for name in names])
+
+
 def membership(left: DataFrame, right: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Distinct keys of both sides, with a flag per side named by ``names``."""
 
     def flagged(df: DataFrame, here: str) -> DataFrame:
         return df.select(*keys, *[F.lit(name == here).alias(name) for name in names])
 
-    both = flagged(left, names[0]).unionByName(flagged(right, names[1]))
-    return both.groupBy(*keys).agg(*[F.bool_or(name).alias(name) for name in names])
+    return flag_groups(flagged(left, names[0]).unionByName(flagged(right, names[1])), keys, names)
 
 
 def union_distinct(parts: Sequence[DataFrame]) -> DataFrame:

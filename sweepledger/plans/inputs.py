@@ -70,6 +70,22 @@ def known(spark: SparkSession, root: str) -> DataFrame:
     return labels_of(lines, table(spark, root, "part"))
 
 
+def sightings(spark: SparkSession, root: str) -> DataFrame:
+    """Both of the above in one pass: ``(label, seen, listed)`` per returned part.
+
+    The line items are reduced to one row per part before the join.
+    """
+    since = F.col("l_shipdate") >= F.expr("timestamp_ntz '1998-01-01 00:00:00'")
+    returned = (
+        table(spark, root, "lineitem")
+        .where("l_returnflag = 'R'")
+        .groupBy("l_partkey")
+        .agg(F.bool_or(since).alias("seen"), F.bool_or(~since).alias("listed"))
+    )
+    joined = returned.join(table(spark, root, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select(strip_config(label()).alias("label"), "seen", "listed")
+
+
 def _returned(comparison: str) -> str:
     return (
         f"SELECT DISTINCT {PLAIN_SQL} AS label FROM lineitem JOIN part ON l_partkey = p_partkey "

@@ -11,7 +11,7 @@ from ..operators import reconcile as R
 from ..operators.setops import except_distinct, union_distinct
 from ..sinks.text import arg_string, label_lines, verdict_lines
 from ..sources.sweeps import parse_reports
-from .inputs import KNOWN_SQL, LABEL_SQL, OBSERVED_SQL, PLAIN_SQL, known, label, labels_of, observed, table
+from .inputs import KNOWN_SQL, LABEL_SQL, OBSERVED_SQL, PLAIN_SQL, known, label, labels_of, observed, sightings, table
 from .registry import audit
 
 STATUS_SQL = """
@@ -25,7 +25,7 @@ STATUS_SQL = """
     f"WITH {OBSERVED_SQL}, {KNOWN_SQL} SELECT {STATUS_SQL} FROM observed o FULL JOIN known k ON o.label = k.label",
 )
 def reconcile_status(spark: SparkSession, root: str) -> DataFrame:
-    return R.reconcile(observed(spark, root), known(spark, root), ["label"])
+    return R.reconcile_flagged(sightings(spark, root), ["label"])
 
 
 @audit(
@@ -113,7 +113,7 @@ def scope_by_table(spark: SparkSession, root: str) -> DataFrame:
     FROM counts""",
 )
 def sweep_verdict(spark: SparkSession, root: str) -> DataFrame:
-    statuses = R.reconcile(observed(spark, root), known(spark, root), ["label"])
+    statuses = R.reconcile_flagged(sightings(spark, root), ["label"])
     return R.verdicts(statuses.withColumn("package", L.package_of(F.col("label"))), ["package"], is_ci=False)
 
 

@@ -25,6 +25,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
+def read_lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, line_no, line)`` of files too large to hold; files are split among tasks.
+
+    ``line_no`` only orders the lines of a file: it is the byte a split starts at
+    and the row within the split, so no task has to count the lines before it.
+    """
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")
+        ).alias("line_no"),
+        F.col("value").alias("line"),
+    )
+
+
 def number_lines(texts: DataFrame, content: str = "content") -> DataFrame:
     """One row per line of ``content``, with ``line_no`` from 1; other columns stay."""
     others = [c for c in texts.columns if c != content]

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.versions import gate_holds, parse_version_gate, version_key, within
+from .setops import distinct_keys
 
 BOUNDS = ("lo", "hi", "hi_inc")
 
@@ -56,7 +57,7 @@ def uncovered_versions(resolved: DataFrame, gates: DataFrame, key: str = "crate"
     Give it the exact gates only to find versions that need a section of their own.
     """
     versions = resolved.select(key, "v").distinct()
-    gated = versions.join(gates.select(key).distinct(), key, "left_semi")
+    gated = versions.join(distinct_keys(gates, [key]), key, "left_semi")
     return gated.join(gates, _hit(gated, gates, key), "left_anti")
 
 
@@ -70,11 +71,8 @@ def resolve_override(directives: DataFrame, resolved: DataFrame) -> DataFrame:
     two equi-joins, and no group is gathered. Result: all columns of ``resolved``
     and of ``directives``.
     """
-    own = (
-        directives.where(F.col("rig_scope") != "")
-        .select(F.col("rig_scope").alias("rig"), "crate", F.lit(True).alias("has_own"))
-        .distinct()
-    )
+    local = directives.where(F.col("rig_scope") != "").select(F.col("rig_scope").alias("rig"), "crate")
+    own = distinct_keys(local, ["rig", "crate"]).withColumn("has_own", F.lit(True))
     scope = F.when(F.col("has_own"), F.col("rig")).otherwise("")
     lookups = resolved.distinct().join(own, ["rig", "crate"], "left").withColumn("rig_scope", scope).drop("has_own")
     return lookups.join(directives, ["rig_scope", "crate"])
@@ -121,7 +119,7 @@ def effective_directives(
 
 def unused_fixups(fixups: DataFrame, resolved: DataFrame, key: str = "crate") -> DataFrame:
     """Crates with directives that no rig resolves: ignored, not an error."""
-    return fixups.select(key).distinct().join(resolved.select(key), key, "left_anti")
+    return fixups.select(key).distinct().join(distinct_keys(resolved, [key]), key, "left_anti")
 
 
 def gate_straddle(hits: DataFrame, keys: Sequence[str] = ("crate", "gate")) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .propagate import spread
-from .setops import membership
+from .setops import apart, membership
 
 
 def dependents_closure(
@@ -36,5 +36,5 @@ def links_conflicts(packages: DataFrame, keys: Sequence[str] = ("rig", "links"))
     never gathered in one row.
     """
     claims = packages.where(F.col(keys[-1]).isNotNull()).select(*keys, "package", "version").distinct()
-    contested = claims.groupBy(*keys).agg(F.count("*").alias("n_claimants")).where(F.col("n_claimants") > 1)
-    return claims.join(contested, list(keys))
+    counts = claims.groupBy(*keys, apart(keys)).agg(F.count("*").alias("n_claimants"))
+    return claims.join(counts.where(F.col("n_claimants") > 1).drop("_apart"), list(keys))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import IMPACT_KINDS, KIND_PREFIX, LABEL_CELL, RIG_FIXUP_PATH, RIG_OF_FIXUP_PATH, SHARED_FIXUP_PATH
 from ..functions import labels as L
-from .setops import union_distinct
+from .setops import distinct_keys, union_distinct
 
 
 def of_kind(targets: DataFrame, kinds: Sequence[str] = IMPACT_KINDS) -> DataFrame:
@@ -34,7 +34,8 @@ def _by_match_name(targets: DataFrame) -> DataFrame:
 
 def impacted_targets(changed: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets named as a changed crate, with or without a version suffix."""
-    return _by_match_name(targets).join(changed, "crate", "left_semi").select("label").distinct()
+    crates = distinct_keys(changed, ["crate"])
+    return _by_match_name(targets).join(crates, "crate", "left_semi").select("label").distinct()
 
 
 def impacted_rigs(rigs: DataFrame, targets: DataFrame, cell: str = LABEL_CELL) -> DataFrame:
@@ -46,7 +47,7 @@ def impacted_rigs(rigs: DataFrame, targets: DataFrame, cell: str = LABEL_CELL) -
 
 def drop_known_broken(candidates: DataFrame, known: DataFrame, exact_names: Sequence[str] = ()) -> DataFrame:
     """Candidates whose stem is not the stem of a known failure in the same package."""
-    stems = known.select(L.stem(F.col("label"), exact_names).alias("stem_label")).distinct()
+    stems = distinct_keys(known.select(L.stem(F.col("label"), exact_names).alias("stem_label")), ["stem_label"])
     return (
         candidates.withColumn("stem_label", L.stem(F.col("label"), exact_names))
         .join(stems, "stem_label", "left_anti")
@@ -56,7 +57,7 @@ def drop_known_broken(candidates: DataFrame, known: DataFrame, exact_names: Sequ
 
 def unmatched_changes(changed: DataFrame, targets: DataFrame) -> DataFrame:
     """Changed crates no target is named after; they are reported as skipped."""
-    return changed.join(_by_match_name(targets).select("crate"), "crate", "left_anti")
+    return changed.join(distinct_keys(_by_match_name(targets), ["crate"]), "crate", "left_anti")
 
 
 def change_impact(

@@ -14,7 +14,7 @@ from ..fixed_values import BLAME_PATTERNS, EXACT_PINNED, MAX_PRUNE_ROUNDS
 from ..functions.versions import is_prerelease, version_key
 from .loglines import first_blame
 from .propagate import spread
-from .setops import joined_batches
+from .setops import distinct_keys, joined_batches
 
 
 def float_deps(deps: DataFrame, skip: Sequence[str] = EXACT_PINNED) -> DataFrame:
@@ -124,7 +124,7 @@ def era_latest(index: DataFrame, slots: Sequence[str]) -> DataFrame:
 
 def direct_dep_guard(blamed: DataFrame, manifest: DataFrame) -> DataFrame:
     """Blamed crates that are no direct dependency of their slot: the slot is in error."""
-    return blamed.join(manifest.select("slot", "crate").distinct(), ["slot", "crate"], "left_anti")
+    return blamed.join(distinct_keys(manifest, ["slot", "crate"]), ["slot", "crate"], "left_anti")
 
 
 def apply_blame(
@@ -138,7 +138,7 @@ def apply_blame(
     where it blames a crate that is no direct dependency.
     """
     blamed = first_blame(log, patterns=patterns)
-    direct = manifest.select("slot", "crate").distinct()
+    direct = distinct_keys(manifest, ["slot", "crate"])
     named = blamed.where(F.col("crate").isNotNull())
     dropped = named.join(direct, ["slot", "crate"], "left_semi").select("slot", "round", "crate")
     errors = (

@@ -11,7 +11,7 @@ from ..fixed_values import LABEL_CELL
 from ..functions.labels import in_scope, package_of, scope_key, strip_config
 from ..functions.outcomes import not_success
 from ..functions.lines import is_cancel_notice
-from .setops import flag_groups, membership
+from .setops import distinct_keys, flag_groups, membership
 
 KEYS = ("platform", "label")
 RUN = ("run_id", "platform")
@@ -24,7 +24,7 @@ def observed_failures(reports: DataFrame) -> DataFrame:
 
 def cancelled_runs(logs: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Runs whose log says that the build was cancelled."""
-    return logs.where(is_cancel_notice(F.col("line"))).select(*keys).distinct()
+    return distinct_keys(logs.where(is_cancel_notice(F.col("line"))), keys)
 
 
 def drop_cancelled(reports: DataFrame, logs: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
@@ -63,9 +63,8 @@ def scope_to(labels: DataFrame, patterns: DataFrame, cell: str = LABEL_CELL) ->
         .distinct()
         .withColumn("scope_key", F.explode(package_keys))
         .join(keys, "scope_key", "left_semi")
-        .select("scope_package", F.lit(True).alias("package_in"))
-        .distinct()
     )
+    packages = distinct_keys(packages, ["scope_package"]).withColumn("package_in", F.lit(True))
     single = keys.where(F.col("scope_key").startswith("target ")).select(
         F.substr("scope_key", F.lit(len("target ") + 1)).alias("label"), F.lit(True).alias("label_in")
     )
@@ -140,7 +139,7 @@ def run_verdicts(observed: DataFrame, known: DataFrame, runs: DataFrame, is_ci:
     Stale entries are counted as the list's size less the entries seen, so the
     list is never copied per run. Runs without failures get a verdict too.
     """
-    listed = known.select(*KEYS, F.lit(True).alias("listed")).distinct()
+    listed = distinct_keys(known, KEYS).withColumn("listed", F.lit(True))
     seen = (
         observed.select(*RUN, "label")
         .distinct()

@@ -9,6 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def apart(keys: Sequence[str]) -> Column:
+    """A grouping column that only follows from ``keys``, for sides of a join.
+
+    Rows grouped by exactly the keys they are joined on stay in place for the join.
+    Adaptive execution can then not split a hot key of the other side, because it
+    needs both sides straight from a shuffle. Grouped by this column too, they are
+    shuffled once more by the join; after the grouping that is one row per key.
+    """
+    return F.xxhash64(*keys).alias("_apart")
+
+
+def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct ``keys`` as one side of a join whose other side may have hot keys."""
+    return df.select(*keys, apart(keys)).distinct().drop("_apart")
+
+
 def flag_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """One row per key; each flag is true where it is true in any of the key's rows."""
     return rows.groupBy(*keys).agg(*[F.bool_or(name).alias(name) for name in names])
@@ -45,12 +61,14 @@ def joined_batches(
     """
     items = df.select(*group, item).distinct()
     size = F.ceil(F.count("*") / F.lit(max_items)).cast("bigint")
-    sizes = items.groupBy(*[F.col(c).alias(f"_of_{c}") for c in group]).agg(size.alias("n_batches"))
+    sizes = items.groupBy(*[F.col(c).alias(f"_of_{c}") for c in group], apart(group)).agg(size.alias("n_batches"))
     same_group = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
     batch: Column = F.pmod(F.xxhash64(item), F.col("n_batches"))
     return (
-        items.join(sizes, reduce(lambda a, b: a & b, same_group))
+        items.join(sizes.drop("_apart"), reduce(lambda a, b: a & b, same_group))
         .select(*group, item, batch.alias("batch"))
+        # The join leaves a group in one partition, which would do for the grouping too.
+        .repartition(*group, "batch")
         .groupBy(*group, "batch")
         .agg(F.array_join(F.array_sort(F.collect_list(item)), separator).alias(out))
     )

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .setops import membership
+from .setops import distinct_keys, membership
 
 MEMBER = ("crate", "path", "content_hash")
 
 
 def insert_if_absent(source: DataFrame, target: DataFrame) -> DataFrame:
     """The target with every source crate it has no member of; crates come whole."""
-    held = target.select("crate").distinct()
+    held = distinct_keys(target, ["crate"])
     added = source.select(*MEMBER).join(held, "crate", "left_anti")
     return added.unionByName(target.select(*MEMBER))
 
@@ -29,7 +29,7 @@ def refresh_matched(source: DataFrame, target: DataFrame) -> DataFrame:
     The source replaces members at the same path and adds new ones; members only
     the target has stay.
     """
-    wanted = source.select(*MEMBER).join(target.select("crate").distinct(), "crate", "left_semi")
+    wanted = source.select(*MEMBER).join(distinct_keys(target, ["crate"]), "crate", "left_semi")
     newest = F.max_by("content_hash", "priority")
     both = wanted.withColumn("priority", F.lit(1)).unionByName(target.select(*MEMBER, F.lit(0).alias("priority")))
     return both.groupBy("crate", "path").agg(newest.alias("content_hash")).select(*MEMBER)

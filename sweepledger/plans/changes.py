@@ -48,7 +48,7 @@ HITS_SQL = f"""hits AS (
   SELECT label FROM targets JOIN rigs ON split_part(label, ':', 1) = 'fixups//' || rig)"""
 
 
-def _paths(spark: SparkSession, root: str) -> DataFrame:
+def paths(spark: SparkSession, root: str) -> DataFrame:
     brand, size = F.col("p_brand"), F.col("p_size")
     in_rig = (brand == "Brand#7") & F.col("p_type").isin("PROMO", "SMALL") & (size > 30)
     path = (
@@ -81,12 +81,12 @@ def _broken(spark: SparkSession, root: str) -> DataFrame:
 
 @audit("changed_crates", f"WITH {PATHS_SQL}, {CRATES_SQL} SELECT crate FROM crates")
 def changed_crates(spark: SparkSession, root: str) -> DataFrame:
-    return I.changed_crates(_paths(spark, root))
+    return I.changed_crates(paths(spark, root))
 
 
 @audit("changed_rigs", f"WITH {PATHS_SQL}, {RIGS_SQL} SELECT rig FROM rigs")
 def changed_rigs(spark: SparkSession, root: str) -> DataFrame:
-    return I.changed_rigs(_paths(spark, root))
+    return I.changed_rigs(paths(spark, root))
 
 
 @audit(
@@ -97,7 +97,7 @@ def changed_rigs(spark: SparkSession, root: str) -> DataFrame:
 )
 def impacted_targets(spark: SparkSession, root: str) -> DataFrame:
     """The SQL is the regular-expression join; ours is an equi-join."""
-    return I.impacted_targets(I.changed_crates(_paths(spark, root)), _targets(spark, root))
+    return I.impacted_targets(I.changed_crates(paths(spark, root)), _targets(spark, root))
 
 
 @audit(
@@ -106,7 +106,7 @@ def impacted_targets(spark: SparkSession, root: str) -> DataFrame:
     SELECT label FROM targets WHERE split_part(label, ':', 1) IN (SELECT 'fixups//' || rig FROM rigs)""",
 )
 def impacted_rigs(spark: SparkSession, root: str) -> DataFrame:
-    return I.impacted_rigs(I.changed_rigs(_paths(spark, root)), _targets(spark, root))
+    return I.impacted_rigs(I.changed_rigs(paths(spark, root)), _targets(spark, root))
 
 
 @audit(
@@ -127,7 +127,7 @@ def drop_known_broken(spark: SparkSession, root: str) -> DataFrame:
       WHERE split_part(label, ':', 2) = crate OR {STEM_SQL.format("split_part(label, ':', 2)")} = crate)""",
 )
 def unmatched_changes(spark: SparkSession, root: str) -> DataFrame:
-    return I.unmatched_changes(I.changed_crates(_paths(spark, root)), _targets(spark, root))
+    return I.unmatched_changes(I.changed_crates(paths(spark, root)), _targets(spark, root))
 
 
 @audit(
@@ -136,7 +136,7 @@ def unmatched_changes(spark: SparkSession, root: str) -> DataFrame:
     SELECT label FROM hits WHERE {STEM_SQL.format('label')} NOT IN (SELECT {STEM_SQL.format('label')} FROM broken)""",
 )
 def change_impact(spark: SparkSession, root: str) -> DataFrame:
-    return I.change_impact(_paths(spark, root), _targets(spark, root), _broken(spark, root))
+    return I.change_impact(paths(spark, root), _targets(spark, root), _broken(spark, root))
 
 
 @audit(

@@ -25,12 +25,12 @@ def _edges(spark: SparkSession, root: str) -> DataFrame:
 @audit(
     "dependents_closure",
     f"""WITH RECURSIVE {EDGES_SQL}, closure(node) AS (
-      SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_acctbal > 9000
+      SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_acctbal > 5000
       UNION SELECT src FROM closure JOIN edges ON dst = node)
     SELECT node FROM closure""",
 )
 def dependents_closure(spark: SparkSession, root: str) -> DataFrame:
-    seeds = table(spark, root, "customer").where("c_nationkey = 3 AND c_acctbal > 9000")
+    seeds = table(spark, root, "customer").where("c_nationkey = 3 AND c_acctbal > 5000")
     return G.dependents_closure(_edges(spark, root), seeds.select(F.col("c_custkey").alias("node"))).select("node")
 
 

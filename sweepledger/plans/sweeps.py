@@ -163,7 +163,8 @@ def run_verdicts(spark: SparkSession, root: str) -> DataFrame:
 @audit(
     "verdict_lines",
     f"""WITH {RUNS_SQL}
-    SELECT run_id, platform, 0 AS part, verdict AS kind, NULL AS label, known_count FROM verdicts
+    SELECT run_id, platform, 0 AS part, verdict AS kind, NULL AS label, CAST(known_count AS VARCHAR) AS known_count
+    FROM verdicts
     UNION ALL
     SELECT run_id, platform, CASE status WHEN 'new' THEN 1 ELSE 2 END, status, label, NULL
     FROM statuses WHERE status <> 'known'""",
@@ -171,7 +172,8 @@ def run_verdicts(spark: SparkSession, root: str) -> DataFrame:
 def verdict_report(spark: SparkSession, root: str) -> DataFrame:
     seen, listed, runs = _runs(spark, root)
     statuses = R.reconcile(seen, R.known_for_runs(listed, runs), ["run_id", "platform", "label"])
-    return verdict_lines(R.run_verdicts(seen, listed, runs, is_ci=True), statuses)
+    lines = verdict_lines(R.run_verdicts(seen, listed, runs, is_ci=True), statuses)
+    return lines.withColumn("known_count", F.col("known_count").cast("string"))
 
 
 @audit(

@@ -25,7 +25,7 @@ DEPS_SQL = f"""deps AS (
     FROM part WHERE p_name NOT IN ('small ring', 'red widget'))"""
 
 
-def _deps(spark: SparkSession, root: str) -> DataFrame:
+def manifest_deps_of(spark: SparkSession, root: str) -> DataFrame:
     small = F.col("p_size") < 10
     return table(spark, root, "part").select(
         F.col("p_type").alias("slot"),
@@ -46,11 +46,12 @@ SKIPPED = ("small_ring", "red_widget")
     "float_deps",
     f"""WITH {DEPS_SQL} SELECT slot, crate, '*' AS version_req,
       CASE WHEN has_features THEN p_brand || ',' || feature END AS features,
-      CASE WHEN no_default THEN false END AS default_features
+      CASE WHEN no_default THEN 'false' END AS default_features
     FROM deps""",
 )
 def float_deps(spark: SparkSession, root: str) -> DataFrame:
-    return M.float_deps(_deps(spark, root), SKIPPED).withColumn("features", F.array_join("features", ","))
+    floated = M.float_deps(manifest_deps_of(spark, root), SKIPPED).withColumn("features", F.array_join("features", ","))
+    return floated.withColumn("default_features", F.col("default_features").cast("string"))
 
 
 @audit(
@@ -64,7 +65,7 @@ def float_deps(spark: SparkSession, root: str) -> DataFrame:
     FROM deps""",
 )
 def manifest_lines(spark: SparkSession, root: str) -> DataFrame:
-    return M.manifest_lines(M.float_deps(_deps(spark, root), SKIPPED))
+    return M.manifest_lines(M.float_deps(manifest_deps_of(spark, root), SKIPPED))
 
 
 @audit(
@@ -72,7 +73,7 @@ def manifest_lines(spark: SparkSession, root: str) -> DataFrame:
     f"""SELECT p_partkey, {CRATE_SQL} AS crate, '^1.' || p_size AS version_req, NULL AS features,
       NULL AS default_features, NULL AS package FROM part
     UNION ALL SELECT p_partkey, 'dep-' || p_partkey, '=' || p_size,
-      CASE WHEN p_size < 25 THEN p_brand || ',' || p_type END, p_size > 20, p_brand
+      CASE WHEN p_size < 25 THEN p_brand || ',' || p_type END, CAST(p_size > 20 AS VARCHAR), p_brand
     FROM part""",
 )
 def manifest_deps(spark: SparkSession, root: str) -> DataFrame:
@@ -89,6 +90,7 @@ def manifest_deps(spark: SparkSession, root: str) -> DataFrame:
     )
     texts = table(spark, root, "part").select(F.col("p_partkey").cast("string").alias("source"), content.alias("content"))
     deps = SM.parse_manifest_deps(texts).withColumn("features", F.array_join("features", ","))
+    deps = deps.withColumn("default_features", F.col("default_features").cast("string"))
     return deps.withColumn("source", F.col("source").cast("bigint")).withColumnRenamed("source", "p_partkey")
 
 
@@ -449,16 +451,16 @@ def effective_directives(spark: SparkSession, root: str) -> DataFrame:
 
 @audit(
     "directive_views",
-    f"""WITH {DIRECTIVES_SQL} SELECT CAST(crate AS VARCHAR) AS crate, section_no, value_json = 'true' AS run,
+    f"""WITH {DIRECTIVES_SQL} SELECT CAST(crate AS VARCHAR) AS crate, section_no, value_json AS run,
       NULL AS all_names, NULL AS names FROM sections WHERE key = 'buildscript.run'
-    UNION ALL SELECT CAST(crate AS VARCHAR), section_no, NULL, value_json = 'true',
+    UNION ALL SELECT CAST(crate AS VARCHAR), section_no, NULL, CAST(value_json = 'true' AS VARCHAR),
       CASE WHEN value_kind = 'array' THEN 'A B' END
     FROM sections WHERE key = 'cargo_env'""",
 )
 def directive_views(spark: SparkSession, root: str) -> DataFrame:
     directives = _directives(spark, root)
-    runs = SM.build_script_view(directives).select("crate", "section_no", "run")
-    envs = SM.cargo_env_view(directives).select("crate", "section_no", "all_names", F.array_join("names", " ").alias("names"))
+    runs = SM.build_script_view(directives).select("crate", "section_no", F.col("run").cast("string").alias("run"))
+    envs = SM.cargo_env_view(directives).select("crate", "section_no", F.col("all_names").cast("string").alias("all_names"), F.array_join("names", " ").alias("names"))
     return runs.unionByName(envs, allowMissingColumns=True)
 
 

@@ -7,16 +7,21 @@ time, inside tasks; everything after that is built-in column expressions.
 from __future__ import annotations
 
 import json
+import sys
 import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import DIRECTIVE_FILE, LOCK_FILE, MAIN_RIG, MANIFEST_FILE, SUB_RIG_MANIFEST
 from .files import read_texts, relative_path
 
+# Tasks get these functions whole, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DEPS_SCHEMA = (
     "source STRING, crate STRING, version_req STRING, features ARRAY<STRING>, "
     "default_features BOOLEAN, package STRING"

@@ -27,16 +27,19 @@ def parse_reports(texts: DataFrame, content: str = "content") -> DataFrame:
     return explode_results(parsed)
 
 
-def read_build_reports(spark: SparkSession, path: str, run_pattern: str = r"([^/]+)/([^/]+)/[^/]+\.json$") -> DataFrame:
+def read_build_reports(
+    spark: SparkSession, path: str, run_pattern: str = r"([^/]+)/([^/]+)/[^/]+\.json$", multi_line: bool = True
+) -> DataFrame:
     """``(run_id, platform, label, success)`` of JSON reports.
 
     ``run_pattern`` takes the platform and the run from the file's path. A report
     is one JSON object, so a file cannot be split: stage it once with
-    ``stage_reports`` and audit the staged table.
+    ``stage_reports`` and audit the staged table. Files with a report per line can
+    be split; read them with ``multi_line`` off.
     """
     reports = (
         spark.read.schema(REPORT_SCHEMA)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
         .json(path)
@@ -66,11 +69,11 @@ def stage_reports(reports: DataFrame, path: str) -> None:
     )
 
 
-def read_known_failures(spark: SparkSession, path: str) -> DataFrame:
-    """``(platform, label)``: list entries, platform from the file's name."""
+def read_known_failures(spark: SparkSession, path: str, platform_pattern: str = KNOWN_FAILURE_FILE) -> DataFrame:
+    """``(platform, label)``: list entries, platform from the file's name or path."""
     lines = read_lines(spark, path)
     return lines.where(is_entry(F.col("line"))).select(
-        F.regexp_extract("path", KNOWN_FAILURE_FILE, 1).alias("platform"), F.col("line").alias("label")
+        F.regexp_extract("path", platform_pattern, 1).alias("platform"), F.col("line").alias("label")
     )
 
 

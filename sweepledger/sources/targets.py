@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import ast
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import LABEL_CELL, TARGET_FILE
 from .files import read_texts, relative_path
 
+# Tasks get these functions whole, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PARSED_SCHEMA = (
     "source STRING, kind STRING, name STRING, crate STRING, edition STRING, version STRING, actual STRING, "
     "features ARRAY<STRING>, deps ARRAY<STRING>, unread ARRAY<STRING>, attrs STRING"

@@ -38,19 +38,19 @@ def known_failure_files(spark: SparkSession, root: str) -> DataFrame:
 
 @audit(
     "build_report_files",
-    """SELECT event_type AS platform, CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id,
+    """SELECT event_type AS platform, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS run_id,
       'fixups//users:' || user_id AS label, count(*) AS n
     FROM events WHERE nullif(event_type, 'view') IS NULL OR value > 20 GROUP BY ALL""",
 )
 def build_report_files(spark: SparkSession, root: str) -> DataFrame:
-    """An event is a report, its day a run, its type a platform; views have no outcome."""
+    """An event is a report, its week a run, its type a platform; views have no outcome."""
     out = scratch_path(spark, "reports")
     good = F.when(F.col("value") > 20, "FAIL").otherwise("SUCCESS")
     outcome = F.struct(F.when(F.col("event_type") != "view", good).alias("success"))
     name = F.concat(F.lit("fixups//users:"), "user_id", F.lit("#cfg"))
     reports = table(spark, root, "events").select(
         F.col("event_type").alias("platform"),
-        F.to_date("ts").cast("string").alias("run_id"),
+        F.to_date(F.date_trunc("week", "ts")).cast("string").alias("run_id"),
         F.create_map(name, outcome).alias("results"),
     )
     reports.repartitionByRange("platform", "run_id").write.partitionBy("platform", "run_id").json(out)

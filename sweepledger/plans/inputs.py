@@ -24,6 +24,16 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def balanced(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread narrow rows over all partitions before each becomes a text to read.
+
+    Reading a text costs far more than moving a row, and a scan may have fewer
+    splits than there are cores. A partition count of its own keeps adaptive
+    execution from joining the partitions, which are small only in bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def crate_name() -> Column:
     return F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
 

@@ -10,7 +10,7 @@ from ..operators import gates as V
 from ..operators import manifests as M
 from ..sources import manifests as SM
 from ..sources.targets import parse_targets, target_edges
-from .inputs import crate_name, table, year_of
+from .inputs import balanced, crate_name, table, year_of
 from .registry import audit
 
 CRATE_SQL = "replace(p_name, ' ', '_')"
@@ -88,7 +88,8 @@ def manifest_deps(spark: SparkSession, root: str) -> DataFrame:
         F.format_string(", default-features = %s", (F.col("p_size") > 20).cast("string")),
         F.format_string(', package = "%s" }\n[target."cfg(unix)".dependencies]\nunread = "1"\n', "p_brand"),
     )
-    texts = table(spark, root, "part").select(F.col("p_partkey").cast("string").alias("source"), content.alias("content"))
+    parts = balanced(table(spark, root, "part").select("p_partkey", "p_name", "p_size", "p_brand", "p_type"), "p_partkey")
+    texts = parts.select(F.col("p_partkey").cast("string").alias("source"), content.alias("content"))
     deps = SM.parse_manifest_deps(texts).withColumn("features", F.array_join("features", ","))
     deps = deps.withColumn("default_features", F.col("default_features").cast("string"))
     return deps.withColumn("source", F.col("source").cast("bigint")).withColumnRenamed("source", "p_partkey")
@@ -102,7 +103,8 @@ def package_count(spark: SparkSession, root: str) -> DataFrame:
     """Every part as a lock of one or two packages."""
     one = F.format_string('version = 4\n[[package]]\nname = "%s"\nversion = "%d.0.0"\n', crate_name(), "p_size")
     two = F.when(F.col("p_size") > 25, '[[package]]\nname = "extra"\nversion = "1.2.3"\ndependencies = ["a"]\n').otherwise("")
-    texts = table(spark, root, "part").select(F.col("p_type").alias("source"), F.concat(one, two).alias("content"))
+    parts = balanced(table(spark, root, "part").select("p_partkey", "p_name", "p_size", "p_type"), "p_partkey")
+    texts = parts.select(F.col("p_type").alias("source"), F.concat(one, two).alias("content"))
     return M.package_count(SM.parse_lock_packages(texts).withColumnRenamed("source", "rig"))
 
 
@@ -389,7 +391,8 @@ def _directives(spark: SparkSession, root: str) -> DataFrame:
     source = F.concat(
         F.when(F.col("c_mktsegment") == "MACHINERY", rig).otherwise(""), F.lit("/"), F.col("c_custkey").cast("string")
     )
-    texts = table(spark, root, "customer").select(source.alias("source"), content.alias("content"))
+    customers = table(spark, root, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    texts = balanced(customers, "c_custkey").select(source.alias("source"), content.alias("content"))
     rows = SM.parse_fixup_directives(texts)
     return rows.select(
         F.substring_index("source", "/", 1).alias("rig_scope"), F.substring_index("source", "/", -1).alias("crate"), *rows.columns[1:]
@@ -485,7 +488,8 @@ def _target_texts(spark: SparkSession, root: str) -> DataFrame:
         F.format_string('    deps = [":base-%d", "//other:x"],\n)\n', F.col("p_size")),
     )
     source = F.concat(F.lit("pkg/"), F.col("p_partkey").cast("string"))
-    return table(spark, root, "part").select(source.alias("source"), content.alias("content"))
+    parts = table(spark, root, "part").select("p_partkey", "p_name", "p_size")
+    return balanced(parts, "p_partkey").select(source.alias("source"), content.alias("content"))
 
 
 @audit(

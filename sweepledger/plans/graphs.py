@@ -146,17 +146,19 @@ def pruned_list(spark: SparkSession, root: str) -> DataFrame:
     return M.pruned_list(_pruned(spark, root).withColumn("crate", F.col("crate").cast("string")))
 
 
-# Orders are slots with their line items as members: a part is unavailable when it
-# was returned in a large quantity, needs the part with half its key in the same
-# order, asks that one for a feature, and rivals the parts of its size.
+# Suppliers are slots with the parts they deliver as members: a part is unavailable
+# when large quantities of it were returned, needs the part with half its key where
+# the supplier has it, asks that one for a feature that large parts lack, and rivals
+# the parts of its brand and type.
 SLOT_SQL = """members AS (
-    SELECT l_orderkey AS slot, l_partkey AS crate, bool_and(l_returnflag <> 'R' OR l_quantity < 40) AS available,
+    SELECT l_suppkey AS slot, l_partkey AS crate, bool_and(l_returnflag <> 'R' OR l_quantity < 45) AS available,
       min(l_linenumber) AS line_no
     FROM lineitem GROUP BY ALL),
   needs AS (
-    SELECT m.slot, m.crate, n.crate AS need FROM members m JOIN members n USING (slot) WHERE n.crate < m.crate AND n.line_no = m.line_no - 1),
+    SELECT m.slot, m.crate, n.crate AS need FROM members m JOIN members n ON n.slot = m.slot AND n.crate = m.crate // 2
+    WHERE m.crate > 0),
   missing AS (
-    SELECT needs.slot, needs.need AS crate FROM needs JOIN part ON p_partkey = needs.need WHERE p_size > 45),
+    SELECT needs.slot, needs.need AS crate FROM needs JOIN part ON p_partkey = needs.need WHERE p_size > 48),
   picked AS (
     SELECT slot, arg_min(crate, (line_no, crate)) AS crate
     FROM members JOIN part ON p_partkey = crate WHERE p_brand = 'Brand#5' GROUP BY slot, p_type HAVING count(*) > 1),
@@ -172,30 +174,25 @@ SLOT_SQL = """members AS (
     f"WITH RECURSIVE {SLOT_SQL} SELECT slot, crate, min(round) AS round FROM dropped GROUP BY slot, crate",
 )
 def prune_slots(spark: SparkSession, root: str) -> DataFrame:
-    """All orders at once, with missing features and conflicts."""
+    """All suppliers at once, with missing features and conflicts."""
     parts = table(spark, root, "part").select(F.col("p_partkey").alias("crate"), "p_size", "p_brand", "p_type")
     members = (
         table(spark, root, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("slot"), F.col("l_partkey").alias("crate"))
+        .groupBy(F.col("l_suppkey").alias("slot"), F.col("l_partkey").alias("crate"))
         .agg(
-            F.bool_and(F.expr("l_returnflag <> 'R' OR l_quantity < 40")).alias(
-                "available"
-            ),
+            F.bool_and(F.expr("l_returnflag <> 'R' OR l_quantity < 45")).alias("available"),
             F.min("l_linenumber").alias("line_no"),
         )
     )
-    before = members.select("slot", F.col("crate").alias("needs"), (F.col("line_no") + 1).alias("line_no"))
-    needs = (
-        members.join(before, ["slot", "line_no"])
-        .where("needs < crate")
-        .select("slot", "crate", "needs", F.lit("big").alias("feature"))
-    )
-    offered = members.join(parts, "crate").where("p_size <= 45").select("slot", "crate", F.lit("big").alias("feature"))
+    half = members.where("crate > 0").select("slot", "crate", F.expr("crate div 2").alias("needs"), F.lit("big").alias("feature"))
+    needs = half.join(members.select("slot", F.col("crate").alias("needs")), ["slot", "needs"], "left_semi")
+    offered = members.join(parts, "crate").where("p_size <= 48").select("slot", "crate", F.lit("big").alias("feature"))
     rivals = members.join(parts, "crate").where("p_brand = 'Brand#5'").select(
         "slot", F.col("p_type").alias("conflict_id"), "line_no", "crate"
     )
-    contested = rivals.groupBy("slot", "conflict_id").count().where("count > 1")
-    conflicts = rivals.join(contested.drop("count"), ["slot", "conflict_id"], "left_semi")
+    # One part alone has no rival.
+    alone = rivals.groupBy("slot", "conflict_id").count().where("count = 1").drop("count")
+    conflicts = rivals.join(alone, ["slot", "conflict_id"], "left_anti")
     return M.prune_to_consistent(members, needs, conflicts, offered)[0]
 
 

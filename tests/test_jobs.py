@@ -112,3 +112,19 @@ def test_lines_of_large_files_keep_their_order(spark, tmp_path):
         assert as_set(blamed) == {("0000",), (None,)}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_command_line(spark, tmp_path):
+    from sweepledger.__main__ import main
+
+    results = {"results": {"fixups//third-party:a": {"success": "FAIL"}}}
+    reports = write(tmp_path / "reports", {"L/1/report.json": json.dumps(results)})
+    known = write(tmp_path / "ci", {"expected-failures-L.txt": "fixups//third-party:b\n"})
+    common = ["sweep", "--reports", reports, "--known", known]
+    assert main([*common, "--out", str(tmp_path / "o1")]) == 1
+    write(tmp_path / "ci", {"expected-failures-L.txt": "fixups//third-party:a\nfixups//third-party:b\n"})
+    assert main([*common, "--out", str(tmp_path / "o2")]) == 0
+    assert main([*common, "--out", str(tmp_path / "o3"), "--ci"]) == 1
+    assert main([*common, "--out", str(tmp_path / "o4"), "--ci", "//third-party:a"]) == 0
+    source, target = (write(tmp_path / n, {f"{n}/f": "1"}) for n in ("s", "t"))
+    assert main(["extend", source, target, "--out", str(tmp_path / "o5")]) == 0

@@ -1,4 +1,6 @@
-"""Run a job: ``python -m sweepledger <job> …``, or this file with ``spark-submit``.
+"""Run a job: ``python -m sweepledger <job> …``.
+
+The exit code says what the job decided: 0 when all is well, 1 when it is not.
 """
 
 from __future__ import annotations

@@ -55,28 +55,25 @@ def spread(
 
 
 def _spread(steps, seeds, keys, scope, max_rounds) -> tuple[DataFrame, bool]:
-    frontier = cut_lineage(seeds.withColumn("depth", F.lit(0)))
-    layers = [frontier]
-    depth = 0
+    frontier = seen = cut_lineage(seeds.withColumn("depth", F.lit(0)))
+    depth, layers = 0, 1
     while True:
         size, size_bytes = _measure(frontier, keys)
         if size == 0:
-            return reduce(DataFrame.unionByName, layers), True
-        reached = _reach(steps, frontier, layers, keys, scope, size_bytes)
+            return seen, True
+        reached = _reach(steps, frontier.select(*keys), seen.select(*keys), keys, scope, size_bytes)
         if max_rounds is not None and depth >= max_rounds:
-            return reduce(DataFrame.unionByName, layers), reached.isEmpty()
+            return seen, reached.isEmpty()
         depth += 1
         frontier = cut_lineage(reached.withColumn("depth", F.lit(depth)))
-        layers.append(frontier)
-        if len(layers) > COMPACT_EVERY:
-            layers = [cut_lineage(reduce(DataFrame.unionByName, layers))]
+        seen, layers = seen.union(frontier), layers + 1
+        if layers > COMPACT_EVERY:
+            seen, layers = cut_lineage(seen), 1
 
 
-def _reach(steps, frontier, layers, keys, scope, size_bytes) -> DataFrame:
-    """Nodes one step from the frontier that no layer holds."""
-    start = frontier.select(*keys)
+def _reach(steps, start, seen, keys, scope, size_bytes) -> DataFrame:
+    """Nodes one step from ``start`` that were not seen."""
     if size_bytes <= BROADCAST_BYTES:
         start = F.broadcast(start)
     candidates = steps.join(start, keys).select(*scope, F.col("next").alias("node"))
-    return except_distinct(candidates, reduce(DataFrame.unionByName, layers))
-
+    return except_distinct(candidates, seen)

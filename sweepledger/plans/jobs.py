@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import DIFF_LINES, IMPACT_KINDS, MAIN_RIG
+from ..fixed_values import DIFF_LINES, IMPACT_KINDS, MAIN_RIG, TARGET_FILE
 from ..operators import drift as D
 from ..operators import impact as I
 from ..operators import loglines as G
@@ -123,8 +123,8 @@ def drift(
     """
 
     def files(root: str) -> DataFrame:
-        texts = read_texts(spark, root, "BUCK").select(relative_path(F.col("path"), root).alias("path"), "content")
-        return texts.select(F.regexp_replace("path", "/?BUCK$", "").alias("rig"), F.sha2("content", 256).alias("content_hash"))
+        texts = read_texts(spark, root, TARGET_FILE).select(relative_path(F.col("path"), root).alias("path"), "content")
+        return texts.select(F.regexp_replace("path", f"/?{TARGET_FILE}$", "").alias("rig"), F.sha2("content", 256).alias("content_hash"))
 
     D.rig_status(runs, output, D.drift_of_files(files(committed), files(regenerated))).write.mode("overwrite").parquet(
         f"{out}/rigs"

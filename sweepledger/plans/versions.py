@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.versions import gate_holds, is_prerelease, version_key
 from ..operators import gates as V
 from ..operators import manifests as M
+from ..session import stage
 from ..sources import manifests as SM
 from ..sources.targets import parse_targets, target_edges
 from .inputs import balanced, crate_name, table, year_of
@@ -430,7 +431,7 @@ USES_SQL = """uses AS (
     FROM uses JOIN sections s ON uses.crate = CAST(s.crate AS VARCHAR)""",
 )
 def resolve_override(spark: SparkSession, root: str) -> DataFrame:
-    in_force = V.resolve_override(_directives(spark, root), _uses(spark, root))
+    in_force = V.resolve_override(stage(_directives(spark, root), "directives"), _uses(spark, root))
     return in_force.select("rig", "crate", "section_no", "key", "value_json")
 
 
@@ -449,7 +450,7 @@ PLATFORMS = (("linux-x86", "linux", "x86_64", "gnu"), ("mac-arm", "macos", "aarc
     SELECT rig, crate, version, platform, key, arg_max(value_json, section_no) AS value_json FROM holding GROUP BY ALL""",
 )
 def effective_directives(spark: SparkSession, root: str) -> DataFrame:
-    return V.effective_directives(_directives(spark, root), _uses(spark, root), PLATFORMS)
+    return V.effective_directives(stage(_directives(spark, root), "directives"), _uses(spark, root), PLATFORMS)
 
 
 @audit(
@@ -461,7 +462,7 @@ def effective_directives(spark: SparkSession, root: str) -> DataFrame:
     FROM sections WHERE key = 'cargo_env'""",
 )
 def directive_views(spark: SparkSession, root: str) -> DataFrame:
-    directives = _directives(spark, root)
+    directives = stage(_directives(spark, root), "directives")
     runs = SM.build_script_view(directives).select("crate", "section_no", F.col("run").cast("string").alias("run"))
     envs = SM.cargo_env_view(directives).select("crate", "section_no", F.col("all_names").cast("string").alias("all_names"), F.array_join("names", " ").alias("names"))
     return runs.unionByName(envs, allowMissingColumns=True)

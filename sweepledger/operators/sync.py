@@ -27,12 +27,14 @@ def refresh_matched(source: DataFrame, target: DataFrame) -> DataFrame:
     """The target with the source's members of the crates it already has.
 
     The source replaces members at the same path and adds new ones; members only
-    the target has stay.
+    the target has stay. A path occurs once in a crate, so the outer join has no hot
+    key, and each side is shuffled and sorted once for it.
     """
     wanted = source.select(*MEMBER).join(distinct_keys(target, ["crate"]), "crate", "left_semi")
-    newest = F.max_by("content_hash", "priority")
-    both = wanted.withColumn("priority", F.lit(1)).unionByName(target.select(*MEMBER, F.lit(0).alias("priority")))
-    return both.groupBy("crate", "path").agg(newest.alias("content_hash")).select(*MEMBER)
+    new = wanted.withColumnRenamed("content_hash", "new_hash")
+    old = target.select("crate", "path", F.col("content_hash").alias("old_hash"))
+    both = new.join(old, ["crate", "path"], "full_outer")
+    return both.select("crate", "path", F.coalesce("new_hash", "old_hash").alias("content_hash"))
 
 
 def refresh_status(source: DataFrame, target: DataFrame) -> DataFrame:

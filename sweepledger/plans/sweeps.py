@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed_values import CANCEL_TEXT
 from ..functions import labels as L
 from ..functions.outcomes import index_is_faithful, not_success, platform_key
 from ..operators import reconcile as R
@@ -260,7 +261,7 @@ def cancelled(spark: SparkSession, root: str) -> DataFrame:
     events = table(spark, root, "events").select(
         "event_id", F.col("user_id").alias("run_id"), F.to_date("ts").alias("platform"), "event_type"
     )
-    notice = F.when(F.col("event_type") == "error", "evaluation of this key was cancelled").otherwise("")
+    notice = F.when(F.col("event_type") == "error", CANCEL_TEXT).otherwise("")
     return R.drop_cancelled(events, events.withColumn("line", notice)).select("event_id")
 
 

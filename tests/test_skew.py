@@ -9,6 +9,7 @@ import random
 import pytest
 from conftest import as_set
 
+from sweepledger.fixed_values import CANCEL_TEXT
 from sweepledger.operators import gates as V
 from sweepledger.operators import impact as I
 from sweepledger.operators import propagate as P
@@ -87,7 +88,7 @@ def test_spread_through_a_hot_node(spark, keys, monkeypatch):
 
 def test_cancelled_hot_run(spark, keys):
     reports = spread_rows(spark, [(k, "L", f"l{i}") for i, k in enumerate(keys)], "run_id STRING, platform STRING, label STRING")
-    logs = spread_rows(spark, [(k, "L", "evaluation of this key was cancelled" if k < "k2" and k != "hot" else "") for k in keys], "run_id STRING, platform STRING, line STRING")
+    logs = spread_rows(spark, [(k, "L", CANCEL_TEXT if k < "k2" and k != "hot" else "") for k in keys], "run_id STRING, platform STRING, line STRING")
     kept = R.drop_cancelled(reports, logs)
     assert "skew=true" in final_plan(kept)
     assert as_set(kept) == {(k, "L", f"l{i}") for i, k in enumerate(keys) if not (k < "k2" and k != "hot")}

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_shuffle import shard_digest, shuffle_to_shards
+from .length_histogram import context_answers, encoded_lengths, length_histogram
+from .piece_rounds import encode_pieces, piece_digest
+from .record_files import record_digest, token_records
 from .shared import table
 from .url_filter import judge_urls
 
@@ -20,6 +24,9 @@ def query(function: Query) -> Query:
     return function
 
 
+BYTE_PAIRS = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 URL_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -57,6 +64,21 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+@query
+def op3_token_records(spark: SparkSession, root: str) -> DataFrame:
+    return record_digest(token_records(table(spark, root, "documents"), BYTE_PAIRS))
+
+
+@query
+def op6_piece_rounds(spark: SparkSession, root: str) -> DataFrame:
+    return piece_digest(encode_pieces(table(spark, root, "documents").select("doc_id", "text"), PIECES))
+
+
+@query
+def op7_length_histogram(spark: SparkSession, root: str) -> DataFrame:
+    return context_answers(length_histogram(encoded_lengths(table(spark, root, "documents"), BYTE_PAIRS)))
+
+
 @query
 def op9_exact_shuffle(spark: SparkSession, root: str) -> DataFrame:
     return shard_digest(shuffle_to_shards(table(spark, root, "documents").select("doc_id", "text")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_shuffle import shard_digest, shuffle_to_shards
 from .length_histogram import context_answers, encoded_lengths, length_histogram
 from .piece_rounds import encode_pieces, piece_digest
+from .positional_index import find_passages, passage_digest
 from .record_files import record_digest, token_records
 from .shared import table
 from .url_filter import judge_urls
@@ -64,6 +65,11 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+@query
+def op2_positional_index(spark: SparkSession, root: str) -> DataFrame:
+    return passage_digest(find_passages(table(spark, root, "documents"), table(spark, root, "benchmark")))
+
+
 @query
 def op3_token_records(spark: SparkSession, root: str) -> DataFrame:
     return record_digest(token_records(table(spark, root, "documents"), BYTE_PAIRS))

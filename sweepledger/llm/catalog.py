@@ -13,6 +13,7 @@ from .piece_rounds import encode_pieces, piece_digest
 from .positional_index import find_passages, passage_digest
 from .record_files import record_digest, token_records
 from .shared import table
+from .simhash import near_duplicates
 from .url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,11 @@ def op3_token_records(spark: SparkSession, root: str) -> DataFrame:
     return record_digest(token_records(table(spark, root, "documents"), BYTE_PAIRS))
 
 
+@query
+def op5_simhash(spark: SparkSession, root: str) -> DataFrame:
+    return near_duplicates(table(spark, root, "documents"))
+
+
 @query
 def op6_piece_rounds(spark: SparkSession, root: str) -> DataFrame:
     return piece_digest(encode_pieces(table(spark, root, "documents").select("doc_id", "text"), PIECES))

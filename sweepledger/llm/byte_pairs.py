@@ -1,4 +1,4 @@
-"""Byte-level pair ids of whole texts, with the words met before kept at hand.
+"""Byte-level pair ids of whole texts, with the parts met before kept at hand.
 
 The library encodes about a megabyte a second, most of it for words it has seen. Its pattern
 never lets a token cross certain places (a space between words, a line end, the border of ASCII letters and
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ MARK = r"!-&(-/:-@\[-`{-~"
 PART = re.compile(
     f" ?[{LETTER}]+(?=[{MARK}{BLANK}]|\\Z)| ?[{MARK}]+(?=[{LETTER}{BLANK}]|\\Z)| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]"
 )
-CACHED_WORDS = 300_000
+CACHED_PARTS = 700_000
 
 
 class BytePairs:
@@ -37,44 +38,33 @@ class BytePairs:
             raise ValueError(f"{path}: not a byte-level tokenizer with the usual pattern")
         self.special = [t["content"] for t in kind["added_tokens"]]
         self.size = self.library.get_vocab_size()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _new_parts(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.parts]
-        for part, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[part] = np.array(found.ids, "<i4").tobytes()
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit little-endian integers."""
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        # A word stands for itself with a space in front, or with the line end it begins with.
-        plain: dict[int, list[str]] = {}
-        cut: dict[int, list[str]] = {}
+        if len(self.known) > CACHED_PARTS:
+            self.known.clear()
+        known = self.known.get
         out: list[bytes] = [b""] * len(texts)
+        cut: dict[int, tuple[list[str], list[bytes | None]]] = {}
+        new: set[str] = set()
         for i, text in enumerate(texts):
             if any(s in text for s in self.special):
                 out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
                 continue
-            words = text.replace("\n", " \n").split(" ")
-            if "" not in words and "\n" not in words and words[0][0] != "\n" and len(text.split()) == len(words):
-                plain[i] = words
-            else:
-                cut[i] = PART.findall(text)
-        new = list({w for words in plain.values() for w in words if w not in self.words})
-        new_parts = [PART.findall(w if w[0] == "\n" else " " + w) for w in new]
-        first = {i: PART.findall(words[0]) for i, words in plain.items()}
-        self._new_parts({p for many in (new_parts, first.values(), cut.values()) for parts in many for p in parts})
-        for word, parts in zip(new, new_parts):
-            self.words[word] = b"".join([self.parts[p] for p in parts])
-        for i, words in plain.items():
-            start = b"".join([self.parts[p] for p in first[i]])
-            out[i] = start + b"".join([self.words[w] for w in words[1:]])
-        for i, parts in cut.items():
-            out[i] = b"".join([self.parts[p] for p in parts])
+            parts = PART.findall(text)
+            ids = list(map(known, parts))
+            cut[i] = (parts, ids)
+            if None in ids:
+                new.update([p for p, x in zip(parts, ids) if x is None])
+        added = list(new)
+        for part, found in zip(added, self.library.encode_batch_fast(added, add_special_tokens=False)):
+            ids = found.ids
+            self.known[part] = struct.pack(f"<{len(ids)}i", *ids)
+        for i, (parts, ids) in cut.items():
+            if None in ids:
+                ids = [self.known[p] if x is None else x for p, x in zip(parts, ids)]
+            out[i] = b"".join(ids)
         return out
 
 

@@ -12,6 +12,7 @@ from .length_histogram import context_answers, encoded_lengths, length_histogram
 from .piece_rounds import encode_pieces, piece_digest
 from .positional_index import find_passages, passage_digest
 from .record_files import record_digest, token_records
+from .rule_ensemble import judge_quality
 from .shared import table
 from .simhash import near_duplicates
 from .url_filter import judge_urls
@@ -76,6 +77,11 @@ def op3_token_records(spark: SparkSession, root: str) -> DataFrame:
     return record_digest(token_records(table(spark, root, "documents"), BYTE_PAIRS))
 
 
+@query
+def op4_rule_ensemble(spark: SparkSession, root: str) -> DataFrame:
+    return judge_quality(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 @query
 def op5_simhash(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(table(spark, root, "documents"))

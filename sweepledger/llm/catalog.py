@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_shuffle import shard_digest, shuffle_to_shards
+from .kmeans_tree import nearest
 from .length_histogram import context_answers, encoded_lengths, length_histogram
 from .piece_rounds import encode_pieces, piece_digest
 from .positional_index import find_passages, passage_digest
@@ -100,3 +102,8 @@ def op7_length_histogram(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op9_exact_shuffle(spark: SparkSession, root: str) -> DataFrame:
     return shard_digest(shuffle_to_shards(table(spark, root, "documents").select("doc_id", "text")))
+
+
+@query
+def op10_kmeans_tree(spark: SparkSession, root: str) -> DataFrame:
+    return nearest(table(spark, root, "embeddings"), F.col("vec_id") % 100 == 0)

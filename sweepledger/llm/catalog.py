@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .exact_shuffle import shard_digest, shuffle_to_shards
 from .kmeans_tree import nearest
 from .length_histogram import context_answers, encoded_lengths, length_histogram
+from .license_templates import scan_licenses
 from .piece_rounds import encode_pieces, piece_digest
 from .positional_index import find_passages, passage_digest
 from .record_files import record_digest, token_records
@@ -99,6 +100,11 @@ def op7_length_histogram(spark: SparkSession, root: str) -> DataFrame:
     return context_answers(length_histogram(encoded_lengths(table(spark, root, "documents"), BYTE_PAIRS)))
 
 
+@query
+def op8_license_templates(spark: SparkSession, root: str) -> DataFrame:
+    return scan_licenses(table(spark, root, "documents")).drop("notices")
+
+
 @query
 def op9_exact_shuffle(spark: SparkSession, root: str) -> DataFrame:
     return shard_digest(shuffle_to_shards(table(spark, root, "documents").select("doc_id", "text")))

@@ -212,10 +212,11 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def piece_digest(encoded: DataFrame) -> DataFrame:
-    """Per document: its number of ids, and checksums of the ids and of the decoded text."""
+def piece_digest(encoded: DataFrame, *more: str) -> DataFrame:
+    """Per document: its number of ids, checksums of the ids and of the decoded text, and the columns ``more``."""
     return encoded.select(
         "doc_id",
+        *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

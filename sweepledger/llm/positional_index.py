@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .shared import slices, words_of
+from .shared import fresh, slices, words_of
 
 SHARD_WORDS = 1 << 17
 BLOCK_WORDS = 1 << 19
@@ -299,6 +299,18 @@ def find_passages(
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of an item.
+
+    Rows are told apart by their places, so ``docs``, read twice, must come from files with narrow steps only.
+    """
+    (place,) = fresh(docs, "place")
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    found = find_passages(placed.select(F.col(place).alias("doc_id"), "text"), items, width)
+    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(place))
+    return placed.join(hit, place, "left_anti").drop(place)
+
+
 def joined_spans(spans: Column) -> Column:
     """Ascending spans made disjoint."""
 

@@ -12,6 +12,7 @@ VERSION_SUFFIX = r"-[0-9][0-9.]*$"
 SUCCESS = "SUCCESS"
 CANCEL_TEXT = "evaluation of this key was cancelled"
 KNOWN_FAILURE_FILE = r"expected-failures-([^/]*)\.txt$"
+KNOWN_FAILURE_GLOB = "expected-failures-*.txt"
 
 # Platform keys.
 WINDOWS_OS = r"^(MINGW|MSYS|CYGWIN)"
@@ -46,7 +47,6 @@ BLAME_PATTERNS = (
     r"^.*failed to select a version for the requirement `([^ ]*) ",
     r"^.*failed to select a version for `([^`]*)`",
 )
-MAX_PRUNE_ROUNDS = 500
 
 # Index and generator output.
 INDEX_HOST = "crates.io"

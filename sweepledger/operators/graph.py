@@ -17,9 +17,10 @@ def dependents_closure(
     """Everything that transitively depends on a seed, seeds included.
 
     ``edges(src, dst)``: src depends on dst. ``seeds(node)``. Result ``(scope…,
-    node, depth)`` with the least distance. Cycles are fine.
+    node, depth)`` with the least distance. Cycles are fine. If ``max_rounds`` is given
+    and does not suffice, it is an error.
     """
-    return spread(edges, seeds, scope, max_rounds)[0]
+    return spread(edges, seeds, scope, max_rounds)
 
 
 def dangling_labels(references: DataFrame, targets: DataFrame, keys: Sequence[str] = ("label",)) -> DataFrame:

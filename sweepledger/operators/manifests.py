@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..fixed_values import BLAME_PATTERNS, EXACT_PINNED, MAX_PRUNE_ROUNDS
+from ..fixed_values import BLAME_PATTERNS, EXACT_PINNED
 from ..functions.versions import is_prerelease, version_key
 from .loglines import first_blame
 from .propagate import spread
-from .setops import distinct_keys, joined_batches
+from .setops import distinct_keys
 
 
 def float_deps(deps: DataFrame, skip: Sequence[str] = EXACT_PINNED) -> DataFrame:
@@ -155,8 +155,8 @@ def prune_to_consistent(
     requirements: DataFrame,
     conflicts: DataFrame | None = None,
     offered_features: DataFrame | None = None,
-    max_rounds: int = MAX_PRUNE_ROUNDS,
-) -> tuple[DataFrame, bool]:
+    max_rounds: int | None = None,
+) -> DataFrame:
     """Members dropped until every remaining one has what it needs.
 
     ``members(slot, crate, available)``; ``requirements(slot, crate, needs[,
@@ -170,7 +170,8 @@ def prune_to_consistent(
     dropped the round before. All drops of a round are made at once: the first two
     classes do not depend on their order.
 
-    Returns ``(slot, crate, round)`` and whether it ended before ``max_rounds``.
+    Returns ``(slot, crate, round)``. There is no limit to the rounds; where the caller
+    sets ``max_rounds`` and they do not suffice, it is an error.
     Both tables are persisted while it runs, since each serves several tests.
     """
     shared = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in (members, requirements)]
@@ -181,7 +182,7 @@ def prune_to_consistent(
             df.unpersist()
 
 
-def _prune(members, requirements, conflicts, offered_features, max_rounds) -> tuple[DataFrame, bool]:
+def _prune(members, requirements, conflicts, offered_features, max_rounds) -> DataFrame:
     keys = ["slot", "crate"]
     alive = members.where("available").select(*keys)
     absent = members.where("NOT available").select(*keys, F.lit("absent").alias("reason"))
@@ -203,10 +204,10 @@ def _prune(members, requirements, conflicts, offered_features, max_rounds) -> tu
     edges = needs.select("slot", F.col("crate").alias("src"), F.col("needs").alias("dst")).join(
         alive.select("slot", F.col("crate").alias("src")), ["slot", "src"], "left_semi"
     )
-    dropped, converged = spread(edges, seeds, ["slot"], max_rounds - 1)
-    return dropped.select("slot", F.col("node").alias("crate"), (F.col("depth") + 1).alias("round")), converged
+    dropped = spread(edges, seeds, ["slot"], None if max_rounds is None else max_rounds - 1)
+    return dropped.select("slot", F.col("node").alias("crate"), (F.col("depth") + 1).alias("round"))
 
 
-def pruned_list(dropped: DataFrame, separator: str = " ", max_items: int = 100_000) -> DataFrame:
-    """Dropped crates of each slot and round, joined; read by slot, round and batch."""
-    return joined_batches(dropped, ["slot", "round"], "crate", separator, max_items, "crates")
+def pruned_list(dropped: DataFrame) -> DataFrame:
+    """``(slot, round, crate)`` of all dropped crates, once each; sorted by these columns they are in drop order."""
+    return dropped.select("slot", "round", "crate").distinct()

@@ -6,24 +6,38 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import drop_stage, stage_at
 from .setops import except_distinct
 
-# A frontier up to this many bytes of keys is broadcast, so that a round reads the
-# edges without shuffling them. Each round measures it; larger ones are shuffled.
+# Keys of a frontier or of candidates are broadcast up to this many bytes, so that a round shuffles neither the
+# edges nor the nodes seen. Each is measured as it is written; larger ones are shuffled.
 BROADCAST_BYTES = 32 * 1024 * 1024
 # Rounds kept as separate tables before they are written as one.
 COMPACT_EVERY = 16
 
 
-def _measure(frontier: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """Rows of the frontier, and the bytes its keys take; one row comes to the driver."""
-    width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 16 for k in keys])
-    row = frontier.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
-    return row["n"], row["bytes"]
+class RoundsExceeded(ValueError):
+    """The rounds allowed by the caller did not suffice."""
+
+
+class _Table:
+    """A table written once to the shared folder, with its rows and the bytes of its keys, counted on the way."""
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], name: str):
+        width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 16 for k in keys])
+        seen = Observation()
+        counted = df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
+        self.rows, self.path = stage_at(counted, name)
+        self.n, self.bytes = seen.get["n"], seen.get["bytes"]
+
+    def is_small(self) -> bool:
+        return self.bytes <= BROADCAST_BYTES
+
+    def drop(self) -> None:
+        drop_stage(self.rows.sparkSession, self.path)
 
 
 def spread(
@@ -31,19 +45,20 @@ def spread(
     seeds: DataFrame,
     scope: Sequence[str] = (),
     max_rounds: int | None = None,
-) -> tuple[DataFrame, bool]:
+) -> DataFrame:
     """Nodes that reach a seed along ``src -> dst`` edges, with the least number of steps.
 
     ``edges`` has ``src``, ``dst`` and the ``scope`` columns, ``seeds`` has ``node``
     and the same scope columns; edges never leave their scope. Returns ``(scope…,
-    node, depth)``, seeds at depth 0, and whether it ended by itself, not by
-    ``max_rounds``. Every node enters the frontier once, so cycles end too.
+    node, depth)``, seeds at depth 0. Every node enters the frontier once, so cycles end
+    too. Rounds are not limited; a ``max_rounds`` that does not suffice raises ``RoundsExceeded``.
 
     Per round one join of the frontier with the edges (a hot ``dst`` is split by
-    adaptive execution, or met by a broadcast frontier), and one grouping with the
-    nodes seen, which leaves the new ones. The two edge columns are persisted for the
-    rounds and recomputed from their source where an executor is lost; each round
-    is checkpointed, so a loss costs a round at most.
+    adaptive execution, or met by a broadcast frontier) gives the distinct candidates, which are
+    written and measured. Small ones are looked up among the nodes seen where those lie; only large ones
+    are compared with them in a shuffle. The two edge columns are persisted for the
+    rounds and recomputed from their source where an executor is lost; each round's tables
+    lie in the shared folder, so a loss costs a round at most.
     """
     keys = [*scope, "node"]
     steps = edges.select(*scope, F.col("src").alias("next"), F.col("dst").alias("node"))
@@ -54,26 +69,36 @@ def spread(
         steps.unpersist()
 
 
-def _spread(steps, seeds, keys, scope, max_rounds) -> tuple[DataFrame, bool]:
-    frontier = seen = cut_lineage(seeds.withColumn("depth", F.lit(0)))
-    depth, layers = 0, 1
-    while True:
-        size, size_bytes = _measure(frontier, keys)
-        if size == 0:
-            return seen, True
-        reached = _reach(steps, frontier.select(*keys), seen.select(*keys), keys, scope, size_bytes)
-        if max_rounds is not None and depth >= max_rounds:
-            return seen, reached.isEmpty()
-        depth += 1
-        frontier = cut_lineage(reached.withColumn("depth", F.lit(depth)))
-        seen, layers = seen.union(frontier), layers + 1
-        if layers > COMPACT_EVERY:
-            seen, layers = cut_lineage(seen), 1
-
-
-def _reach(steps, start, seen, keys, scope, size_bytes) -> DataFrame:
-    """Nodes one step from ``start`` that were not seen."""
-    if size_bytes <= BROADCAST_BYTES:
-        start = F.broadcast(start)
-    candidates = steps.join(start, keys).select(*scope, F.col("next").alias("node"))
-    return except_distinct(candidates, seen)
+def _spread(steps, seeds, keys, scope, max_rounds) -> DataFrame:
+    frontier = _Table(seeds.withColumn("depth", F.lit(0)), keys, "frontier")
+    layers, depth = [frontier], 0
+    while frontier.n:
+        seen = reduce(DataFrame.union, [layer.rows for layer in layers])
+        reached = steps.join(_keys(frontier, keys), keys).select(*scope, F.col("next").alias("node"))
+        candidates = _Table(reached.distinct(), keys, "candidates")
+        fresh = _unseen(candidates, seen.select(*keys), keys).withColumn("depth", F.lit(depth + 1))
+        new = _Table(fresh, keys, "frontier")
+        candidates.drop()
+        if new.n and max_rounds is not None and depth >= max_rounds:
+            raise RoundsExceeded(f"not ended after {max_rounds} rounds")
+        frontier, depth = new, depth + 1
+        layers.append(new)
+        if len(layers) > COMPACT_EVERY:
+            # The new frontier stays as it is: the next round joins it.
+            whole = _Table(seen, keys, "seen")
+            for layer in layers[:-1]:
+                layer.drop()
+            layers = [whole, new]
+    return reduce(DataFrame.union, [layer.rows for layer in layers])
+
+
+def _keys(found: _Table, keys: Sequence[str]) -> DataFrame:
+    return F.broadcast(found.rows.select(*keys)) if found.is_small() else found.rows.select(*keys)
+
+
+def _unseen(candidates: _Table, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidates that were not seen."""
+    if not candidates.is_small():
+        return except_distinct(candidates.rows, seen)
+    met = seen.join(F.broadcast(candidates.rows), list(keys), "left_semi")
+    return candidates.rows.join(F.broadcast(met), list(keys), "left_anti")

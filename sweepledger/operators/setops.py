@@ -48,27 +48,3 @@ def except_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
     """Set difference over all columns of ``left``."""
     keys = left.columns
     return membership(left, right, keys, ("in_left", "in_right")).where("in_left AND NOT in_right").select(*keys)
-
-
-def joined_batches(
-    df: DataFrame, group: Sequence[str], item: str, separator: str, max_items: int, out: str
-) -> DataFrame:
-    """Distinct items of each group, sorted and joined into texts of bounded size.
-
-    A group of up to ``max_items`` gives one text, ``batch`` 0. A larger one is
-    spread over as many batches as it needs by a hash of the item, so no task ever
-    holds a whole hot group and no item is left out.
-    """
-    items = df.select(*group, item).distinct()
-    size = F.ceil(F.count("*") / F.lit(max_items)).cast("bigint")
-    sizes = items.groupBy(*[F.col(c).alias(f"_of_{c}") for c in group], apart(group)).agg(size.alias("n_batches"))
-    same_group = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
-    batch: Column = F.pmod(F.xxhash64(item), F.col("n_batches"))
-    return (
-        items.join(sizes.drop("_apart"), reduce(lambda a, b: a & b, same_group))
-        .select(*group, item, batch.alias("batch"))
-        # The join leaves a group in one partition, which would do for the grouping too.
-        .repartition(*group, "batch")
-        .groupBy(*group, "batch")
-        .agg(F.array_join(F.array_sort(F.collect_list(item)), separator).alias(out))
-    )

@@ -39,7 +39,7 @@ TARGETS_SQL = f"targets AS (SELECT DISTINCT {RIG_LABEL_SQL} AS label FROM part)"
 # Known-broken targets: parts returned in the largest quantity.
 BROKEN_SQL = f"""broken AS (
   SELECT DISTINCT {RIG_LABEL_SQL} AS label FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_returnflag = 'R' AND l_quantity = 50)"""
+  GROUP BY l_partkey, label HAVING 3 * count(*) FILTER (l_returnflag = 'R') > count(*))"""
 STEM_SQL = "regexp_replace({}, '-[0-9][0-9.]*$', '')"
 HITS_SQL = f"""hits AS (
   SELECT label FROM targets WHERE EXISTS (
@@ -74,8 +74,9 @@ def _targets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _broken(spark: SparkSession, root: str) -> DataFrame:
-    lines = table(spark, root, "lineitem").where("l_returnflag = 'R' AND l_quantity = 50")
-    seen = lines.select("l_partkey").distinct()
+    """Parts of which over a third of the lines came back."""
+    returned = F.count_if(F.col("l_returnflag") == "R") * 3 > F.count("*")
+    seen = table(spark, root, "lineitem").groupBy("l_partkey").agg(returned.alias("broken")).where("broken")
     return seen.join(table(spark, root, "part"), F.col("l_partkey") == F.col("p_partkey")).select(rig_label().alias("label"))
 
 

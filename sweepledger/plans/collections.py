@@ -123,7 +123,7 @@ RIG_STATUS_SQL = """made AS (SELECT o_custkey AS rig, max(o_orderkey) AS h FROM
   drifted AS (
     SELECT rig, CASE WHEN kept.h IS NULL THEN 'new' WHEN kept.h = made.h THEN 'same' ELSE 'stale' END AS status
     FROM made LEFT JOIN kept USING (rig)),
-  spoke AS (SELECT DISTINCT o_custkey AS rig FROM orders WHERE o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2001-06-01'),
+  spoke AS (SELECT DISTINCT o_custkey AS rig FROM orders WHERE o_orderstatus = 'P'),
   judged AS (
     SELECT c_custkey AS rig,
       CASE WHEN c_acctbal < 0 THEN 'tool failed'
@@ -145,9 +145,7 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
 
 def _rigs(spark: SparkSession, root: str) -> DataFrame:
     runs = table(spark, root, "customer").select(F.col("c_custkey").alias("rig"), (F.col("c_acctbal") < 0).alias("tool_failed"))
-    output = table(spark, root, "orders").where(
-        "o_orderstatus = 'P' AND o_orderdate >= timestamp_ntz '2001-06-01 00:00:00'"
-    )
+    output = table(spark, root, "orders").where("o_orderstatus = 'P'")
     return D.rig_status(runs, output.select(F.col("o_custkey").alias("rig"), F.col("o_orderpriority").alias("line")), _files(spark, root))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import impact as I
 from ..operators import manifests as M
 from ..operators import reconcile as R
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from ..sinks import text as K
 from ..sources import sweeps as SS
 from ..sources import targets as ST
@@ -23,17 +23,16 @@ from .versions import DEPS_SQL, SKIPPED, manifest_deps_of
 
 @audit(
     "known_failure_files",
-    f"""SELECT DISTINCT l_returnflag AS platform, {PLAIN_SQL} AS label FROM lineitem JOIN part ON l_partkey = p_partkey
-    WHERE l_quantity > 45""",
+    f"""SELECT DISTINCT l_returnflag AS platform, {PLAIN_SQL} AS label FROM lineitem JOIN part ON l_partkey = p_partkey""",
 )
 def known_failure_files(spark: SparkSession, root: str) -> DataFrame:
     """Lists per platform, each label under a comment and an empty line."""
     out = scratch_path(spark, "known")
-    lines = table(spark, root, "lineitem").where("l_quantity > 45").withColumn("platform", F.col("l_returnflag"))
+    lines = table(spark, root, "lineitem").withColumn("platform", F.col("l_returnflag"))
     labels = labels_of(lines, table(spark, root, "part"), "platform").distinct()
     entry = F.explode(F.array(F.concat(F.lit("# "), "label"), F.lit(""), "label"))
     labels.select("platform", entry.alias("line")).write.partitionBy("platform").text(out)
-    return SS.read_known_failures(spark, out, r"platform=([^/]*)/")
+    return SS.read_known_failures(spark, out, r"platform=([^/]*)/", "*.txt")
 
 
 @audit(
@@ -49,11 +48,12 @@ def build_report_files(spark: SparkSession, root: str) -> DataFrame:
     outcome = F.struct(F.when(F.col("event_type") != "view", good).alias("success"))
     name = F.concat(F.lit("fixups//users:"), "user_id", F.lit("#cfg"))
     reports = table(spark, root, "events").select(
+        "event_id",
         F.col("event_type").alias("platform"),
         F.to_date(F.date_trunc("week", "ts")).cast("string").alias("run_id"),
         F.create_map(name, outcome).alias("results"),
     )
-    reports.repartitionByRange("platform", "run_id").write.partitionBy("platform", "run_id").json(out)
+    reports.repartitionByRange("platform", "run_id", "event_id").drop("event_id").write.partitionBy("platform", "run_id").json(out)
     read = SS.read_build_reports(spark, out, r"platform=([^/]+)/run_id=([^/]+)/[^/]+$", multi_line=False)
     staged = scratch_path(spark, "staged")
     SS.stage_reports(read, staged)
@@ -61,6 +61,31 @@ def build_report_files(spark: SparkSession, root: str) -> DataFrame:
     return observed.groupBy("platform", F.col("run_id").cast("string").alias("run_id"), "label").agg(F.count("*").alias("n"))
 
 
+@audit(
+    "report_run_states",
+    """SELECT DISTINCT event_type AS platform, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS run_id,
+      CASE WHEN event_type = 'error' AND week(ts) % 2 = 0 THEN 'cancelled'
+        WHEN week(ts) % 3 = 0 THEN 'read' ELSE 'unreadable' END AS state
+    FROM events""",
+)
+def report_run_states(spark: SparkSession, root: str) -> DataFrame:
+    """One report file per event type and week: without results, cut off, or empty; some were cancelled."""
+    out = scratch_path(spark, "reports")
+    week = F.weekofyear("ts")
+    text = F.when(week % 3 == 0, "{}").when(week % 3 == 1, '{"results": {"fixups//a:b": {"succ').otherwise("")
+    runs = table(spark, root, "events").select(
+        F.col("event_type").alias("platform"),
+        F.to_date(F.date_trunc("week", "ts")).cast("string").alias("run_id"),
+        text.alias("text"),
+        ((F.col("event_type") == "error") & (week % 2 == 0)).alias("cancelled"),
+    ).distinct()
+    runs.drop("cancelled").write.partitionBy("platform", "run_id").text(out)
+    at = r"platform=([^/]+)/run_id=([^/]+)/[^/]+$"
+    reports = stage(SS.read_report_files(spark, out, at, glob="part-*"), "parsed").select("run_id", "platform", "broken")
+    cancelled = runs.where("cancelled").select("run_id", "platform")
+    return SS.run_states(SS.read_runs(spark, out, at, "part-*"), reports, cancelled)
+
+
 @audit("changed_path_files", f"WITH {PATHS_SQL}, {CRATES_SQL} SELECT crate FROM crates")
 def changed_path_files(spark: SparkSession, root: str) -> DataFrame:
     out = scratch_path(spark, "paths")

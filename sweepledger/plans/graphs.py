@@ -38,8 +38,8 @@ def dependents_closure(spark: SparkSession, root: str) -> DataFrame:
 # the customers; countries and regions stand below the suppliers.
 BLAST_SQL = """edges AS (
     SELECT DISTINCT 'part-' || l_partkey AS src, 'supplier-' || l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'R'
-    UNION SELECT DISTINCT 'order-' || l_orderkey, 'part-' || l_partkey FROM lineitem WHERE l_quantity > 45
-    UNION SELECT 'customer-' || o_custkey, 'order-' || o_orderkey FROM orders WHERE o_orderstatus = 'P'
+    UNION SELECT DISTINCT 'order-' || l_orderkey, 'part-' || l_partkey FROM lineitem
+    UNION SELECT 'customer-' || o_custkey, 'order-' || o_orderkey FROM orders
     UNION SELECT 'supplier-' || s_suppkey, 'nation-' || s_nationkey FROM supplier),
   seeds AS (
     SELECT 'supplier-' || s_suppkey AS node FROM supplier WHERE s_acctbal < -500
@@ -59,9 +59,9 @@ def _delivery_edges(spark: SparkSession, root: str) -> DataFrame:
     lines = table(spark, root, "lineitem")
     return (
         _links(lines.where("l_returnflag = 'R'"), ("part", "l_partkey"), ("supplier", "l_suppkey"))
-        .unionByName(_links(lines.where("l_quantity > 45"), ("order", "l_orderkey"), ("part", "l_partkey")))
+        .unionByName(_links(lines, ("order", "l_orderkey"), ("part", "l_partkey")))
         .unionByName(
-            _links(table(spark, root, "orders").where("o_orderstatus = 'P'"), ("customer", "o_custkey"), ("order", "o_orderkey"))
+            _links(table(spark, root, "orders"), ("customer", "o_custkey"), ("order", "o_orderkey"))
         )
         .unionByName(_links(table(spark, root, "supplier"), ("supplier", "s_suppkey"), ("nation", "s_nationkey")))
     )
@@ -83,15 +83,19 @@ def blast_radius(spark: SparkSession, root: str) -> DataFrame:
 @audit(
     "dangling_labels",
     """SELECT coalesce(l.k, p.k) AS label, CASE WHEN p.k IS NULL THEN 'dangling' ELSE 'unreferenced' END AS problem
-    FROM (SELECT DISTINCT 'part-' || l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40) l
-    FULL JOIN (SELECT 'part-' || p_partkey AS k FROM part WHERE p_size > 5) p ON l.k = p.k
+    FROM (SELECT DISTINCT 'part-' || l_partkey || '-' || (l_suppkey % 10) AS k FROM lineitem) l
+    FULL JOIN (SELECT 'part-' || p_partkey || '-' || (p_size % 10) AS k FROM part) p ON l.k = p.k
     WHERE l.k IS NULL OR p.k IS NULL""",
 )
 def dangling_labels(spark: SparkSession, root: str) -> DataFrame:
-    lines = table(spark, root, "lineitem").where("l_returnflag = 'R' AND l_quantity > 40")
+    """Parts at the last digit of a supplier against parts at the last digit of their size."""
+
+    def at_digit(part: str, number: str) -> F.Column:
+        return F.concat(_named("part", part), F.lit("-"), F.col(number) % 10).alias("label")
+
     return G.dangling_labels(
-        lines.select(_named("part", "l_partkey").alias("label")),
-        table(spark, root, "part").where("p_size > 5").select(_named("part", "p_partkey").alias("label")),
+        table(spark, root, "lineitem").select(at_digit("l_partkey", "l_suppkey")),
+        table(spark, root, "part").select(at_digit("p_partkey", "p_size")),
     )
 
 
@@ -128,7 +132,7 @@ def _pruned(spark: SparkSession, root: str) -> DataFrame:
     needs = customers.where("c_custkey > 0").select(
         slot, F.col("c_custkey").alias("crate"), F.expr("c_custkey div 2").alias("needs")
     )
-    return M.prune_to_consistent(members, needs)[0]
+    return M.prune_to_consistent(members, needs)
 
 
 @audit("prune_to_consistent", f"WITH RECURSIVE {PRUNE_SQL} SELECT crate, round FROM pruned")
@@ -138,9 +142,7 @@ def prune_to_consistent(spark: SparkSession, root: str) -> DataFrame:
 
 @audit(
     "pruned_list",
-    f"""WITH RECURSIVE {PRUNE_SQL} SELECT 'all' AS slot, round, CAST(0 AS BIGINT) AS batch,
-      string_agg(CAST(crate AS VARCHAR), ' ' ORDER BY CAST(crate AS VARCHAR)) AS crates
-    FROM pruned GROUP BY round""",
+    f"""WITH RECURSIVE {PRUNE_SQL} SELECT 'all' AS slot, round, CAST(crate AS VARCHAR) AS crate FROM pruned""",
 )
 def pruned_list(spark: SparkSession, root: str) -> DataFrame:
     return M.pruned_list(_pruned(spark, root).withColumn("crate", F.col("crate").cast("string")))
@@ -193,7 +195,7 @@ def prune_slots(spark: SparkSession, root: str) -> DataFrame:
     # One part alone has no rival.
     alone = rivals.groupBy("slot", "conflict_id").count().where("count = 1").drop("count")
     conflicts = rivals.join(alone, ["slot", "conflict_id"], "left_anti")
-    return M.prune_to_consistent(members, needs, conflicts, offered)[0]
+    return M.prune_to_consistent(members, needs, conflicts, offered)
 
 
 # Blame: a customer is a slot, its cheap orders give the manifest, its dear ones the
@@ -203,7 +205,7 @@ BLAME_SQL = """manifest AS (
   log AS (
     SELECT o_custkey AS slot, CAST(year(o_orderdate) AS INTEGER) AS round, o_orderkey AS line_no,
       CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'c' || left(o_orderpriority, 1) END AS crate
-    FROM orders WHERE o_totalprice >= 300000),
+    FROM orders WHERE o_totalprice >= 150000),
   blamed AS (SELECT slot, round, arg_min(crate, line_no) FILTER (crate IS NOT NULL) AS crate FROM log GROUP BY slot, round)"""
 
 
@@ -225,7 +227,7 @@ def _blame(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFr
         )
         .otherwise(F.concat(F.lit("error: failed to select a version for "), quoted, F.lit(".")))
     )
-    log = orders.where("o_totalprice >= 300000").select(
+    log = orders.where("o_totalprice >= 150000").select(
         F.col("o_custkey").alias("slot"), F.year("o_orderdate").alias("round"), F.col("o_orderkey").alias("line_no"), message.alias("line")
     )
     return M.apply_blame(manifest, log)

@@ -18,6 +18,8 @@ from ..operators import loglines as G
 from ..operators import manifests as M
 from ..operators import reconcile as R
 from ..operators import sync as S
+from ..operators.setops import distinct_keys
+from ..session import stage
 from ..sinks import text as K
 from ..sources import manifests as SM
 from ..sources import sweeps as SS
@@ -36,33 +38,38 @@ def sweep(
 ) -> Row:
     """Reconcile every run with its platform's list; verdicts and report lines.
 
-    ``logs`` holds one file per run at the same place as its report; runs whose log
-    says they were cancelled are left out.
+    ``logs`` holds one file per run at the same place as its report. Every report file is a run and gets a
+    verdict. A run whose log says that it was cancelled, or whose report cannot be read, is not reconciled: its
+    verdict says so and counts as failed.
     """
     run_pattern = r"([^/]+)/([^/]+)/[^/]+\.{}$"
-    rows = SS.read_build_reports(spark, reports, run_pattern.format("json"))
+    at = run_pattern.format("json")
+    parsed = SS.read_report_files(spark, reports, at)
+    SS.stage_reports(SS.explode_results(parsed.where("NOT broken").drop("broken")), f"{out}/reports")
+    cancelled = None
     if logs is not None:
-        lines = read_lines(spark, logs)
-        at = run_pattern.format("log")
-        rows = R.drop_cancelled(
-            rows,
-            lines.select(
-                F.regexp_extract("path", at, 2).alias("run_id"), F.regexp_extract("path", at, 1).alias("platform"), "line"
-            ),
+        of = run_pattern.format("log")
+        lines = read_lines(spark, logs).select(
+            F.regexp_extract("path", of, 2).alias("run_id"), F.regexp_extract("path", of, 1).alias("platform"), "line"
         )
-    SS.stage_reports(rows, f"{out}/reports")
-    staged = spark.read.parquet(f"{out}/reports")
-    observed = R.observed_failures(staged)
+        cancelled = R.cancelled_runs(lines)
+    # Whether a report has results is read too: the broken ones alone cannot be asked for.
+    seen = parsed.select("run_id", "platform", "broken", F.col("results").isNull().alias("plain"))
+    states = stage(SS.run_states(SS.read_runs(spark, reports, at), stage(seen, "read"), cancelled), "runs")
+    runs = states.where("state = 'read'").drop("state")
+    staged = spark.read.schema("run_id STRING, label STRING, success STRING, platform STRING").parquet(f"{out}/reports")
+    observed = R.observed_failures(staged.join(runs, ["run_id", "platform"], "left_semi"))
     listed = R.scope_known(SS.read_known_failures(spark, known), patterns)
-    runs = staged.select("run_id", "platform").distinct()
-    R.run_verdicts(observed, listed, runs, is_ci).write.mode("overwrite").parquet(f"{out}/verdicts")
+    others = states.where("state <> 'read'").withColumnRenamed("state", "verdict")
+    R.run_verdicts(observed, listed, runs, is_ci).unionByName(others, allowMissingColumns=True).write.mode("overwrite").parquet(
+        f"{out}/verdicts"
+    )
     verdicts = spark.read.parquet(f"{out}/verdicts")
     statuses = R.reconcile(observed, R.known_for_runs(listed, runs), ["run_id", "platform", "label"])
     lines = K.verdict_lines(verdicts, statuses)
     lines.sort("platform", "run_id", "part", "label").write.mode("overwrite").parquet(f"{out}/lines")
-    return verdicts.agg(
-        F.count("*").alias("n_runs"), F.count_if(F.col("verdict") == "fail").alias("n_failed")
-    ).first()
+    failed = F.col("verdict").isin("fail", "cancelled", "unreadable")
+    return verdicts.agg(F.count("*").alias("n_runs"), F.count_if(failed).alias("n_failed")).first()
 
 
 def impact(
@@ -100,18 +107,18 @@ def mint(spark: SparkSession, root: str, slots: Sequence[str], index: str, requi
         "slot", "crate", F.coalesce("offered", F.lit(False)).alias("available")
     )
     needs = spark.read.parquet(requirements).select("slot", "crate", "needs")
-    faulty, converged = M.prune_to_consistent(members, needs)
+    faulty = M.prune_to_consistent(members, needs)
     dropped = faulty.join(floated.select("slot", "crate"), ["slot", "crate"], "left_semi")
     M.direct_dep_guard(faulty, floated).write.mode("overwrite").parquet(f"{out}/transitive")
     kept = floated.join(dropped, ["slot", "crate"], "left_anti")
     K.write_manifests(kept, f"{out}/manifests")
-    M.pruned_list(dropped).sort("slot", "round", "batch").write.mode("overwrite").parquet(f"{out}/pruned")
+    M.pruned_list(dropped).sort("slot", "round", "crate").write.mode("overwrite").parquet(f"{out}/pruned")
     kept.join(latest, ["slot", "crate"]).select("slot", "crate", "version").write.mode("overwrite").parquet(f"{out}/locks")
     latest.unpersist()
     counts = M.package_count(spark.read.parquet(f"{out}/locks"), ["slot"])
     counts.write.mode("overwrite").parquet(f"{out}/counts")
     total = spark.read.parquet(f"{out}/counts").agg(F.coalesce(F.sum("package_count"), F.lit(0)).alias("n_packages"))
-    return Row(converged=converged, **total.first().asDict())
+    return total.first()
 
 
 def drift(
@@ -129,16 +136,18 @@ def drift(
     D.rig_status(runs, output, D.drift_of_files(files(committed), files(regenerated))).write.mode("overwrite").parquet(
         f"{out}/rigs"
     )
-    # A map cannot be compared, so records are compared by their JSON.
-    targets = [
-        ST.read_target_graph(spark, root).select("rig", "name", F.to_json(F.struct("*")).alias("record"))
+    # A map cannot be compared, so records are compared by their JSON. Each file is parsed once.
+    before, after = [
+        stage(ST.read_target_graph(spark, root).select("rig", "name", F.to_json(F.struct("*")).alias("record")), "targets")
         for root in (committed, regenerated)
     ]
-    records = D.drift_records(*targets, ["rig", "name"], ["record"])
+    # Without a committed copy there is nothing a rig could have drifted from.
+    after = after.join(distinct_keys(files(committed), ["rig"]), "rig", "left_semi")
+    records = D.drift_records(before, after, ["rig", "name"], ["record"])
+    records.write.mode("overwrite").parquet(f"{out}/records")
     ranked = G.head_lines(
-        records.select("rig", F.col("name").alias("line_no"), "change"), ["rig"], DIFF_LINES
+        spark.read.parquet(f"{out}/records").select("rig", F.col("name").alias("line_no"), "change"), ["rig"], DIFF_LINES
     ).withColumnRenamed("line_no", "name")
-    records.write.mode("overwrite").parquet(f"{out}/records")
     ranked.write.mode("overwrite").parquet(f"{out}/shown")
     return D.overall_status(spark.read.parquet(f"{out}/rigs")).first()
 

@@ -10,9 +10,10 @@ from ..functions import labels as L
 from ..functions.outcomes import index_is_faithful, not_success, platform_key
 from ..operators import reconcile as R
 from ..operators.setops import except_distinct, union_distinct
-from ..sinks.text import arg_string, label_lines, verdict_lines
+from ..session import scratch_path, stage
+from ..sinks.text import label_lines, verdict_lines, write_arg_strings
 from ..sources.sweeps import parse_reports
-from .inputs import KNOWN_SQL, LABEL_SQL, OBSERVED_SQL, PLAIN_SQL, known, label, labels_of, observed, sightings, table
+from .inputs import KNOWN_SQL, LABEL_SQL, OBSERVED_SQL, PLAIN_SQL, known, label, observed, sightings, table, year_of
 from .registry import audit
 
 STATUS_SQL = """
@@ -118,42 +119,47 @@ def sweep_verdict(spark: SparkSession, root: str) -> DataFrame:
     return R.verdicts(statuses.withColumn("package", L.package_of(F.col("label"))), ["package"], is_ci=False)
 
 
-# Runs are years, platforms are line states, failures are large returns, and the
-# lists hold the parts of large accepted lines.
+# Runs are years, platforms are line states, labels are parts at a supplier. Returned lines failed in their
+# run; those accepted in any year are on the platform's list.
+RUN_LABEL_SQL = f"{PLAIN_SQL} || '-s' || l_suppkey"
 RUNS_SQL = f"""lines AS (
-    SELECT CAST(year(l_shipdate) AS VARCHAR) AS run_id, l_linestatus AS platform, l_returnflag, l_quantity,
-      {PLAIN_SQL} AS label
+    SELECT CAST(year(l_shipdate) AS VARCHAR) AS run_id, l_linestatus AS platform, l_returnflag, {RUN_LABEL_SQL} AS label
     FROM lineitem JOIN part ON l_partkey = p_partkey),
   runs AS (SELECT DISTINCT run_id, platform FROM lines),
-  seen AS (SELECT DISTINCT run_id, platform, label FROM lines WHERE l_returnflag = 'R' AND l_quantity > 45),
-  listed AS (SELECT DISTINCT platform, label FROM lines WHERE l_returnflag = 'A' AND l_quantity > 40),
-  expected AS (SELECT run_id, platform, label FROM runs JOIN listed USING (platform)),
+  sides AS (
+    SELECT run_id, platform, label, true AS seen, false AS listed FROM lines WHERE l_returnflag = 'R'
+    UNION ALL
+    SELECT r.run_id, r.platform, l.label, false, true FROM runs r
+      JOIN (SELECT DISTINCT platform, label FROM lines WHERE l_returnflag = 'A') l ON l.platform = r.platform),
   statuses AS (
     SELECT run_id, platform, label,
-      CASE WHEN e.label IS NULL THEN 'new' WHEN s.label IS NULL THEN 'stale' ELSE 'known' END AS status
-    FROM seen s FULL JOIN expected e USING (run_id, platform, label)),
-  counts AS (
-    SELECT run_id, platform,
+      CASE WHEN bool_or(seen) AND bool_or(listed) THEN 'known' WHEN bool_or(seen) THEN 'new' ELSE 'stale' END AS status
+    FROM sides GROUP BY run_id, platform, label),
+  verdicts AS (
+    SELECT r.run_id, r.platform,
       count(*) FILTER (status = 'new') AS new_count,
       count(*) FILTER (status = 'stale') AS stale_count,
-      count(*) FILTER (status IN ('known', 'stale')) AS known_count
-    FROM runs LEFT JOIN statuses USING (run_id, platform) GROUP BY ALL),
-  verdicts AS (
-    SELECT *, CASE WHEN new_count + stale_count > 0 THEN 'fail' ELSE 'ok' END AS verdict FROM counts)"""
+      count(*) FILTER (status IN ('known', 'stale')) AS known_count,
+      CASE WHEN count(*) FILTER (status IN ('new', 'stale')) > 0 THEN 'fail' ELSE 'ok' END AS verdict
+    FROM runs r LEFT JOIN statuses s ON s.run_id = r.run_id AND s.platform = r.platform
+    GROUP BY r.run_id, r.platform)"""
 
 
 def _runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    parts = table(spark, root, "part")
-    lines = table(spark, root, "lineitem").select(
-        "l_partkey",
-        "l_returnflag",
-        "l_quantity",
-        F.col("l_linestatus").alias("platform"),
-        F.year("l_shipdate").cast("string").alias("run_id"),
+    """Failures, lists and runs, from one pass over the line items that is written once."""
+    flagged = (
+        table(spark, root, "lineitem")
+        .groupBy("l_partkey", "l_suppkey", F.col("l_linestatus").alias("platform"), year_of("l_shipdate").alias("run_id"))
+        .agg(
+            F.bool_or(F.col("l_returnflag") == "R").alias("seen"),
+            F.bool_or(F.col("l_returnflag") == "A").alias("listed"),
+        )
+        .join(table(spark, root, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .select(F.concat(L.strip_config(label()), F.lit("-s"), "l_suppkey").alias("label"), "platform", "run_id", "seen", "listed")
     )
-    seen = labels_of(lines.where("l_returnflag = 'R' AND l_quantity > 45"), parts, "run_id", "platform")
-    listed = labels_of(lines.where("l_returnflag = 'A' AND l_quantity > 40"), parts, "platform")
-    return seen, listed, lines.select("run_id", "platform").distinct()
+    sides = stage(flagged, "sides")
+    seen = sides.where("seen").select("run_id", "platform", "label")
+    return seen, sides.where("listed").select("platform", "label"), sides.select("run_id", "platform").distinct()
 
 
 @audit("run_verdicts", f"WITH {RUNS_SQL} SELECT * FROM verdicts")
@@ -164,17 +170,15 @@ def run_verdicts(spark: SparkSession, root: str) -> DataFrame:
 @audit(
     "verdict_lines",
     f"""WITH {RUNS_SQL}
-    SELECT run_id, platform, 0 AS part, verdict AS kind, NULL AS label, CAST(known_count AS VARCHAR) AS known_count
-    FROM verdicts
+    SELECT run_id, platform, 0 AS part, verdict AS kind, CAST(NULL AS VARCHAR) AS label, known_count FROM verdicts
     UNION ALL
-    SELECT run_id, platform, CASE status WHEN 'new' THEN 1 ELSE 2 END, status, label, NULL
+    SELECT run_id, platform, CASE status WHEN 'new' THEN 1 ELSE 2 END, status, label, CAST(NULL AS BIGINT)
     FROM statuses WHERE status <> 'known'""",
 )
 def verdict_report(spark: SparkSession, root: str) -> DataFrame:
     seen, listed, runs = _runs(spark, root)
     statuses = R.reconcile(seen, R.known_for_runs(listed, runs), ["run_id", "platform", "label"])
-    lines = verdict_lines(R.run_verdicts(seen, listed, runs, is_ci=True), statuses)
-    return lines.withColumn("known_count", F.col("known_count").cast("string"))
+    return verdict_lines(R.run_verdicts(seen, listed, runs, is_ci=True), statuses)
 
 
 @audit(
@@ -298,14 +302,15 @@ def sorted_labels(spark: SparkSession, root: str) -> DataFrame:
 
 @audit(
     "arg_string_by_package",
-    f"""SELECT split_part({PLAIN_SQL}, ':', 1) AS package, CAST(0 AS BIGINT) AS batch,
-      string_agg(DISTINCT {PLAIN_SQL}, ' ' ORDER BY {PLAIN_SQL}) AS args
-    FROM part GROUP BY 1""",
+    f"""SELECT DISTINCT split_part({PLAIN_SQL}, ':', 1) AS package, {PLAIN_SQL} AS label FROM part""",
 )
 def arg_strings(spark: SparkSession, root: str) -> DataFrame:
     plain = L.strip_config(label())
     targets = table(spark, root, "part").select(L.package_of(plain).alias("package"), plain.alias("label"))
-    return arg_string(targets, ["package"])
+    out = scratch_path(spark, "args")
+    write_arg_strings(targets, out, ["package"])
+    read = spark.read.schema("value STRING, package STRING").option("lineSep", " ").text(out)
+    return read.select("package", F.col("value").alias("label"))
 
 
 @audit(

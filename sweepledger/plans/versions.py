@@ -126,14 +126,14 @@ def slot_matrix(spark: SparkSession, root: str) -> DataFrame:
 
 @audit(
     "platform_matrix",
-    """SELECT 'part-' || l_partkey AS label, bool_or(l_returnflag = 'A') AS on_A, bool_or(l_returnflag = 'N') AS on_N,
+    """SELECT 'part-' || l_partkey || '-' || l_suppkey AS label, bool_or(l_returnflag = 'A') AS on_A, bool_or(l_returnflag = 'N') AS on_N,
       bool_or(l_returnflag = 'R') AS on_R, count(DISTINCT l_returnflag) AS n_platforms,
       count(DISTINCT l_returnflag) = 3 AS everywhere
-    FROM lineitem WHERE l_quantity > 48 GROUP BY 1""",
+    FROM lineitem GROUP BY 1""",
 )
 def platform_matrix(spark: SparkSession, root: str) -> DataFrame:
-    known = table(spark, root, "lineitem").where("l_quantity > 48").select(
-        F.concat(F.lit("part-"), "l_partkey").alias("label"), F.col("l_returnflag").alias("platform")
+    known = table(spark, root, "lineitem").select(
+        F.concat(F.lit("part-"), "l_partkey", F.lit("-"), "l_suppkey").alias("label"), F.col("l_returnflag").alias("platform")
     )
     return M.platform_matrix(known, ["A", "N", "R"])
 
@@ -230,42 +230,46 @@ def gate_matches(spark: SparkSession, root: str) -> DataFrame:
     return V.gate_matches(_resolved(spark, root), _gates(spark, root)).select("p_partkey", "name")
 
 
-# The versions that count: sizes of parts returned in quantity 50.
-USED_SQL = """used AS (
-    SELECT DISTINCT p_brand, p_size FROM part JOIN lineitem ON l_partkey = p_partkey
-    WHERE l_returnflag = 'R' AND l_quantity = 50)"""
-# Exact gates: the sizes of large promoted parts; brands without any are not gated.
-EXACT_SQL = "exact AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_type = 'PROMO' AND p_size > 47)"
+# Every part is a crate, the quantities of its lines are the versions in use. A part's gate is its
+# size: exactly this version for odd parts, this and the four after it for even ones.
+USED_SQL = """used AS (SELECT DISTINCT l_partkey AS part, CAST(l_quantity AS BIGINT) AS major FROM lineitem),
+  sized AS (
+    SELECT p_partkey AS part, p_size AS lo, CASE WHEN p_partkey % 2 = 1 THEN p_size ELSE p_size + 4 END AS last,
+      CASE WHEN p_partkey % 2 = 1 THEN 'cfg(version = "=' || p_size || '")'
+        ELSE 'cfg(version = ">=' || p_size || ', <' || (p_size + 5) || '")' END AS gate
+    FROM part)"""
 
 
 def _used(spark: SparkSession, root: str) -> DataFrame:
-    lines = table(spark, root, "lineitem").where("l_returnflag = 'R' AND l_quantity = 50").select("l_partkey").distinct()
-    return _resolved(spark, root).join(lines, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    lines = table(spark, root, "lineitem").select("l_partkey", F.col("l_quantity").cast("bigint").alias("major")).distinct()
+    version = F.concat("major", F.lit(".0.0"))
+    return V.with_version_key(lines.select(F.concat(F.lit("part-"), "l_partkey").alias("crate"), version.alias("version")))
 
 
-def _exact(spark: SparkSession, root: str) -> DataFrame:
-    parts = table(spark, root, "part").where("p_type = 'PROMO' AND p_size > 47")
-    gate = F.format_string('cfg(version = "=%d")', "p_size")
-    return V.with_bounds(parts.select(F.col("p_brand").alias("crate"), gate.alias("gate")).distinct())
+def _sized(spark: SparkSession, root: str) -> DataFrame:
+    exact = F.format_string('cfg(version = "=%d")', "p_size")
+    wide = F.format_string('cfg(version = ">=%d, <%d")', "p_size", F.col("p_size") + 5)
+    gate = F.when(F.col("p_partkey") % 2 == 1, exact).otherwise(wide)
+    return V.with_bounds(table(spark, root, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("crate"), gate.alias("gate")))
 
 
 @audit(
     "dead_gates",
-    f"""WITH {EXACT_SQL}, {USED_SQL} SELECT p_brand AS crate, 'cfg(version = "=' || p_size || '")' AS gate FROM exact e
-    WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.p_brand = e.p_brand AND u.p_size = e.p_size)""",
+    f"""WITH {USED_SQL} SELECT 'part-' || part AS crate, gate FROM sized s
+    WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.part = s.part AND u.major BETWEEN lo AND last)""",
 )
 def dead_gates(spark: SparkSession, root: str) -> DataFrame:
-    return V.dead_gates(_exact(spark, root), _used(spark, root)).select("crate", "gate")
+    return V.dead_gates(_sized(spark, root), _used(spark, root)).select("crate", "gate")
 
 
 @audit(
     "uncovered_versions",
-    f"""WITH {EXACT_SQL}, {USED_SQL} SELECT p_brand AS crate, CAST(p_size AS BIGINT) AS major FROM used u
-    WHERE p_brand IN (SELECT p_brand FROM exact)
-      AND NOT EXISTS (SELECT 1 FROM exact e WHERE u.p_brand = e.p_brand AND u.p_size = e.p_size)""",
+    f"""WITH {USED_SQL} SELECT 'part-' || part AS crate, major FROM used u
+    WHERE part IN (SELECT part FROM sized)
+      AND NOT EXISTS (SELECT 1 FROM sized s WHERE u.part = s.part AND u.major BETWEEN lo AND last)""",
 )
 def uncovered_versions(spark: SparkSession, root: str) -> DataFrame:
-    return V.uncovered_versions(_used(spark, root), _exact(spark, root)).select("crate", F.col("v")[0].alias("major"))
+    return V.uncovered_versions(_used(spark, root), _sized(spark, root)).select("crate", F.col("v")[0].alias("major"))
 
 
 @audit(
@@ -355,12 +359,18 @@ def last_section(spark: SparkSession, root: str) -> DataFrame:
 
 @audit(
     "unused_fixups",
-    "SELECT p_partkey AS crate FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40 AND l_returnflag = 'R')",
+    """SELECT p_partkey || '-' || (p_size % 10) AS crate FROM part
+    WHERE p_partkey || '-' || (p_size % 10) NOT IN (SELECT l_partkey || '-' || (l_suppkey % 10) FROM lineitem)""",
 )
 def unused_fixups(spark: SparkSession, root: str) -> DataFrame:
-    lines = table(spark, root, "lineitem").where("l_quantity > 40 AND l_returnflag = 'R'")
+    """A part with the last digit of its size is a crate; suppliers with this digit use it."""
+
+    def crate(part: str, number: str) -> F.Column:
+        return F.concat(part, F.lit("-"), F.col(number) % 10).alias("crate")
+
     return V.unused_fixups(
-        table(spark, root, "part").select(F.col("p_partkey").alias("crate")), lines.select(F.col("l_partkey").alias("crate"))
+        table(spark, root, "part").select(crate("p_partkey", "p_size")),
+        table(spark, root, "lineitem").select(crate("l_partkey", "l_suppkey")),
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.manifests import manifest_lines
-from ..operators.setops import joined_batches
 
 
 def label_lines(df: DataFrame, label: str = "label") -> DataFrame:
@@ -21,9 +20,18 @@ def write_label_lines(df: DataFrame, path: str, label: str = "label") -> None:
     label_lines(df, label).write.mode("overwrite").text(path)
 
 
-def arg_string(df: DataFrame, group: Sequence[str], label: str = "label", max_items: int = 100_000) -> DataFrame:
-    """Labels of each group as one argument string, or several for a very large group."""
-    return joined_batches(df, group, label, " ", max_items, "args")
+def arg_labels(df: DataFrame, group: Sequence[str], label: str = "label") -> DataFrame:
+    """Distinct labels of each group, a row each, whatever the group's size."""
+    return df.select(*group, label).distinct()
+
+
+def write_arg_strings(df: DataFrame, path: str, group: Sequence[str], label: str = "label") -> None:
+    """Argument strings: one folder per group, whose part files in name order hold its labels, sorted, a space after each.
+
+    A large group is split by range over several tasks and files.
+    """
+    ordered = arg_labels(df, group, label).repartitionByRange(*group, label).sortWithinPartitions(*group, label)
+    ordered.write.mode("overwrite").partitionBy(*group).option("lineSep", " ").text(path)
 
 
 def write_manifests(deps: DataFrame, path: str, keys: Sequence[str] = ("slot",)) -> None:

@@ -20,9 +20,9 @@ def read_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, line)``; large files are split among tasks."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``(path, line)`` of the files whose name matches ``glob``; large files are split among tasks."""
+    return spark.read.text(path, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
 def read_lines_in_order(spark: SparkSession, path: str) -> DataFrame:

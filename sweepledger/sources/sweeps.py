@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import KNOWN_FAILURE_FILE
+from ..fixed_values import KNOWN_FAILURE_FILE, KNOWN_FAILURE_GLOB
 from ..functions.lines import is_entry
 from .files import number_lines, read_lines, read_texts
 
@@ -27,41 +27,79 @@ def parse_reports(texts: DataFrame, content: str = "content") -> DataFrame:
     return explode_results(parsed)
 
 
-def read_build_reports(
-    spark: SparkSession, path: str, run_pattern: str = r"([^/]+)/([^/]+)/[^/]+\.json$", multi_line: bool = True
+RUN_PATTERN = r"([^/]+)/([^/]+)/[^/]+\.json$"
+
+
+def _of_run(source: Column, run_pattern: str) -> list[Column]:
+    return [F.regexp_extract(source, run_pattern, 2).alias("run_id"), F.regexp_extract(source, run_pattern, 1).alias("platform")]
+
+
+def read_report_files(
+    spark: SparkSession, path: str, run_pattern: str = RUN_PATTERN, multi_line: bool = True, glob: str = "*.json"
 ) -> DataFrame:
-    """``(run_id, platform, label, success)`` of JSON reports.
+    """``(run_id, platform, results, broken)`` of JSON reports; ``broken`` where one is no JSON of the known form.
 
     ``run_pattern`` takes the platform and the run from the file's path. A report
     is one JSON object, so a file cannot be split: stage it once with
     ``stage_reports`` and audit the staged table. Files with a report per line can
-    be split; read them with ``multi_line`` off.
+    be split; read them with ``multi_line`` off. A file without content gives no row; see ``read_runs``.
     """
     reports = (
-        spark.read.schema(REPORT_SCHEMA)
+        spark.read.schema(f"{REPORT_SCHEMA}, _broken STRING")
+        .option("columnNameOfCorruptRecord", "_broken")
         .option("multiLine", multi_line)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", glob)
         .json(path)
     )
     source = F.col("_metadata.file_path")
-    return explode_results(
-        reports.select(
-            F.regexp_extract(source, run_pattern, 2).alias("run_id"),
-            F.regexp_extract(source, run_pattern, 1).alias("platform"),
-            "results",
-        )
-    )
+    return reports.select(*_of_run(source, run_pattern), "results", F.col("_broken").isNotNull().alias("broken"))
+
+
+def read_build_reports(
+    spark: SparkSession, path: str, run_pattern: str = RUN_PATTERN, multi_line: bool = True, glob: str = "*.json"
+) -> DataFrame:
+    """``(run_id, platform, label, success)`` of the reports that can be read."""
+    return explode_results(read_report_files(spark, path, run_pattern, multi_line, glob).where("NOT broken").drop("broken"))
+
+
+def read_runs(spark: SparkSession, path: str, run_pattern: str = RUN_PATTERN, glob: str = "*.json") -> DataFrame:
+    """``(run_id, platform)`` of every report file, from the listing alone.
+
+    A scan leaves out files without content, so the names come from the file index, which the driver
+    holds for any scan of the folder.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    names = spark.createDataFrame([(name,) for name in listing.inputFiles()], "path STRING")
+    return names.select(*_of_run(F.col("path"), run_pattern)).distinct()
+
+
+def run_states(runs: DataFrame, reports: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
+    """``(run_id, platform, state)``: each run is ``cancelled``, ``unreadable`` or ``read``.
+
+    ``reports(run_id, platform, broken)`` has a row per report. A run is unreadable with a broken
+    report or none; a cancelled run is that whatever its report is. A report without
+    results, ``{}``, is read and has no failures.
+    """
+    keys = ["run_id", "platform"]
+    told = reports.groupBy(*keys).agg(F.bool_or("broken").alias("broken"))
+    states = runs.select(*keys).distinct().join(told, keys, "left")
+    state = F.when(F.coalesce("broken", F.lit(True)), "unreadable").otherwise("read")
+    if cancelled is not None:
+        states = states.join(cancelled.select(*keys, F.lit(True).alias("cancelled")), keys, "left")
+        state = F.when(F.col("cancelled"), "cancelled").otherwise(state)
+    return states.select(*keys, state.alias("state"))
 
 
 def stage_reports(reports: DataFrame, path: str) -> None:
     """Write reports as Parquet, one folder per platform, sorted by run.
 
-    The range partitioning splits a platform that holds most of the rows, and
-    leaves row groups that a filter on the run can skip.
+    A hash of the label splits a run that holds most of the rows; unlike ranges it
+    needs no sample, so unsplittable reports are parsed once. The order within a
+    file leaves row groups that a filter on the run can skip.
     """
     (
-        reports.repartitionByRange("platform", "run_id", "label")
+        reports.repartition("platform", "run_id", F.pmod(F.xxhash64("label"), F.lit(64)))
         .sortWithinPartitions("platform", "run_id", "label")
         .write.mode("overwrite")
         .partitionBy("platform")
@@ -69,9 +107,11 @@ def stage_reports(reports: DataFrame, path: str) -> None:
     )
 
 
-def read_known_failures(spark: SparkSession, path: str, platform_pattern: str = KNOWN_FAILURE_FILE) -> DataFrame:
-    """``(platform, label)``: list entries, platform from the file's name or path."""
-    lines = read_lines(spark, path)
+def read_known_failures(
+    spark: SparkSession, path: str, platform_pattern: str = KNOWN_FAILURE_FILE, glob: str = KNOWN_FAILURE_GLOB
+) -> DataFrame:
+    """``(platform, label)``: entries of the list files, platform from the file's name or path; other files are not read."""
+    lines = read_lines(spark, path, glob)
     return lines.where(is_entry(F.col("line"))).select(
         F.regexp_extract("path", platform_pattern, 1).alias("platform"), F.col("line").alias("label")
     )
@@ -79,7 +119,7 @@ def read_known_failures(spark: SparkSession, path: str, platform_pattern: str =
 
 def read_numbered_known_failures(spark: SparkSession, path: str) -> DataFrame:
     """``(platform, label, line_no)``, for reports that point at list lines."""
-    lines = number_lines(read_texts(spark, path, "*.txt"))
+    lines = number_lines(read_texts(spark, path, KNOWN_FAILURE_GLOB))
     return lines.where(is_entry(F.col("line"))).select(
         F.regexp_extract("path", KNOWN_FAILURE_FILE, 1).alias("platform"), F.col("line").alias("label"), "line_no"
     )

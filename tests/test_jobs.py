@@ -35,17 +35,33 @@ def test_sweep(spark, tmp_path):
     )
     out = tmp_path / "out"
     row = jobs.sweep(spark, reports, known, str(out), ["//third-party:"], f"{logs}/*/*/*.log", is_ci=False)
-    assert (row["n_runs"], row["n_failed"]) == (2, 1)
+    assert (row["n_runs"], row["n_failed"]) == (3, 2)
     got = spark.read.parquet(f"{out}/lines").select("platform", "run_id", "kind", "label")
     p = "fixups//third-party:"
     assert as_set(got) == {
         ("L", "1", "ok", None),
+        ("L", "2", "cancelled", None),
         ("W", "1", "fail", None),
         ("W", "1", "new", p + "d"),
         ("W", "1", "stale", p + "b"),
     }
 
 
+def test_sweep_without_a_readable_report(spark, tmp_path):
+    """Every run has a verdict: no results, a report cut off, an empty file, and all of them cancelled."""
+    reports = write(tmp_path / "reports", {"L/1/r.json": "{}", "L/2/r.json": '{"results": {"a', "L/3/r.json": ""})
+    known = write(tmp_path / "ci", {"expected-failures-L.txt": "fixups//third-party:a\n", "NOTES.md": "fixups//third-party:x\n"})
+    row = jobs.sweep(spark, reports, known, str(tmp_path / "out"), ["//third-party:"], is_ci=True)
+    assert (row["n_runs"], row["n_failed"]) == (3, 3)
+    verdicts = spark.read.parquet(str(tmp_path / "out/verdicts")).select("run_id", "verdict", "stale_count")
+    assert as_set(verdicts) == {("1", "fail", 1), ("2", "unreadable", None), ("3", "unreadable", None)}
+    stopped = {f"L/{i}/build.log": "x evaluation of this key was cancelled\n" for i in (1, 2, 3)}
+    logs = write(tmp_path / "logs", stopped)
+    row = jobs.sweep(spark, reports, known, str(tmp_path / "again"), ["//third-party:"], f"{logs}/*/*/*.log")
+    assert (row["n_runs"], row["n_failed"]) == (3, 3)
+    assert as_set(spark.read.parquet(str(tmp_path / "again/lines")).select("run_id", "kind")) == {(i, "cancelled") for i in "123"}
+
+
 def test_impact(spark, tmp_path):
     paths = write(tmp_path / "c", {"paths.txt": "fixups/serde/x.toml\nfixups/gone/x.toml\n"})
     known = write(tmp_path / "ci", {"expected-failures-L.txt": "fixups//rig:serde\n"})
@@ -67,10 +83,10 @@ def test_mint(spark, tmp_path):
     spark.createDataFrame([("2024-11", "b", "late"), ("2025-05", "b", "late"), ("2024-11", "a", "deep"), ("2025-05", "rotten", "nowhere")], "slot STRING, crate STRING, needs STRING").write.parquet(needs)
     out = tmp_path / "out"
     row = jobs.mint(spark, root, ["2024-11", "2025-05"], index, needs, str(out))
-    assert row["converged"] and row["n_packages"] == 4
+    assert row["n_packages"] == 4
     assert lines(out / "manifests/slot=2024-11") == ['a = "*"']
     assert lines(out / "manifests/slot=2025-05") == ['a = "*"', 'b = { version = "*", features = ["x"] }', 'late = "*"']
-    assert as_set(spark.read.parquet(f"{out}/pruned").select("slot", "round", "crates")) == {("2024-11", 1, "late"), ("2024-11", 2, "b")}
+    assert as_set(spark.read.parquet(f"{out}/pruned").select("slot", "round", "crate")) == {("2024-11", 1, "late"), ("2024-11", 2, "b")}
     assert as_set(spark.read.parquet(f"{out}/transitive").select("slot", "crate")) == {("2025-05", "rotten")}
     assert ("2025-05", "a", "1.0.10") in as_set(spark.read.parquet(f"{out}/locks"))
 

@@ -292,8 +292,7 @@ def test_prune(table):
     )
     conflicts = table("slot STRING, conflict_id INT, line_no INT, crate STRING", ("s", 1, 4, "rival1"), ("s", 1, 4, "rival2"))
     offered = table("slot STRING, crate STRING, feature STRING", ("s", "lib", "small"))
-    dropped, converged = M.prune_to_consistent(members, needs, conflicts, offered)
-    assert converged
+    dropped = M.prune_to_consistent(members, needs, conflicts, offered)
     want = {
         ("s", "gone", 1),
         ("s", "alone", 1),
@@ -305,11 +304,10 @@ def test_prune(table):
         ("s", "three", 4),
     }
     assert as_set(dropped) == want
-    short, converged = M.prune_to_consistent(members, needs, conflicts, offered, max_rounds=3)
-    assert not converged and as_set(short) == {row for row in want if row[2] <= 3}
-    assert M.prune_to_consistent(members, needs, conflicts, offered, max_rounds=4)[1]
-    texts = M.pruned_list(dropped).select("round", "crates")
-    assert as_set(texts) == {(1, "alone gone lib rival1"), (2, "asks one"), (3, "two"), (4, "three")}
+    with pytest.raises(P.RoundsExceeded):
+        M.prune_to_consistent(members, needs, conflicts, offered, max_rounds=3)
+    assert as_set(M.prune_to_consistent(members, needs, conflicts, offered, max_rounds=4)) == want
+    assert as_set(M.pruned_list(dropped.union(dropped)).select("round", "crate")) == {(n, crate) for _, crate, n in want}
 
 
 # Gates -----------------------------------------------------------------------------
@@ -511,15 +509,13 @@ def test_rig_status(table):
 # Sinks -----------------------------------------------------------------------------
 
 
-def test_argument_strings_are_split_without_loss(table, spark):
+def test_argument_strings_are_whole(spark, tmp_path):
     labels = [(g, f"//{g}:{i:03d}") for g, n in (("hot", 300), ("cold", 3)) for i in range(n)]
-    df = spark.createDataFrame(labels + labels, "package STRING, label STRING")
-    whole = {r["package"]: r["args"] for r in K.arg_string(df, ["package"]).collect()}
-    assert whole == {g: " ".join(label for p, label in labels if p == g) for g in ("hot", "cold")}
-    parts = K.arg_string(df, ["package"], max_items=50).collect()
-    assert sum(r["package"] == "hot" for r in parts) > 1 and sum(r["package"] == "cold" for r in parts) == 1
-    assert sorted(x for r in parts for x in r["args"].split(" ")) == sorted(label for _, label in labels)
-    assert all(r["args"].split(" ") == sorted(r["args"].split(" ")) for r in parts)
+    df = spark.createDataFrame(labels + labels, "package STRING, label STRING").repartition(5)
+    K.write_arg_strings(df, str(tmp_path / "args"), ["package"])
+    for group in ("hot", "cold"):
+        files = sorted((tmp_path / f"args/package={group}").glob("part-*"))
+        assert "".join(f.read_text() for f in files) == "".join(label + " " for p, label in labels if p == group)
 
 
 def test_written_labels_and_manifests(table, spark, tmp_path):

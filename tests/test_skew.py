@@ -80,8 +80,7 @@ def test_spread_through_a_hot_node(spark, keys, monkeypatch):
     monkeypatch.setattr(P, "BROADCAST_BYTES", 0)
     edges = spread_rows(spark, [(f"n{i}", k) for i, k in enumerate(keys)], "src STRING, dst STRING")
     seeds = spark.createDataFrame([("hot",), ("k7",)], "node STRING")
-    got, ended = P.spread(edges, seeds)
-    assert ended
+    got = P.spread(edges, seeds)
     want = {("hot", 0), ("k7", 0)} | {(f"n{i}", 1) for i, k in enumerate(keys) if k in ("hot", "k7")}
     assert as_set(got) == want
 
@@ -102,13 +101,23 @@ def test_known_broken_hot_stem(spark, keys):
     assert as_set(kept) == {(f"p:{k}-{i}",) for i, k in enumerate(keys) if k == "hot" or int(k[1:]) >= 200}
 
 
-def test_a_hot_group_is_joined_in_batches(spark, keys):
-    items = spread_rows(spark, [(k, f"i{i}") for i, k in enumerate(keys)], "g STRING, item STRING")
-    batches = O.joined_batches(items, ["g"], "item", " ", 500, "text").collect()
-    hot = [r["text"].split(" ") for r in batches if r["g"] == "hot"]
-    assert len(hot) == 6 and max(map(len, hot)) < 700
-    assert sorted(x for part in hot for x in part) == sorted(f"i{i}" for i, k in enumerate(keys) if k == "hot")
-    assert sum(len(r["text"].split(" ")) for r in batches) == ROWS
+def test_a_small_round_does_not_shuffle_the_seen(spark):
+    """The candidates go to where the nodes seen lie; the large side has no exchange above it."""
+    seen = spark.range(100_000).selectExpr("concat('n', id) AS node")
+    candidates = P._Table(spark.createDataFrame([("n5",), ("new",)], "node STRING"), ["node"], "candidates")
+    fresh = P._unseen(candidates, seen, ["node"])
+    assert as_set(fresh) == {("new",)}
+    assert "Exchange hashpartitioning" not in final_plan(fresh)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 25])
+def test_a_deep_chain_is_followed_to_its_end(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "BROADCAST_BYTES", most)
+    """Past the rounds kept apart, with and without broadcasts."""
+    depth = P.COMPACT_EVERY + 4
+    edges = spark.createDataFrame([(i + 1, i) for i in range(depth)], "src INT, dst INT")
+    seeds = spark.createDataFrame([(0,)], "node INT")
+    assert as_set(P.spread(edges, seeds)) == {(i, i) for i in range(depth + 1)}
 
 
 def test_two_sided_sets_collapse_before_the_shuffle(spark, keys):

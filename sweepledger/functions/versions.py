@@ -23,12 +23,27 @@ def is_prerelease(version: Column) -> Column:
     return F.substring_index(version, "+", 1).contains("-")
 
 
+def is_read(gate: Column) -> Column:
+    """Whether a gate is understood: null, or all its tests are known and one version test at most has a known form.
+
+    Known are ``version``, ``target_os``, ``target_arch`` and ``target_env``, below ``cfg``, ``all`` and ``any``.
+    """
+    text = F.regexp_extract(gate, _VERSION_ATOM, 1)
+    known_form = text.rlike(r"^\s*(>=\s*[0-9][0-9.]*\s*(,\s*<\s*[0-9][0-9.]*\s*)?|<\s*[0-9][0-9.]*\s*|=\s*[0-9][0-9.]*\s*)$")
+    n_tests = F.regexp_count(gate, F.lit(_VERSION_ATOM))
+    rest = F.regexp_replace(gate, r'(version|target_os|target_arch|target_env)\s*=\s*"[^"]*"', "")
+    plain = F.regexp_replace(rest, r"\b(cfg|all|any)\s*\(", "").rlike(r"^[\s,)]*$")
+    return gate.isNull() | (plain & ((n_tests == 0) | ((n_tests == 1) & known_form)))
+
+
 def parse_version_gate(gate: Column) -> Column:
     """Bounds of a gate's version test.
 
     ``>=a``, ``<b``, both, or ``=a``; an open side is null. ``exact`` marks ``=a``,
     ``version_only`` a gate that tests nothing else. Null when no version is tested.
+    A gate that is not understood (see ``is_read``) gets bounds that no version is in.
     """
+    nothing = F.array(F.lit(2**63 - 1))
     text = F.regexp_extract(gate, _VERSION_ATOM, 1)
     low = F.nullif(F.regexp_extract(text, r">=\s*([0-9][0-9.]*)", 1), F.lit(""))
     high = F.nullif(F.regexp_extract(text, r"<\s*([0-9][0-9.]*)", 1), F.lit(""))
@@ -36,8 +51,8 @@ def parse_version_gate(gate: Column) -> Column:
     return F.when(
         text != "",
         F.struct(
-            version_key(F.coalesce(exact, low)).alias("lo"),
-            version_key(F.coalesce(exact, high)).alias("hi"),
+            F.when(is_read(gate), version_key(F.coalesce(exact, low))).otherwise(nothing).alias("lo"),
+            F.when(is_read(gate), version_key(F.coalesce(exact, high))).otherwise(nothing).alias("hi"),
             exact.isNotNull().alias("hi_inc"),
             exact.isNotNull().alias("exact"),
             gate.rlike(r'^cfg\(\s*version\s*=\s*"[^"]*"\s*\)$').alias("version_only"),
@@ -61,7 +76,7 @@ def gate_holds(
 
     Every test is first replaced by T or F; then the innermost ``all(...)`` and
     ``any(...)`` are reduced, once per opening bracket, which reaches any depth.
-    A null gate always holds. ``version_matches`` says how the version test came
+    A null gate always holds, one that is not understood never. ``version_matches`` says how the version test came
     out; without it the version test counts as true, so that the result is the
     platform half of the gate.
     """
@@ -82,4 +97,4 @@ def gate_holds(
 
     depth = F.greatest(F.lit(1), F.length(F.regexp_replace(gate, r"[^(]", "")))
     result = F.aggregate(F.sequence(F.lit(1), depth), text, reduce_innermost)
-    return F.when(gate.isNull(), F.lit(True)).otherwise(result == "T")
+    return F.when(gate.isNull(), F.lit(True)).otherwise((result == "T") & is_read(gate))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.versions import gate_holds, parse_version_gate, version_key, within
+from ..functions.versions import gate_holds, is_read, parse_version_gate, version_key, within
 from .setops import distinct_keys
 
 BOUNDS = ("lo", "hi", "hi_inc")
@@ -94,27 +94,40 @@ def effective_directives(
     arrays and maps too. Overrides are resolved first.
     """
     sections = resolve_override(with_bounds(directives), with_version_key(resolved.select("rig", "crate", "version")))
+    sections = sections.where(F.col("key").isNotNull()).withColumn(
+        "version_matches", within(F.col("v"), F.col("lo"), F.col("hi"), F.col("hi_inc"))
+    )
+    outcomes = gate_outcomes(directives, platforms)
+    same = sections["gate"].eqNullSafe(outcomes["gate"])
+    holds = F.when(F.col("version_matches"), F.col("if_matching")).otherwise(F.col("if_not"))
+    holding = sections.join(outcomes, same).where(holds)
+    return last_wins(holding, ["rig", "crate", "version", "platform", "key"], "value_json", ["section_no"])
+
+
+def gate_outcomes(directives: DataFrame, platforms: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """``(gate, platform, if_matching, if_not)``: each distinct gate's outcome per platform, by that of its version test.
+
+    Gates are few and repeated in many sections, so their texts are evaluated here, once each.
+    """
     each = F.array(
         *[
             F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("platform", "os", "arch", "env"), platform)])
             for platform in platforms
         ]
     )
-    sections = sections.where(F.col("key").isNotNull())
-    matches = within(F.col("v"), F.col("lo"), F.col("hi"), F.col("hi_inc"))
-    holding = (
-        sections.withColumn("version_matches", matches)
-        .withColumn(
-            "p",
-            F.explode(
-                F.filter(
-                    each, lambda p: gate_holds(F.col("gate"), p["os"], p["arch"], p["env"], F.col("version_matches"))
-                )
-            ),
-        )
-        .withColumn("platform", F.col("p.platform"))
+    gates = directives.select("gate").distinct().select("gate", F.explode(each).alias("p"))
+    tests = [F.col("gate"), F.col("p.os"), F.col("p.arch"), F.col("p.env")]
+    return gates.select(
+        "gate",
+        "p.platform",
+        gate_holds(*tests, F.lit(True)).alias("if_matching"),
+        gate_holds(*tests, F.lit(False)).alias("if_not"),
     )
-    return last_wins(holding, ["rig", "crate", "version", "platform", "key"], "value_json", ["section_no"])
+
+
+def unread_gates(directives: DataFrame, keys: Sequence[str] = ("crate",)) -> DataFrame:
+    """``(keys…, gate)`` of gates that are not understood; they never hold, and are to be reported."""
+    return directives.where(~is_read(F.col("gate"))).select(*keys, "gate").distinct()
 
 
 def unused_fixups(fixups: DataFrame, resolved: DataFrame, key: str = "crate") -> DataFrame:

@@ -376,9 +376,11 @@ def unused_fixups(spark: SparkSession, root: str) -> DataFrame:
 
 # Directives ----------------------------------------------------------------------
 
-# Customers are crates, nations are rigs. Each has a shared file of a base and two
-# gated sections; customers of one market have a local file instead.
-DIRECTIVES_SQL = """files AS (SELECT c_custkey AS crate, c_nationkey AS rig, c_mktsegment = 'MACHINERY' AS is_local FROM customer),
+# Customers are crates, nations are rigs. Each crate has a shared file of a base and two gated sections, and
+# those of one market also have a local file in their nation's rig. A crate is used in its own rig and the next one.
+DIRECTIVES_SQL = """files AS (
+    SELECT c_custkey AS crate, c_nationkey AS rig, false AS is_local FROM customer
+    UNION ALL SELECT c_custkey, c_nationkey, true FROM customer WHERE c_mktsegment = 'MACHINERY'),
   sections AS (
     SELECT crate, rig, is_local, 0 AS section_no, NULL AS gate, 'buildscript.run' AS key, 'bool' AS value_kind, 'false' AS value_json
     FROM files WHERE NOT is_local
@@ -398,12 +400,14 @@ def _directives(spark: SparkSession, root: str) -> DataFrame:
         '[\'cfg(all(version = "<12", target_os = "linux"))\']\ncargo_env = true\n',
         rig,
     )
-    content = F.when(F.col("c_mktsegment") == "MACHINERY", F.format_string('overlay = "local-%s"\n', rig)).otherwise(shared)
-    source = F.concat(
-        F.when(F.col("c_mktsegment") == "MACHINERY", rig).otherwise(""), F.lit("/"), F.col("c_custkey").cast("string")
+    crate = F.concat(F.lit("/"), "c_custkey")
+    customers = balanced(table(spark, root, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
+    own = F.when(
+        F.col("c_mktsegment") == "MACHINERY",
+        F.struct(F.concat(rig, crate).alias("source"), F.format_string('overlay = "local-%s"\n', rig).alias("content")),
     )
-    customers = table(spark, root, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    texts = balanced(customers, "c_custkey").select(source.alias("source"), content.alias("content"))
+    files = F.array_compact(F.array(F.struct(crate.alias("source"), shared.alias("content")), own))
+    texts = customers.select(F.inline(files))
     rows = SM.parse_fixup_directives(texts)
     return rows.select(
         F.substring_index("source", "/", 1).alias("rig_scope"), F.substring_index("source", "/", -1).alias("crate"), *rows.columns[1:]
@@ -411,12 +415,13 @@ def _directives(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _uses(spark: SparkSession, root: str) -> DataFrame:
-    """The rig that has the crate, at a version by its account balance."""
-    return table(spark, root, "customer").select(
-        F.col("c_nationkey").cast("string").alias("rig"),
-        F.col("c_custkey").cast("string").alias("crate"),
-        F.format_string("%d.%d.0", F.expr("cast(floor(c_acctbal / 500) as int)"), F.col("c_nationkey")).alias("version"),
-    ).where("NOT startswith(version, '-')")
+    """Each crate in two rigs, at a version by its account balance."""
+    major = F.floor(F.col("c_acctbal") / 500).cast("int")
+    rigs = F.explode(F.array("c_nationkey", (F.col("c_nationkey") + 1) % 25)).alias("rig")
+    customers = table(spark, root, "customer").where(major >= 0)
+    return customers.select(
+        rigs, F.col("c_custkey").cast("string").alias("crate"), F.format_string("%d.%d.0", major, F.col("c_nationkey")).alias("version")
+    ).withColumn("rig", F.col("rig").cast("string"))
 
 
 @audit(
@@ -429,16 +434,19 @@ def fixup_directives(spark: SparkSession, root: str) -> DataFrame:
 
 
 USES_SQL = """uses AS (
-    SELECT CAST(c_nationkey AS VARCHAR) AS rig, CAST(c_custkey AS VARCHAR) AS crate, c_nationkey AS minor,
-      CAST(floor(c_acctbal / 500) AS INTEGER) AS major
-    FROM customer WHERE floor(c_acctbal / 500) >= 0)"""
+    SELECT r.rig, c_custkey AS crate, c_nationkey AS minor, CAST(floor(c_acctbal / 500) AS INTEGER) AS major
+    FROM customer, (VALUES (0), (1)) AS step(n), LATERAL (SELECT (c_nationkey + n) % 25 AS rig) r
+    WHERE floor(c_acctbal / 500) >= 0),
+  in_force AS (
+    SELECT CAST(u.rig AS VARCHAR) AS rig, CAST(u.crate AS VARCHAR) AS crate, major, minor, s.rig AS nation, section_no, key, value_json
+    FROM uses u JOIN sections s ON s.crate = u.crate
+    WHERE s.is_local = EXISTS (SELECT 1 FROM files f WHERE f.is_local AND f.crate = u.crate AND f.rig = u.rig))"""
 
 
 @audit(
     "resolve_override",
     f"""WITH {DIRECTIVES_SQL}, {USES_SQL}
-    SELECT uses.rig, uses.crate, section_no, key, value_json
-    FROM uses JOIN sections s ON uses.crate = CAST(s.crate AS VARCHAR)""",
+    SELECT rig, crate, section_no, key, value_json FROM in_force""",
 )
 def resolve_override(spark: SparkSession, root: str) -> DataFrame:
     in_force = V.resolve_override(stage(_directives(spark, root), "directives"), _uses(spark, root))
@@ -452,10 +460,10 @@ PLATFORMS = (("linux-x86", "linux", "x86_64", "gnu"), ("mac-arm", "macos", "aarc
     "effective_directives",
     f"""WITH {DIRECTIVES_SQL}, {USES_SQL}, platforms(platform, os) AS (VALUES ('linux-x86', 'linux'), ('mac-arm', 'macos')),
     holding AS (
-      SELECT uses.rig, uses.crate, major || '.' || minor || '.0' AS version, platform, key, value_json, section_no
-      FROM uses JOIN sections s ON uses.crate = CAST(s.crate AS VARCHAR) CROSS JOIN platforms
+      SELECT rig, crate, major || '.' || minor || '.0' AS version, platform, key, value_json, section_no
+      FROM in_force CROSS JOIN platforms
       WHERE section_no = 0
-        OR (section_no = 1 AND (major > s.rig OR (major = s.rig AND minor >= 5)))
+        OR (section_no = 1 AND (major > nation OR (major = nation AND minor >= 5)))
         OR (section_no = 2 AND major < 12 AND os = 'linux'))
     SELECT rig, crate, version, platform, key, arg_max(value_json, section_no) AS value_json FROM holding GROUP BY ALL""",
 )

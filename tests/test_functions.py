@@ -187,6 +187,18 @@ def test_gate_holds(values, gate, holds):
     assert got == holds
 
 
+def test_gates_not_understood_never_hold(values):
+    """Other comparisons, several version tests, unknown tests and negations."""
+    bad = ['cfg(version = "<=1.2")', 'cfg(version = ">1.0")', 'cfg(version = "1.2")', 'cfg(not(target_os = "linux"))', "cfg(unix)",
+           'cfg(any(version = ">=1", version = "<2"))', 'cfg(target_family = "unix")']
+    good = [None, 'cfg(version = ">=1, <2.5")', 'cfg(all(version = "=1.2", any(target_os = "linux", target_env = "")))', 'cfg(version = "<3")']
+    assert values(V.is_read(c("g")), [(g,) for g in bad + good], "g") == [False] * len(bad) + [True] * len(good)
+    assert values(V.gate_holds(c("g"), F.lit("linux"), F.lit("x"), F.lit("")), [(g,) for g in bad], "g") == [False] * len(bad)
+    bounds = V.parse_version_gate(c("g"))
+    inside = V.within(V.version_key(F.lit("1.2.0")), bounds["lo"], bounds["hi"], bounds["hi_inc"])
+    assert values(inside, [(g,) for g in bad[:3]], "g") == [False] * 3
+
+
 def test_gate_holds_only_for_its_versions(values):
     gate = 'cfg(all(version = "=1.2", target_os = "linux"))'
     rows = [(gate, "linux", "yes"), (gate, "linux", "no"), (gate, "macos", "yes"), (gate, "linux", None)]

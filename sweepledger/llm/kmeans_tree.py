@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .shared import ship
 
 CHUNK = 2048
 
@@ -160,6 +161,7 @@ def nearest(
     visit it, and each chunk of ``CHUNK`` entries or so meets each of as many queries; the tree, of bounded size, goes to all tasks.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.select(
         F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
     ).where(F.col("vec_id").isNotNull() & usable(F.col("v")))

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_pairs import byte_pairs
-from .shared import slices
+from .shared import ship, slices
 
 BLOCK = 4096
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str, end_ids: int = 0) -> DataFrame:
     """``(length)`` of each row's whole text in ids of the byte-level tokenizer, with ``end_ids`` more. No shuffle."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = byte_pairs(tokenizer)

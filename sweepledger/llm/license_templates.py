@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import WORD_BYTES, slices, utf8, words_of
+from .shared import WORD_BYTES, ship, slices, utf8, words_of
 
 # The phrases and labels every document is scanned for.
 PHRASES = {
@@ -204,6 +204,7 @@ def scan_licenses(
     A null text counts as empty. Repeated rows stay; other columns are not read; an empty table gives no rows. No
     shuffle; a row costs time in proportion to its words.
     """
+    ship(docs.sparkSession)
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import ship, slices
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
@@ -193,6 +193,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     replaced. ``model`` is a path at which every executor finds the model file. No shuffle;
     a task holds about 4 MB of texts (one text at least) and a bounded set of known words.
     """
+    ship(docs.sparkSession)
     kept = docs.select(*[c for c in docs.columns if c.lower() not in ("ids", "decoded")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .shared import fresh, slices, words_of
+from .shared import fresh, ship, slices, words_of
 
 SHARD_WORDS = 1 << 17
 BLOCK_WORDS = 1 << 19
@@ -40,6 +40,8 @@ def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     read. An empty table gives no shards. No shuffle; a task holds one shard at a time.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
         ids: list = []
@@ -230,6 +232,7 @@ def phrase_blocks(items: DataFrame, width: int, block_words: int = BLOCK_WORDS)
 def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataFrame:
     """Every document of the index with its matches (see ``MATCHES``). The block of phrases, of
     bounded size, goes to all tasks. No shuffle."""
+    ship(index.sparkSession)
     sent = index.sparkSession.sparkContext.broadcast(phrases)
     kind = pa.schema(
         [

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .byte_pairs import byte_pairs
 from .checksums import crc32c_many, masked
-from .shared import fresh, slices
+from .shared import fresh, ship, slices
 
 INDEX = np.dtype([("offset", "<u8"), ("n_ids", "<u8"), ("doc_id", "<i8"), ("has_id", "u1")])
 HEAD, TAIL = 12, 4
@@ -65,6 +65,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
     under a name of its own and renames the finished file, so a lost or repeated task
     leaves nothing wrong behind.
     """
+    ship(docs.sparkSession)
     (place,) = fresh(docs, "place")
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias(place))
     ordered = rows.repartitionByRange("doc_id", place).sortWithinPartitions("doc_id", place).drop(place)
@@ -113,6 +114,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
 def read_records(spark: SparkSession, folder: str, files: list[tuple[int, int, int]]) -> DataFrame:
     """All records of the files: ``doc_id``, ``start`` (ids of all records before it), ``n_tokens`` and
     ``ids``, 4 little-endian bytes each. Every length and checksum is verified."""
+    ship(spark)
     before = [0, *np.cumsum([n for _, _, n in files]).tolist()]
     rows = [(part, width, int(base)) for (part, width, _), base in zip(files, before)]
     listed = spark.createDataFrame(rows, "part long, width int, base long")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 # Words of the word-based operators, over UTF-8 bytes: 0-9, a-z and everything beyond ASCII,
@@ -16,6 +20,24 @@ WORD_BYTES = bytes(
 LOWER_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Spark's Python workers this package as a job's file, once per application.
+
+    The operators that run Python in tasks call this, so the package need not be installed on the executors.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_sweepledger_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = Path(SparkFiles.getRootDirectory()) / "job-code"  # Spark's own folder, from which it serves job files
+    os.makedirs(folder, exist_ok=True)
+    with zipfile.ZipFile(folder / "sweepledger-package.zip", "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(folder / "sweepledger-package.zip"))
+    context._sweepledger_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .components import components
-from .shared import LOWER_BYTES, fresh, slices, utf8
+from .shared import LOWER_BYTES, fresh, ship, slices, utf8
 
 BITS = 64
 SEED = 42
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ("doc_
 
     A text without words, or null, has fingerprint zero.
     """
+    ship(docs.sparkSession)
     read = docs.select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lines import split_lines
 
 
+# Tasks get these functions whole, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def frames(rows: Iterable[tuple], names: Sequence[str], most: int = 4096) -> Iterator[pd.DataFrame]:
+    """Rows as frames of ``most`` rows, so that a batch of texts with very many rows is never held whole."""
+    rows = iter(rows)
+    while some := list(islice(rows, most)):
+        yield pd.DataFrame(some, columns=list(names))
+
+
 def read_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """``(path, content)`` for every file below ``root`` whose name matches ``glob``.
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import DIRECTIVE_FILE, LOCK_FILE, MAIN_RIG, MANIFEST_FILE, SUB_RIG_MANIFEST
-from .files import read_texts, relative_path
+from .files import frames, read_texts, relative_path
 
 # Tasks get these functions whole, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,12 +38,12 @@ def _rows_of(texts: DataFrame, rows_of_document, schema: str) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
+            rows = (
                 (source, *row)
                 for source, content in zip(batch["source"], batch["content"])
                 for row in rows_of_document(tomllib.loads(content))
-            ]
-            yield pd.DataFrame(rows, columns=names)
+            )
+            yield from frames(rows, names)
 
     return texts.select("source", "content").mapInPandas(parse, schema)
 
@@ -137,10 +137,11 @@ def read_lock_packages(spark: SparkSession, root: str) -> DataFrame:
 def read_fixup_directives(spark: SparkSession, root: str) -> DataFrame:
     """``(rig_scope, crate, section_no, gate, key, value_kind, value_json)``.
 
-    ``rig_scope`` is the rig a directive is local to, empty for shared ones.
+    ``rig_scope`` is the rig a directive is local to, empty for shared ones. ``root`` holds folders of
+    directives, or is one.
     """
     rows = parse_fixup_directives(_with_source(read_texts(spark, root, DIRECTIVE_FILE), root))
-    pattern = r"^(?:(.*)/)?fixups/([^/]+)/[^/]+$"
+    pattern = r"^(?:(?:(.*)/)?fixups/)?([^/]+)/[^/]+$"
     return rows.select(
         F.regexp_extract("source", pattern, 1).alias("rig_scope"),
         F.regexp_extract("source", pattern, 2).alias("crate"),

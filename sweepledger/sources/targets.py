@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import LABEL_CELL, TARGET_FILE
-from .files import read_texts, relative_path
+from .files import frames, read_texts, relative_path
 
 # Tasks get these functions whole, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -70,12 +70,8 @@ def parse_targets(texts: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (source, *row)
-                for source, content in zip(batch["source"], batch["content"])
-                for row in _targets_of(content)
-            ]
-            yield pd.DataFrame(rows, columns=names)
+            rows = ((source, *row) for source, content in zip(batch["source"], batch["content"]) for row in _targets_of(content))
+            yield from frames(rows, names)
 
     parsed = texts.select("source", "content").mapInPandas(parse, _PARSED_SCHEMA)
     platforms = F.from_json(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..fixed_values import RIG_FIXUP_PATH, RIG_OF_FIXUP_PATH, SHARED_FIXUP_PATH
 from ..operators import impact as I
 from ..sources.manifests import rig_inventory
 from .inputs import LABEL_SQL, RIG_LABEL_SQL, crate_name, label, rig_label, table, versioned_name
@@ -25,18 +26,18 @@ PATHS_SQL = """paths AS (
     WHEN p_brand = 'Brand#3' THEN 'fixups/' || replace(p_name, ' ', '_') || '.md'
     ELSE 'docs/' || p_partkey || '.md' END AS path
   FROM part)"""
-CRATES_SQL = r"""crates AS (
+CRATES_SQL = f"""crates AS (
   SELECT DISTINCT crate FROM (
     SELECT coalesce(
-      nullif(regexp_extract(path, '^fixups/([^/]*)/.*', 1), ''),
-      nullif(regexp_extract(path, '^third-party/conflict-rigs/[^/]*/fixups/([^/]*)/.*', 1), '')) AS crate
+      nullif(regexp_extract(path, '{SHARED_FIXUP_PATH}', 1), ''),
+      nullif(regexp_extract(path, '{RIG_FIXUP_PATH}', 1), '')) AS crate
     FROM paths)
   WHERE crate IS NOT NULL)"""
-RIGS_SQL = r"""rigs AS (
-  SELECT DISTINCT regexp_extract(path, '^(third-party/conflict-rigs/[^/]*)/fixups/.*', 1) AS rig
-  FROM paths WHERE regexp_matches(path, '^third-party/conflict-rigs/[^/]*/fixups/.*'))"""
+RIGS_SQL = f"""rigs AS (
+  SELECT DISTINCT regexp_extract(path, '{RIG_OF_FIXUP_PATH}', 1) AS rig
+  FROM paths WHERE regexp_matches(path, '{RIG_OF_FIXUP_PATH}'))"""
 TARGETS_SQL = f"targets AS (SELECT DISTINCT {RIG_LABEL_SQL} AS label FROM part)"
-# Known-broken targets: parts returned in the largest quantity.
+# Known-broken targets: parts of which over a third of the lines came back.
 BROKEN_SQL = f"""broken AS (
   SELECT DISTINCT {RIG_LABEL_SQL} AS label FROM lineitem JOIN part ON l_partkey = p_partkey
   GROUP BY l_partkey, label HAVING 3 * count(*) FILTER (l_returnflag = 'R') > count(*))"""

@@ -100,7 +100,7 @@ def test_drift(spark, tmp_path):
     row = jobs.drift(spark, kept, made, output, runs, str(tmp_path / "out"))
     assert (row["n_rigs"], row["n_failed"], row["failed"]) == (3, 1, True)
     shown = spark.read.parquet(str(tmp_path / "out/shown")).where("rig = 'rig'")
-    assert as_set(shown.select("name", "change")) == {("atoi-2", "changed")}
+    assert as_set(shown.select("name", "change")) == {("pebble-2", "changed")}
 
 
 def test_extend_and_refresh(spark, tmp_path):

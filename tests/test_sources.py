@@ -74,10 +74,10 @@ MANIFEST = """
 [package]
 name = "top"
 [dependencies]
-aes = "0.10.3"  # why
-matchit_v8 = { version = "=0.8.4", package = "matchit" }
-git2 = { version = "0.20.2", default-features = false }
-image = { version = "0.25.6", default-features = false, features = ["png", "jpeg"] }
+alpha = "3.1.4"  # why
+beta_v2 = { version = "=2.7.1", package = "beta" }
+gamma = { version = "0.9", default-features = false }
+delta = { version = "1.4.0", default-features = false, features = ["red", "blue"] }
 [target.'cfg(unix)'.dependencies]
 unread = "1"
 """
@@ -89,17 +89,17 @@ def test_manifests_and_locks(spark, tmp_path):
         tmp_path,
         {
             "third-party/Cargo.toml": MANIFEST,
-            "third-party/snapshots/2025-11/Cargo.toml": "[dependencies]\naes = '*'\n",
+            "third-party/snapshots/2025-11/Cargo.toml": "[dependencies]\nalpha = '*'\n",
             "third-party/snapshots/2025-11/Cargo.lock": lock,
         },
     )
     deps = SM.read_manifest_deps(spark, root).withColumn("features", F.array_join("features", " "))
     assert as_set(deps) == {
-        ("third-party", "aes", "0.10.3", None, None, None),
-        ("third-party", "matchit_v8", "=0.8.4", None, None, "matchit"),
-        ("third-party", "git2", "0.20.2", None, False, None),
-        ("third-party", "image", "0.25.6", "png jpeg", False, None),
-        ("third-party/snapshots/2025-11", "aes", "*", None, None, None),
+        ("third-party", "alpha", "3.1.4", None, None, None),
+        ("third-party", "beta_v2", "=2.7.1", None, None, "beta"),
+        ("third-party", "gamma", "0.9", None, False, None),
+        ("third-party", "delta", "1.4.0", "red blue", False, None),
+        ("third-party/snapshots/2025-11", "alpha", "*", None, None, None),
     }
     assert as_set(SM.read_lock_packages(spark, root)) == {
         ("third-party/snapshots/2025-11", "a", "1.0.0"),
@@ -171,38 +171,38 @@ def test_directives(spark, tmp_path):
 
 
 TARGETS = """# generated
-load("@prelude//rust:cargo_package.bzl", "cargo")
+load("@rules//made:up.bzl", "cargo")
 
 http_archive(
-    name = "atoi-2.0.0.crate",
-    urls = ["https://host/atoi"],
+    name = "pebble-2.0.0.crate",
+    urls = ["https://host/pebble"],
 )
 
 cargo.rust_library(
-    name = "atoi-2",
-    crate = "atoi",
+    name = "pebble-2",
+    crate = "pebble",
     edition = "2021",
     features = ["default", "std"],
-    named_deps = {"spin1": ":spin-0.9"},
+    named_deps = {"twig1": ":twig-0.3"},
     platform = {
         "linux-arm64": dict(
-            deps = [":libc-0.2"],
+            deps = [":moss-1"],
         ),
         "macos-arm64": dict(
             env = {"A": "1"},
         ),
     },
-    deps = [":num-traits-0.2", "//other:x"],
+    deps = [":fern-4", "//other:x"],
 )
 
 alias(
-    name = "atoi",
-    actual = ":atoi-2",
+    name = "pebble",
+    actual = ":pebble-2",
 )
 
 buildscript_run(
-    name = "atoi-run",
-    env = {"CARGO_MANIFEST_LINKS": "sqlite3"},
+    name = "pebble-run",
+    env = {"LINKS": "stone"},
     version = "2.0.0",
 )
 """
@@ -213,23 +213,23 @@ def test_target_graph(spark, tmp_path):
     targets = ST.read_target_graph(spark, root)
     rows = {r["name"]: r for r in targets.collect()}
     assert {n: r["kind"] for n, r in rows.items()} == {
-        "atoi-2.0.0.crate": "http_archive",
-        "atoi-2": "cargo.rust_library",
-        "atoi": "alias",
-        "atoi-run": "buildscript_run",
+        "pebble-2.0.0.crate": "http_archive",
+        "pebble-2": "cargo.rust_library",
+        "pebble": "alias",
+        "pebble-run": "buildscript_run",
     }
-    library = rows["atoi-2"]
-    assert (library["rig"], library["label"]) == ("third-party", "fixups//third-party:atoi-2")
+    library = rows["pebble-2"]
+    assert (library["rig"], library["label"]) == ("third-party", "fixups//third-party:pebble-2")
     assert library["features"] == ["default", "std"]
-    assert library["platform_deps"] == {"linux-arm64": [":libc-0.2"], "macos-arm64": []}
-    assert rows["atoi-run"]["env"] == {"CARGO_MANIFEST_LINKS": "sqlite3"} and rows["atoi-run"]["version"] == "2.0.0"
+    assert library["platform_deps"] == {"linux-arm64": [":moss-1"], "macos-arm64": []}
+    assert rows["pebble-run"]["env"] == {"LINKS": "stone"} and rows["pebble-run"]["version"] == "2.0.0"
     p = "fixups//third-party:"
     assert as_set(ST.target_edges(targets)) == {
-        (p + "atoi-2", p + "num-traits-0.2", None),
-        (p + "atoi-2", "//other:x", None),
-        (p + "atoi-2", p + "spin-0.9", None),
-        (p + "atoi-2", p + "libc-0.2", "linux-arm64"),
-        (p + "atoi", p + "atoi-2", None),
+        (p + "pebble-2", p + "fern-4", None),
+        (p + "pebble-2", "//other:x", None),
+        (p + "pebble-2", p + "twig-0.3", None),
+        (p + "pebble-2", p + "moss-1", "linux-arm64"),
+        (p + "pebble", p + "pebble-2", None),
     }
     stored = str(tmp_path / "targets")
     targets.write.parquet(stored)

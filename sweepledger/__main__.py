@@ -43,6 +43,15 @@ def parser() -> argparse.ArgumentParser:
     drift.add_argument("--output", required=True, help="stored table (rig, line)")
     drift.add_argument("--runs", required=True, help="stored table (rig, tool_failed)")
 
+    directives = names.add_parser("directives", help="directive files against what the rigs resolved")
+    directives.add_argument("--root", required=True)
+    directives.add_argument("--locks", required=True)
+    directives.add_argument("platforms", nargs="+", help="name,os,arch,env")
+
+    graph = names.add_parser("graph", help="what known failures break, dangling and contested labels")
+    graph.add_argument("--root", required=True)
+    graph.add_argument("--known", required=True)
+
     for name, text in (("extend", "copy crates the target lacks"), ("refresh", "refresh crates the target has")):
         sync = names.add_parser(name, help=text)
         sync.add_argument("source")
@@ -69,6 +78,13 @@ def main(argv: list[str] | None = None) -> int:
         output, runs = spark.read.parquet(given.output), spark.read.parquet(given.runs)
         row = jobs.drift(spark, given.committed, given.regenerated, output, runs, given.out)
         failed = row["failed"]
+    elif given.job == "directives":
+        platforms = [tuple((p.split(",") + [""] * 3)[:4]) for p in given.platforms]
+        row = jobs.directives(spark, given.root, given.locks, given.out, platforms)
+        failed = row["n_unread"] > 0
+    elif given.job == "graph":
+        row = jobs.graph(spark, given.root, given.known, given.out)
+        failed = row["n_dangling"] + row["n_conflicts"] > 0
     else:
         row = getattr(jobs, given.job)(spark, given.source, given.target, given.out)
         failed = False

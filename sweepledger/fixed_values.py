@@ -30,6 +30,8 @@ MANIFEST_FILE = "Cargo.toml"
 LOCK_FILE = "Cargo.lock"
 DIRECTIVE_FILE = "fixups.toml"
 TARGET_FILE = "BUCK"
+# Names the native library a package claims.
+LINKS_VARIABLE = "CARGO_MANIFEST_LINKS"
 
 # Kinds built by a sweep, and kinds a change can hit.
 SWEEP_KINDS = ("alias",)

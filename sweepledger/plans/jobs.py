@@ -1,4 +1,4 @@
-"""The jobs over files: sweep, impact, mint, drift, extend, refresh.
+"""The jobs over files: sweep, impact, mint, drift, directives, graph, extend, refresh.
 
 Each reads its inputs, runs the operators over all runs, platforms, rigs and slots
 at once, writes its outputs below ``out``, and returns the row that decides.
@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import DIFF_LINES, IMPACT_KINDS, MAIN_RIG, TARGET_FILE
+from ..fixed_values import DIFF_LINES, IMPACT_KINDS, LINKS_VARIABLE, MAIN_RIG, TARGET_FILE
 from ..operators import drift as D
+from ..operators import gates as V
+from ..operators import graph as N
 from ..operators import impact as I
 from ..operators import loglines as G
 from ..operators import manifests as M
@@ -152,6 +154,60 @@ def drift(
     return D.overall_status(spark.read.parquet(f"{out}/rigs")).first()
 
 
+def directives(
+    spark: SparkSession, root: str, locks: str, out: str, platforms: Sequence[tuple[str, str, str, str]]
+) -> Row:
+    """Directives against what the rigs resolved.
+
+    Reads directive files below ``root`` and locks below ``locks``. Writes ``effective`` (what is in force per
+    rig, crate, version and platform), ``dead`` (gates no resolved version is in), ``uncovered`` (versions
+    of gated crates that no exact gate covers), ``unused`` (crates that no rig has) and ``unread`` (gates that are not understood;
+    the one thing that fails the audit, the others are reports).
+    """
+    given = stage(SM.read_fixup_directives(spark, root), "directives")
+    resolved = stage(SM.read_lock_packages(spark, locks), "resolved")
+    keyed = V.with_version_key(resolved)
+    gates = V.with_bounds(given.where("gate IS NOT NULL").select("crate", "gate").distinct())
+    tested = gates.where("lo IS NOT NULL OR hi IS NOT NULL")
+    tables = {
+        "effective": V.effective_directives(given, resolved, platforms),
+        "dead": V.dead_gates(tested, keyed).select("crate", "gate"),
+        "uncovered": V.uncovered_versions(keyed, tested.where("exact")),
+        "unused": V.unused_fixups(given, resolved),
+        "unread": V.unread_gates(given, ["rig_scope", "crate"]),
+    }
+    return _write_counted(spark, tables, out)
+
+
+def graph(spark: SparkSession, root: str, known: str, out: str) -> Row:
+    """The dependency graph of all target files below ``root``.
+
+    Writes ``broken`` (all targets that depend on a known failure of any list, with the least distance), ``dangling``
+    (dependencies without a target), ``unreferenced`` (targets nothing depends on) and ``conflicts`` (native
+    libraries that several package versions of a rig claim).
+    """
+    targets = stage(ST.read_target_graph(spark, root), "targets")
+    edges = stage(ST.target_edges(targets), "edges")
+    seeds = SS.read_known_failures(spark, known).select(F.col("label").alias("node"))
+    claims = targets.select(
+        "rig", F.col("env")[LINKS_VARIABLE].alias("links"), F.coalesce("crate", "name").alias("package"), "version"
+    )
+    sides = stage(N.dangling_labels(edges.select(F.col("dst").alias("label")), targets.select("label")), "sides")
+    sides.where("problem = 'unreferenced'").write.mode("overwrite").parquet(f"{out}/unreferenced")
+    tables = {
+        "broken": N.dependents_closure(edges.select("src", "dst").distinct(), seeds),
+        "dangling": sides.where("problem = 'dangling'").select("label"),
+        "conflicts": N.links_conflicts(claims),
+    }
+    return _write_counted(spark, tables, out)
+
+
+def _write_counted(spark: SparkSession, tables: dict[str, DataFrame], out: str) -> Row:
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{out}/{name}")
+    return Row(**{f"n_{name}": spark.read.schema(rows.schema).parquet(f"{out}/{name}").count() for name, rows in tables.items()})
+
+
 def extend(spark: SparkSession, source: str, target: str, out: str) -> Row:
     """Members the target has after every crate it lacks was copied; status per crate."""
     return _sync(spark, source, target, out, S.insert_if_absent, S.insert_status)

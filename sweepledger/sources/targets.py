@@ -24,26 +24,48 @@ _PARSED_SCHEMA = (
 )
 
 
-def _literal(node: ast.expr):
-    """The value of a literal; ``dict(a = …)`` counts as one. Nothing is evaluated."""
+def _literal(node: ast.expr, names: dict | None = None):
+    """The value of a literal, or of one of ``names``; ``dict(a = …)`` counts as one. Nothing is evaluated."""
+    if isinstance(node, ast.Name) and node.id in (names or {}):
+        return names[node.id]
     if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "dict" and not node.args:
-        return {k.arg: _literal(k.value) for k in node.keywords}
+        return {k.arg: _literal(k.value, names) for k in node.keywords}
     if isinstance(node, ast.Dict):
-        return {_literal(k): _literal(v) for k, v in zip(node.keys, node.values)}
+        return {_literal(k, names): _literal(v, names) for k, v in zip(node.keys, node.values)}
     if isinstance(node, ast.List):
-        return [_literal(v) for v in node.elts]
+        return [_literal(v, names) for v in node.elts]
     return ast.literal_eval(node)
 
 
-def _targets_of(text: str) -> Iterator[tuple]:
+def _calls(text: str) -> Iterator[tuple[ast.Call, dict]]:
+    """Rule calls, with the names that stand for literals; a call for each item of a literal list is one per item."""
+    names: dict = {}
     for statement in ast.parse(text).body:
-        call = getattr(statement, "value", None)
-        if not isinstance(call, ast.Call):
-            continue
+        value = getattr(statement, "value", None)
+        if isinstance(statement, ast.Assign) and isinstance(statement.targets[0], ast.Name):
+            try:
+                names[statement.targets[0].id] = _literal(value, names)
+            except ValueError:
+                continue
+        elif isinstance(value, ast.Call):
+            yield value, names
+        elif isinstance(value, ast.ListComp) and isinstance(value.elt, ast.Call) and len(value.generators) == 1:
+            each = value.generators[0]
+            if isinstance(each.target, ast.Name) and not each.ifs:
+                try:
+                    items = _literal(each.iter, names)
+                except ValueError:
+                    continue
+                for item in items:
+                    yield value.elt, names | {each.target.id: item}
+
+
+def _targets_of(text: str) -> Iterator[tuple]:
+    for call, names in _calls(text):
         given, unread = {}, []
         for keyword in call.keywords:
             try:
-                given[keyword.arg] = _literal(keyword.value)
+                given[keyword.arg] = _literal(keyword.value, names)
             except ValueError:
                 unread.append(keyword.arg)
         if "name" not in given:

@@ -144,3 +144,41 @@ def test_command_line(spark, tmp_path):
     assert main([*common, "--out", str(tmp_path / "o4"), "--ci", "//third-party:a"]) == 0
     source, target = (write(tmp_path / n, {f"{n}/f": "1"}) for n in ("s", "t"))
     assert main(["extend", source, target, "--out", str(tmp_path / "o5")]) == 0
+
+
+def test_directives(spark, tmp_path):
+    shared = "run = false\n['cfg(version = \"=1\")']\nrun = true\n['cfg(version = \"=9\")']\nrun = 1\n"
+    root = write(
+        tmp_path / "tree",
+        {
+            "fixups/a/fixups.toml": shared,
+            "fixups/idle/fixups.toml": "run = true\n",
+            "fixups/odd/fixups.toml": "['cfg(version = \">1\")']\nrun = true\n",
+            "main/fixups/a/fixups.toml": "run = 7\n",
+            "main/Cargo.lock": '[[package]]\nname = "a"\nversion = "1.0.0"\n[[package]]\nname = "odd"\nversion = "2.0.0"\n',
+            "side/Cargo.lock": '[[package]]\nname = "a"\nversion = "1.0.0"\n[[package]]\nname = "a"\nversion = "2.0.0"\n',
+        },
+    )
+    out = str(tmp_path / "out")
+    row = jobs.directives(spark, root, root, out, [("l", "linux", "x", "")])
+    assert row.asDict() == {"n_effective": 3, "n_dead": 2, "n_uncovered": 1, "n_unused": 1, "n_unread": 1}
+    in_force = spark.read.parquet(f"{out}/effective").select("rig", "crate", "version", "value_json")
+    assert as_set(in_force) == {("main", "a", "1.0.0", "7"), ("side", "a", "1.0.0", "true"), ("side", "a", "2.0.0", "false")}
+    assert as_set(spark.read.parquet(f"{out}/unused")) == {("idle",)}
+
+
+def test_graph(spark, tmp_path):
+    system = 'LIBS = ["one.lib", "two.lib"]\n[\n    prebuilt(name = lib, flags = [lib])\n    for lib in LIBS\n]\n'
+    rig = (
+        'lib(name = "a", crate = "a", deps = [":b", "fixups//sys:one.lib"])\nlib(name = "b", crate = "b", deps = [":gone"])\n'
+        'run(name = "x-1", crate = "x", version = "1", env = {"CARGO_MANIFEST_LINKS": "z"})\n'
+        'run(name = "x-2", crate = "x", version = "2", env = {"CARGO_MANIFEST_LINKS": "z"})\n'
+    )
+    root = write(tmp_path / "tree", {"sys/BUCK": system, "rig/BUCK": rig})
+    known = write(tmp_path / "ci", {"expected-failures-L.txt": "fixups//sys:one.lib\n"})
+    out = str(tmp_path / "out")
+    row = jobs.graph(spark, root, known, out)
+    assert row.asDict() == {"n_broken": 2, "n_dangling": 1, "n_conflicts": 2}
+    assert as_set(spark.read.parquet(f"{out}/broken")) == {("fixups//sys:one.lib", 0), ("fixups//rig:a", 1)}
+    assert as_set(spark.read.parquet(f"{out}/dangling")) == {("fixups//rig:gone",)}
+    assert "fixups//sys:two.lib" in {r["label"] for r in spark.read.parquet(f"{out}/unreferenced").collect()}

@@ -243,9 +243,15 @@ NAMES = ["a", "b"]
 rule(name = __import__("os").getcwd())
 rule(name = "a", deps = select({"x": [":y"]}), features = ["f"])
 [rule(name = n) for n in NAMES]
+[rule(name = n) for n in __import__("os").listdir()]
 """
     targets = ST.parse_targets(spark.createDataFrame([("s", text)], "source STRING, content STRING"))
-    assert [(r["name"], r["deps"], r["features"], r["unread"]) for r in targets.collect()] == [("a", [], ["f"], ["deps"])]
+    assert [(r["name"], r["deps"], r["features"], r["unread"]) for r in targets.collect()] == [
+        ("a", [], ["f"], ["deps"]),
+        # Items of a literal list are data.
+        ("a", [], [], []),
+        ("b", [], [], []),
+    ]
 
 
 def test_collection(spark, tmp_path):

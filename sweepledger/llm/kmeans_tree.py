@@ -12,7 +12,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from ..session import stage
 from .shared import ship
 
 CHUNK = 2048
+ANSWERS = pa.schema([("first_id", pa.int64()), ("mark", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 class Tree:
@@ -31,12 +31,14 @@ class Tree:
         self.centres: list[np.ndarray] = []  # of a node's children
         self.children: list[list[int]] = []  # a node's number, or -1 - leaf
         self.leaves = 0
+        self.members: list[np.ndarray] = []  # of a leaf, from the sample
         self._grow(sample.astype(np.float64), branches, leaf_size, rng)
 
     def _grow(self, points: np.ndarray, branches: int, leaf_size: int, rng) -> int:
         groups = kmeans(points, branches, rng) if len(points) > leaf_size else None
         if groups is None:
             self.leaves += 1
+            self.members.append(points)
             return -self.leaves
         node = len(self.centres)
         centres, member = groups
@@ -112,20 +114,29 @@ def kmeans(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8
 
 
 def calibrate(tree: Tree, sample: np.ndarray, queries: int, k: int, recall: float, seed: int) -> int:
-    """The smallest doubling number of visited leaves at which the sample's own queries find ``recall`` of their
+    """The smallest number of visited leaves at which the sample's own queries find ``recall`` of their
     ``k`` nearest among the sample."""
     rng = np.random.default_rng(seed)
     leaf = tree.leaf_of(sample)
-    chosen = rng.choice(len(sample), min(queries, len(sample)), replace=False)
-    order = {int(q): tree.visits(sample[q], tree.leaves) for q in chosen}
-    truth = {int(q): np.argsort(distances(sample[q], sample), kind="stable")[1 : k + 1] for q in chosen}
-    n = 1
-    while n < tree.leaves:
-        hit = [np.isin(leaf[truth[q]], order[q][:n]).mean() for q in order]
-        if np.mean(hit) >= recall:
-            return n
-        n = min(2 * n, tree.leaves)
-    return tree.leaves
+    visit = np.zeros(tree.leaves, np.int64)
+    visits = []
+    for q in rng.choice(len(sample), min(queries, len(sample)), replace=False):
+        order = tree.visits(sample[q], tree.leaves)
+        visit[order] = np.arange(len(order))
+        visits.append(visit[leaf[np.argsort(distances(sample[q], sample), kind="stable")[1 : k + 1]]])
+    needed = np.sort(np.concatenate(visits))
+    return int(needed[max(0, int(np.ceil(recall * len(needed))) - 1)]) + 1 if len(needed) else tree.leaves
+
+
+def within(tree: Tree, query: np.ndarray, leaves: list[int], k: int) -> float:
+    """A distance within which the query has ``k`` sample rows in the leaves it visits, infinite without as many."""
+    met: list[np.ndarray] = []
+    for leaf in leaves:
+        met.append(tree.members[leaf])
+        if sum(map(len, met)) >= 8 * k:
+            break
+    far = distances(query, np.concatenate(met))
+    return float(np.partition(far, k - 1)[k - 1]) if len(far) >= k else float("inf")
 
 
 def usable(vector: Column) -> Column:
@@ -202,11 +213,17 @@ def nearest(
             if batch.num_rows:
                 points = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
                 leaves = [sent.value[0].visits(p, sent.value[1], held.value, k + 1) for p in points]
-                yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(leaves, pa.list_(pa.int64()))], ["v", "leaves"])
-
-    asked = rows.where("asks").select("v").distinct()
-    walked = asked.mapInArrow(walk, "v array<double>, leaves array<long>")
-    visiting = stage(walked.select("v", F.explode("leaves").alias("leaf")), "visits")
+                reach = [within(sent.value[0], p, some, k + 1) for p, some in zip(points, leaves)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(reach, pa.float64()), pa.array(leaves, pa.list_(pa.int64()))],
+                    ["v", "first_id", "mark", "reach", "leaves"],
+                )
+
+    # Equal queries are asked once; the smallest of their ids and a checksum stand for the vector from here on.
+    asker = ["first_id", "mark"]
+    asked = rows.where("asks").groupBy("v").agg(F.min("vec_id").alias("first_id")).withColumn("mark", F.xxhash64("v"))
+    walked = stage(asked.mapInArrow(walk, "v array<double>, first_id long, mark long, reach double, leaves array<long>"), "walks")
+    visiting = walked.select("v", *asker, "reach", F.explode("leaves").alias("leaf"))
     groups = visiting.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("groups"))
     blocks = chunks.join(groups, "leaf")
     key = ["leaf", "chunk", "group"]
@@ -220,31 +237,47 @@ def nearest(
     probes = block(visiting, "group", "groups", "chunk", "chunks")
     placed = block(dealt, "chunk", "chunks", "group", "groups")
 
-    def compare(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or entries.empty:
-            return pd.DataFrame({"v": [], "ids": [], "score": []})
-        points = np.stack(entries["v"].to_numpy())
-        out = []
-        for v in queries["v"]:
-            far = distances(v, points)
-            # All entries as near as the k+1-th: ties are settled by id later on.
-            cut = np.partition(far, k)[k] if len(far) > k + 1 else np.inf
-            best = np.flatnonzero(far <= cut)
-            first = entries["ids"].iloc[best].map(lambda x: x[0]).to_numpy()
-            best = best[np.lexsort((first, far[best]))][: k + 1]
-            out.append(pd.DataFrame({"v": [v] * len(best), "ids": entries["ids"].iloc[best].to_numpy(), "score": far[best]}))
-        return pd.concat(out)
-
-    near = (
+    def compare(queries: pa.Table, entries: pa.Table) -> pa.Table:
+        """Entries within each query's reach, by the distances of the original vectors."""
+        if not queries.num_rows or not entries.num_rows:
+            return ANSWERS.empty_table()
+        q, e = (
+            t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size) for t in (queries, entries)
+        )
+        reach = queries.column("reach").to_numpy()
+        # Squares from products are rounded: a margin first, then exact distances.
+        near = squares(q, e)
+        margin = 1e-9 * ((q**2).sum(axis=1) + (e**2).sum(axis=1).max())
+        by, at = np.nonzero(near <= (reach**2 + margin)[:, None])
+        far = np.sqrt(((e[at] - q[by]) ** 2).sum(axis=1))
+        kept = far <= reach[by] * (1 + 1e-12)
+        by, at, far = by[kept], at[kept], far[kept]
+        ids = entries.column("ids").combine_chunks()
+        ends = ids.offsets.to_numpy()
+        counts = np.diff(ends)[at]
+        inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        flat = ids.values.to_numpy()[np.repeat(ends[:-1][at], counts) + inside]
+        each = np.repeat(by, counts)
+        return pa.Table.from_arrays(
+            [
+                pa.array(queries.column("first_id").to_numpy()[each]),
+                pa.array(queries.column("mark").to_numpy()[each]),
+                pa.array(flat),
+                pa.array(np.repeat(far, counts)),
+            ],
+            schema=ANSWERS,
+        )
+
+    each = (
         probes.groupBy(*key)
         .cogroup(placed.groupBy(*key))
-        .applyInPandas(lambda q, e: compare(q, e), "v array<double>, ids array<long>, score double")
+        .applyInArrow(lambda q, e: compare(q, e), "first_id long, mark long, vec_id long, score double")
     )
-    each = near.select("v", "score", F.explode("ids").alias("vec_id"))
-    by_query = Window.partitionBy("v").orderBy("score", "vec_id")
+    by_query = Window.partitionBy(*asker).orderBy("score", "vec_id")
     best = each.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1)
-    lists = best.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
-    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").join(lists, "v")
+    lists = best.groupBy(*asker).agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+    found = walked.select("v", *asker).join(lists, asker).select("v", "near")
+    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").join(found, "v")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return queries.select("query_id", F.posexplode(others).alias("place", "found")).select(
         "query_id", (F.col("place") + 1).alias("rank"), F.col("found.vec_id").alias("vec_id"), F.col("found.score").alias("score")

@@ -75,6 +75,34 @@ def op2_positional_index(spark: SparkSession, root: str) -> DataFrame:
     return passage_digest(find_passages(table(spark, root, "documents"), table(spark, root, "benchmark")))
 
 
+_WORDS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+SQL["op2_positional_index"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS_SQL} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i + 1 : i + least(10, len(w))], ' ') AS t
+  FROM items, UNNEST(range(greatest(1, len(w) - 9))) AS u(i) WHERE len(w) > 0
+),
+runs AS (
+  SELECT r, i, n, array_to_string(w[i + 1 : i + n], ' ') AS t
+  FROM docs, (SELECT DISTINCT n FROM windows) AS sizes, UNNEST(range(len(w) - n + 1)) AS u(i)
+),
+hits AS (SELECT r, i, n, item FROM runs JOIN windows USING (n, t)),
+covered AS (
+  SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, n FROM hits), UNNEST(range(n)) AS u(k) GROUP BY r
+),
+found AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""
+
+
 @query
 def op3_token_records(spark: SparkSession, root: str) -> DataFrame:
     return record_digest(token_records(table(spark, root, "documents"), BYTE_PAIRS))

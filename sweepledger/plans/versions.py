@@ -138,6 +138,11 @@ def platform_matrix(spark: SparkSession, root: str) -> DataFrame:
     return M.platform_matrix(known, ["A", "N", "R"])
 
 
+def _slots_of(rows: DataFrame) -> list[str]:
+    """The years that occur, so that no row falls outside; as many as there are years."""
+    return sorted(r["slot"] for r in rows.select("slot").distinct().collect())
+
+
 @audit(
     "latest_by_year",
     """WITH years AS (SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS slot FROM orders),
@@ -151,7 +156,7 @@ def latest_by_year(spark: SparkSession, root: str) -> DataFrame:
     """Each customer's latest order up to the end of each year."""
     orders = table(spark, root, "orders").select("o_custkey", "o_orderkey", "o_orderdate", year_of("o_orderdate").alias("slot"))
     order = F.struct("o_orderdate", "o_orderkey")
-    return M.latest_by_slot(orders, YEARS, ["o_custkey"], order).drop("o_orderdate")
+    return M.latest_by_slot(orders, _slots_of(orders), ["o_custkey"], order).drop("o_orderdate")
 
 
 @audit(
@@ -183,7 +188,7 @@ def era_latest(spark: SparkSession, root: str) -> DataFrame:
             "slot",
         )
     )
-    return M.era_latest(index, YEARS)
+    return M.era_latest(index, _slots_of(lines))
 
 
 # Gates ---------------------------------------------------------------------------

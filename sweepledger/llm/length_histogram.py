@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .byte_pairs import byte_pairs
 from .shared import ship, slices
 
-BLOCK = 4096
+BLOCK = 256
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str, end_ids: int = 0) -> DataFrame:
@@ -40,7 +40,7 @@ def context_answers(histogram: DataFrame) -> DataFrame:
     ``quantile``, their share; ``truncated_tokens``, the total if every document is cut to this length.
     Between two lengths the answers follow from the next longer one (see ``at_limits``).
 
-    Suffix sums go in two steps, within blocks of 4,096 lengths and over the blocks' totals,
+    Suffix sums go in two steps, within blocks of 256 lengths and over the blocks' totals,
     so that no task sorts the whole histogram. An empty histogram gives no rows.
     """
     blocks = histogram.select(

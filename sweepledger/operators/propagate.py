@@ -54,8 +54,9 @@ def spread(
     too. Rounds are not limited; a ``max_rounds`` that does not suffice raises ``RoundsExceeded``.
 
     Per round one join of the frontier with the edges (a hot ``dst`` is split by
-    adaptive execution, or met by a broadcast frontier) gives the distinct candidates, which are
-    written and measured. Small ones are looked up among the nodes seen where those lie; only large ones
+    adaptive execution, or met by a broadcast frontier) gives candidates. While all nodes seen are
+    small, by their measured bytes, they are broadcast to these. Later the distinct candidates are
+    written and measured: small ones are looked up among the nodes seen where those lie; only large ones
     are compared with them in a shuffle. The two edge columns are persisted for the
     rounds and recomputed from their source where an executor is lost; each round's tables
     lie in the shared folder, so a loss costs a round at most.
@@ -75,10 +76,14 @@ def _spread(steps, seeds, keys, scope, max_rounds) -> DataFrame:
     while frontier.n:
         seen = reduce(DataFrame.union, [layer.rows for layer in layers])
         reached = steps.join(_keys(frontier, keys), keys).select(*scope, F.col("next").alias("node"))
-        candidates = _Table(reached.distinct(), keys, "candidates")
-        fresh = _unseen(candidates, seen.select(*keys), keys).withColumn("depth", F.lit(depth + 1))
-        new = _Table(fresh, keys, "frontier")
-        candidates.drop()
+        if sum(layer.bytes for layer in layers) <= BROADCAST_BYTES:
+            fresh = reached.join(F.broadcast(seen.select(*keys)), keys, "left_anti").distinct()
+            new = _Table(fresh.withColumn("depth", F.lit(depth + 1)), keys, "frontier")
+        else:
+            candidates = _Table(reached.distinct(), keys, "candidates")
+            fresh = _unseen(candidates, seen.select(*keys), keys).withColumn("depth", F.lit(depth + 1))
+            new = _Table(fresh, keys, "frontier")
+            candidates.drop()
         if new.n and max_rounds is not None and depth >= max_rounds:
             raise RoundsExceeded(f"not ended after {max_rounds} rounds")
         frontier, depth = new, depth + 1

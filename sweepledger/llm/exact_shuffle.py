@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .shared import fresh
 
 # monotonically_increasing_id: the row's place in its partition in the low bits, the partition above.
@@ -79,10 +80,9 @@ def shuffle_to_shards(
 ) -> DataFrame:
     """All rows and columns of ``docs`` with ``shard`` and ``slot``, its gapless place in the shard.
 
-    ``docs`` must be read from files, with narrow steps only in between: it is read three
-    times, and its partitions must hold the same rows in the same order each time. Frames
-    that shuffle are to be written first (``session.stage``). A source whose count changed
-    in between ends the job with an error; no row is lost in silence.
+    ``docs`` is read once: each source permutes its rows locally, and they are written with source, place and
+    rank to the shared folder. The matrix, the slot offsets and the exchange all read that table, so
+    they agree on the sources, whatever partitions it is read in, and any frame will do.
 
     Bounds: the matrix has one line per source partition, and partitions beyond ``max_sources``
     are read together; the table of slot offsets has ``shards * buckets_per_shard`` rows.
@@ -100,28 +100,25 @@ def shuffle_to_shards(
     place, source, rank, bounds, key, bucket, base, shard, slot = fresh(
         docs, "place", "source", "rank", "bounds", "key", "bucket", "base", "shard", "slot"
     )
-    here = F.monotonically_increasing_id()
-    counts = sorted(
-        (r[0], r[1]) for r in docs.select(here.alias(place)).groupBy(F.shiftright(place, PLACE_BITS)).count().collect()
+    # Each source permuted locally; no exchange.
+    permuted = docs.withColumn(place, F.monotonically_increasing_id()).sortWithinPartitions(F.xxhash64(F.lit(seed), F.col(place)))
+    ranked = permuted.withColumn(rank, F.monotonically_increasing_id()).select(
+        *kept,
+        place,
+        F.shiftright(rank, PLACE_BITS).alias(source),
+        F.col(rank).bitwiseAND((1 << PLACE_BITS) - 1).alias(rank),
     )
+    ranked = stage(ranked, "sources")
+    counts = sorted((r[0], r[1]) for r in ranked.groupBy(source).count().collect())
     matrix = communication_matrix([n for _, n in counts], shards, seed).cumsum(axis=1)
     lines = spark.createDataFrame(
         [(int(p), [int(x) for x in line]) for (p, _), line in zip(counts, matrix)], f"{source} bigint, {bounds} array<bigint>"
     )
 
     def dealt(columns: list[str]) -> DataFrame:
-        """Each source permuted locally and cut into the shards' shares; no exchange."""
-        permuted = docs.select(*columns, here.alias(place)).sortWithinPartitions(F.xxhash64(F.lit(seed), F.col(place)))
-        ranked = permuted.withColumn(rank, F.monotonically_increasing_id()).select(
-            *columns,
-            place,
-            F.shiftright(rank, PLACE_BITS).alias(source),
-            F.col(rank).bitwiseAND((1 << PLACE_BITS) - 1).alias(rank),
-        )
-        target = F.when(
-            F.col(rank) < F.element_at(bounds, -1), F.size(F.filter(bounds, lambda b: b <= F.col(rank)))
-        ).otherwise(F.raise_error(F.lit("a source partition changed between two reads")).cast("int"))
-        keyed = ranked.join(F.broadcast(lines), source, "left").select(
+        """Each source cut into the shards' shares; no exchange."""
+        target = F.size(F.filter(bounds, lambda b: b <= F.col(rank)))
+        keyed = ranked.join(F.broadcast(lines), source).select(
             *columns, place, target.alias(shard), F.xxhash64(F.lit(seed + 1), F.col(place)).alias(key)
         )
         bits = buckets_per_shard.bit_length() - 1

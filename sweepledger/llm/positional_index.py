@@ -305,10 +305,11 @@ def find_passages(
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no window of an item.
 
-    Rows are told apart by their places, so ``docs``, read twice, must come from files with narrow steps only.
+    Rows are told apart by their places. ``docs`` is read once: its rows are written with these to the shared folder,
+    and both the index and the rows that stay are taken from that table, so any frame will do.
     """
     (place,) = fresh(docs, "place")
-    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    placed = stage(docs.withColumn(place, F.monotonically_increasing_id()), "placed")
     found = find_passages(placed.select(F.col(place).alias("doc_id"), "text"), items, width)
     hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(place))
     return placed.join(hit, place, "left_anti").drop(place)

@@ -20,3 +20,27 @@ def odd_docs(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def documents(spark, testdata):
     return spark.read.parquet(f"{testdata}/documents.parquet")
+
+
+@pytest.fixture
+def recut(spark, tmp_path):
+    """A function that reads rows from many small files, packed into few partitions, and one that collects a frame
+    while each file is a partition of its own, as when executors come or go between two scans."""
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+
+    def read(rows, ddl):
+        for i, row in enumerate(rows):
+            spark.createDataFrame([row], ddl).coalesce(1).write.parquet(f"{tmp_path}/docs/n={i}")
+        return spark.read.parquet(f"{tmp_path}/docs").drop("n")
+
+    def collect(frame):
+        before = {k: spark.conf.get(k) for k in sizes}
+        try:
+            for k in sizes:
+                spark.conf.set(k, "1")
+            return [tuple(r) for r in frame.collect()]
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+
+    return read, collect

@@ -134,6 +134,14 @@ def test_main_path_of_the_shuffle_is_native(documents):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_shuffle_when_splits_change(recut):
+    read, collect = recut
+    docs = read([(i, f"t{i}") for i in range(12)], "doc_id long, text string")
+    out = collect(shuffle_to_shards(docs, 4, buckets_per_shard=4))
+    assert sorted(r[:2] for r in out) == [(i, f"t{i}") for i in range(12)]
+    assert sorted(r[2:] for r in out) == [(shard, slot) for shard in range(4) for slot in range(3)]
+
+
 def test_communication_matrix():
     counts = [0, 1, 7, 100, 3]
     drawn = np.array([communication_matrix(counts, 4, seed) for seed in range(300)])

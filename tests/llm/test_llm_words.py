@@ -123,6 +123,15 @@ def test_near_duplicates_of_odd_texts(odd_docs):
     assert kept.count() == len(with_id) + len({f for _, f, g in groups if g is None})
 
 
+def test_rows_keep_their_places_when_splits_change(spark, recut):
+    read, collect = recut
+    texts = [f"w{i // 2} x{i // 2} y{i // 2} z{i // 2}" for i in range(12)]
+    docs = read([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(collect(keep_one(docs))) == [(i, t) for i, t in enumerate(texts) if i % 2 == 0]
+    items = spark.createDataFrame([(1, "w0 x0 y0 z0"), (2, "w4 x4 y4 z4")], "item_id long, text string")
+    assert sorted(collect(keep_clean(docs, items))) == [(i, t) for i, t in enumerate(texts) if i // 2 not in (0, 4)]
+
+
 @pytest.mark.parametrize("distance, segments", [(3, 2), (3, 4), (1, 2), (2, 2), (5, 4)])
 def test_links_are_all_pairs_within(spark, distance, segments):
     rng = random.Random(1)

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .license_texts import TEXTS
 from .shared import WORD_BYTES, ship, slices, utf8, words_of
 
 # The phrases and labels every document is scanned for.
@@ -29,6 +30,28 @@ PHRASES = {
     "mit license": "mit",
 }
 
+# Parts of templates of whole texts: copyright lines, and the wording that the BSD licenses share.
+HOLDERS = "<<beginOptional>>copyright <<var;match=.+;least=0;most=40>> <<endOptional>>"
+BSD_TITLE = (
+    "<<beginOptional>><<beginOptional>>the <<endOptional>><<beginOptional>><<var;match=[23]>> clause <<endOptional>>bsd "
+    "<<beginOptional>><<var;match=[23]>> clause <<endOptional>>license <<endOptional>>"
+)
+BSD_CONDITIONS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+    "conditions are met <<beginOptional>><<var;match=[1a]>> <<endOptional>>redistributions of source code must retain the above "
+    "copyright notice this list of conditions and the following disclaimer <<beginOptional>><<var;match=[2b]>> <<endOptional>>"
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+    "disclaimer in the documentation and or other materials provided with the distribution "
+)
+BSD_DISCLAIMER = (
+    "this software is provided by <<var;match=.+;least=1;most=20>> as is and any express or implied warranties including but not "
+    "limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+    "<<var;match=.+;least=1;most=20>> be liable for any direct indirect incidental special exemplary or consequential damages "
+    "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
 # Label of the notice, and its template. ``{X}`` in a label stands for the words that regions named X took.
 TEMPLATES = [
     (
@@ -41,7 +64,7 @@ TEMPLATES = [
     (
         "apache-{version}",
         "<<beginOptional>>licensed <<endOptional>><<beginOptional>>under the <<endOptional>>"
-        "apache license version <<var;match=[0-9]+;name=version>> <<var;match=[0-9]+;name=version>>",
+        "apache license <<beginOptional>>version <<endOptional>><<var;match=[0-9]+;name=version>> <<var;match=[0-9]+;name=version>>",
     ),
     (
         "cc-by{terms}-{version}",
@@ -52,6 +75,66 @@ TEMPLATES = [
         "mit-notice",
         "<<beginOptional>><<var;match=released|licensed|distributed|available>> under <<endOptional>>the mit license",
     ),
+    (
+        "lgpl-{version}",
+        "gnu <<var;match=lesser|library>> general public license "
+        "<<beginOptional>>as published by the free software foundation <<beginOptional>>either <<endOptional>><<endOptional>>"
+        "version <<var;match=[0-9]+;name=version>> <<var;match=[0-9];least=0;most=1;name=version>>",
+    ),
+    (
+        "agpl-{version}",
+        "gnu affero general public license "
+        "<<beginOptional>>as published by the free software foundation <<beginOptional>>either <<endOptional>><<endOptional>>"
+        "version <<var;match=[0-9]+;name=version>>",
+    ),
+    (
+        "mpl-{version}",
+        "<<beginOptional>>this source code form is subject to the terms of the <<endOptional>>"
+        "mozilla public license <<var;match=v|version>> <<var;match=[0-9]+;name=version>> <<var;match=[0-9]+;name=version>>"
+        "<<beginOptional>> if a copy of the mpl was not distributed with this file you can obtain one at "
+        "<<var;match=https?>> <<beginOptional>>www <<endOptional>>mozilla org mpl 2 0<<endOptional>>",
+    ),
+    (
+        "apache-{version}-header",
+        "licensed under the apache license version <<var;match=[0-9]+;name=version>> <<var;match=[0-9]+;name=version>> the license "
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "<<var;match=https?>> www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+        "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "mit-text",
+        "<<beginOptional>><<beginOptional>>the <<endOptional>>mit license <<beginOptional>>mit <<endOptional>><<endOptional>>" + HOLDERS +
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the rights "
+        "to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom "
+        "the software is furnished to do so subject to the following conditions the above copyright notice and this permission "
+        "notice <<beginOptional>>including the next paragraph <<endOptional>>shall be included in all copies or substantial "
+        "portions of the software the software is provided as is without warranty of any kind express or implied including but "
+        "not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall "
+        "<<var;match=.+;least=1;most=12>> be liable for any claim damages or other liability whether in an action of contract tort "
+        "or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    ("bsd-2-clause-text", BSD_TITLE + HOLDERS + BSD_CONDITIONS + BSD_DISCLAIMER),
+    (
+        "bsd-3-clause-text",
+        BSD_TITLE + HOLDERS + BSD_CONDITIONS +
+        "<<beginOptional>><<var;match=[3c]>> <<endOptional>>neither the name of <<var;match=.+;least=1;most=20>> nor the names of "
+        "<<var;match=.+;least=0;most=8>> contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission " + BSD_DISCLAIMER,
+    ),
+    (
+        "isc-text",
+        "<<beginOptional>><<beginOptional>>the <<endOptional>>isc license <<beginOptional>>isc <<endOptional>><<endOptional>>" + HOLDERS +
+        "permission to use copy modify and <<beginOptional>>or <<endOptional>>distribute this software for any purpose with or "
+        "without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and <<var;match=.+;least=1;most=12>> disclaims all warranties with regard to this software "
+        "including all implied warranties of merchantability and fitness in no event shall <<var;match=.+;least=1;most=12>> be liable "
+        "for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or "
+        "profits whether in an action of contract negligence or other tortious action arising out of or in connection with the "
+        "use or performance of this software",
+    ),
+    *TEXTS,
 ]
 
 
@@ -97,7 +180,7 @@ class Automaton:
         if open_at:
             raise ValueError(f"an optional region of {label} is not closed")
         self.end = len(self.steps) - 1
-        self.anchors.sort(key=len, reverse=True)
+        self.anchors = sorted(set(self.anchors), key=len, reverse=True)
         edges = [s for at in self._reach({0: ()}) for s in self.steps[at]]
         self.first_words = {s.word for s in edges if s.word is not None}
         self.first_patterns = [s.pattern for s in edges if s.pattern is not None]

@@ -174,6 +174,75 @@ def test_license_notices(spark):
     assert found == dict(enumerate(NOTICES.values()))
 
 
+GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+    "Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice "
+    'shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY '
+    "OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+    "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+    "THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+FORMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and "
+    "the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+)
+ENDORSE = (
+    "3. Neither the name of Some Name nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission.\n"
+)
+BY = (
+    "THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "THE REGENTS OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies.\n"
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+    "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+    "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+
+
+def test_whole_license_texts_without_a_base_phrase():
+    from sweepledger.llm.license_templates import PHRASES, TEMPLATES
+
+    texts = {
+        f"x Copyright (c) 2020 A. Name and others\n{GRANT} y": "mit-text",
+        f"// {GRANT}": "mit-text",
+        f"Copyright 2021, B\nAll rights reserved.\n{FORMS}{BY}": "bsd-2-clause-text",
+        f"{FORMS}{ENDORSE}{BY}": "bsd-3-clause-text",
+        f"Copyright (c) 1999 C {ISC}": "isc-text",
+        "under the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of": "lgpl-2.1",
+        "GNU Affero General Public License, version 3": "agpl-3",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy": "mpl-2.0",
+        GRANT.replace("sublicense", "lend"): None,
+    }
+    scanner = Scanner(PHRASES, TEMPLATES)
+    for text, label in texts.items():
+        found = scanner.scan(text)
+        assert not found["base"] and [n["label"] for n in found["notices"]] == ([label] if label else [])
+    assert [n["label"] for n in scanner.scan("Apache License 2.0")["notices"]] == ["apache-2.0"]
+
+
+def test_every_template_of_a_text_accepts_its_own_words():
+    from sweepledger.llm.license_texts import TEXTS
+
+    for label, template in TEXTS:
+        words = re.sub(r"<<(?:begin|end)Optional>>|<<var;match=\.\+.*?>>", "", template).replace("<<var;match=https?>>", "https")
+        (notice,) = Scanner({}, [(label, template)]).scan(f"x {words} y")["notices"]
+        assert (notice["label"], notice["begin"], notice["end"]) == (label, 1, len(words.split()) + 1)
+
+
 def test_license_phrases_equal_brute_force(spark, documents, odd_docs):
     from sweepledger.llm.license_templates import PHRASES
 

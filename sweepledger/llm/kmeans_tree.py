@@ -163,11 +163,11 @@ def nearest(
     ``score`` is the Euclidean distance of the original vectors in double precision; ties go to the
     smaller ``vec_id``. Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
     without an id, or whose vectors are not of the sample's most common length. A query is
-    compared with all rows but those of its own id (if rows repeat a query's id, it may get fewer than ``k``); it gets
-    fewer than ``k`` neighbours otherwise only if there are fewer. An empty table gives no rows.
+    compared with all rows but those of its own id; rows of another id, however many, are one neighbour, at the
+    nearest of their vectors. It gets fewer than ``k`` neighbours only if there are fewer ids. An empty table gives no rows.
 
     The tree and the number of visits come from ``sample_rows`` rows at most, drawn by a hash of their id; every
-    row is indexed. Equal vectors are one entry with the ``k + 1`` smallest ids, of which any
+    row is indexed. Equal vectors are one entry with the ``k + 1`` smallest different ids, of which any
     query needs no more. Entries are cut into chunks within each leaf, as are the queries that
     visit it, and each chunk of ``CHUNK`` entries or so meets each of as many queries; the tree, of bounded size, goes to all tasks.
     """
@@ -178,7 +178,8 @@ def nearest(
     ).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     share = 0.95 * sample_rows / max(1, rows.count())
     drawn = rows if share >= 0.95 else rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    picked = drawn.select("v").limit(sample_rows).toPandas()
+    # One vector of each id, so that different points of the sample are different ids.
+    picked = drawn.select("vec_id", "v").limit(sample_rows).toPandas().drop_duplicates("vec_id")
     if picked.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = picked["v"].map(len)
@@ -192,7 +193,7 @@ def nearest(
     rows = rows.where(F.size("v") == size)
     ids = Window.partitionBy("v").orderBy("vec_id")
     entries = (
-        rows.withColumn("place", F.row_number().over(ids))
+        rows.select("vec_id", "v").distinct().withColumn("place", F.row_number().over(ids))
         .where(F.col("place") <= k + 1)
         .groupBy("v")
         .agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
@@ -205,7 +206,9 @@ def nearest(
                 yield batch.append_column("leaf", pa.array(sent.value[0].leaf_of(points)))
 
     dealt = stage(entries.mapInArrow(deal, "v array<double>, ids array<long>, leaf long"), "leaves")
-    counts = dict(dealt.groupBy("leaf").agg(F.sum(F.size("ids"))).collect())  # at most one row per leaf of the tree
+    # Each id in one of its leaves only, so that leaves that hold so many ids together hold as many different ones.
+    homes = dealt.select(F.explode("ids").alias("id"), "leaf").groupBy("id").agg(F.min("leaf").alias("leaf"))
+    counts = dict(homes.groupBy("leaf").count().collect())  # at most one row per leaf of the tree
     held = spark.sparkContext.broadcast([counts.get(leaf, 0) for leaf in range(max(1, tree.leaves))])
     chunks = dealt.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +260,21 @@ def nearest(
         counts = np.diff(ends)[at]
         inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
         flat = ids.values.to_numpy()[np.repeat(ends[:-1][at], counts) + inside]
-        each = np.repeat(by, counts)
+        each, far = np.repeat(by, counts), np.repeat(far, counts)
+        # The block's k + 1 nearest different ids of each query: of an id the nearest, then the first of each query.
+        order = np.lexsort((far, flat, each))
+        first = np.r_[True, (np.diff(each[order]) != 0) | (np.diff(flat[order]) != 0)] if len(order) else order
+        order = order[first]
+        order = order[np.lexsort((flat[order], far[order], each[order]))]
+        begins = np.searchsorted(each[order], each[order])
+        order = order[np.arange(len(order)) - begins <= k]
+        each, flat, far = each[order], flat[order], far[order]
         return pa.Table.from_arrays(
             [
                 pa.array(queries.column("first_id").to_numpy()[each]),
                 pa.array(queries.column("mark").to_numpy()[each]),
                 pa.array(flat),
-                pa.array(np.repeat(far, counts)),
+                pa.array(far),
             ],
             schema=ANSWERS,
         )
@@ -274,7 +285,8 @@ def nearest(
         .applyInArrow(lambda q, e: compare(q, e), "first_id long, mark long, vec_id long, score double")
     )
     by_query = Window.partitionBy(*asker).orderBy("score", "vec_id")
-    best = each.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1)
+    nearest_of_id = each.groupBy(*asker, "vec_id").agg(F.min("score").alias("score"))
+    best = nearest_of_id.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1)
     lists = best.groupBy(*asker).agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     found = walked.select("v", *asker).join(lists, asker).select("v", "near")
     queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").join(found, "v")

@@ -202,6 +202,22 @@ def test_neighbours_of_odd_vectors(spark):
     assert nearest(vectors.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0])] * 12 + [(1, [1.0, 0.0])] * 12 + [(2, [1.0, 0.0])] * 2 + [(0, [1.0, 5.0])]
+    rows += [(i, [1.0, i / 10]) for i in range(3, 20) for _ in range(1 + i % 3)] + [(i, [1.0, i / 10 + 0.01]) for i in range(3, 20)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = {}
+    for v in ([1.0, 0.0], [1.0, 5.0]):
+        far = {}
+        for i, w in rows:
+            far[i] = min(far.get(i, math.inf), float(distances(np.float32(v).astype(float), np.float32([w]).astype(float))[0]))
+        want[tuple(v)] = sorted((d, i) for i, d in far.items() if i)[:10]
+    asks = F.col("vec_id") == 0
+    for leaf_size in (4, 1000):
+        got = nearest(vectors, asks, leaf_size=leaf_size, recall=1.0).distinct().collect()
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == sorted((n + 1, i, d) for near in want.values() for n, (d, i) in enumerate(near))
+
+
 def test_pipeline_stages(spark, testdata, tmp_path):
     """Every stage against its operator over its own input; the last equals ``run``."""
     docs = spark.read.parquet(f"{testdata}/documents.parquet")

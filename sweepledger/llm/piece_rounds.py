@@ -13,12 +13,14 @@ come into being would go before the next occurrence.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 SHIFT = 21  # a symbol is a piece id, or the vocabulary's size plus a code point; both fit
 CACHED_WORDS = 300_000
+DECODED_IDS = 1 << 20
 
 
 class Pieces:
@@ -45,7 +48,18 @@ class Pieces:
             raise ValueError(f"{path}: no byte pieces")
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         names = {model.id_to_piece(i): i for i in range(self.size) if not special[i]}
-        self.text = [model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(self.size)]
+        # What each id stands for, as one flat array of bytes: a piece's text, a byte piece's byte, nothing for a control id.
+        byte_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        text = [
+            byte_of[i] if i in byte_of
+            else model.id_to_piece(i).replace(SPACE, " ").encode() if not special[i]
+            else model.decode([i]).encode()
+            for i in range(self.size)
+        ]
+        self.flat = np.frombuffer(b"".join(text), np.uint8)
+        self.widths = np.array(list(map(len, text)), np.int64)
+        self.starts = np.cumsum(self.widths) - self.widths
+        self.spaced = np.array([not special[i] and t.startswith(b" ") for i, t in enumerate(text)])
         self.ids = names
         scores = {i: model.get_score(i) for i in names.values()}
         order = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
@@ -63,7 +77,7 @@ class Pieces:
         # Words begin at a space after something else, if no piece has one there.
         self.words_at_spaces = not any(SPACE in name.lstrip(SPACE) for name in names)
         self.lines_apart = not any("\n" in name and len(name) > 1 for name in names)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
 
     def symbol(self, text: str) -> int | None:
         if text in self.ids:
@@ -153,30 +167,64 @@ class Pieces:
             return [whole]
         return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", whole)
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids (as 32-bit integers) and decoded bytes of each text."""
+    def encode_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as 32-bit integers."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         cut = [self.cut(t) if t else [] for t in texts]
         new = list({w for words in cut for w in words if w not in self.known})
         plain = [w if w[0] in (SPACE, "\n") else SPACE + w for w in new]
         for word, symbols in zip(new, self.merge(plain) if plain else []):
-            ids, text = [], []
+            ids = []
             for s in symbols:
                 if s < self.size:
                     ids.append(s)
-                    text.append(self.text[s])
                 else:
-                    raw = chr(s - self.size).encode("utf-8", "surrogatepass")
-                    ids.extend(self.byte_ids[b] for b in raw)
-                    text.append(raw)
-            self.known[word] = (np.array(ids, np.int32).tobytes(), b"".join(text))
-        out = []
-        for words in cut:
-            found = [self.known[w] for w in words]
-            # The space put before the text is not part of what is decoded.
-            out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])[1:]))
-        return out
+                    ids.extend(self.byte_ids[b] for b in chr(s - self.size).encode("utf-8", "surrogatepass"))
+            self.known[word] = np.array(ids, np.int32).tobytes()
+        return [b"".join([self.known[w] for w in words]) for words in cut]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.StringArray:
+        """Texts of ids that lie one text after the other, each up to before its ``ends``.
+
+        Byte pieces are joined to characters; a byte that is part of none becomes U+FFFD. The
+        space put before a text is dropped from its first piece. Nothing but ids is needed, so they may come from anywhere.
+        """
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < self.size:
+            raise ValueError("an id is not of the model")
+        widths, starts = self.widths[ids], self.starts[ids]
+        # The first piece of each text that is not empty loses its space.
+        seen = np.r_[0, np.cumsum(widths > 0)]
+        begins = np.r_[0, ends[:-1]] if len(ends) else ends
+        some = seen[ends] > seen[begins]
+        first = np.searchsorted(seen, seen[begins[some]], side="right") - 1
+        first = first[self.spaced[ids[first]]]
+        widths[first] -= 1
+        starts[first] += 1
+        reach = np.cumsum(widths)
+        data = self.flat[np.repeat(starts - reach + widths, widths) + np.arange(int(widths.sum()))]
+        offsets = np.r_[0, reach][np.r_[0, ends]]
+        whole = data.tobytes()
+        inside = offsets[:-1][offsets[:-1] < offsets[1:]]
+        try:
+            whole.decode()
+            valid = not ((data[inside] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            valid = False
+        if valid:
+            return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(whole))
+        at = offsets.tolist()
+        return pa.array([whole[b:e].decode("utf-8", "each-byte") for b, e in zip(at, at[1:])], pa.string())
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids (as 32-bit integers) of each text, and the bytes that these ids decode to."""
+        found = self.encode_ids(texts)
+        ends = np.cumsum([len(ids) // 4 for ids in found], dtype=np.int64)
+        decoded = self.decode(np.frombuffer(b"".join(found), np.int32), ends)
+        return [(ids, text.encode()) for ids, text in zip(found, decoded.to_pylist())]
+
+
+codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 @lru_cache(maxsize=2)
@@ -187,7 +235,7 @@ def pieces(path: str) -> Pieces:
 def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``decoded`` (string), as the model's library encodes and decodes.
 
-    Whole texts, no begin or end ids, no sampling. A null text counts as empty: no ids, an
+    ``decoded`` is decoded from the ids, as by ``decode_pieces``. Whole texts, no begin or end ids, no sampling. A null text counts as empty: no ids, an
     empty decoded text. Every row is encoded for itself, so repeated rows and any keys are
     fine; an empty table gives no rows. Input columns called ``ids`` or ``decoded`` are
     replaced. ``model`` is a path at which every executor finds the model file. No shuffle;
@@ -199,16 +247,48 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(model)
         for batch in slices(batches, text):
-            encoded = known.encode(batch.column(text).to_pylist())
-            offsets = np.cumsum([0, *(len(ids) // 4 for ids, _ in encoded)], dtype=np.int32)
-            flat = np.frombuffer(b"".join([ids for ids, _ in encoded]), np.int32)
+            encoded = known.encode_ids(batch.column(text).to_pylist())
+            offsets = np.cumsum([0, *(len(ids) // 4 for ids in encoded)], dtype=np.int32)
+            flat = np.frombuffer(b"".join(encoded), np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            decoded = pa.array([d.decode("utf-8", "surrogatepass") for _, d in encoded], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, decoded], [*batch.schema.names, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, decoded_of(known, ids)], [*batch.schema.names, "ids", "decoded"])
 
     return kept.mapInArrow(run, f"{_ddl(kept)}, ids array<int>, decoded string")
 
 
+def decoded_of(known: Pieces, ids: pa.ListArray) -> pa.StringArray:
+    """The text of each list of ids, null for a null one."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    flat = ids.flatten()
+    if flat.null_count:
+        raise ValueError("an id is null")
+    texts = known.decode(flat.to_numpy(zero_copy_only=False), np.cumsum(sizes, dtype=np.int64))
+    return pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), texts) if ids.null_count else texts
+
+
+def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
+    """``encoded`` with ``decoded``, the text of the array of int ``ids``, as the model's library decodes it.
+
+    Only the ids are read, wherever they come from; an id that is not of the model, or null, is an error, a null array
+    has a null text. An input column called ``decoded`` is replaced. No shuffle; a task decodes about a million ids
+    (one row at least) at a time.
+    """
+    ship(encoded.sparkSession)
+    kept = encoded.select(*[c for c in encoded.columns if c.lower() != "decoded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pieces(model)
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False)
+            group = np.cumsum(sizes) // DECODED_IDS
+            for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(group)) + 1):
+                part = batch.slice(int(rows[0]), len(rows)) if len(rows) else batch
+                decoded = decoded_of(known, part.column(ids))
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
+
+    return kept.mapInArrow(run, f"{_ddl(kept)}, decoded string")
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
 

@@ -55,6 +55,24 @@ def test_piece_digest(spark, odd_docs):
     assert piece_digest(encode_pieces(odd_docs.limit(0), PIECES)).count() == 0
 
 
+def test_ids_from_elsewhere_decode_as_by_the_library(spark):
+    import sentencepiece
+
+    from sweepledger.llm.piece_rounds import decode_pieces
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng, size = random.Random(6), library.get_piece_size()
+    byte = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+    lists = [[rng.randrange(size) for _ in range(rng.randrange(30))] for _ in range(300)] + [[i] for i in range(0, size, 37)]
+    lists += [[byte[b] for b in data] for data in ("é😀".encode(), b"\xf0\x9f", b"\x98\x80a", b"\xe2\x82", b"a\xff")]
+    lists += [[], [0], [1], [2], [1, *library.encode("a b")], [*library.encode("x"), 2]]
+    docs = spark.createDataFrame([*enumerate(lists), (-1, None)], "doc_id long, ids array<int>")
+    got = {r["doc_id"]: r["decoded"] for r in decode_pieces(docs, PIECES).collect()}
+    assert got == {i: library.decode(ids) for i, ids in enumerate(lists)} | {-1: None}
+    with pytest.raises(Exception, match="not of the model"):
+        decode_pieces(spark.createDataFrame([(1, [size])], "doc_id long, ids array<int>"), PIECES).collect()
+
+
 def test_a_model_with_a_normaliser_is_refused():
     with pytest.raises(Exception):
         Pieces(public_tokenizers.path("byte_bpe_50k.json"))

@@ -33,9 +33,3 @@ def values(spark):
         return [row["result"] for row in frame.orderBy("i").collect()]
 
     return evaluate
-
-
-def as_set(frame):
-    rows = [tuple(row) for row in frame.collect()]
-    assert len(rows) == len(set(rows)), "repeated rows"
-    return set(rows)

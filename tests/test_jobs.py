@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import as_set
+from frames import as_set
 from test_sources import TARGETS, write
 
 from sweepledger.operators import loglines as LL

@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from conftest import as_set
+from frames import as_set
 from pyspark.sql import functions as F
 
 from sweepledger.operators import drift as D

@@ -7,7 +7,7 @@ tables are treated as large ones are.
 import random
 
 import pytest
-from conftest import as_set
+from frames import as_set
 
 from sweepledger.fixed_values import CANCEL_TEXT
 from sweepledger.operators import gates as V

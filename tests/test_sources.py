@@ -3,7 +3,7 @@
 import hashlib
 import json
 
-from conftest import as_set
+from frames import as_set
 from pyspark.sql import functions as F
 
 from sweepledger.sources import manifests as SM

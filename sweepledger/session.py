@@ -54,18 +54,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it from there.
 
     For tables that several branches of a plan read and that are costly to make.
     """
-    return stage_at(df, name)[0]
+    return stage_at(df, name, compression)[0]
 
 
-def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stage_at(df: DataFrame, name: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """As ``stage``, with the folder, for callers that drop it when they are done with it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -24,7 +24,30 @@ MARK = r"!-&(-/:-@\[-`{-~"
 PART = re.compile(
     f" ?[{LETTER}]+(?=[{MARK}{BLANK}]|\\Z)| ?[{MARK}]+(?=[{LETTER}{BLANK}]|\\Z)| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]"
 )
-CACHED_PARTS = 700_000
+BLANKS = re.compile(f"[{BLANK}]")
+# Parts and words are kept while they hold no more than this together; longer ones are encoded again each time.
+HELD_BYTES, ENTRY_BYTES = 160 << 20, 160
+LONGEST = 64
+# Parts that are one word of the library's pattern as they are, so that its model can take them directly.
+SINGLE = re.compile(f" ?[{LETTER}]+| ?[{MARK}]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The model's letter for each byte: itself where it is printable, else one after the other from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
+class Known(dict):
+    """Ids by text, of short texts only; counts the bytes it holds, about."""
+
+    held = 0
+
+    def keep(self, text: str, ids: bytes) -> None:
+        if len(text) <= LONGEST:
+            self[text] = ids
+            self.held += ENTRY_BYTES + len(text) + len(ids)
 
 
 class BytePairs:
@@ -38,35 +61,82 @@ class BytePairs:
             raise ValueError(f"{path}: not a byte-level tokenizer with the usual pattern")
         self.special = [t["content"] for t in kind["added_tokens"]]
         self.size = self.library.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.letters = byte_letters()
+        self.parts, self.words = Known(), Known()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit little-endian integers."""
-        if len(self.known) > CACHED_PARTS:
-            self.known.clear()
-        known = self.known.get
+        """The ids of each text as 32-bit little-endian integers.
+
+        Texts are cut at spaces first: a space after which no white space follows begins a token. A text with other
+        spaces (two in a row, at its end, before a line end) is cut into parts as a whole.
+        """
+        if self.parts.held + self.words.held > HELD_BYTES:
+            self.parts, self.words = Known(), Known()
+        known = self.words.get
         out: list[bytes] = [b""] * len(texts)
         cut: dict[int, tuple[list[str], list[bytes | None]]] = {}
         new: set[str] = set()
+        whole: dict[int, str] = {}
         for i, text in enumerate(texts):
             if any(s in text for s in self.special):
                 out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
                 continue
-            parts = PART.findall(text)
-            ids = list(map(known, parts))
-            cut[i] = (parts, ids)
+            words = text.split(" ")
+            ids = list(map(known, words))
+            whole[i] = words[0]  # no space before it
+            cut[i] = (words, ids)
             if None in ids:
-                new.update([p for p, x in zip(parts, ids) if x is None])
-        added = list(new)
-        for part, found in zip(added, self.library.encode_batch_fast(added, add_special_tokens=False)):
-            ids = found.ids
-            self.known[part] = struct.pack(f"<{len(ids)}i", *ids)
-        for i, (parts, ids) in cut.items():
+                new.update([w for w, x in zip(words, ids) if x is None])
+        odd = {w for w in new if not w or BLANKS.match(w)}
+        for i, (words, ids) in cut.items():
+            if None in ids and not odd.isdisjoint(words[1:]):
+                whole[i] = texts[i]
+        spaced = list(new - odd)
+        first = dict(zip(whole, self._by_parts(list(whole.values()))))
+        added = dict(zip(spaced, self._by_parts([" " + w for w in spaced])))
+        for word, ids in added.items():
+            self.words.keep(word, ids)
+        for i, (words, ids) in cut.items():
+            if whole[i] is texts[i]:
+                out[i] = first[i]
+                continue
+            ids[0] = first[i]
             if None in ids:
-                ids = [self.known[p] if x is None else x for p, x in zip(parts, ids)]
+                ids[1:] = map(known, words[1:])
+            if None in ids:  # long ones, which are not kept
+                ids = [added[w] if x is None else x for w, x in zip(words, ids)]
             out[i] = b"".join(ids)
         return out
 
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
+        cut = list(map(PART.findall, texts))
+        found: dict[str, bytes | None] = {}
+        for parts in cut:
+            for p in parts:
+                if p not in found:
+                    found[p] = self.words.get(p[1:]) if p[0] == " " and len(p) > 1 else self.parts.get(p)
+        new = self._encode_each([p for p, ids in found.items() if ids is None])
+        for part, ids in new.items():
+            if part[0] != " ":
+                self.parts.keep(part, ids)
+        found.update(new)
+        return [b"".join([found[p] for p in parts]) for parts in cut]
+
+    def _encode_each(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of each part: single ones by the library's model, the others by the whole library."""
+        done: dict[str, bytes] = {}
+        rest = []
+        for part in parts:
+            if SINGLE.fullmatch(part):
+                tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+                done[part] = struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
+            else:
+                rest.append(part)
+        for part, encoded in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            done[part] = struct.pack(f"<{len(encoded.ids)}i", *encoded.ids)
+        return done
+
 
 @lru_cache(maxsize=2)
 def byte_pairs(path: str) -> BytePairs:

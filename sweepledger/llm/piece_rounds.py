@@ -29,7 +29,7 @@ from .shared import ship, slices
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 SHIFT = 21  # a symbol is a piece id, or the vocabulary's size plus a code point; both fit
-CACHED_WORDS = 300_000
+CACHED_WORDS, LONGEST = 300_000, 64  # words kept, of so many characters at most; longer ones are encoded each time
 DECODED_IDS = 1 << 20
 
 
@@ -173,6 +173,7 @@ class Pieces:
             self.known.clear()
         cut = [self.cut(t) if t else [] for t in texts]
         new = list({w for words in cut for w in words if w not in self.known})
+        long: dict[str, bytes] = {}
         plain = [w if w[0] in (SPACE, "\n") else SPACE + w for w in new]
         for word, symbols in zip(new, self.merge(plain) if plain else []):
             ids = []
@@ -181,8 +182,10 @@ class Pieces:
                     ids.append(s)
                 else:
                     ids.extend(self.byte_ids[b] for b in chr(s - self.size).encode("utf-8", "surrogatepass"))
-            self.known[word] = np.array(ids, np.int32).tobytes()
-        return [b"".join([self.known[w] for w in words]) for words in cut]
+            (self.known if len(word) <= LONGEST else long)[word] = np.array(ids, np.int32).tobytes()
+        if not long:
+            return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        return [b"".join([long[w] if w in long else self.known[w] for w in words]) for words in cut]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.StringArray:
         """Texts of ids that lie one text after the other, each up to before its ``ends``.

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from conftest_llm import ODD_TEXTS, rows_of
 
 from sweepledger.llm.byte_pairs import BytePairs
@@ -155,3 +156,33 @@ def test_context_answers(spark, documents, odd_docs):
         middle = sorted(lengths)[-(-len(lengths) // 2) - 1]
         assert quantile_length(histogram, 0.5).first()["length"] == middle
     assert context_answers(histogram.limit(0)).count() == 0
+
+
+def test_long_unbroken_texts_are_not_kept(documents):
+    """Runs without spaces, such as base64 or Chinese, are encoded as the libraries do and leave nothing behind."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("AZaz09+/"), 3000)) + tail for tail in ("", " end", "\n")]
+    texts += ["".join(map(chr, rng.integers(0x4E00, 0x4E40, 2000))) + "。" + "a b" for _ in range(3)]
+    pairs, known = BytePairs(BYTE_PAIRS), Pieces(PIECES)
+    want = [e.ids for e in pairs.library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in pairs.encode(texts)] == want
+    assert max(map(len, [*pairs.words, *pairs.parts])) <= 64 and pairs.words.held + pairs.parts.held < 1 << 14
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert [np.frombuffer(x, np.int32).tolist() for x in known.encode_ids(texts)] == [library.encode(t) for t in texts]
+    assert all(len(w) <= 64 for w in known.known)
+
+
+def test_word_tables_are_emptied(documents, monkeypatch):
+    texts = [r[0] for r in documents.select("text").limit(60).collect()]
+    monkeypatch.setattr("sweepledger.llm.byte_pairs.HELD_BYTES", 20_000)
+    pairs = BytePairs(BYTE_PAIRS)
+    for i in range(0, len(texts), 10):
+        some = texts[i : i + 10]
+        want = [e.ids for e in pairs.library.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<i4").tolist() for x in pairs.encode(some)] == want
+
+
+def test_histogram_is_encoded_once(spark, documents):
+    """One pass over the texts: the answers come from the stored histogram."""
+    plan = context_answers(length_histogram(encoded_lengths(documents, BYTE_PAIRS)))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .byte_pairs import byte_pairs
 from .shared import ship, slices
 
@@ -41,9 +42,10 @@ def context_answers(histogram: DataFrame) -> DataFrame:
     Between two lengths the answers follow from the next longer one (see ``at_limits``).
 
     Suffix sums go in two steps, within blocks of 256 lengths and over the blocks' totals,
-    so that no task sorts the whole histogram. An empty histogram gives no rows.
+    so that no task sorts the whole histogram. The histogram, which both steps read, is written once to the shared
+    checkpoint folder. An empty one gives no rows.
     """
-    blocks = histogram.select(
+    blocks = stage(histogram, "histogram").select(
         F.floor(F.col("length") / BLOCK).alias("block"), "length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens")
     )
     longer = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

@@ -22,22 +22,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .shared import fresh, ship, slices, words_of
+from .shared import fresh, row_places, ship, slices, words_of
 
 SHARD_WORDS = 1 << 17
 BLOCK_WORDS = 1 << 19
+PIECE_WINDOWS = 1 << 12
 CANDIDATES = 1 << 20
 
-INDEX = "shard long, doc_ids array<long>, lengths array<int>, terms binary, ends binary, places binary"
-MATCHES = "shard long, ordinal int, doc_id long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
+# With the type of the documents' ids.
+INDEX = "shard long, doc_ids array<{}>, lengths array<int>, terms binary, ends binary, places binary"
+MATCHES = "shard long, ordinal int, doc_id {}, n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
 
 
 def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per shard of about ``shard_words`` words; a longer document is a shard of its own.
 
     Words: ``[0-9a-z]`` and all beyond ASCII, A-Z lower-cased, of the whole text; a null text has
-    none. Every row of ``docs`` is a document of its own, whatever its ``doc_id``; other columns are not
-    read. An empty table gives no shards. No shuffle; a task holds one shard at a time.
+    none. Every row of ``docs`` is a document of its own, whatever its ``doc_id``, which may be of any type; other columns are not
+    read. An empty table gives no shards. No shuffle; a task holds one shard at a time. Of a term's
+    ``places`` each is stored as its distance from the one before.
     """
 
     ship(docs.sparkSession)
@@ -45,6 +48,7 @@ def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
         ids: list = []
+        kind: pa.DataType | None = None
         lengths: list[int] = []
         parts: list[np.ndarray] = []
         terms: dict[bytes, int] = defaultdict()
@@ -58,19 +62,23 @@ def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
             order = np.argsort(flat, kind="stable")
             places = (np.arange(len(flat), dtype=np.int32) + gaps)[order]
             ends = np.cumsum(np.bincount(flat, minlength=len(terms)), dtype=np.int32)
+            steps = np.diff(places, prepend=0).astype(np.int32)
+            begins = np.r_[0, ends[:-1]] if len(ends) else ends
+            steps[begins] = places[begins]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([ids], pa.list_(kind)),
                     pa.array([lengths], pa.list_(pa.int32())),
                     pa.array([b" ".join(terms)], pa.binary()),
                     pa.array([ends.tobytes()], pa.binary()),
-                    pa.array([places.tobytes()], pa.binary()),
+                    pa.array([steps.tobytes()], pa.binary()),
                 ],
                 ["shard", "doc_ids", "lengths", "terms", "ends", "places"],
             )
 
         for batch in slices(batches, "text"):
+            kind = batch.schema.field("doc_id").type
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(text)
                 if held and held + len(words) > shard_words:
@@ -84,7 +92,7 @@ def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select("doc_id", "text").mapInArrow(run, INDEX)
+    return docs.select("doc_id", "text").mapInArrow(run, INDEX.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 class Phrases:
@@ -117,7 +125,9 @@ class Shard:
         self.bases = np.cumsum(self.lengths + 1) - self.lengths - 1
         self.ends = np.frombuffer(row["ends"], np.int32).astype(np.int64)
         self.begins = np.r_[0, self.ends[:-1]] if len(self.ends) else self.ends
-        self.places = np.frombuffer(row["places"], np.int32).astype(np.int64)
+        steps = np.frombuffer(row["places"], np.int32).astype(np.int64)
+        reach = np.cumsum(steps)
+        self.places = reach - np.repeat(reach[self.begins] - steps[self.begins], self.ends - self.begins)
         self.numbers = {t: i for i, t in enumerate(row["terms"].split(b" "))} if row["terms"] else {}
         # All lists in one ascending array: places of one term lie in a range of its own.
         self.margin = int(self.lengths.sum()) + len(self.lengths) + 1
@@ -212,21 +222,35 @@ class Shard:
         return spans, names
 
 
+def item_pieces(items: DataFrame, width: int) -> DataFrame:
+    """``(item, words, n_words)``: the items ``(item_id, text)``, as pieces of ``PIECE_WINDOWS`` windows of ``width`` consecutive words
+    at most, which overlap, so that each window is in one of them. A shorter item is one window, one without words gives no row."""
+    ship(items.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                for i in range(0, max(1, len(words) - width + 1) if words else 0, PIECE_WINDOWS):
+                    piece = words[i : i + PIECE_WINDOWS + width - 1]
+                    rows.append({"item": item, "words": b" ".join(piece), "n_words": len(piece)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("item", pa.string()), ("words", pa.binary()), ("n_words", pa.int64())]))
+
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return named.mapInArrow(run, "item string, words binary, n_words long")
+
+
 def phrase_blocks(items: DataFrame, width: int, block_words: int = BLOCK_WORDS) -> Iterator[Phrases]:
-    """Windows of ``width`` consecutive words of the items ``(item_id, text)``, block by block; a shorter item is
-    one window, one without words none. Items pass through the driver a block at a time; a block has
-    ``block_words`` words, or one longer item."""
-    block: list[tuple[str, list[bytes]]] = []
-    held = 0
-    for row in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
-        words = words_of(row[1])
-        if held and held + len(words) > block_words:
-            yield Phrases(block, width)
-            block, held = [], 0
-        block.append((row[0], words))
-        held += len(words)
-    if block:
-        yield Phrases(block, width)
+    """The windows of the items, block by block, each of about ``block_words`` words; one block, if need be an empty one, at least.
+
+    The pieces are written once and dealt to blocks by a hash; the driver holds one block at a time.
+    """
+    pieces = stage(item_pieces(items, width), "item-pieces")
+    n = max(1, -(-pieces.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] // block_words))
+    for block in range(n):
+        rows = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == block).select("item", "words").toArrow()
+        yield Phrases([(i, w.split(b" ")) for i, w in zip(rows.column("item").to_pylist(), rows.column("words").to_pylist())], width)
 
 
 def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataFrame:
@@ -234,21 +258,17 @@ def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataF
     bounded size, goes to all tasks. No shuffle."""
     ship(index.sparkSession)
     sent = index.sparkSession.sparkContext.broadcast(phrases)
-    kind = pa.schema(
-        [
-            ("shard", pa.int64()),
-            ("ordinal", pa.int32()),
-            ("doc_id", pa.int64()),
-            ("n_words", pa.int64()),
-            ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
-            ("items", pa.list_(pa.string())),
-        ]
-    )
+    return index.mapInArrow(_matcher(sent, slop), MATCHES.format(index.schema["doc_ids"].dataType.elementType.simpleString()))
+
+
+def _matcher(sent, slop: int | None):
+    spans_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
+                ids = batch.column("doc_ids").slice(i, 1).flatten()
                 shard = Shard(row)
                 spans, names = shard.matches(sent.value, slop)
                 n = len(spans)
@@ -256,15 +276,15 @@ def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataF
                     [
                         pa.array([row["shard"]] * n, pa.int64()),
                         pa.array(range(n), pa.int32()),
-                        pa.array(shard.doc_ids, pa.int64()),
+                        ids,
                         pa.array(shard.lengths),
-                        pa.array(spans, kind.field("spans").type),
-                        pa.array(names, kind.field("items").type),
+                        pa.array(spans, spans_type),
+                        pa.array(names, pa.list_(pa.string())),
                     ],
-                    schema=kind,
+                    ["shard", "ordinal", "doc_id", "n_words", "spans", "items"],
                 )
 
-    return index.mapInArrow(run, MATCHES)
+    return run
 
 
 def find_passages(
@@ -279,16 +299,22 @@ def find_passages(
     A null text has no words and is not hit; an item without an id has an empty one; repeated items
     and documents are fine; without items, or with empty tables, nothing is hit. The index is written to
     the shared checkpoint folder and searched once per block of items, however
-    many there are; only with several blocks are a document's matches brought together by a shuffle.
+    many there are. Of several blocks each one's matches are written before the next is made, and only then are a
+    document's matches brought together by a shuffle.
     """
-    index = stage(build_index(docs), "postings")
-    found = [search(index, phrases, slop) for phrases in phrase_blocks(items, width, block_words)]
-    if not found:
-        found = [search(index, Phrases([], width), slop)]
-    if len(found) == 1:
-        return found[0].select("doc_id", "n_words", "spans", "items")
-    every = found[0]
-    for more in found[1:]:
+    index = stage(build_index(docs), "postings", compression="zstd")
+    spark, whole, parts = docs.sparkSession, None, []
+    kind = MATCHES.format(index.schema["doc_ids"].dataType.elementType.simpleString())
+    for phrases in phrase_blocks(items, width, block_words):
+        if whole is not None:  # a second block: from here on matches are tables
+            parts.append(stage(whole if not parts else whole.where(F.size("spans") > 0), "matches"))
+            sent.destroy()
+        sent = spark.sparkContext.broadcast(phrases)
+        whole = index.mapInArrow(_matcher(sent, slop), kind)
+    if not parts:
+        return whole.select("doc_id", "n_words", "spans", "items")
+    every = whole.where(F.size("spans") > 0)
+    for more in parts:
         every = every.unionByName(more)
     return (
         every.groupBy("shard", "ordinal")
@@ -305,11 +331,10 @@ def find_passages(
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no window of an item.
 
-    Rows are told apart by their places. ``docs`` is read once: its rows are written with these to the shared folder,
-    and both the index and the rows that stay are taken from that table, so any frame will do.
+    Rows are told apart by their places (see ``row_places``), so repeated ids do not matter.
     """
     (place,) = fresh(docs, "place")
-    placed = stage(docs.withColumn(place, F.monotonically_increasing_id()), "placed")
+    placed = row_places(docs, place)
     found = find_passages(placed.select(F.col(place).alias("doc_id"), "text"), items, width)
     hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(place))
     return placed.join(hit, place, "left_anti").drop(place)

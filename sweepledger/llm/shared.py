@@ -8,7 +8,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark import SparkFiles
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import stage
 
 # Words of the word-based operators, over UTF-8 bytes: 0-9, a-z and everything beyond ASCII,
 # with A-Z lower-cased; every other byte becomes a space.
@@ -54,6 +58,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_places(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name`` that differs from row to row and stays the same however often ``df`` is read.
+
+    Rows of a frame that is Parquet files as they are, are told apart by file and row number there, so nothing is written. Those of any
+    other frame, where such a row may stand several times or come in another order when executors come or go,
+    are written once with numbers.
+    """
+    if df._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            meta = df.metadataColumn("_metadata")
+            return df.withColumn(name, F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")))
+        except AnalysisException:
+            pass  # no files, or not of Parquet
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), "placed")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words ``[0-9a-z]`` or beyond ASCII, as UTF-8 bytes; none for null."""
     return [] if text is None else utf8(text).translate(WORD_BYTES).split()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .components import components
-from .shared import LOWER_BYTES, fresh, ship, slices, utf8
+from .shared import LOWER_BYTES, fresh, row_places, ship, slices, utf8
 
 BITS = 64
 SEED = 42
@@ -147,11 +147,10 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 3, segments: int =
     """The rows of ``docs`` less all but one of each group of near-duplicates, with all their columns.
 
     The row with the group's smallest ``doc_id`` stays (the first read of several with it; null ids come last).
-    ``docs`` is read once: its rows are written with their places to the shared folder, and both the fingerprints
-    and the rows that stay are taken from that table, so any frame will do.
+    Rows are told apart by their places (see ``row_places``).
     """
     (place,) = fresh(docs, "place")
-    placed = stage(docs.withColumn(place, F.monotonically_increasing_id()), "placed")
+    placed = row_places(docs, place)
     prints = stage(fingerprints(placed, width, ("doc_id", place)), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(place).alias("at"))
     kept = _groups(prints, order, distance, segments).select(F.col("first.at").alias(place)).distinct()

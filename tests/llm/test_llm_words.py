@@ -7,10 +7,12 @@ import re
 import pytest
 import xxhash
 from conftest_llm import LOWER, lower_words, rows_of
+from pyspark.sql import functions as F
 
 from sweepledger.llm.components import components
 from sweepledger.llm.license_templates import Automaton, Scanner, scan_licenses
 from sweepledger.llm.positional_index import find_passages, keep_clean, passage_digest
+from sweepledger.llm.shared import row_places
 from sweepledger.llm.simhash import keep_one, links_within, near_duplicates
 
 
@@ -132,6 +134,15 @@ def test_rows_keep_their_places_when_splits_change(spark, recut):
     assert sorted(collect(keep_clean(docs, items))) == [(i, t) for i, t in enumerate(texts) if i // 2 not in (0, 4)]
 
 
+def test_row_places(spark, odd_docs):
+    """Places differ from row to row, also where rows of a file stand several times."""
+    twice = odd_docs.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))
+    for frame in (odd_docs, odd_docs.union(odd_docs), twice, spark.range(50), odd_docs.join(odd_docs.select("doc_id"), "doc_id")):
+        placed = row_places(frame, "at")
+        assert placed.count() == frame.count() == placed.select("at").distinct().count()
+    assert row_places(odd_docs, "at").schema["at"].dataType.simpleString() == "struct<file:string,row:bigint>"
+
+
 @pytest.mark.parametrize("distance, segments", [(3, 2), (3, 4), (1, 2), (2, 2), (5, 4)])
 def test_links_are_all_pairs_within(spark, distance, segments):
     rng = random.Random(1)

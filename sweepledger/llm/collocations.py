@@ -27,7 +27,8 @@ from ..session import drop_stage, stage, stage_at
 from .shared import ship, slices
 
 BLOCK_WORDS = 1 << 20
-SLICES, WORD_SLICES = 16, 1024  # parts of a stripe, by a hash of the next word; of the empty prefix's stripe
+# Parts of a stripe, by a hash of the next word: of prefixes that make up a thousandth of all words or more, and of the empty prefix.
+HOT_SHARE, HOT_PARTS, WORD_PARTS = 1000, 64, 1024
 BITS = 26  # the bitmap has 2 ** BITS bits: 8 MB
 # A-Z lower-cased; the ends of pieces become line feeds, tabs spaces.
 PIECES = bytes(
@@ -35,13 +36,11 @@ PIECES = bytes(
 )
 FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BLOCK = "lang string, words binary, ids binary"
-STRIPE = "lang string, prefix string, part int, nexts array<string>, counts array<long>"
+# Next words, a line feed between two, and their counts as 64-bit integers.
+STRIPE = "lang string, prefix string, part int, nexts string, counts binary"
 STRIPE_TYPE = pa.schema(
-    [
-        ("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()),
-        ("nexts", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())),
-    ]
-)
+    [("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("nexts", pa.string()), ("counts", pa.binary())]
+)
 ENTRY = "lang string, prefix string, next string, n long"
 
 
@@ -122,23 +121,38 @@ def _positions(ids: np.ndarray, hashes: np.ndarray, width: int, bitmap: np.ndarr
     return at, part[at]
 
 
-def block_stripes(lang: str, words: list[bytes], ids: np.ndarray, width: int, bitmap: np.ndarray | None) -> pa.RecordBatch:
-    """The stripes of a block's phrases of ``width`` words, the last of which is the next word."""
+def packed(lang: pa.Array, prefix: pa.Array, part: np.ndarray, first: np.ndarray, nexts: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """Stripes from their entries; each begins at ``first``. Counts are narrowed by the shuffle's compression."""
+    ends = np.r_[first, len(counts)]
+    words = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), nexts), "\n")
+    raw = pa.py_buffer(counts.astype(np.int64).tobytes())
+    numbers = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((8 * ends).astype(np.int32).tobytes()), raw])
+    return pa.RecordBatch.from_arrays([lang, prefix, pa.array(part.astype(np.int32)), words, numbers], schema=STRIPE_TYPE)
+
+
+def unpacked(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Entries of stripes: how many each has, their words and counts."""
+    words = pc.split_pattern(rows.column("nexts"), "\n")
+    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64)
+    return np.diff(words.offsets.to_numpy()), words.flatten(), counts
+
+
+def block_stripes(lang: str, words: list[bytes], ids: np.ndarray, width: int, bitmap: np.ndarray | None, hot: set[str]) -> pa.RecordBatch:
+    """The stripes of a block's phrases of ``width`` words, the last of which is the next word; those of ``hot`` prefixes in parts."""
     names = pa.array(words, pa.binary()).cast(pa.string())
     hashes = word_hashes(lang, words)
     if width == 1:
         count = np.bincount(ids[ids >= 0], minlength=len(words))
-        part = (hashes % np.uint64(WORD_SLICES)).astype(np.int64)
+        part = (hashes % np.uint64(WORD_PARTS)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        following, count, stripe = order, count[order], part[order]
-        first = np.flatnonzero(np.r_[True, stripe[1:] != stripe[:-1]]) if len(order) else order
+        following, count, part = order, count[order], part[order]
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(order) else order
         prefixes = pa.array([""] * len(first), pa.string())
-        part = stripe[first]
+        part = part[first]
     else:
         at, prefix_hash = _positions(ids, np.r_[hashes, np.uint64(0)], width, bitmap)
         if width == 2:
-            prefix = ids[at].astype(np.int64)
-            example = None
+            prefix, known = ids[at].astype(np.int64), names
         else:
             # Numbers of the prefixes; two with one hash stay apart, as their words are compared.
             order = np.argsort(prefix_hash, kind="stable")
@@ -148,47 +162,36 @@ def block_stripes(lang: str, words: list[bytes], ids: np.ndarray, width: int, bi
                 new[1:] |= ids[sorted_at[1:] + k] != ids[sorted_at[:-1] + k]
             prefix = np.zeros(len(at), np.int64)
             prefix[order] = np.cumsum(new) - 1
-            example = sorted_at[new]
+            known = pc.binary_join_element_wise(*[names.take(pa.array(ids[sorted_at[new] + k])) for k in range(width - 1)], " ")
         following = ids[at + width - 1].astype(np.int64)
-        part = (hashes % np.uint64(SLICES)).astype(np.int64)[following]
-        keys = np.sort((prefix * SLICES + part) << 32 | following)
+        is_hot = pc.is_in(known, pa.array(sorted(hot), pa.string())).to_numpy(zero_copy_only=False)
+        part = np.where(is_hot[prefix], (hashes % np.uint64(HOT_PARTS)).astype(np.int64)[following], 0) if len(at) else at
+        keys = np.sort((prefix * HOT_PARTS + part) << 32 | following)
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else keys
         count = np.diff(np.r_[starts, len(keys)])
         keys = keys[starts]
         following, stripe = keys & 0xFFFFFFFF, keys >> 32
         first = np.flatnonzero(np.r_[True, stripe[1:] != stripe[:-1]]) if len(keys) else keys
-        part, prefix = stripe[first] % SLICES, stripe[first] // SLICES
-        if example is None:
-            prefixes = names.take(pa.array(prefix))
-        else:
-            parts = [names.take(pa.array(ids[example[prefix] + k])) for k in range(width - 1)]
-            prefixes = pc.binary_join_element_wise(*parts, " ")
-    offsets = pa.array(np.r_[first, len(following)].astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([lang] * len(first), pa.string()),
-            prefixes,
-            pa.array(part.astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, names.take(pa.array(following))),
-            pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int64))),
-        ],
-        schema=STRIPE_TYPE,
-    )
+        part = stripe[first] % HOT_PARTS
+        prefixes = known.take(pa.array(stripe[first] // HOT_PARTS))
+    return packed(pa.array([lang] * len(first), pa.string()), prefixes, part, first, names.take(pa.array(following)), count)
 
 
-def stripes(blocks: DataFrame, width: int, bitmap: np.ndarray | None = None) -> DataFrame:
-    """``(lang, prefix, part, nexts, counts)``: per block and prefix of ``width - 1`` words its next words and their counts, cut
-    into parts by a hash of the next word, so that a frequent prefix is many rows."""
-    context = blocks.sparkSession.sparkContext
+def stripes(blocks: DataFrame, width: int, bitmap: np.ndarray | None = None, hot: set[tuple[str, str]] = frozenset()) -> DataFrame:
+    """``(lang, prefix, part, nexts, counts)``: per block and prefix of ``width - 1`` words its next words and their counts.
+
+    The stripe of a ``hot`` ``(lang, prefix)`` is cut into parts by a hash of the next word, so that no task merges all of it.
+    """
     ship(blocks.sparkSession)
-    sent = context.broadcast(bitmap)
+    sent = blocks.sparkSession.sparkContext.broadcast((bitmap, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, frequent = sent.value
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, words, ids = (batch.column(c)[i].as_py() for c in ("lang", "words", "ids"))
                 words = words.split(b"\n") if words else []
-                yield block_stripes(lang, words, np.frombuffer(ids, np.int32), width, sent.value)
+                yield block_stripes(lang, words, np.frombuffer(ids, np.int32), width, bits, {p for of, p in frequent if of == lang})
 
     return blocks.mapInArrow(run, STRIPE)
 
@@ -202,15 +205,13 @@ def merged(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa
         column = rows.column(c)
         new[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
     key = np.cumsum(new) - 1
-    nexts = rows.column("nexts")
-    sizes = np.diff(nexts.offsets.to_numpy())
-    coded = nexts.flatten().dictionary_encode()
+    sizes, nexts, counts = unpacked(rows)
+    coded = nexts.dictionary_encode()
     entry = np.repeat(key, sizes) << 32 | coded.indices.to_numpy()
     order = np.argsort(entry, kind="stable")
     entry = entry[order]
     starts = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]]) if len(entry) else order
-    counts = rows.column("counts").flatten().to_numpy()[order]
-    sums = np.add.reduceat(counts, starts) if len(starts) else counts
+    sums = np.add.reduceat(counts[order], starts) if len(starts) else counts
     return np.flatnonzero(new), entry[starts] >> 32, sums, coded.dictionary.take(pa.array(entry[starts] & 0xFFFFFFFF))
 
 
@@ -242,21 +243,15 @@ def merge_stripes(rows: DataFrame, least: int, rest: bool = False) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            batch = batch.cast(STRIPE_TYPE) if batch.schema != STRIPE_TYPE else batch
             if kept is not None:
-                batch = pa.concat_batches([kept, batch])
+                batch = pa.concat_batches([kept, batch.cast(STRIPE_TYPE)])
             first, key, sums, nexts = merged(batch)
             last = len(first) - 1
             done = int(np.searchsorted(key, last))
             yield entries(batch, first[:last], key[:done], sums[:done], nexts.slice(0, done))
-            offsets = pa.array(np.array([0, len(key) - done], np.int32))
-            kept = pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c).slice(int(first[last]), 1) for c in ("lang", "prefix", "part")),
-                    pa.ListArray.from_arrays(offsets, nexts.slice(done)),
-                    pa.ListArray.from_arrays(offsets, pa.array(sums[done:])),
-                ],
-                schema=STRIPE_TYPE,
+            row = batch.slice(int(first[last]), 1)
+            kept = packed(
+                row.column("lang"), row.column("prefix"), row.column("part").to_numpy(), np.zeros(1, np.int64), nexts.slice(done), sums[done:]
             )
         if kept is not None:
             yield entries(kept, *merged(kept))
@@ -291,10 +286,12 @@ def phrase_counts(
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, width, phrase, f)`` of all phrases of up to ``longest`` words that occur ``least`` times or more, and ``(lang, n)``, all words."""
     blocks, path = stage_at(word_blocks(docs, unknown, block_words), "word-blocks")
-    levels, bitmap, words = [], None, None
+    levels, bitmap, words, hot, n_words = [], None, None, set(), 0
     for width in range(1, longest + 1):
-        entries = stage(merge_stripes(stripes(blocks, width, bitmap), least, rest=width == 1), "stripes")
-        words = entries if width == 1 else words
+        entries = stage(merge_stripes(stripes(blocks, width, bitmap, hot), least, rest=width == 1), "stripes")
+        if width == 1:
+            words = entries.groupBy("lang").agg(F.sum("n").alias("n"))
+            n_words = entries.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         whole = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
         level = entries.where(F.col("next").isNotNull()).select(
             "lang", F.lit(width).alias("width"), whole.alias("phrase"), F.col("n").alias("f")
@@ -304,8 +301,10 @@ def phrase_counts(
             break
         if width < longest:
             bitmap = frequent_bitmap(level)
+            # A thousand at most, as their occurrences are different places.
+            hot = {(r["lang"], r["phrase"]) for r in level.where(F.col("f") * HOT_SHARE >= n_words).collect()}
     drop_stage(docs.sparkSession, path)
-    return reduce(DataFrame.unionByName, levels), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    return reduce(DataFrame.unionByName, levels), words
 
 
 def collocations(

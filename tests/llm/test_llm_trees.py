@@ -183,7 +183,7 @@ def slow_collocations(rows, top=2000, longest=5, least=100, share=100):
 
 
 @pytest.mark.parametrize("least, top, share, block_words", [(100, 2000, 100, 1 << 20), (4, 9, 100, 64), (20, 2000, 60, 700)])
-def test_collocations_equal_brute_force(spark, least, top, share, block_words):
+def test_collocations_equal_brute_force(spark, monkeypatch, least, top, share, block_words):
     rng = random.Random(least)
     words = "a b c the of x-y Éa ñ b' 漢 \x00z".split()
     gaps = [" ", " ", "  ", "\t", ". ", ",", "\n", "\r\n", ""]
@@ -191,6 +191,7 @@ def test_collocations_equal_brute_force(spark, least, top, share, block_words):
     rows = [(rng.choice(["en", "en", "fr", None, "und"]), line() if i % 50 else None, i, i) for i in range(600)]
     rows += [("en", t, 0, 0) for t in ODD_TEXTS] + [("fr", "one two three four five six, " * 30, 0, 0)] * 4
     docs = spark.createDataFrame(rows, "lang string, text string, n int, prefix int").repartition(4)
+    monkeypatch.setattr(C, "HOT_SHARE", least)  # many prefixes in parts, or few
     got = rows_of(C.collocations(docs, top=top, least=least, share=share, block_words=block_words))
     assert got == slow_collocations([r[:2] for r in rows], top=top, least=least, share=share) and got
     assert C.collocations(docs.limit(0)).collect() == []

@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     sweep.add_argument("--known", required=True)
     sweep.add_argument("--logs")
     sweep.add_argument("--ci", action="store_true", help="stale entries fail")
+    sweep.add_argument("--name-run", action="append", default=[], help="list this run's stale entries by name")
     sweep.add_argument("patterns", nargs="*", default=[f"//{MAIN_RIG}/..."])
 
     impact = names.add_parser("impact", help="labels a change hits")
@@ -66,7 +67,7 @@ def main(argv: list[str] | None = None) -> int:
     given = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"sweepledger {given.job}").getOrCreate()
     if given.job == "sweep":
-        row = jobs.sweep(spark, given.reports, given.known, given.out, given.patterns, given.logs, given.ci)
+        row = jobs.sweep(spark, given.reports, given.known, given.out, given.patterns, given.logs, given.ci, given.name_run)
         failed = row["n_failed"] > 0
     elif given.job == "impact":
         row = jobs.impact(spark, given.changed, given.targets, given.known, given.out, given.exact_name)

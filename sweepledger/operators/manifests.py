@@ -66,23 +66,28 @@ def slot_matrix(deps: DataFrame, slots: Sequence[str], main: str = "main") -> Da
     """Presence of each crate per slot, first slot, number of slots, absence from main.
 
     ``deps(rig, crate)`` holds slots and the main rig. One grouping: repeated rows
-    collapse before the shuffle. Absent from main does not mean pruned, since main
-    changes after a slot is minted.
+    collapse before the shuffle. Every crate comes out: ``in_other`` marks those of a rig that is neither main nor
+    listed, or null. Absent from main does not mean pruned, since main changes after a slot is minted.
     """
     flags = {f"in_{slot}": slot for slot in sorted(slots)}
-    present = deps.where(F.col("rig").isin(*slots, main)).groupBy("crate").agg(
-        *[F.bool_or(F.col("rig") == slot).alias(flag) for flag, slot in flags.items()],
-        (~F.bool_or(F.col("rig") == main)).alias("absent_vs_main"),
+    present = deps.groupBy("crate").agg(
+        *[F.bool_or(F.col("rig").eqNullSafe(slot)).alias(flag) for flag, slot in flags.items()],
+        F.bool_or(~F.coalesce(F.col("rig").isin(*slots, main), F.lit(False))).alias("in_other"),
+        (~F.bool_or(F.col("rig").eqNullSafe(main))).alias("absent_vs_main"),
     )
     first = F.coalesce(*[F.when(F.col(flag), F.lit(slot)) for flag, slot in flags.items()])
     return present.withColumns({"first_slot": first, "n_slots": _count_true(flags)})
 
 
 def platform_matrix(known: DataFrame, platforms: Sequence[str]) -> DataFrame:
-    """Presence of each known failure per platform, and on how many it fails."""
+    """Presence of each known failure per platform, and on how many of these it fails.
+
+    Every label comes out: ``on_other`` marks those of a platform that is not listed, or null.
+    """
     flags = {f"on_{p}": p for p in platforms}
-    present = known.where(F.col("platform").isin(*platforms)).groupBy("label").agg(
-        *[F.bool_or(F.col("platform") == p).alias(flag) for flag, p in flags.items()]
+    present = known.groupBy("label").agg(
+        *[F.bool_or(F.col("platform").eqNullSafe(p)).alias(flag) for flag, p in flags.items()],
+        F.bool_or(~F.coalesce(F.col("platform").isin(*platforms), F.lit(False))).alias("on_other"),
     )
     counted = present.withColumn("n_platforms", _count_true(flags))
     return counted.withColumn("everywhere", F.col("n_platforms") == len(platforms))

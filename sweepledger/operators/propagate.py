@@ -49,7 +49,7 @@ def spread(
     """Nodes that reach a seed along ``src -> dst`` edges, with the least number of steps.
 
     ``edges`` has ``src``, ``dst`` and the ``scope`` columns, ``seeds`` has ``node``
-    and the same scope columns; edges never leave their scope. Returns ``(scope…,
+    and the same scope columns; edges never leave their scope. A null ``src`` is a node like any other, a null ``dst`` is none. Returns ``(scope…,
     node, depth)``, seeds at depth 0. Every node enters the frontier once, so cycles end
     too. Rounds are not limited; a ``max_rounds`` that does not suffice raises ``RoundsExceeded``.
 
@@ -77,7 +77,7 @@ def _spread(steps, seeds, keys, scope, max_rounds) -> DataFrame:
         seen = reduce(DataFrame.union, [layer.rows for layer in layers])
         reached = steps.join(_keys(frontier, keys), keys).select(*scope, F.col("next").alias("node"))
         if sum(layer.bytes for layer in layers) <= BROADCAST_BYTES:
-            fresh = reached.join(F.broadcast(seen.select(*keys)), keys, "left_anti").distinct()
+            fresh = _matched(reached, F.broadcast(seen.select(*keys)), keys, "left_anti").distinct()
             new = _Table(fresh.withColumn("depth", F.lit(depth + 1)), keys, "frontier")
         else:
             candidates = _Table(reached.distinct(), keys, "candidates")
@@ -101,9 +101,16 @@ def _keys(found: _Table, keys: Sequence[str]) -> DataFrame:
     return F.broadcast(found.rows.select(*keys)) if found.is_small() else found.rows.select(*keys)
 
 
+def _matched(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A join on keys of which null is one like any other, as in groupings, so that results do not depend on which of them is used."""
+    named = others.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(named, same, how)
+
+
 def _unseen(candidates: _Table, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Candidates that were not seen."""
     if not candidates.is_small():
         return except_distinct(candidates.rows, seen)
-    met = seen.join(F.broadcast(candidates.rows), list(keys), "left_semi")
-    return candidates.rows.join(F.broadcast(met), list(keys), "left_anti")
+    met = _matched(seen, F.broadcast(candidates.rows), keys, "left_semi")
+    return _matched(candidates.rows, F.broadcast(met), keys, "left_anti")

@@ -103,13 +103,33 @@ def stale_entries(observed: DataFrame, known: DataFrame, keys: Sequence[str] = K
     return reconcile(observed, known, keys).where(F.col("status") == "stale").drop("status")
 
 
-def known_for_runs(known: DataFrame, runs: DataFrame) -> DataFrame:
-    """The list each run is held against: its platform's list.
+def judged(observed: DataFrame, known: DataFrame) -> DataFrame:
+    """``(run_id, platform, label, listed)``: each failure of a run once, and whether its platform's list has it.
 
-    Every run reads its whole list, so the result has one row per run and entry;
-    needed to name stale entries per run. ``run_verdicts`` counts without it.
+    Verdicts and report lines both follow from this table; write it once where both are wanted.
     """
-    return runs.select("run_id", "platform").distinct().join(known.select(*KEYS).distinct(), "platform")
+    listed = distinct_keys(known, KEYS).withColumn("listed", F.lit(True))
+    seen = observed.select(*RUN, "label").distinct().join(listed, list(KEYS), "left")
+    return seen.withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+def stale_classes(seen: DataFrame, known: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(platform, label, n_runs, n_stale)``: entries some run of their platform did not fail on, of how many runs, in how many.
+
+    One row per entry, however many runs there are: an entry is stale in all runs but those that ``judged``
+    rows name. Entries of platforms without a run are stale nowhere.
+    """
+    hits = seen.where("listed").groupBy(*KEYS).agg(F.count("*").alias("n_seen"))
+    entries = known.select(*KEYS, F.lit(0).cast("bigint").alias("n_seen")).unionByName(hits).groupBy(*KEYS).agg(F.sum("n_seen").alias("n_seen"))
+    per_platform = runs.select(*RUN).distinct().groupBy("platform").agg(F.count("*").alias("n_runs"))
+    counted = entries.join(per_platform, "platform").withColumn("n_stale", F.col("n_runs") - F.col("n_seen"))
+    return counted.where("n_stale > 0").select(*KEYS, "n_runs", "n_stale")
+
+
+def stale_in_runs(seen: DataFrame, classes: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(run_id, platform, label)`` of stale entries, one row per entry and run, for the few ``runs`` that are asked for."""
+    pairs = runs.select(*RUN).distinct().join(classes.select(*KEYS), "platform")
+    return pairs.join(seen.where("listed").select(*RUN, "label"), [*RUN, "label"], "left_anti")
 
 
 def target_count(targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -134,26 +154,20 @@ def verdicts(statuses: DataFrame, keys: Sequence[str], is_ci: bool) -> DataFrame
 
 
 def run_verdicts(observed: DataFrame, known: DataFrame, runs: DataFrame, is_ci: bool) -> DataFrame:
-    """One verdict per run, for any number of runs and platforms.
+    """One verdict per run, for any number of runs and platforms. Runs without failures get one too."""
+    return verdicts_of(judged(observed, known), known, runs, is_ci)
 
-    Stale entries are counted as the list's size less the entries seen, so the
-    list is never copied per run. Runs without failures get a verdict too.
-    """
-    listed = distinct_keys(known, KEYS).withColumn("listed", F.lit(True))
-    seen = (
-        observed.select(*RUN, "label")
-        .distinct()
-        .join(listed, list(KEYS), "left")
-        .groupBy(*RUN)
-        .agg(
-            F.count_if(F.col("listed").isNull()).alias("new_count"),
-            F.count_if(F.col("listed")).alias("matched_count"),
-        )
+
+def verdicts_of(seen: DataFrame, known: DataFrame, runs: DataFrame, is_ci: bool) -> DataFrame:
+    """As ``run_verdicts``, from ``judged`` rows. Stale entries are counted as the list's size less the entries
+    seen, so the list is never copied per run."""
+    told = seen.groupBy(*RUN).agg(
+        F.count_if(~F.col("listed")).alias("new_count"), F.count_if(F.col("listed")).alias("matched_count")
     )
     counts = (
         runs.select(*RUN)
         .distinct()
-        .join(seen, list(RUN), "left")
+        .join(told, list(RUN), "left")
         .join(known_count(known), "platform", "left")
         .fillna(0, ["new_count", "matched_count", "known_count"])
     )

@@ -37,9 +37,12 @@ def sweep(
     patterns: Sequence[str] = (f"//{MAIN_RIG}/...",),
     logs: str | None = None,
     is_ci: bool = False,
+    named: Sequence[str] = (),
 ) -> Row:
     """Reconcile every run with its platform's list; verdicts and report lines.
 
+    A stale entry is one line for all runs, with their number; those of the runs in ``named`` are also listed by run.
+
     ``logs`` holds one file per run at the same place as its report. Every report file is a run and gets a
     verdict. A run whose log says that it was cancelled, or whose report cannot be read, is not reconciled: its
     verdict says so and counts as failed.
@@ -63,12 +66,14 @@ def sweep(
     observed = R.observed_failures(staged.join(runs, ["run_id", "platform"], "left_semi"))
     listed = R.scope_known(SS.read_known_failures(spark, known), patterns)
     others = states.where("state <> 'read'").withColumnRenamed("state", "verdict")
-    R.run_verdicts(observed, listed, runs, is_ci).unionByName(others, allowMissingColumns=True).write.mode("overwrite").parquet(
+    seen = stage(R.judged(observed, listed), "judged")
+    R.verdicts_of(seen, listed, runs, is_ci).unionByName(others, allowMissingColumns=True).write.mode("overwrite").parquet(
         f"{out}/verdicts"
     )
     verdicts = spark.read.parquet(f"{out}/verdicts")
-    statuses = R.reconcile(observed, R.known_for_runs(listed, runs), ["run_id", "platform", "label"])
-    lines = K.verdict_lines(verdicts, statuses)
+    classes = R.stale_classes(seen, listed, runs)
+    asked = R.stale_in_runs(seen, classes, runs.where(F.col("run_id").isin(*named))) if named else None
+    lines = K.verdict_lines(verdicts, seen, classes, asked)
     lines.sort("platform", "run_id", "part", "label").write.mode("overwrite").parquet(f"{out}/lines")
     failed = F.col("verdict").isin("fail", "cancelled", "unreadable")
     return verdicts.agg(F.count("*").alias("n_runs"), F.count_if(failed).alias("n_failed")).first()

@@ -15,7 +15,8 @@ from .inputs import balanced, crate_name, table, year_of
 from .registry import audit
 
 CRATE_SQL = "replace(p_name, ' ', '_')"
-YEARS = tuple(str(year) for year in range(1995, 2002))
+# The slots that have a column of their own; rows of all others are marked as such.
+YEARS = tuple(str(year) for year in range(1995, 2001))
 
 # Manifests -----------------------------------------------------------------------
 
@@ -115,7 +116,9 @@ def package_count(spark: SparkSession, root: str) -> DataFrame:
       SELECT CASE WHEN o_orderstatus = 'O' THEN 'main' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS rig, o_custkey AS crate
       FROM orders)
     SELECT crate, {", ".join(f"bool_or(rig = '{y}') AS in_{y}" for y in YEARS)},
-      min(rig) FILTER (rig <> 'main') AS first_slot, count(DISTINCT rig) FILTER (rig <> 'main') AS n_slots,
+      bool_or(rig NOT IN ('main', {", ".join(f"'{y}'" for y in YEARS)})) AS in_other,
+      min(rig) FILTER (rig IN ({", ".join(f"'{y}'" for y in YEARS)})) AS first_slot,
+      count(DISTINCT rig) FILTER (rig IN ({", ".join(f"'{y}'" for y in YEARS)})) AS n_slots,
       NOT bool_or(rig = 'main') AS absent_vs_main
     FROM deps GROUP BY crate""",
 )
@@ -127,15 +130,15 @@ def slot_matrix(spark: SparkSession, root: str) -> DataFrame:
 @audit(
     "platform_matrix",
     """SELECT 'part-' || l_partkey || '-' || l_suppkey AS label, bool_or(l_returnflag = 'A') AS on_A, bool_or(l_returnflag = 'N') AS on_N,
-      bool_or(l_returnflag = 'R') AS on_R, count(DISTINCT l_returnflag) AS n_platforms,
-      count(DISTINCT l_returnflag) = 3 AS everywhere
+      bool_or(l_returnflag NOT IN ('A', 'N')) AS on_other, count(DISTINCT l_returnflag) FILTER (l_returnflag IN ('A', 'N')) AS n_platforms,
+      count(DISTINCT l_returnflag) FILTER (l_returnflag IN ('A', 'N')) = 2 AS everywhere
     FROM lineitem GROUP BY 1""",
 )
 def platform_matrix(spark: SparkSession, root: str) -> DataFrame:
     known = table(spark, root, "lineitem").select(
         F.concat(F.lit("part-"), "l_partkey", F.lit("-"), "l_suppkey").alias("label"), F.col("l_returnflag").alias("platform")
     )
-    return M.platform_matrix(known, ["A", "N", "R"])
+    return M.platform_matrix(known, ["A", "N"])  # returned lines are of a platform that is not listed
 
 
 def _slots_of(rows: DataFrame) -> list[str]:

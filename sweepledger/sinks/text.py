@@ -40,24 +40,30 @@ def write_manifests(deps: DataFrame, path: str, keys: Sequence[str] = ("slot",))
     lines.select(*keys, "line").write.mode("overwrite").partitionBy(*keys).text(path)
 
 
-def verdict_lines(verdicts: DataFrame, statuses: DataFrame, keys: Sequence[str] = ("run_id", "platform")) -> DataFrame:
-    """The report of each run as ordered lines: verdict, new failures, stale entries.
+def verdict_lines(verdicts: DataFrame, seen: DataFrame, classes: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """The report as ordered lines: each run's verdict, its new failures, and the stale entries.
 
-    A line per label instead of a list per run, so a run with very many labels
-    stays distributed. Order by the keys, ``part`` and ``label``.
+    ``seen`` are ``reconcile.judged`` rows, ``classes`` those of ``reconcile.stale_classes``: a stale entry is one line without a run,
+    with the number of runs it is stale in, as long as it is not asked for by run; ``named`` has such rows of the runs asked for, ``(run_id,
+    platform, label)``. So there are no more lines than runs, failures and entries, besides those asked for, and each
+    label is a line of its own. Order by ``platform``, ``run_id``, ``part`` and ``label``.
     """
-    head = verdicts.select(
-        *keys,
-        F.lit(0).alias("part"),
-        F.col("verdict").alias("kind"),
-        F.lit(None).cast("string").alias("label"),
-        "known_count",
-    )
-    listed = statuses.where(F.col("status") != "known").select(
-        *keys,
-        F.when(F.col("status") == "new", 1).otherwise(2).alias("part"),
-        F.col("status").alias("kind"),
-        "label",
-        F.lit(None).cast("bigint").alias("known_count"),
+
+    def lines(rows: DataFrame, part: int, kind, run_id="run_id", label="label", known=None, n=None) -> DataFrame:
+        none = F.lit(None)
+        return rows.select(
+            (F.col(run_id) if run_id else none.cast("string")).alias("run_id"),
+            "platform",
+            F.lit(part).alias("part"),
+            kind.alias("kind"),
+            (F.col(label) if label else none.cast("string")).alias("label"),
+            (F.col(known) if known else none.cast("bigint")).alias("known_count"),
+            (F.col(n) if n else none.cast("bigint")).alias("n_runs"),
+        )
+
+    report = (
+        lines(verdicts, 0, F.col("verdict"), label=None, known="known_count")
+        .unionByName(lines(seen.where("NOT listed"), 1, F.lit("new")))
+        .unionByName(lines(classes, 2, F.lit("stale"), run_id=None, n="n_stale"))
     )
-    return head.unionByName(listed)
+    return report if named is None else report.unionByName(lines(named, 2, F.lit("stale")))

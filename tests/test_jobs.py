@@ -34,7 +34,7 @@ def test_sweep(spark, tmp_path):
         },
     )
     out = tmp_path / "out"
-    row = jobs.sweep(spark, reports, known, str(out), ["//third-party:"], f"{logs}/*/*/*.log", is_ci=False)
+    row = jobs.sweep(spark, reports, known, str(out), ["//third-party:"], f"{logs}/*/*/*.log", is_ci=False, named=["1"])
     assert (row["n_runs"], row["n_failed"]) == (3, 2)
     got = spark.read.parquet(f"{out}/lines").select("platform", "run_id", "kind", "label")
     p = "fixups//third-party:"
@@ -44,6 +44,7 @@ def test_sweep(spark, tmp_path):
         ("W", "1", "fail", None),
         ("W", "1", "new", p + "d"),
         ("W", "1", "stale", p + "b"),
+        ("W", None, "stale", p + "b"),
     }
 
 

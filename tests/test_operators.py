@@ -48,7 +48,12 @@ def test_report_to_verdict(table):
     whole = R.drop_cancelled(reports, logs)
     observed = R.observed_failures(whole)
     runs = whole.select("run_id", "platform").distinct()
-    statuses = R.reconcile(observed, R.known_for_runs(known, runs), ["run_id", "platform", "label"])
+    seen = R.judged(observed, known)
+    classes = R.stale_classes(seen, known, runs)
+    stale = R.stale_in_runs(seen, classes, runs)
+    statuses = seen.select(*stale.columns, F.when(F.col("listed"), "known").otherwise("new").alias("status")).unionByName(
+        stale.withColumn("status", F.lit("stale"))
+    )
     assert as_set(statuses) == {
         ("1", "L", "fixups//a:y", "known"),
         ("1", "L", "fixups//a:z", "new"),
@@ -61,9 +66,13 @@ def test_report_to_verdict(table):
         verdicts = R.run_verdicts(observed, known, runs, is_ci).select(*columns)
         assert as_set(verdicts) == {("1", 1, 1, 2, "fail"), ("3", 0, 2, 2, verdict)}
         assert as_set(R.verdicts(statuses, ["run_id"], is_ci).select(*columns)) == as_set(verdicts)
-    report = K.verdict_lines(R.run_verdicts(observed, known, runs, True), statuses).where("run_id = '1'")
-    lines = [(r["kind"], r["label"], r["known_count"]) for r in report.orderBy("part", "label").collect()]
+    assert as_set(classes) == {("L", "fixups//a:v", 2, 2), ("L", "fixups//a:y", 2, 1)}
+    verdicts = R.run_verdicts(observed, known, runs, True)
+    report = K.verdict_lines(verdicts, seen, classes, stale.where("run_id = '1'"))
+    lines = [(r["kind"], r["label"], r["known_count"]) for r in report.where("run_id = '1'").orderBy("part", "label").collect()]
     assert lines == [("fail", None, 2), ("new", "fixups//a:z", None), ("stale", "fixups//a:v", None)]
+    shared = K.verdict_lines(verdicts, seen, classes).where("run_id IS NULL").select("platform", "kind", "label", "n_runs")
+    assert as_set(shared) == {("L", "stale", "fixups//a:v", 2), ("L", "stale", "fixups//a:y", 1)}
 
 
 def test_two_sided_sets_equal_brute_force(spark):
@@ -220,6 +229,17 @@ def test_float_and_print(table):
     }
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 25])
+def test_null_nodes_come_out_once(spark, table, monkeypatch, limit):
+    """Whether the nodes seen are compared by a join or by a grouping."""
+    monkeypatch.setattr(P, "BROADCAST_BYTES", limit)
+    edges = table("src INT, dst INT", (None, 1), (None, 2), (None, 3), (2, 1), (3, 2), (4, None))
+    got = G.dependents_closure(edges, table("node INT", (1,)))
+    assert as_set(got) == {(1, 0), (2, 1), (None, 1), (3, 2)}
+    scoped = G.dependents_closure(edges.withColumn("s", F.lit(None).cast("int")), table("s INT, node INT", (None, 1)), ["s"])
+    assert as_set(scoped.select("node", "depth")) == {(1, 0)}  # a null scope is none either
+
+
 def test_slot_and_platform_matrix(table):
     deps = table(
         "rig STRING, crate STRING",
@@ -232,10 +252,20 @@ def test_slot_and_platform_matrix(table):
         ("a", True, True, "2024-11", 2, False),
         ("b", False, True, "2025-05", 1, True),
         ("d", False, False, None, 0, False),
+        ("c", False, False, None, 0, True),  # of a rig that is not listed: marked, not dropped
+    }
+    more = deps.unionByName(table("rig STRING, crate STRING", (None, "e"), ("main", "e"), ("other", "a")))
+    assert as_set(M.slot_matrix(more, ["2025-05", "2024-11"]).where("in_other").select("crate", "absent_vs_main")) == {
+        ("a", False), ("c", True), ("e", False)
+    }
+    known = table("platform STRING, label STRING", ("L", "x"), ("W", "x"), ("L", "y"), ("L", "y"), ("M", "z"), ("M", "x"), (None, "w"))
+    got = M.platform_matrix(known, ["L", "W"]).select("label", "on_L", "on_W", "on_other", "n_platforms", "everywhere")
+    assert as_set(got) == {
+        ("x", True, True, True, 2, True),
+        ("y", True, False, False, 1, False),
+        ("z", False, False, True, 0, False),
+        ("w", False, False, True, 0, False),
     }
-    known = table("platform STRING, label STRING", ("L", "x"), ("W", "x"), ("L", "y"), ("L", "y"))
-    got = M.platform_matrix(known, ["L", "W"]).select("label", "on_L", "on_W", "n_platforms", "everywhere")
-    assert as_set(got) == {("x", True, True, 2, True), ("y", True, False, 1, False)}
 
 
 def test_era_latest(table):

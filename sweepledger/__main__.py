@@ -36,6 +36,10 @@ def parser() -> argparse.ArgumentParser:
     mint.add_argument("--root", required=True)
     mint.add_argument("--index", required=True)
     mint.add_argument("--requirements", required=True)
+    mint.add_argument("--config", help="the index's JSON settings, which must name the usual host")
+    mint.add_argument("--features", help="stored table (slot, crate, feature)")
+    mint.add_argument("--conflicts", help="stored table (slot, conflict_id, line_no, crate)")
+    mint.add_argument("--gaps", help="logs of the generator")
     mint.add_argument("slots", nargs="+")
 
     drift = names.add_parser("drift", help="committed against regenerated target files")
@@ -73,7 +77,8 @@ def main(argv: list[str] | None = None) -> int:
         row = jobs.impact(spark, given.changed, given.targets, given.known, given.out, given.exact_name)
         failed = False
     elif given.job == "mint":
-        row = jobs.mint(spark, given.root, given.slots, given.index, given.requirements, given.out)
+        more = (given.config, given.features, given.conflicts, given.gaps)
+        row = jobs.mint(spark, given.root, given.slots, given.index, given.requirements, given.out, *more)
         failed = False
     elif given.job == "drift":
         output, runs = spark.read.parquet(given.output), spark.read.parquet(given.runs)

@@ -18,6 +18,14 @@ KNOWN_FAILURE_GLOB = "expected-failures-*.txt"
 WINDOWS_OS = r"^(MINGW|MSYS|CYGWIN)"
 RUNNER_ARCH = {"ARM64": "aarch64", "X64": "x86_64"}
 
+# Platforms of known-failure lists, and what dependencies that hold on one platform call them.
+PLATFORMS = {
+    "Darwin-arm64": ("macos-arm64",),
+    "Linux-aarch64": ("linux-arm64",),
+    "Linux-x86_64": ("linux-x86_64",),
+    "Windows-x86_64": ("windows-msvc",),
+}
+
 # Changed paths.
 SHARED_FIXUP_PATH = r"^fixups/([^/]*)/.*"
 RIG_FIXUP_PATH = r"^third-party/conflict-rigs/[^/]*/fixups/([^/]*)/.*"

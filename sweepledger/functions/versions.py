@@ -60,6 +60,75 @@ def parse_version_gate(gate: Column) -> Column:
     )
 
 
+_REQUIREMENT = r"^\s*(\^|~|=|>=|>|<=|<)?\s*([0-9]+(?:\.[0-9]+){0,2})((?:\.[*xX]){0,2})(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?\s*$"
+
+
+def _bumped(numbers: Column, at: Column) -> Column:
+    """The first version after all that begin with ``numbers`` up to place ``at``."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(2)),
+        lambda i: F.when(i < at, F.get(numbers, i)).when(i == at, F.get(numbers, i) + 1).otherwise(F.lit(0).cast("bigint")),
+    )
+
+
+def _one_range(piece: Column) -> Column:
+    """``struct<lo, hi, read>`` of one comparison of a requirement."""
+    part = lambda n: F.regexp_extract(piece, _REQUIREMENT, n)
+    operator, wild, pre = part(1), part(3) != "", part(4) != ""
+    given = F.split(part(2), r"\.").try_cast("array<bigint>")
+    numbers = version_key(part(2))
+    last = F.size(given) - 1
+    first = F.coalesce(F.nullif(F.array_position(F.transform(given, lambda n: n > 0), F.lit(True)), F.lit(0)) - 1, last)
+    nothing = F.lit(None).cast("array<bigint>")
+    caret = (operator == "^") | (operator == "") & ~wild
+    at = F.when(caret, first).when(operator == "~", F.least(last, F.lit(1))).otherwise(last)
+    after = _bumped(numbers, at)
+    # Pre-releases are never offered, so a bound at one stands at its release; nothing equals one.
+    lo = F.when(operator == ">", F.when(pre, numbers).otherwise(after)).when(operator.isin("<", "<="), nothing).otherwise(numbers)
+    hi = (
+        F.when(operator == "<", numbers)
+        .when(operator == "<=", F.when(pre, numbers).otherwise(after))
+        .when(operator.isin(">", ">="), nothing)
+        .when((operator == "=") & pre, numbers)
+        .otherwise(after)
+    )
+    whole = F.trim(piece).isin("*", "")
+    return F.struct(
+        F.when(~whole, lo).alias("lo"),
+        F.when(~whole, hi).alias("hi"),
+        (whole | F.coalesce(piece.rlike(_REQUIREMENT), F.lit(False))).alias("read"),
+    )
+
+
+def requirement_range(requirement: Column) -> Column:
+    """``struct<lo, hi, read>``: a version requirement as a half-open interval of padded versions, null where it is open.
+
+    Comparisons apart by commas must all hold. Bare versions and ``^`` allow what does not change the first part that is not zero, ``~`` what
+    changes the last of three parts only, ``=`` and ``1.2.*`` what begins with the parts given; ``>``, ``>=``, ``<`` and ``<=`` are
+    bounds, of fewer parts for all versions that begin with them; ``*`` and an empty text allow all. Build parts do not count; pre-releases
+    are no candidates, so a bound at one stands at its release. ``read`` is false for other texts; they
+    allow nothing. An interval may be empty. A null requirement gives null.
+    """
+    pieces = F.transform(F.split(requirement, ","), _one_range)
+    bounds = lambda side: F.filter(F.transform(pieces, lambda p: p[side]), lambda b: b.isNotNull())
+    read = F.forall(pieces, lambda p: p["read"])
+    nothing = F.array(F.lit(2**63 - 1))
+    none = F.array(F.lit(-1).cast("bigint"))
+    return F.when(
+        requirement.isNotNull(),
+        F.struct(
+            F.when(read, F.array_max(bounds("lo"))).otherwise(nothing).alias("lo"),
+            F.when(read, F.array_min(bounds("hi"))).otherwise(none).alias("hi"),
+            read.alias("read"),
+        ),
+    )
+
+
+def in_range(key: Column, lo: Column, hi: Column) -> Column:
+    """``key`` lies in ``[lo, hi)``; null is open."""
+    return (lo.isNull() | (key >= lo)) & (hi.isNull() | (key < hi))
+
+
 def within(key: Column, lo: Column, hi: Column, hi_inc: Column) -> Column:
     """``key`` lies in ``[lo, hi)``, or ``[lo, hi]`` when ``hi_inc``; null is open."""
     return (lo.isNull() | (key >= lo)) & (hi.isNull() | (key < hi) | (hi_inc & (key == hi)))

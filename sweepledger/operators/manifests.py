@@ -11,10 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed_values import BLAME_PATTERNS, EXACT_PINNED
-from ..functions.versions import is_prerelease, version_key
+from ..functions.versions import in_range, is_prerelease, requirement_range, version_key
+from ..session import drop_stage, stage, stage_at
 from .loglines import first_blame
-from .propagate import spread
-from .setops import distinct_keys
+from .propagate import RoundsExceeded, spread
+from .setops import apart, distinct_keys
+
+
+# Rounds kept as separate tables before they are written as one.
+COMPACT_EVERY = 16
 
 
 def float_deps(deps: DataFrame, skip: Sequence[str] = EXACT_PINNED) -> DataFrame:
@@ -124,6 +129,36 @@ def era_latest(index: DataFrame, slots: Sequence[str]) -> DataFrame:
     return latest_by_slot(offered, slots, ["crate"], version_key(F.col("version")))
 
 
+def with_range(requirements: DataFrame, column: str = "version_req") -> DataFrame:
+    """Add ``lo, hi, read`` of a requirement text (see ``requirement_range``); each distinct text is compiled once."""
+    others = requirements.select(F.col(column).alias("_text")).distinct()
+    compiled = others.select("_text", requirement_range(F.col("_text")).alias("_range"))
+    joined = requirements.join(compiled, F.col(column).eqNullSafe(F.col("_text")), "left")
+    return joined.select(*requirements.columns, *[F.col(f"_range.{c}").alias(c) for c in ("lo", "hi", "read")])
+
+
+def unread_requirements(requirements: DataFrame, keys: Sequence[str] = ("slot", "crate"), column: str = "version_req") -> DataFrame:
+    """``(keys…, version_req)`` of texts that are not understood; no version meets them."""
+    return with_range(requirements, column).where("NOT read").select(*keys, column).distinct()
+
+
+def latest_in_range(index: DataFrame, requirements: DataFrame, slots: Sequence[str]) -> DataFrame:
+    """``(slot, crate, version_req, version)``: of each requirement's crate the highest version published by each slot and inside the
+    requirement's range.
+
+    ``index(crate, version, slot, yanked)`` as for ``era_latest``; ``requirements(crate, version_req)``. Distinct ranges of a
+    crate meet its versions, each at the first slot that holds it; a running maximum over the few slots follows. A requirement that
+    no version meets gives no row.
+    """
+    offered = index.where(~F.col("yanked") & ~is_prerelease(F.col("version")))
+    versions = offered.groupBy("crate", "version", apart(["crate", "version"])).agg(F.min("slot").alias("slot"))
+    versions = versions.select("crate", "version", "slot", version_key(F.col("version")).alias("v"))
+    ranges = with_range(requirements.select("crate", "version_req").distinct())
+    met = ranges.join(versions, "crate").where(in_range(F.col("v"), F.col("lo"), F.col("hi")))
+    found = met.select("crate", "version_req", "slot", "v", "version")
+    return latest_by_slot(found, slots, ["crate", "version_req"], F.col("v")).select("slot", "crate", "version_req", "version")
+
+
 # Pruning -----------------------------------------------------------------------
 
 
@@ -169,11 +204,14 @@ def prune_to_consistent(
     which one must go; ``offered_features(slot, crate, feature)``.
 
     Round 1 drops, per slot, members the index lacks (``absent``), members asked
-    for a feature they do not offer (``feature``), the first rival of each conflict
-    by line and name (``conflict``), and members that need a crate that is no
+    for a feature they do not offer (``feature``), and members that need a crate that is no
     member (``unmet``). Each later round drops the members that needed a crate
-    dropped the round before. All drops of a round are made at once: the first two
-    classes do not depend on their order.
+    dropped the round before. All drops of a round are made at once: their order does not matter.
+
+    Only when a slot has come to rest are its conflicts judged: those of whose rivals none is gone. Of conflicts that share
+    rivals the one with the smallest ``(line_no, crate, conflict_id)`` goes first, and its first rival by line and name is dropped, in the
+    round after the slot's last; what needed it follows. That is repeated until no conflict has all its
+    rivals left. A conflict with a rival that is no member, or with one rival only, is none.
 
     Returns ``(slot, crate, round)``. There is no limit to the rounds; where the caller
     sets ``max_rounds`` and they do not suffice, it is an error.
@@ -200,17 +238,158 @@ def _prune(members, requirements, conflicts, offered_features, max_rounds) -> Da
         asked = requirements.where(F.col("feature").isNotNull()).select("slot", F.col("needs").alias("crate"), "feature")
         missing = asked.join(offered_features, ["slot", "crate", "feature"], "left_anti")
         first = first.unionByName(missing.select(*keys, F.lit("feature").alias("reason")))
-    if conflicts is not None:
-        rank = F.struct("line_no", "crate")
-        picked = conflicts.groupBy("slot", "conflict_id").agg(F.min(rank).alias("pick"))
-        first = first.unionByName(picked.select("slot", F.col("pick.crate").alias("crate"), F.lit("conflict").alias("reason")))
     # A crate that is no member cannot be dropped; only members are seeds.
     seeds = first.join(members.select(*keys), keys, "left_semi").select("slot", F.col("crate").alias("node"))
     edges = needs.select("slot", F.col("crate").alias("src"), F.col("needs").alias("dst")).join(
         alive.select("slot", F.col("crate").alias("src")), ["slot", "src"], "left_semi"
     )
-    dropped = spread(edges, seeds, ["slot"], None if max_rounds is None else max_rounds - 1)
-    return dropped.select("slot", F.col("node").alias("crate"), (F.col("depth") + 1).alias("round"))
+    found = spread(edges, seeds, ["slot"], None if max_rounds is None else max_rounds - 1)
+    dropped = found.select("slot", F.col("node").alias("crate"), (F.col("depth") + 1).alias("round"))
+    if conflicts is None:
+        return dropped
+    rivals = stage(_whole_conflicts(conflicts, members), "rivals")
+    dropped = stage(dropped, "dropped")
+    while True:
+        picked = stage(_judged_conflicts(rivals, dropped), "picked")
+        if picked.isEmpty():
+            return dropped
+        rested = dropped.groupBy("slot").agg(F.max("round").alias("before"))
+        here = edges.join(dropped.select("slot", F.col("crate").alias("src")), ["slot", "src"], "left_anti")
+        more = spread(here, picked.select("slot", F.col("crate").alias("node")), ["slot"])
+        after = more.join(rested, "slot", "left").select(
+            "slot", F.col("node").alias("crate"), (F.coalesce("before", F.lit(0)) + F.col("depth") + 1).alias("round")
+        )
+        dropped = stage(dropped.unionByName(after), "dropped")
+        if max_rounds is not None and not dropped.where(F.col("round") > max_rounds).isEmpty():
+            raise RoundsExceeded(f"not ended after {max_rounds} rounds")
+
+
+def _whole_conflicts(conflicts: DataFrame, members: DataFrame) -> DataFrame:
+    """``(slot, conflict_id, line_no, crate, n)`` of conflicts of ``n`` rivals, two or more, all of them members."""
+    rivals = conflicts.groupBy("slot", "conflict_id", "crate").agg(F.min("line_no").alias("line_no"))
+    held = rivals.join(distinct_keys(members, ["slot", "crate"]).withColumn("here", F.lit(True)), ["slot", "crate"], "left")
+    counts = held.groupBy("slot", "conflict_id", apart(["slot", "conflict_id"])).agg(F.count("*").alias("n"), F.count("here").alias("n_here"))
+    whole = counts.where("n > 1 AND n = n_here").select("slot", "conflict_id", "n")
+    return rivals.join(whole, ["slot", "conflict_id"]).select("slot", "conflict_id", "line_no", "crate", "n")
+
+
+def _judged_conflicts(rivals: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``(slot, crate)``: the rivals to drop now. A live conflict is judged if it comes first among all that share a rival with it."""
+    group = ["slot", "conflict_id"]
+    left = rivals.join(dropped.select("slot", "crate"), ["slot", "crate"], "left_anti")
+    pick = F.min(F.struct("line_no", "crate")).alias("pick")
+    live = left.groupBy(*group, "n").agg(F.count("*").alias("n_left"), pick).where("n = n_left")
+    order = F.struct("pick.line_no", "pick.crate", "conflict_id").alias("order")
+    ordered = left.join(live.select(*group, order, "pick"), group)
+    first = ordered.groupBy("slot", "crate").agg(F.min("order").alias("first"))
+    beaten = ordered.join(first, ["slot", "crate"]).where("first != order").select(*group)
+    return live.join(distinct_keys(beaten, group), group, "left_anti").select("slot", F.col("pick.crate").alias("crate")).distinct()
+
+
+def prune_versions(candidates: DataFrame, requirements: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """``(slot, crate, version, round)``: candidate versions that cannot be used, in the round in which they fall.
+
+    ``candidates(slot, crate, version)``; ``requirements(slot, crate[, version], needs, version_req)``, of one version of a crate, or
+    of all if there is no such column or it is null. A candidate falls when one of its requirements has no candidate left inside its range; a
+    crate is lost when all its candidates are.
+
+    Support is counted: of each distinct range the candidates inside it. In a round the candidates that fell
+    take their support away from the ranges they are in, and the owners of ranges without support fall
+    next. So the pairs of a range and a version are met once at the start and once per fallen
+    version. Each round's tables are written to the shared folder; the driver sees one count per round.
+    """
+    spark = candidates.sparkSession
+    key = ["slot", "crate", "version"]
+    held = stage(candidates.select(*key).distinct().withColumn("v", version_key(F.col("version"))), "candidates")
+    if "version" not in requirements.columns:
+        requirements = requirements.withColumn("version", F.lit(None).cast("string"))
+    asked = with_range(requirements.select("slot", "crate", "version", "needs", "version_req").distinct())
+    asked = stage(asked.select("slot", "crate", "version", "needs", "lo", "hi").distinct(), "requirements")
+    span = ["slot", "needs", "lo", "hi"]
+    # A range is named by a number, since open bounds are null and nulls do not join.
+    ranges = stage(asked.select(*span).distinct().withColumn("range", F.monotonically_increasing_id()), "spans")
+    same = lambda a, b: (F.col(f"{a}.slot") == F.col(f"{b}.slot")) & (F.col(f"{a}.needs") == F.col(f"{b}.needs"))
+    equal = same("a", "r") & F.col("a.lo").eqNullSafe(F.col("r.lo")) & F.col("a.hi").eqNullSafe(F.col("r.hi"))
+    owners = stage(asked.alias("a").join(ranges.alias("r"), equal).select("a.slot", "a.crate", "a.version", "range"), "owners")
+
+    def support(of: DataFrame) -> DataFrame:
+        inside = (F.col("c.slot") == F.col("r.slot")) & (F.col("c.crate") == F.col("r.needs")) & in_range(F.col("c.v"), F.col("r.lo"), F.col("r.hi"))
+        return of.alias("c").join(ranges.alias("r"), inside).groupBy("range").agg(F.count("*").alias("n"))
+
+    full = stage(support(held), "support")
+    failed = ranges.select("range").join(full, "range", "left_anti")
+    fallen, losses, round_no = [], [], 0
+    while True:
+        round_no += 1
+        hit = owners.join(failed, "range", "left_semi").select("slot", "crate", "version").distinct()
+        # A requirement of all versions of a crate, or of one.
+        whole = hit.where("version IS NULL").select("slot", "crate").distinct()
+        single = hit.where("version IS NOT NULL")
+        down = held.join(whole, ["slot", "crate"], "left_semi").unionByName(held.join(single, key, "left_semi")).distinct()
+        for old in fallen:
+            down = down.join(old.select(*key), key, "left_anti")
+        now, path = stage_at(down, "fallen")
+        if now.isEmpty():
+            drop_stage(spark, path)
+            break
+        if max_rounds is not None and round_no > max_rounds:
+            raise RoundsExceeded(f"not ended after {max_rounds} rounds")
+        fallen.append(now.withColumn("round", F.lit(round_no)))
+        lost = stage(support(now), "losses")
+        losses.append(lost)
+        touched = reduce(DataFrame.unionByName, losses).join(lost.select("range"), "range", "left_semi")
+        gone = touched.groupBy("range").agg(F.sum("n").alias("gone"))
+        failed = gone.join(full, "range").where("gone = n").select("range")
+        if len(fallen) > COMPACT_EVERY:
+            fallen = [stage(reduce(DataFrame.unionByName, fallen), "fallen")]
+            losses = [stage(reduce(DataFrame.unionByName, losses).groupBy("range").agg(F.sum("n").alias("n")), "losses")]
+    nothing = held.where("false").select(*key, F.lit(0).alias("round"))
+    return reduce(DataFrame.unionByName, [layer.select(*key, "round") for layer in fallen], nothing)
+
+
+def lost_crates(candidates: DataFrame, fallen: DataFrame) -> DataFrame:
+    """``(slot, crate, round)`` of crates whose every candidate fell, with the round of the last."""
+    keys = ["slot", "crate"]
+    left = candidates.select(*keys, "version").distinct().join(fallen.select(*keys, "version"), [*keys, "version"], "left_anti")
+    return fallen.groupBy(*keys, apart(keys)).agg(F.max("round").alias("round")).select(*keys, "round").join(
+        distinct_keys(left, keys), keys, "left_anti"
+    )
+
+
+def prune_resolved(
+    members: DataFrame,
+    candidates: DataFrame,
+    requirements: DataFrame,
+    conflicts: DataFrame | None = None,
+    offered_features: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Both prunings until neither drops more: dropped ``(slot, crate, round)`` and the candidates left, ``(slot, crate, version)``.
+
+    ``members(slot, crate)``; the others as for ``prune_versions`` and ``prune_to_consistent``. Crates whose candidates all fell are
+    absent from the second pruning, and what that drops takes its candidates from the first. Rounds go on from one pruning to the next.
+    """
+    keys = ["slot", "crate"]
+    of_crates = requirements.where("version IS NULL") if "version" in requirements.columns else requirements
+    asked = of_crates.select(*[c for c in ("slot", "crate", "needs", "feature") if c in of_crates.columns])
+    left = stage(candidates.select(*keys, "version").distinct(), "left")
+    members = stage(members.select(*keys).distinct(), "members")
+    dropped, before = [], 0
+    while True:
+        fallen = stage(prune_versions(left, requirements), "fallen")
+        left = stage(left.join(fallen.select(*keys, "version"), [*keys, "version"], "left_anti"), "left")
+        before = max(before, fallen.agg(F.max("round")).first()[0] or 0)
+        held = distinct_keys(left, keys).withColumn("available", F.lit(True))
+        now = members
+        for old in dropped:
+            now = now.join(old.select(*keys), keys, "left_anti")
+        state = now.join(held, keys, "left").withColumn("available", F.coalesce("available", F.lit(False)))
+        new = prune_to_consistent(stage(state, "state"), asked, conflicts, offered_features)
+        new = stage(new.withColumn("round", (F.col("round") + before).cast("int")), "dropped")
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, dropped, new), left
+        dropped.append(new)
+        before = new.agg(F.max("round")).first()[0]
+        left = stage(left.join(new.select(*keys), keys, "left_anti"), "left")
 
 
 def pruned_list(dropped: DataFrame) -> DataFrame:

@@ -114,3 +114,96 @@ def _unseen(candidates: _Table, seen: DataFrame, keys: Sequence[str]) -> DataFra
         return except_distinct(candidates.rows, seen)
     met = _matched(seen, F.broadcast(candidates.rows), keys, "left_semi")
     return _matched(candidates.rows, F.broadcast(met), keys, "left_anti")
+
+
+def spread_bits(edges: DataFrame, seeds: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Nodes that reach a seed along edges that hold under some conditions, for all conditions at once.
+
+    ``edges(src, dst, bits)`` and ``seeds(node, bits)`` carry sets of up to 63 conditions as bits of a number, beside the ``scope``
+    columns. Returns ``(scope…, node, bits, depth)``: the conditions under which a node first reaches a seed in ``depth`` steps;
+    a node has a row per such depth. A node enters the frontier again with new bits only, so cycles
+    end and one pass serves all conditions. Null nodes are as in ``spread``.
+
+    Candidates are reduced to one row per node before they meet the nodes seen, which are broadcast while
+    they are small by their measured bytes, else grouped with the candidates in a shuffle.
+    """
+    keys = [*scope, "node"]
+    steps = edges.select(*scope, F.col("src").alias("next"), F.col("dst").alias("node"), F.col("bits").alias("on"))
+    steps = steps.where("on != 0").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        start = seeds.groupBy(*keys).agg(F.bit_or("bits").alias("bits")).where("bits != 0").withColumn("depth", F.lit(0))
+        frontier = _Table(start, keys, "frontier")
+        layers, depth = [frontier], 0
+        while frontier.n:
+            now = frontier.rows.select(*keys, "bits")
+            met = steps.join(F.broadcast(now) if frontier.is_small() else now, keys)
+            reached = met.select(*scope, F.col("next").alias("node"), F.col("bits").bitwiseAND(F.col("on")).alias("bits"))
+            reached = reached.where("bits != 0").groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
+            seen = reduce(DataFrame.union, [layer.rows.select(*keys, "bits") for layer in layers])
+            new = _new_bits(reached, seen, keys, small=sum(layer.bytes for layer in layers) <= BROADCAST_BYTES)
+            depth += 1
+            frontier = _Table(new.withColumn("depth", F.lit(depth)), keys, "frontier")
+            layers.append(frontier)
+            if len(layers) > COMPACT_EVERY:
+                whole = _Table(reduce(DataFrame.union, [layer.rows for layer in layers[:-1]]), keys, "seen")
+                for layer in layers[:-1]:
+                    layer.drop()
+                layers = [whole, frontier]
+        return reduce(DataFrame.union, [layer.rows for layer in layers])
+    finally:
+        steps.unpersist()
+
+
+def _new_bits(reached: DataFrame, seen: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """``reached`` without the bits seen before, and without nodes that have none left."""
+    if small:
+        held = seen.groupBy(*keys).agg(F.bit_or("bits").alias("held")).select(*[F.col(k).alias(f"_{k}") for k in keys], "held")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        both = reached.join(F.broadcast(held), same, "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    else:
+        none = F.lit(0).cast("bigint")
+        sides = reached.select(*keys, "bits", none.alias("held")).unionByName(seen.select(*keys, none.alias("bits"), F.col("bits").alias("held")))
+        both = sides.groupBy(*keys).agg(F.bit_or("bits").alias("bits"), F.bit_or("held").alias("held"))
+    fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.col("held")))
+    return both.select(*keys, fresh.alias("bits")).where("bits != 0")
+
+
+def spread_causes(edges: DataFrame, seeds: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Nodes that reach a seed, each with its nearest seed and the step towards it.
+
+    ``edges(src, dst)`` and ``seeds(node)`` with the ``scope`` columns; an edge whose scope is null holds in every scope. Returns
+    ``(scope…, node, depth, cause, via)``: ``cause`` is the nearest seed, ``via`` the next node on the way to it, null for seeds. Of several
+    nearest ones the smallest ``(cause, via)`` counts, by values. Null nodes do not take part.
+
+    All ways of the least length come from the round before, so a node is settled when it is first reached.
+    """
+    keys = [*scope, "node"]
+    steps = edges.select(*[F.col(s).alias(f"of_{s}") for s in scope], F.col("src").alias("next"), F.col("dst").alias("to"))
+    steps = steps.where("next IS NOT NULL AND to IS NOT NULL").persist(StorageLevel.MEMORY_AND_DISK)
+    same = reduce(lambda a, b: a & b, [F.col("to") == F.col("node"), *[F.col(f"of_{s}").isNull() | (F.col(f"of_{s}") == F.col(s)) for s in scope]])
+    try:
+        nothing = F.lit(None).cast(seeds.schema["node"].dataType)
+        start = seeds.select(*keys).where("node IS NOT NULL").distinct()
+        frontier = _Table(start.select(*keys, F.lit(0).alias("depth"), F.col("node").alias("cause"), nothing.alias("via")), keys, "frontier")
+        layers, depth = [frontier], 0
+        while frontier.n:
+            now = frontier.rows.select(*keys, "cause")
+            met = steps.join(F.broadcast(now) if frontier.is_small() else now, same)
+            ways = met.select(*scope, F.col("next"), "cause", F.col("node").alias("via")).withColumnRenamed("next", "node")
+            best = ways.groupBy(*keys).agg(F.min(F.struct("cause", "via")).alias("way"))
+            seen = reduce(DataFrame.union, [layer.rows.select(*keys) for layer in layers])
+            if sum(layer.bytes for layer in layers) <= BROADCAST_BYTES:
+                fresh = _matched(best, F.broadcast(seen), keys, "left_anti")
+            else:
+                fresh = _matched(best, seen, keys, "left_anti")
+            depth += 1
+            frontier = _Table(fresh.select(*keys, F.lit(depth).alias("depth"), "way.cause", "way.via"), keys, "frontier")
+            layers.append(frontier)
+            if len(layers) > COMPACT_EVERY:
+                whole = _Table(reduce(DataFrame.union, [layer.rows for layer in layers[:-1]]), keys, "seen")
+                for layer in layers[:-1]:
+                    layer.drop()
+                layers = [whole, frontier]
+        return reduce(DataFrame.union, [layer.rows for layer in layers])
+    finally:
+        steps.unpersist()

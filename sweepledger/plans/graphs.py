@@ -80,6 +80,64 @@ def blast_radius(spark: SparkSession, root: str) -> DataFrame:
     return G.dependents_closure(_delivery_edges(spark, root), suppliers.unionByName(nations))
 
 
+# Customers again, with platforms: the second dependency holds on one of them only, and each nation's failures are on the list of one.
+PLATFORM_SQL = """edges AS (
+    SELECT c_custkey AS src, c_custkey // 3 AS dst, CAST(NULL AS VARCHAR) AS platform FROM customer
+    UNION SELECT c_custkey, c_custkey // 7, 'os-' || (c_custkey % 4) FROM customer),
+  seeds AS (SELECT 'p' || (c_nationkey % 3) AS platform, c_custkey AS node FROM customer WHERE c_acctbal > 9000),
+  names(platform, other) AS (VALUES ('p0', 'os-0'), ('p1', 'os-1'), ('p2', 'os-2')),
+  own_edges AS (SELECT names.platform, src, dst FROM edges JOIN names ON edges.platform IS NULL OR edges.platform = other),
+  closure(platform, node, depth) AS (
+    SELECT platform, node, 0 FROM seeds
+    UNION SELECT e.platform, src, depth + 1 FROM closure c JOIN own_edges e ON dst = c.node AND e.platform = c.platform AND src <> dst),
+  broken AS (SELECT platform, node, min(depth) AS depth FROM closure GROUP BY platform, node),
+  causes(platform, node, depth, cause, via) AS (
+    SELECT platform, node, 0, node, NULL::BIGINT FROM broken WHERE depth = 0
+    UNION ALL
+    SELECT platform, node, depth, way.cause, way.via FROM (
+      SELECT b.platform, b.node, b.depth, min({'cause': c.cause, 'via': c.node}) AS way
+      FROM causes c JOIN own_edges e ON e.dst = c.node AND e.platform = c.platform
+        JOIN broken b ON b.node = e.src AND b.platform = c.platform AND b.depth = c.depth + 1
+      GROUP BY b.platform, b.node, b.depth))"""
+LISTED = {"p0": ("os-0",), "p1": ("os-1",), "p2": ("os-2",)}
+
+
+def _gated(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    customers = table(spark, root, "customer")
+    always = customers.select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 3").alias("dst"), F.lit(None).cast("string").alias("platform"))
+    some = customers.select("c_custkey", F.expr("c_custkey div 7"), F.concat(F.lit("os-"), F.col("c_custkey") % 4))
+    seeds = customers.where("c_acctbal > 9000").select(F.concat(F.lit("p"), F.col("c_nationkey") % 3).alias("platform"), F.col("c_custkey").alias("node"))
+    return always.union(some), seeds
+
+
+@audit("closure_by_platform", f"WITH RECURSIVE {PLATFORM_SQL} SELECT platform, node, CAST(depth AS INTEGER) AS depth FROM broken")
+def closure_by_platform(spark: SparkSession, root: str) -> DataFrame:
+    return G.closure_by_platform(*_gated(spark, root), LISTED)
+
+
+@audit("nearest_causes", f"WITH RECURSIVE {PLATFORM_SQL} SELECT platform, node, CAST(depth AS INTEGER) AS depth, cause, via FROM causes")
+def nearest_causes(spark: SparkSession, root: str) -> DataFrame:
+    return G.causes_by_platform(*_gated(spark, root), LISTED)
+
+
+@audit(
+    "root_counts",
+    f"""WITH RECURSIVE {PLATFORM_SQL} SELECT platform, cause, count(*) FILTER (depth > 0) AS n_explained,
+      CAST(max(depth) AS INTEGER) AS deepest FROM causes GROUP BY platform, cause""",
+)
+def root_counts(spark: SparkSession, root: str) -> DataFrame:
+    return G.root_counts(G.causes_by_platform(*_gated(spark, root), LISTED))
+
+
+@audit(
+    "unlisted_platforms",
+    f"""WITH RECURSIVE {PLATFORM_SQL} SELECT 'os-3' AS platform, count(*) AS n_edges, CAST(0 AS BIGINT) AS n_seeds
+    FROM customer WHERE c_custkey % 4 = 3 HAVING count(*) > 0""",
+)
+def unlisted_platforms(spark: SparkSession, root: str) -> DataFrame:
+    return G.unlisted_platforms(*_gated(spark, root), LISTED)
+
+
 @audit(
     "dangling_labels",
     """SELECT coalesce(l.k, p.k) AS label, CASE WHEN p.k IS NULL THEN 'dangling' ELSE 'unreferenced' END AS problem
@@ -161,19 +219,25 @@ SLOT_SQL = """members AS (
     WHERE m.crate > 0),
   missing AS (
     SELECT needs.slot, needs.need AS crate FROM needs JOIN part ON p_partkey = needs.need WHERE p_size > 48),
+  first(slot, crate, round) AS (
+    SELECT slot, crate, 1 FROM (SELECT slot, crate FROM members WHERE NOT available UNION SELECT slot, crate FROM missing)
+    UNION SELECT needs.slot, needs.crate, round + 1 FROM first JOIN needs ON needs.slot = first.slot AND need = first.crate),
+  gone AS (SELECT slot, crate, min(round) AS round FROM first GROUP BY slot, crate),
+  rested AS (SELECT slot, max(round) AS before FROM gone GROUP BY slot),
   picked AS (
-    SELECT slot, arg_min(crate, (line_no, crate)) AS crate
-    FROM members JOIN part ON p_partkey = crate WHERE p_brand = 'Brand#5' GROUP BY slot, p_type HAVING count(*) > 1),
-  dropped(slot, crate, round) AS (
-    SELECT slot, crate, 1 FROM (
-      SELECT slot, crate FROM members WHERE NOT available
-      UNION SELECT slot, crate FROM missing UNION SELECT slot, crate FROM picked)
-    UNION SELECT needs.slot, needs.crate, round + 1 FROM dropped JOIN needs ON needs.slot = dropped.slot AND need = dropped.crate)"""
+    SELECT m.slot, arg_min(m.crate, (m.line_no, m.crate)) AS crate
+    FROM members m JOIN part ON p_partkey = m.crate LEFT JOIN gone ON gone.slot = m.slot AND gone.crate = m.crate
+    WHERE p_brand = 'Brand#5' GROUP BY m.slot, p_type HAVING count(*) > 1 AND count(gone.crate) = 0),
+  second(slot, crate, round) AS (
+    SELECT picked.slot, crate, coalesce(before, 0) + 1 FROM picked LEFT JOIN rested ON rested.slot = picked.slot
+    UNION SELECT needs.slot, needs.crate, second.round + 1 FROM second JOIN needs ON needs.slot = second.slot AND need = second.crate
+    WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.slot = needs.slot AND gone.crate = needs.crate)),
+  dropped AS (SELECT * FROM gone UNION ALL SELECT slot, crate, min(round) FROM second GROUP BY slot, crate)"""
 
 
 @audit(
     "prune_slots",
-    f"WITH RECURSIVE {SLOT_SQL} SELECT slot, crate, min(round) AS round FROM dropped GROUP BY slot, crate",
+    f"WITH RECURSIVE {SLOT_SQL} SELECT slot, crate, CAST(round AS INTEGER) AS round FROM dropped",
 )
 def prune_slots(spark: SparkSession, root: str) -> DataFrame:
     """All suppliers at once, with missing features and conflicts."""
@@ -198,6 +262,53 @@ def prune_slots(spark: SparkSession, root: str) -> DataFrame:
     return M.prune_to_consistent(members, needs, conflicts, offered)
 
 
+# Versions: a customer has up to three, by its balance, and some of them need one of the customer with half its key, in a range.
+VERSIONS_SQL = """candidates AS (
+    SELECT c_custkey AS crate, n AS v FROM customer, (VALUES (0), (1), (2)) AS t(n) WHERE c_acctbal > n * 1500 - 500),
+  reqs AS (
+    SELECT c_custkey AS crate, CASE WHEN c_custkey % 5 = 0 THEN 2 END AS v, c_custkey // 2 AS needs,
+      CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS lo, CASE c_custkey % 3 WHEN 0 THEN 1 ELSE 2 END AS hi
+    FROM customer WHERE c_custkey > 0),
+  alive(iter, crate, v) AS (
+    SELECT 0, crate, v FROM candidates
+    UNION ALL
+    SELECT iter + 1, a.crate, a.v FROM alive a ANTI JOIN (
+      SELECT r.crate, r.v FROM reqs r LEFT JOIN alive b ON b.crate = r.needs AND b.v BETWEEN r.lo AND r.hi
+      GROUP BY r.crate, r.v, r.needs, r.lo, r.hi HAVING count(b.crate) = 0) f ON f.crate = a.crate AND (f.v IS NULL OR f.v = a.v)
+    WHERE iter < 24),
+  fallen AS (SELECT crate, v, max(iter) + 1 AS round FROM alive GROUP BY crate, v HAVING max(iter) < 24)"""
+
+
+def _versions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    customers = table(spark, root, "customer")
+    version = lambda n: F.concat(F.lit("1."), n, F.lit(".0"))
+    each = customers.select("c_custkey", "c_acctbal", F.explode(F.array(*map(F.lit, range(3)))).alias("n")).where("c_acctbal > n * 1500 - 500")
+    slot = F.lit("all").alias("slot")
+    crate = F.col("c_custkey").alias("crate")
+    text = F.when(F.col("c_custkey") % 3 == 0, "<1.2").when(F.col("c_custkey") % 3 == 1, "^1.1").otherwise("~1.2, *")
+    of = F.when(F.col("c_custkey") % 5 == 0, version(F.lit(2)))
+    asked = customers.where("c_custkey > 0").select(slot, crate, of.alias("version"), F.expr("c_custkey div 2").alias("needs"), text.alias("version_req"))
+    return each.select(slot, crate, version(F.col("n")).alias("version")), asked
+
+
+@audit(
+    "prune_versions",
+    f"""WITH RECURSIVE {VERSIONS_SQL} SELECT crate, '1.' || v || '.0' AS version, CAST(round AS INTEGER) AS round FROM fallen""",
+)
+def prune_versions(spark: SparkSession, root: str) -> DataFrame:
+    return M.prune_versions(*_versions(spark, root)).select("crate", "version", "round")
+
+
+@audit(
+    "lost_crates",
+    f"""WITH RECURSIVE {VERSIONS_SQL} SELECT crate, CAST(max(round) AS INTEGER) AS round FROM candidates LEFT JOIN fallen USING (crate, v)
+    GROUP BY crate HAVING count(*) = count(round)""",
+)
+def lost_crates(spark: SparkSession, root: str) -> DataFrame:
+    candidates, asked = _versions(spark, root)
+    return M.lost_crates(candidates, M.prune_versions(candidates, asked)).select("crate", "round")
+
+
 # Blame: a customer is a slot, its cheap orders give the manifest, its dear ones the
 # lines of the resolver's log.
 BLAME_SQL = """manifest AS (

@@ -6,12 +6,14 @@ at once, writes its outputs below ``out``, and returns the row that decides.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import DIFF_LINES, IMPACT_KINDS, LINKS_VARIABLE, MAIN_RIG, TARGET_FILE
+from ..fixed_values import DIFF_LINES, IMPACT_KINDS, LINKS_VARIABLE, MAIN_RIG, PLATFORMS, TARGET_FILE
+from ..functions.outcomes import index_is_faithful
+from ..functions.versions import is_prerelease, version_key
 from ..operators import drift as D
 from ..operators import gates as V
 from ..operators import graph as N
@@ -26,7 +28,7 @@ from ..sinks import text as K
 from ..sources import manifests as SM
 from ..sources import sweeps as SS
 from ..sources import targets as ST
-from ..sources.files import read_lines, read_texts, relative_path
+from ..sources.files import read_lines, read_lines_in_order, read_texts, relative_path
 
 
 def sweep(
@@ -97,31 +99,73 @@ def impact(
     return spark.read.text(f"{out}/labels").agg(F.count("*").alias("n_labels")).first()
 
 
-def mint(spark: SparkSession, root: str, slots: Sequence[str], index: str, requirements: str, out: str) -> Row:
+def mint(
+    spark: SparkSession,
+    root: str,
+    slots: Sequence[str],
+    index: str,
+    requirements: str,
+    out: str,
+    config: str | None = None,
+    features: str | None = None,
+    conflicts: str | None = None,
+    gaps: str | None = None,
+) -> Row:
     """Manifests of dated slots: main's dependencies, floated, pruned, at their latest.
 
     ``index`` is a stored ``(crate, version, slot, yanked)`` table, slot being the
-    first that has the version; ``requirements`` a stored ``(slot, crate, needs)``,
-    of direct and transitive crates. ``transitive`` lists crates that are at fault
-    without being direct dependencies, which cannot be pruned from a manifest; the
-    direct dependencies that need them are.
+    first that has the version; ``requirements`` a stored ``(slot, crate, needs[, feature][, version, version_req])``,
+    of direct and transitive crates; with ``version_req`` candidate versions are pruned too and the latest one left is locked. ``features``
+    is a stored ``(slot, crate, feature)`` of what is offered, ``conflicts`` a stored ``(slot, conflict_id, line_no, crate)``. ``config`` is the
+    index's JSON settings: if they do not name the usual host the index is refused, before anything is read from it. ``gaps`` holds the generator's
+    logs, whose lines are written without their prefix.
+
+    ``transitive`` lists crates that are at fault without being direct dependencies, which cannot be pruned from a manifest; the
+    direct dependencies that need them are. ``unread`` lists requirement texts that are not understood, which nothing meets.
     """
+    if config is not None:
+        text = spark.read.text(config, wholetext=True).select(index_is_faithful(F.col("value")).alias("faithful"))
+        if not all(r["faithful"] for r in text.collect()):  # one settings file
+            raise ValueError(f"{config}: not a faithful copy of the index")
     main = SM.read_manifest_deps(spark, root).where(F.col("rig") == MAIN_RIG)
-    floated = M.float_deps(main.drop("rig").withColumn("slot", F.explode(F.array(*[F.lit(s) for s in slots]))))
-    latest = M.era_latest(spark.read.parquet(index), slots).persist()
-    offered = latest.select("slot", "crate", F.lit(True).alias("offered"))
-    members = floated.select("slot", "crate").join(offered, ["slot", "crate"], "full_outer").select(
-        "slot", "crate", F.coalesce("offered", F.lit(False)).alias("available")
-    )
-    needs = spark.read.parquet(requirements).select("slot", "crate", "needs")
-    faulty = M.prune_to_consistent(members, needs)
-    dropped = faulty.join(floated.select("slot", "crate"), ["slot", "crate"], "left_semi")
+    floated = stage(M.float_deps(main.drop("rig").withColumn("slot", F.explode(F.array(*[F.lit(s) for s in slots])))), "floated")
+    needs = spark.read.parquet(requirements)
+    offers = spark.read.parquet(features) if features is not None else None
+    rivals = spark.read.parquet(conflicts) if conflicts is not None else None
+    published = spark.read.parquet(index)
+    ranged = "version_req" in needs.columns
+    direct = floated.select("slot", "crate")
+    if offers is not None:
+        # The manifest itself asks for features too; it is named by an empty crate, which is no member.
+        own = floated.select("slot", F.lit("").alias("crate"), F.col("crate").alias("needs"), F.explode("features").alias("feature"))
+        needs = needs.unionByName(own, allowMissingColumns=True)
+    if ranged:
+        offered = published.where(~F.col("yanked") & ~is_prerelease(F.col("version")))
+        later = F.filter(F.array(*[F.lit(s) for s in slots]), lambda s: s >= F.col("slot"))
+        candidates = offered.select(F.explode(later).alias("slot"), "crate", "version").distinct()
+        members = direct.unionByName(candidates.select("slot", "crate")).distinct()
+        faulty, left = M.prune_resolved(members, candidates, needs, rivals, offers)
+        newest = left.groupBy("slot", "crate").agg(F.max_by("version", version_key(F.col("version"))).alias("version"))
+        M.unread_requirements(needs).write.mode("overwrite").parquet(f"{out}/unread")
+    else:
+        newest = M.era_latest(published, slots)
+    latest = stage(newest, "latest")
+    if not ranged:
+        held = latest.select("slot", "crate", F.lit(True).alias("offered"))
+        members = direct.join(held, ["slot", "crate"], "full_outer").select(
+            "slot", "crate", F.coalesce("offered", F.lit(False)).alias("available")
+        )
+        faulty = M.prune_to_consistent(members, needs, rivals, offers)
+    faulty = stage(faulty, "faulty")
+    dropped = faulty.join(direct, ["slot", "crate"], "left_semi")
     M.direct_dep_guard(faulty, floated).write.mode("overwrite").parquet(f"{out}/transitive")
     kept = floated.join(dropped, ["slot", "crate"], "left_anti")
     K.write_manifests(kept, f"{out}/manifests")
     M.pruned_list(dropped).sort("slot", "round", "crate").write.mode("overwrite").parquet(f"{out}/pruned")
     kept.join(latest, ["slot", "crate"]).select("slot", "crate", "version").write.mode("overwrite").parquet(f"{out}/locks")
-    latest.unpersist()
+    if gaps is not None:
+        told = read_lines_in_order(spark, gaps)
+        G.gap_lines(told.select(F.col("path"), "line_no", "line")).sort("path", "line_no").write.mode("overwrite").parquet(f"{out}/gaps")
     counts = M.package_count(spark.read.parquet(f"{out}/locks"), ["slot"])
     counts.write.mode("overwrite").parquet(f"{out}/counts")
     total = spark.read.parquet(f"{out}/counts").agg(F.coalesce(F.sum("package_count"), F.lit(0)).alias("n_packages"))
@@ -184,23 +228,33 @@ def directives(
     return _write_counted(spark, tables, out)
 
 
-def graph(spark: SparkSession, root: str, known: str, out: str) -> Row:
+def graph(
+    spark: SparkSession, root: str, known: str, out: str, platforms: Mapping[str, Sequence[str]] | None = None
+) -> Row:
     """The dependency graph of all target files below ``root``.
 
-    Writes ``broken`` (all targets that depend on a known failure of any list, with the least distance), ``dangling``
-    (dependencies without a target), ``unreferenced`` (targets nothing depends on) and ``conflicts`` (native
+    Writes ``broken`` (per platform all targets that depend on a known failure of its list, with the least distance), ``causes`` (the nearest
+    such failure of each and the dependency towards it), ``roots`` (how many targets each failure explains), ``unlisted`` (platforms that lists
+    or dependencies name and ``platforms`` does not; by default the lists' own ones with their usual names), ``dangling`` (dependencies without a target), ``unreferenced`` (targets nothing depends on) and ``conflicts`` (native
     libraries that several package versions of a rig claim).
     """
     targets = stage(ST.read_target_graph(spark, root), "targets")
     edges = stage(ST.target_edges(targets), "edges")
-    seeds = SS.read_known_failures(spark, known).select(F.col("label").alias("node"))
+    seeds = stage(SS.read_known_failures(spark, known).select("platform", F.col("label").alias("node")), "seeds")
+    if platforms is None:
+        lists = [r["platform"] for r in seeds.select("platform").distinct().collect()]  # one per list file
+        platforms = {p: PLATFORMS.get(p, ()) for p in sorted(lists)} or PLATFORMS
+    causes = stage(N.causes_by_platform(edges, seeds, platforms), "causes")
     claims = targets.select(
         "rig", F.col("env")[LINKS_VARIABLE].alias("links"), F.coalesce("crate", "name").alias("package"), "version"
     )
     sides = stage(N.dangling_labels(edges.select(F.col("dst").alias("label")), targets.select("label")), "sides")
     sides.where("problem = 'unreferenced'").write.mode("overwrite").parquet(f"{out}/unreferenced")
     tables = {
-        "broken": N.dependents_closure(edges.select("src", "dst").distinct(), seeds),
+        "broken": N.closure_by_platform(edges, seeds, platforms),
+        "causes": causes,
+        "roots": N.root_counts(causes),
+        "unlisted": N.unlisted_platforms(edges, seeds, platforms),
         "dangling": sides.where("problem = 'dangling'").select("label"),
         "conflicts": N.links_conflicts(claims),
     }

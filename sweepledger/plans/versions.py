@@ -194,6 +194,69 @@ def era_latest(spark: SparkSession, root: str) -> DataFrame:
     return M.era_latest(index, _slots_of(lines))
 
 
+# Requirement texts of all forms from the parts' keys and sizes, and the half-open ranges they stand for.
+RANGE_SQL = """numbers AS (SELECT p_partkey AS k, p_partkey % 9 AS form, p_size % 3 AS a, p_partkey % 4 AS b, p_size % 5 AS c FROM part),
+  ranges AS (
+    SELECT k, CASE form
+        WHEN 0 THEN a || '.' || b || '.' || c WHEN 1 THEN '^' || a || '.' || b WHEN 2 THEN '~' || a || '.' || b || '.' || c
+        WHEN 3 THEN '=' || a || '.' || b || '.' || c WHEN 4 THEN '>=' || a || '.' || b || ', <' || (a + 1)
+        WHEN 5 THEN '>' || a || '.' || b WHEN 6 THEN '<=' || a || '.' || b || '.' || c WHEN 7 THEN a || '.*' ELSE '*' END AS req,
+      CASE WHEN form IN (0, 2, 3) THEN a || '.' || b || '.' || c WHEN form IN (1, 4) THEN a || '.' || b || '.0'
+        WHEN form = 5 THEN a || '.' || (b + 1) || '.0' WHEN form = 7 THEN a || '.0.0' END AS lo,
+      CASE
+        WHEN form = 0 THEN CASE WHEN a > 0 THEN (a + 1) || '.0.0' WHEN b > 0 THEN '0.' || (b + 1) || '.0' ELSE '0.0.' || (c + 1) END
+        WHEN form = 1 THEN CASE WHEN a > 0 THEN (a + 1) || '.0.0' ELSE '0.' || (b + 1) || '.0' END
+        WHEN form = 2 THEN a || '.' || (b + 1) || '.0'
+        WHEN form IN (3, 6) THEN a || '.' || b || '.' || (c + 1)
+        WHEN form IN (4, 7) THEN (a + 1) || '.0.0' END AS hi
+    FROM numbers)"""
+
+
+def _requirements(spark: SparkSession, root: str) -> DataFrame:
+    a, b, c = F.col("p_size") % 3, F.col("p_partkey") % 4, F.col("p_size") % 5
+    two, three = F.concat_ws(".", a, b), F.concat_ws(".", a, b, c)
+    forms = [
+        three, F.concat(F.lit("^"), two), F.concat(F.lit("~"), three), F.concat(F.lit("="), three),
+        F.concat(F.lit(">="), two, F.lit(", <"), a + 1), F.concat(F.lit(">"), two), F.concat(F.lit("<="), three), F.concat(a, F.lit(".*")), F.lit("*"),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("p_partkey") % 9 + 1).cast("int"))
+    return table(spark, root, "part").select(F.col("p_partkey").alias("k"), F.concat(crate_name(), F.lit("-"), "p_brand").alias("crate"), text.alias("version_req"))
+
+
+@audit("requirement_ranges", f"WITH {RANGE_SQL} SELECT k, req AS version_req, lo, hi, true AS read FROM ranges")
+def requirement_ranges(spark: SparkSession, root: str) -> DataFrame:
+    ranges = M.with_range(_requirements(spark, root)).drop("crate")
+    return ranges.withColumns({side: F.array_join(F.col(side).cast("array<string>"), ".") for side in ("lo", "hi")})
+
+
+@audit(
+    "latest_in_range",
+    f"""WITH {RANGE_SQL},
+    published AS (
+      SELECT {CRATE_SQL} || '-' || p_brand AS crate, l_linenumber % 4 AS a, CAST(l_suppkey % 5 AS BIGINT) AS b, min(CAST(year(l_shipdate) AS VARCHAR)) AS slot
+      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' GROUP BY ALL),
+    years AS (SELECT DISTINCT CAST(year(l_shipdate) AS VARCHAR) AS era FROM lineitem),
+    asked AS (
+      SELECT DISTINCT {CRATE_SQL} || '-' || p_brand AS crate, req,
+        list_transform(string_split(lo, '.'), lambda x: CAST(x AS BIGINT)) AS lo, list_transform(string_split(hi, '.'), lambda x: CAST(x AS BIGINT)) AS hi
+      FROM ranges JOIN part ON p_partkey = k),
+    ranked AS (
+      SELECT era, crate, req, a, b, row_number() OVER (PARTITION BY era, crate, req ORDER BY a DESC, b DESC) AS r
+      FROM asked JOIN published USING (crate) JOIN years ON slot <= era
+      WHERE (lo IS NULL OR [a, b, 0] >= lo) AND (hi IS NULL OR [a, b, 0] < hi))
+    SELECT era AS slot, crate, req AS version_req, a || '.' || b AS version FROM ranked WHERE r = 1""",
+)
+def latest_in_range(spark: SparkSession, root: str) -> DataFrame:
+    """Line and supplier numbers as versions; returned lines were yanked."""
+    lines = table(spark, root, "lineitem").select(
+        "l_partkey", F.concat_ws(".", F.col("l_linenumber") % 4, F.col("l_suppkey") % 5).alias("version"),
+        (F.col("l_returnflag") == "R").alias("yanked"), year_of("l_shipdate").alias("slot"),
+    )
+    parts = table(spark, root, "part").select("p_partkey", F.concat(crate_name(), F.lit("-"), "p_brand").alias("crate"))
+    index = lines.distinct().join(parts, F.col("l_partkey") == F.col("p_partkey")).select("crate", "version", "yanked", "slot")
+    return M.latest_in_range(index, _requirements(spark, root), _slots_of(lines))
+
+
 # Gates ---------------------------------------------------------------------------
 
 # The sizes of a brand's parts are its versions; per type, from the least to the

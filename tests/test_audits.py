@@ -20,7 +20,7 @@ def test_audit_equals_sql(spark, connection, testdata, name):
     assert compare(spark, connection, testdata, AUDITS[name], ORACLES[name]) is None
 
 
-LOOPS = {"dependents_closure", "blast_radius", "prune_to_consistent", "pruned_list", "prune_slots"}
+LOOPS = {"dependents_closure", "blast_radius", "prune_to_consistent", "pruned_list", "prune_slots", "closure_by_platform", "nearest_causes", "root_counts", "prune_versions", "lost_crates"}
 
 
 @pytest.mark.parametrize("name", sorted(set(AUDITS) - LOOPS))

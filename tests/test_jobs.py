@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from frames import as_set
 from test_sources import TARGETS, write
 
@@ -92,6 +93,31 @@ def test_mint(spark, tmp_path):
     assert ("2025-05", "a", "1.0.10") in as_set(spark.read.parquet(f"{out}/locks"))
 
 
+def test_mint_with_ranges_features_and_conflicts(spark, tmp_path):
+    manifest = '[dependencies]\n' + "".join(f'{c} = "1"\n' for c in ("app", "lib", "rival1", "rival2")) + 'plain = { version = "1", features = ["big"] }\n'
+    root = write(tmp_path / "repo", {"third-party/Cargo.toml": manifest})
+    stored = {name: str(tmp_path / name) for name in ("index", "needs", "features", "conflicts")}
+    versions = [("app", "1.0.0"), ("lib", "1.0.0"), ("lib", "2.0.0"), ("rival1", "1.0.0"), ("rival2", "1.0.0"), ("plain", "1.0.0")]
+    spark.createDataFrame([(c, v, "2024-11", False) for c, v in versions], "crate STRING, version STRING, slot STRING, yanked BOOLEAN").write.parquet(stored["index"])
+    asked = [("2024-11", "lib", "2.0.0", "app", ">=2"), ("2024-11", "app", None, "lib", "<2"), ("2024-11", "app", None, "lib", "odd")][:2]
+    spark.createDataFrame(asked, "slot STRING, crate STRING, version STRING, needs STRING, version_req STRING").write.parquet(stored["needs"])
+    spark.createDataFrame([("2024-11", "plain", "small")], "slot STRING, crate STRING, feature STRING").write.parquet(stored["features"])
+    rivals = [("2024-11", 1, 1, "rival1"), ("2024-11", 1, 2, "rival2")]
+    spark.createDataFrame(rivals, "slot STRING, conflict_id INT, line_no INT, crate STRING").write.parquet(stored["conflicts"])
+    config = write(tmp_path / "c", {"good.json": '{"dl": "https://static.crates.io/x"}', "bad.json": '{"dl": "https://elsewhere"}'})
+    logs = write(tmp_path / "logs", {"one.log": "12:00 fixups] lib: no section\n"})
+    rest = (stored["features"], stored["conflicts"], logs)
+    with pytest.raises(ValueError, match="faithful"):
+        jobs.mint(spark, root, ["2024-11"], stored["index"], stored["needs"], str(tmp_path / "no"), f"{config}/bad.json", *rest)
+    assert not (tmp_path / "no").exists()
+    out = tmp_path / "out"
+    jobs.mint(spark, root, ["2024-11"], stored["index"], stored["needs"], str(out), f"{config}/good.json", *rest)
+    assert as_set(spark.read.parquet(f"{out}/locks")) == {("2024-11", "app", "1.0.0"), ("2024-11", "lib", "1.0.0"), ("2024-11", "rival2", "1.0.0")}
+    assert {r["crate"] for r in spark.read.parquet(f"{out}/pruned").collect()} == {"plain", "rival1"}
+    assert [r["line"] for r in spark.read.parquet(f"{out}/gaps").collect()] == ["  lib: no section"]
+    assert spark.read.parquet(f"{out}/unread").count() == 0
+
+
 def test_drift(spark, tmp_path):
     changed = TARGETS.replace('edition = "2021"', 'edition = "2024"')
     kept = write(tmp_path / "kept", {"main/BUCK": TARGETS, "rig/BUCK": TARGETS})
@@ -179,7 +205,7 @@ def test_graph(spark, tmp_path):
     known = write(tmp_path / "ci", {"expected-failures-L.txt": "fixups//sys:one.lib\n"})
     out = str(tmp_path / "out")
     row = jobs.graph(spark, root, known, out)
-    assert row.asDict() == {"n_broken": 2, "n_dangling": 1, "n_conflicts": 2}
-    assert as_set(spark.read.parquet(f"{out}/broken")) == {("fixups//sys:one.lib", 0), ("fixups//rig:a", 1)}
+    assert row.asDict() == {"n_broken": 2, "n_causes": 2, "n_roots": 1, "n_unlisted": 0, "n_dangling": 1, "n_conflicts": 2}
+    assert as_set(spark.read.parquet(f"{out}/broken")) == {("L", "fixups//sys:one.lib", 0), ("L", "fixups//rig:a", 1)}
     assert as_set(spark.read.parquet(f"{out}/dangling")) == {("fixups//rig:gone",)}
     assert "fixups//sys:two.lib" in {r["label"] for r in spark.read.parquet(f"{out}/unreferenced").collect()}

@@ -285,7 +285,7 @@ def phrase_counts(
     docs: DataFrame, longest: int = 5, least: int = 100, unknown: str = "und", block_words: int = BLOCK_WORDS
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, width, phrase, f)`` of all phrases of up to ``longest`` words that occur ``least`` times or more, and ``(lang, n)``, all words."""
-    blocks, path = stage_at(word_blocks(docs, unknown, block_words), "word-blocks")
+    blocks, path = stage_at(word_blocks(docs, unknown, block_words), "word-blocks", compression="zstd")
     levels, bitmap, words, hot, n_words = [], None, None, set(), 0
     for width in range(1, longest + 1):
         entries = stage(merge_stripes(stripes(blocks, width, bitmap, hot), least, rest=width == 1), "stripes")

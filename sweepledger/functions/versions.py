@@ -37,7 +37,7 @@ def is_read(gate: Column) -> Column:
 
 
 def parse_version_gate(gate: Column) -> Column:
-    """Bounds of a gate's version test.
+    """Bounds of a gate's version test, if it has one of the usual forms. Gates of any form are read as clauses, see ``operators.gates``.
 
     ``>=a``, ``<b``, both, or ``=a``; an open side is null. ``exact`` marks ``=a``,
     ``version_only`` a gate that tests nothing else. Null when no version is tested.
@@ -132,38 +132,3 @@ def in_range(key: Column, lo: Column, hi: Column) -> Column:
 def within(key: Column, lo: Column, hi: Column, hi_inc: Column) -> Column:
     """``key`` lies in ``[lo, hi)``, or ``[lo, hi]`` when ``hi_inc``; null is open."""
     return (lo.isNull() | (key >= lo)) & (hi.isNull() | (key < hi) | (hi_inc & (key == hi)))
-
-
-def gate_holds(
-    gate: Column,
-    target_os: Column,
-    target_arch: Column,
-    target_env: Column,
-    version_matches: Column | None = None,
-) -> Column:
-    """Evaluate a gate of ``all``/``any`` over platform and version tests.
-
-    Every test is first replaced by T or F; then the innermost ``all(...)`` and
-    ``any(...)`` are reduced, once per opening bracket, which reaches any depth.
-    A null gate always holds, one that is not understood never. ``version_matches`` says how the version test came
-    out; without it the version test counts as true, so that the result is the
-    platform half of the gate.
-    """
-    version = F.lit(True) if version_matches is None else F.coalesce(version_matches, F.lit(False))
-    text = F.regexp_replace(gate, F.lit(r'version\s*=\s*"[^"]*"'), F.when(version, F.lit("T")).otherwise(F.lit("F")))
-    for name, value in (("target_os", target_os), ("target_arch", target_arch), ("target_env", target_env)):
-        test = F.concat(F.lit(name + r'\s*=\s*"\Q'), F.coalesce(value, F.lit("")), F.lit(r'\E"'))
-        text = F.regexp_replace(text, test, F.lit("T"))
-        text = F.regexp_replace(text, name + r'\s*=\s*"[^"]*"', "F")
-    text = F.regexp_replace(text, r"\s+", "")
-
-    def reduce_innermost(acc: Column, _: Column) -> Column:
-        acc = F.regexp_replace(acc, r"all\((?:T,?)*\)", "T")
-        acc = F.regexp_replace(acc, r"any\((?:F,?)*\)", "F")
-        acc = F.regexp_replace(acc, r"all\([TF,]*F[TF,]*\)", "F")
-        acc = F.regexp_replace(acc, r"any\([TF,]*T[TF,]*\)", "T")
-        return F.regexp_replace(acc, r"cfg\(([TF])\)", "$1")
-
-    depth = F.greatest(F.lit(1), F.length(F.regexp_replace(gate, r"[^(]", "")))
-    result = F.aggregate(F.sequence(F.lit(1), depth), text, reduce_innermost)
-    return F.when(gate.isNull(), F.lit(True)).otherwise((result == "T") & is_read(gate))

@@ -210,18 +210,25 @@ def directives(
 
     Reads directive files below ``root`` and locks below ``locks``. Writes ``effective`` (what is in force per
     rig, crate, version and platform), ``dead`` (gates no resolved version is in), ``uncovered`` (versions
-    of gated crates that no exact gate covers), ``unused`` (crates that no rig has) and ``unread`` (gates that are not understood;
-    the one thing that fails the audit, the others are reports).
+    of gated crates that no exact gate covers), ``gaps`` and ``overlaps`` (of the version ranges of each crate's gates), ``shadowed``
+    (sections that a later one overrules wherever they hold), ``unused`` (crates that no rig has) and ``unread`` (gates that are not
+    understood; the one thing that fails the audit, the others are reports).
     """
     given = stage(SM.read_fixup_directives(spark, root), "directives")
     resolved = stage(SM.read_lock_packages(spark, locks), "resolved")
     keyed = V.with_version_key(resolved)
-    gates = V.with_bounds(given.where("gate IS NOT NULL").select("crate", "gate").distinct())
-    tested = gates.where("lo IS NOT NULL OR hi IS NOT NULL")
+    ranges = stage(V.gate_ranges(given), "gates")
+    alone = V.clause_table(given).where("read").groupBy("gate").agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("tests").alias("tests"))
+    keyed_sections = given.where("key IS NOT NULL").select("rig_scope", "crate", "key", "section_no", "gate").distinct()
+    sections = keyed_sections.join(alone, "gate", "left").where("gate IS NULL OR n = 1")
+    sections = sections.withColumn("tests", F.to_json(F.sort_array(F.coalesce("tests", F.array().cast("array<struct<attr:string,value:string>>")))))
     tables = {
         "effective": V.effective_directives(given, resolved, platforms),
-        "dead": V.dead_gates(tested, keyed).select("crate", "gate"),
-        "uncovered": V.uncovered_versions(keyed, tested.where("exact")),
+        "dead": V.dead_of_clauses(ranges, keyed),
+        "uncovered": V.uncovered_versions(keyed, ranges.where("exact")),
+        "gaps": V.coverage_gaps(ranges),
+        "overlaps": V.coverage_overlaps(ranges),
+        "shadowed": V.shadowed_sections(sections, ["rig_scope", "crate", "key", "tests"]),
         "unused": V.unused_fixups(given, resolved),
         "unread": V.unread_gates(given, ["rig_scope", "crate"]),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.versions import gate_holds, is_prerelease, version_key
+from ..functions.versions import is_prerelease, version_key
 from ..operators import gates as V
 from ..operators import manifests as M
 from ..session import stage
@@ -365,7 +365,18 @@ def version_order(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-# Platform gates over the documents: language, source and length as platform.
+# Gates over the documents: language, source and length as platform, length as version too.
+GATES = {
+    "simple": 'cfg(target_os = "en")',
+    "both_hold": 'cfg(all(target_os = "en", target_arch = "src1"))',
+    "nested": 'cfg(all(target_os = "en", any(target_arch = "src1", target_arch = "src2")))',
+    "deep": 'cfg(any(target_os = "fr", all(target_arch = "src3", any(target_env = "long", target_os = "de"))))',
+    "with_version": 'cfg(all(version = ">=1.0", target_os = "en"))',
+    "two_versions": 'cfg(any(version = "<1", all(version = ">=1.2, <2", target_os = "de"), all(version = "^1", version = "~1.5", target_arch = "src4")))',
+    "ungated": None,
+}
+
+
 @audit(
     "platform_gate",
     """SELECT doc_id,
@@ -374,26 +385,68 @@ def version_order(spark: SparkSession, root: str) -> DataFrame:
       lang = 'en' AND (source = 'src1' OR source = 'src2') AS nested,
       lang = 'fr' OR (source = 'src3' AND (n_chars > 1000 OR lang = 'de')) AS deep,
       lang = 'en' AND n_chars > 1000 AS with_version,
+      n_chars <= 1000 OR lang = 'de' OR source = 'src4' AS two_versions,
       true AS ungated
     FROM documents""",
 )
 def platform_gate(spark: SparkSession, root: str) -> DataFrame:
+    """Every document against every gate: its language, source and length are a platform, of which there are few."""
     size = F.when(F.col("n_chars") > 1000, "long").otherwise("short")
+    key = F.concat_ws("|", "lang", "source", size)
+    docs = table(spark, root, "documents").select("doc_id", "lang", "source", size.alias("size"), key.alias("platform"))
+    facts = F.array(*[F.struct(F.lit(a).alias("attr"), F.col(c).alias("value")) for a, c in zip(("target_os", "target_arch", "target_env"), ("lang", "source", "size"))])
+    attributes = docs.select("platform", "lang", "source", "size").distinct().select("platform", F.inline(facts))
+    texts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(g).cast("string").alias("gate")) for n, g in GATES.items()])
+    rows = docs.select("doc_id", "platform", version_key(F.when(F.col("size") == "long", "1.5.0").otherwise("0.1.0")).alias("v"), F.inline(texts))
+    gates = spark.createDataFrame([(g,) for g in GATES.values()], "gate STRING")
+    held = V.holding(rows, stage(V.clause_platforms(V.clause_table(gates), attributes), "clauses"))
+    return held.groupBy("doc_id").agg(*[F.bool_or(F.col("name") == n).alias(n) for n in GATES])
 
-    def holds(gate: str | None, version=None):
-        return gate_holds(F.lit(gate).cast("string"), F.col("lang"), F.col("source"), size, version)
-
-    return table(spark, root, "documents").select(
-        "doc_id",
-        holds('cfg(target_os = "en")').alias("simple"),
-        holds('cfg(all(target_os = "en", target_arch = "src1"))').alias("both_hold"),
-        holds('cfg(all(target_os = "en", any(target_arch = "src1", target_arch = "src2")))').alias("nested"),
-        holds(
-            'cfg(any(target_os = "fr", all(target_arch = "src3", any(target_env = "long", target_os = "de"))))'
-        ).alias("deep"),
-        holds('cfg(all(version = ">=1.0", target_os = "en"))', F.col("n_chars") > 1000).alias("with_version"),
-        holds(None).alias("ungated"),
-    )
+
+# The gates of all parts of a brand and type are one crate's: sizes by five keys apart, and from each up to where its price says.
+COVERAGE_SQL = """spans AS (
+    SELECT DISTINCT p_brand || p_type AS crate, p_size AS lo, p_size + 1 + p_partkey % 4 AS hi FROM part WHERE p_partkey % 3 < 2),
+  reached AS (SELECT *, max(hi) OVER (PARTITION BY crate ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM spans)"""
+
+
+def _brand_gates(spark: SparkSession, root: str) -> DataFrame:
+    parts = table(spark, root, "part").where("p_partkey % 3 < 2")
+    gate = F.format_string('cfg(all(version = ">=%d, <%d", target_os = "linux"))', "p_size", F.col("p_size") + 1 + F.col("p_partkey") % 4)
+    return V.gate_ranges(parts.select(F.concat("p_brand", "p_type").alias("crate"), gate.alias("gate")))
+
+
+def _majors(ranges: DataFrame) -> DataFrame:
+    return ranges.select("crate", *[F.col(side)[0].alias(side) for side in ("lo", "hi")])
+
+
+@audit("coverage_gaps", f"WITH {COVERAGE_SQL} SELECT crate, CAST(reached AS BIGINT) AS lo, CAST(lo AS BIGINT) AS hi FROM reached WHERE reached < lo")
+def coverage_gaps(spark: SparkSession, root: str) -> DataFrame:
+    return _majors(V.coverage_gaps(_brand_gates(spark, root)))
+
+
+@audit(
+    "coverage_overlaps",
+    f"WITH {COVERAGE_SQL} SELECT crate, CAST(lo AS BIGINT) AS lo, CAST(least(reached, hi) AS BIGINT) AS hi FROM reached WHERE reached > lo",
+)
+def coverage_overlaps(spark: SparkSession, root: str) -> DataFrame:
+    return _majors(V.coverage_overlaps(_brand_gates(spark, root)))
+
+
+@audit(
+    "shadowed_sections",
+    """WITH s AS (SELECT DISTINCT o_custkey AS crate, o_orderpriority AS key, o_orderkey AS section_no, o_orderkey % 7 AS lo, o_orderkey % 7 + 1 + o_orderkey % 3 AS hi FROM orders)
+    SELECT DISTINCT crate, key, section_no FROM s a WHERE EXISTS (
+      SELECT 1 FROM s b WHERE b.crate = a.crate AND b.key = a.key AND b.section_no > a.section_no AND b.lo <= a.lo AND b.hi >= a.hi)""",
+)
+def shadowed_sections(spark: SparkSession, root: str) -> DataFrame:
+    """A customer's orders are sections, their keys give the versions they are for."""
+    bound = lambda n: F.array(n.cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    low = F.col("o_orderkey") % 7
+    sections = table(spark, root, "orders").select(
+        F.col("o_custkey").alias("crate"), F.col("o_orderpriority").alias("key"), F.col("o_orderkey").alias("section_no"),
+        bound(low).alias("lo"), bound(low + 1 + F.col("o_orderkey") % 3).alias("hi"),
+    )
+    return V.shadowed_sections(sections)
 
 
 @audit(

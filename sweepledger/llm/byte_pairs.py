@@ -50,6 +50,23 @@ class Known(dict):
             self.held += ENTRY_BYTES + len(text) + len(ids)
 
 
+def pack(ids: list[int]) -> bytes:
+    return PACKERS[len(ids)](*ids) if len(ids) < len(PACKERS) else struct.pack(f"<{len(ids)}i", *ids)
+
+
+# Of up to 16 ids, with formats read once.
+PACKERS = [struct.Struct(f"<{n}i").pack for n in range(17)]
+
+
+def places_of_none(items: list) -> list[int]:
+    found: list[int] = []
+    try:
+        while True:
+            found.append(items.index(None, found[-1] + 1 if found else 0))
+    except ValueError:
+        return found
+
+
 class BytePairs:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,6 +80,7 @@ class BytePairs:
         self.size = self.library.get_vocab_size()
         self.model = self.library.model
         self.letters = byte_letters()
+        self.space = chr(self.letters[0x20])
         self.parts, self.words = Known(), Known()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -75,7 +93,7 @@ class BytePairs:
             self.parts, self.words = Known(), Known()
         known = self.words.get
         out: list[bytes] = [b""] * len(texts)
-        cut: dict[int, tuple[list[str], list[bytes | None]]] = {}
+        cut: dict[int, tuple[list[str], list[bytes | None], list[int]]] = {}
         new: set[str] = set()
         whole: dict[int, str] = {}
         for i, text in enumerate(texts):
@@ -85,27 +103,27 @@ class BytePairs:
             words = text.split(" ")
             ids = list(map(known, words))
             whole[i] = words[0]  # no space before it
-            cut[i] = (words, ids)
-            if None in ids:
-                new.update([w for w, x in zip(words, ids) if x is None])
+            ids[0] = b""
+            missing = places_of_none(ids)
+            new.update([words[k] for k in missing])
+            cut[i] = (words, ids, missing)
         odd = {w for w in new if not w or BLANKS.match(w)}
-        for i, (words, ids) in cut.items():
-            if None in ids and not odd.isdisjoint(words[1:]):
-                whole[i] = texts[i]
+        if odd:
+            for i, (words, _, missing) in cut.items():
+                if missing and not odd.isdisjoint([words[k] for k in missing]):
+                    whole[i] = texts[i]
         spaced = list(new - odd)
         first = dict(zip(whole, self._by_parts(list(whole.values()))))
         added = dict(zip(spaced, self._by_parts([" " + w for w in spaced])))
         for word, ids in added.items():
             self.words.keep(word, ids)
-        for i, (words, ids) in cut.items():
+        for i, (words, ids, missing) in cut.items():
             if whole[i] is texts[i]:
                 out[i] = first[i]
                 continue
             ids[0] = first[i]
-            if None in ids:
-                ids[1:] = map(known, words[1:])
-            if None in ids:  # long ones, which are not kept
-                ids = [added[w] if x is None else x for w, x in zip(words, ids)]
+            for k in missing:
+                ids[k] = added[words[k]]
             out[i] = b"".join(ids)
         return out
 
@@ -129,12 +147,15 @@ class BytePairs:
         rest = []
         for part in parts:
             if SINGLE.fullmatch(part):
-                tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-                done[part] = struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
+                if part.isascii():  # printable letters stand for themselves
+                    spelt = self.space + part[1:] if part[0] == " " else part
+                else:
+                    spelt = part.encode().decode("latin-1").translate(self.letters)
+                done[part] = pack([t.id for t in self.model.tokenize(spelt)])
             else:
                 rest.append(part)
         for part, encoded in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            done[part] = struct.pack(f"<{len(encoded.ids)}i", *encoded.ids)
+            done[part] = pack(encoded.ids)
         return done
 
 

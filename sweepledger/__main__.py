@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     drift.add_argument("--regenerated", required=True)
     drift.add_argument("--output", required=True, help="stored table (rig, line)")
     drift.add_argument("--runs", required=True, help="stored table (rig, tool_failed)")
+    drift.add_argument("--no-check", action="store_true", help="what the tool writes and drift fail no rig")
 
     directives = names.add_parser("directives", help="directive files against what the rigs resolved")
     directives.add_argument("--root", required=True)
@@ -61,6 +62,7 @@ def parser() -> argparse.ArgumentParser:
         sync = names.add_parser(name, help=text)
         sync.add_argument("source")
         sync.add_argument("target")
+        sync.add_argument("--copy", action="store_true", help="copy the files, not only list them")
 
     for job in names.choices.values():
         job.add_argument("--out", required=True)
@@ -82,17 +84,17 @@ def main(argv: list[str] | None = None) -> int:
         failed = False
     elif given.job == "drift":
         output, runs = spark.read.parquet(given.output), spark.read.parquet(given.runs)
-        row = jobs.drift(spark, given.committed, given.regenerated, output, runs, given.out)
+        row = jobs.drift(spark, given.committed, given.regenerated, output, runs, given.out, not given.no_check)
         failed = row["failed"]
     elif given.job == "directives":
         platforms = [tuple((p.split(",") + [""] * 3)[:4]) for p in given.platforms]
         row = jobs.directives(spark, given.root, given.locks, given.out, platforms)
-        failed = row["n_unread"] > 0
+        failed = row["n_unread"] + row["n_errors"] > 0
     elif given.job == "graph":
         row = jobs.graph(spark, given.root, given.known, given.out)
-        failed = row["n_dangling"] + row["n_conflicts"] > 0
+        failed = row["n_dangling"] + row["n_conflicts"] + row["n_errors"] > 0
     else:
-        row = getattr(jobs, given.job)(spark, given.source, given.target, given.out)
+        row = getattr(jobs, given.job)(spark, given.source, given.target, given.out, given.copy)
         failed = False
     print(row)
     return int(failed)

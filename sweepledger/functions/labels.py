@@ -60,11 +60,13 @@ def scope_regex(pattern: Column, cell: str = LABEL_CELL) -> Column:
     ``//P:x`` covers that one target.
     """
     label = F.concat(F.lit(f"{cell}//"), F.regexp_replace(pattern, "^//", ""))
+    # Letters of the path stand for themselves.
+    plain = lambda text: F.regexp_replace(text, r"([.+*?()\[\]{}|^$\\])", r"\\$1")
     return (
-        F.when(pattern.endswith("/..."), F.concat(F.lit("^"), F.regexp_replace(label, r"/\.\.\.$", ""), F.lit("[/:]")))
-        .when(pattern.endswith(":"), F.concat(F.lit("^"), label))
-        .when(pattern.contains(":"), F.concat(F.lit("^"), label, F.lit("$")))
-        .otherwise(F.concat(F.lit("^"), label, F.lit("[/:]")))
+        F.when(pattern.endswith("/..."), F.concat(F.lit("^"), plain(F.regexp_replace(label, r"/\.\.\.$", "")), F.lit("[/:]")))
+        .when(pattern.endswith(":"), F.concat(F.lit("^"), plain(label)))
+        .when(pattern.contains(":"), F.concat(F.lit("^"), plain(label), F.lit("$")))
+        .otherwise(F.concat(F.lit("^"), plain(label), F.lit("[/:]")))
     )
 
 

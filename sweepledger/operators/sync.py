@@ -41,3 +41,8 @@ def refresh_status(source: DataFrame, target: DataFrame) -> DataFrame:
     """``Copied`` or ``NoSource`` per target crate."""
     crates = membership(source, target, ["crate"], ("in_source", "in_target")).where("in_target")
     return crates.select("crate", F.when(F.col("in_source"), "Copied").otherwise("NoSource").alias("status"))
+
+
+def changed_members(wanted: DataFrame, target: DataFrame) -> DataFrame:
+    """Members a target should have and has not, or with other content; none once they were copied."""
+    return wanted.select(*MEMBER).join(target.select(*MEMBER).distinct(), list(MEMBER), "left_anti")

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import DIFF_LINES, IMPACT_KINDS, LINKS_VARIABLE, MAIN_RIG, PLATFORMS, TARGET_FILE
+from ..fixed_values import DIFF_LINES, DIRECTIVE_FILE, IMPACT_KINDS, LINKS_VARIABLE, LOCK_FILE, MAIN_RIG, MANIFEST_FILE, PLATFORMS, TARGET_FILE
 from ..functions.outcomes import index_is_faithful
 from ..functions.versions import is_prerelease, version_key
 from ..operators import drift as D
@@ -25,6 +25,7 @@ from ..operators import sync as S
 from ..operators.setops import distinct_keys
 from ..session import stage
 from ..sinks import text as K
+from ..sinks.files import copy_members
 from ..sources import manifests as SM
 from ..sources import sweeps as SS
 from ..sources import targets as ST
@@ -118,7 +119,7 @@ def mint(
     of direct and transitive crates; with ``version_req`` candidate versions are pruned too and the latest one left is locked. ``features``
     is a stored ``(slot, crate, feature)`` of what is offered, ``conflicts`` a stored ``(slot, conflict_id, line_no, crate)``. ``config`` is the
     index's JSON settings: if they do not name the usual host the index is refused, before anything is read from it. ``gaps`` holds the generator's
-    logs, whose lines are written without their prefix.
+    logs, whose lines are written without their prefix. A manifest that cannot be read is an error: nothing would be minted from it.
 
     ``transitive`` lists crates that are at fault without being direct dependencies, which cannot be pruned from a manifest; the
     direct dependencies that need them are. ``unread`` lists requirement texts that are not understood, which nothing meets.
@@ -127,6 +128,9 @@ def mint(
         text = spark.read.text(config, wholetext=True).select(index_is_faithful(F.col("value")).alias("faithful"))
         if not all(r["faithful"] for r in text.collect()):  # one settings file
             raise ValueError(f"{config}: not a faithful copy of the index")
+    broken = SM.file_errors(spark, f"{root}/{MAIN_RIG}", [MANIFEST_FILE]).where(F.col("source") == MANIFEST_FILE).collect()  # one file
+    if broken:
+        raise ValueError(f"{root}/{MAIN_RIG}/{MANIFEST_FILE}: {broken[0]['error']}")
     main = SM.read_manifest_deps(spark, root).where(F.col("rig") == MAIN_RIG)
     floated = stage(M.float_deps(main.drop("rig").withColumn("slot", F.explode(F.array(*[F.lit(s) for s in slots])))), "floated")
     needs = spark.read.parquet(requirements)
@@ -173,9 +177,9 @@ def mint(
 
 
 def drift(
-    spark: SparkSession, committed: str, regenerated: str, output: DataFrame, runs: DataFrame, out: str
+    spark: SparkSession, committed: str, regenerated: str, output: DataFrame, runs: DataFrame, out: str, check: bool = True
 ) -> Row:
-    """Status of every rig, and the records that differ.
+    """Status of every rig, and the records that differ. Outside ``check`` mode output of the tool alone fails no rig.
 
     ``runs(rig, tool_failed)`` and ``output(rig, line)`` come from regenerating.
     """
@@ -184,7 +188,7 @@ def drift(
         texts = read_texts(spark, root, TARGET_FILE).select(relative_path(F.col("path"), root).alias("path"), "content")
         return texts.select(F.regexp_replace("path", f"/?{TARGET_FILE}$", "").alias("rig"), F.sha2("content", 256).alias("content_hash"))
 
-    D.rig_status(runs, output, D.drift_of_files(files(committed), files(regenerated))).write.mode("overwrite").parquet(
+    D.rig_status(runs, output, D.drift_of_files(files(committed), files(regenerated)), check).write.mode("overwrite").parquet(
         f"{out}/rigs"
     )
     # A map cannot be compared, so records are compared by their JSON. Each file is parsed once.
@@ -212,7 +216,7 @@ def directives(
     rig, crate, version and platform), ``dead`` (gates no resolved version is in), ``uncovered`` (versions
     of gated crates that no exact gate covers), ``gaps`` and ``overlaps`` (of the version ranges of each crate's gates), ``shadowed``
     (sections that a later one overrules wherever they hold), ``unused`` (crates that no rig has) and ``unread`` (gates that are not
-    understood; the one thing that fails the audit, the others are reports).
+    understood) and ``errors`` (files that cannot be read; only these two fail the audit, the others are reports).
     """
     given = stage(SM.read_fixup_directives(spark, root), "directives")
     resolved = stage(SM.read_lock_packages(spark, locks), "resolved")
@@ -231,6 +235,7 @@ def directives(
         "shadowed": V.shadowed_sections(sections, ["rig_scope", "crate", "key", "tests"]),
         "unused": V.unused_fixups(given, resolved),
         "unread": V.unread_gates(given, ["rig_scope", "crate"]),
+        "errors": SM.file_errors(spark, root, [DIRECTIVE_FILE]).unionByName(SM.file_errors(spark, locks, [LOCK_FILE])),
     }
     return _write_counted(spark, tables, out)
 
@@ -243,7 +248,7 @@ def graph(
     Writes ``broken`` (per platform all targets that depend on a known failure of its list, with the least distance), ``causes`` (the nearest
     such failure of each and the dependency towards it), ``roots`` (how many targets each failure explains), ``unlisted`` (platforms that lists
     or dependencies name and ``platforms`` does not; by default the lists' own ones with their usual names), ``dangling`` (dependencies without a target), ``unreferenced`` (targets nothing depends on) and ``conflicts`` (native
-    libraries that several package versions of a rig claim).
+    libraries that several package versions of a rig claim) and ``errors`` (target files that cannot be read).
     """
     targets = stage(ST.read_target_graph(spark, root), "targets")
     edges = stage(ST.target_edges(targets), "edges")
@@ -264,6 +269,7 @@ def graph(
         "unlisted": N.unlisted_platforms(edges, seeds, platforms),
         "dangling": sides.where("problem = 'dangling'").select("label"),
         "conflicts": N.links_conflicts(claims),
+        "errors": ST.file_errors(spark, root),
     }
     return _write_counted(spark, tables, out)
 
@@ -274,18 +280,22 @@ def _write_counted(spark: SparkSession, tables: dict[str, DataFrame], out: str)
     return Row(**{f"n_{name}": spark.read.schema(rows.schema).parquet(f"{out}/{name}").count() for name, rows in tables.items()})
 
 
-def extend(spark: SparkSession, source: str, target: str, out: str) -> Row:
-    """Members the target has after every crate it lacks was copied; status per crate."""
-    return _sync(spark, source, target, out, S.insert_if_absent, S.insert_status)
+def extend(spark: SparkSession, source: str, target: str, out: str, copy: bool = False) -> Row:
+    """Members the target has after every crate it lacks was copied; status per crate. With ``copy`` the files are copied too."""
+    return _sync(spark, source, target, out, S.insert_if_absent, S.insert_status, copy)
 
 
-def refresh(spark: SparkSession, source: str, target: str, out: str) -> Row:
-    """Members the target has after its own crates were refreshed; status per crate."""
-    return _sync(spark, source, target, out, S.refresh_matched, S.refresh_status)
+def refresh(spark: SparkSession, source: str, target: str, out: str, copy: bool = False) -> Row:
+    """Members the target has after its own crates were refreshed; status per crate. With ``copy`` the files are copied too."""
+    return _sync(spark, source, target, out, S.refresh_matched, S.refresh_status, copy)
 
 
-def _sync(spark: SparkSession, source: str, target: str, out: str, members, status) -> Row:
-    sides = [SS.read_collection(spark, root) for root in (source, target)]
-    members(*sides).write.mode("overwrite").parquet(f"{out}/members")
+def _sync(spark: SparkSession, source: str, target: str, out: str, members, status, copy: bool) -> Row:
+    # Read before anything is copied, so that all tables tell of the same state.
+    sides = [stage(SS.read_collection(spark, root), "collection") for root in (source, target)]
+    wanted = stage(members(*sides), "members")
+    wanted.write.mode("overwrite").parquet(f"{out}/members")
     status(*sides).write.mode("overwrite").parquet(f"{out}/status")
+    if copy:
+        copy_members(S.changed_members(wanted, sides[1]), source, target).write.mode("overwrite").parquet(f"{out}/copied")
     return spark.read.parquet(f"{out}/status").agg(F.count_if(F.col("status") == "Copied").alias("n_copied")).first()

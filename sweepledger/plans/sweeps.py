@@ -66,14 +66,18 @@ PATTERNS_SQL = f"""patterns AS (
     WHEN p_size = 50 THEN {PLAIN_SQL}
     WHEN p_type = 'PROMO' THEN '//promo/...'
     WHEN p_type = 'SMALL' THEN '//small:'
-    WHEN p_type = 'LARGE' THEN '//large/inner'
+    WHEN p_type = 'LARGE' THEN '//large/inner+' || p_size || '.x'
     ELSE '//none:' END AS pattern
   FROM part)"""
-REGEX_SQL = r"""CASE
-    WHEN pattern LIKE '%/...' THEN '^' || left(pattern, length(pattern) - 4) || '[/:]'
-    WHEN pattern LIKE '%:' THEN '^' || pattern
-    WHEN contains(pattern, ':') THEN '^' || pattern || '$'
-    ELSE '^' || pattern || '[/:]' END"""
+def _plain_sql(text: str) -> str:
+    return f"regexp_replace({text}, '([.+*?()\\[\\]{{}}|^$\\\\])', '\\\\\\1', 'g')"
+
+
+REGEX_SQL = f"""CASE
+    WHEN pattern LIKE '%/...' THEN '^' || {_plain_sql("left(pattern, length(pattern) - 4)")} || '[/:]'
+    WHEN pattern LIKE '%:' THEN '^' || {_plain_sql("pattern")}
+    WHEN contains(pattern, ':') THEN '^' || {_plain_sql("pattern")} || '$'
+    ELSE '^' || {_plain_sql("pattern")} || '[/:]' END"""
 
 
 def _patterns(spark: SparkSession, root: str) -> DataFrame:
@@ -81,7 +85,7 @@ def _patterns(spark: SparkSession, root: str) -> DataFrame:
         F.when(F.col("p_size") == 50, L.strip_config(label()))
         .when(F.col("p_type") == "PROMO", "//promo/...")
         .when(F.col("p_type") == "SMALL", "//small:")
-        .when(F.col("p_type") == "LARGE", "//large/inner")
+        .when(F.col("p_type") == "LARGE", F.format_string("//large/inner+%d.x", "p_size"))
         .otherwise("//none:")
     )
     return table(spark, root, "part").select(pattern.alias("pattern")).distinct()

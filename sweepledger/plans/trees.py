@@ -1,6 +1,7 @@
 """Readers of manifests, locks, logs, directives and target files over trees written from the given tables.
 
-Nations are folders, their customers the lines of the one file in each.
+Folders are nations and thousands of customers, so files stay small and their number grows with the table; the customers
+are the lines of the one file in each.
 """
 
 from __future__ import annotations
@@ -9,28 +10,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sinks.files import rename_files
 from ..sources import manifests as SM
 from ..sources import sweeps as SS
 from ..sources import targets as ST
 from .inputs import table
 from .registry import audit
 
+FOLDER_SQL = "'n=' || c_nationkey || '-' || (c_custkey // 1000)"
+
 
 def tree(spark: SparkSession, root: str, name: str, line: Column, head: str | None = None, below: str = "") -> str:
-    """A folder per nation with one file ``name``: ``head``, then a text per customer, in order.
+    """A folder per nation and thousand customers with one file ``name``: ``head``, then a text per customer, in order.
 
-    Returns the root. Renaming the part files on the driver takes as many calls as there are nations.
+    Returns the root. The part files are renamed in tasks.
     """
     out = scratch_path(spark, "tree")
-    rows = table(spark, root, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("at"), line.alias("line"))
+    folder = F.concat_ws("-", "c_nationkey", F.expr("c_custkey div 1000")).alias("n")
+    rows = table(spark, root, "customer").select(folder, F.col("c_custkey").alias("at"), line.alias("line"))
     if head is not None:
         rows = rows.unionByName(rows.select("n").distinct().select("n", F.lit(-1).alias("at"), F.lit(head).alias("line")))
     ordered = rows.repartition("n").sortWithinPartitions("n", "at").select("n", "line")
     ordered.write.partitionBy("n").text(f"{out}/{below}")
-    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    store = jvm.Path(out).getFileSystem(conf)
-    for found in store.globStatus(jvm.Path(f"{out}/{below}/n=*/part-*")):
-        store.rename(found.getPath(), jvm.Path(found.getPath().getParent(), name))
+    written = spark.read.text(f"{out}/{below}", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("old")).distinct()
+    rename_files(written.select("old", F.regexp_replace("old", "[^/]*$", name).alias("new")))
     return out
 
 
@@ -40,7 +43,7 @@ def key() -> Column:
 
 @audit(
     "manifest_tree",
-    """SELECT 'n=' || c_nationkey AS rig, 'c' || c_custkey AS crate, '1.' || c_custkey AS version_req FROM customer""",
+    f"""SELECT {FOLDER_SQL} AS rig, 'c' || c_custkey AS crate, '1.' || c_custkey AS version_req FROM customer""",
 )
 def manifest_tree(spark: SparkSession, root: str) -> DataFrame:
     line = F.concat(F.lit("c"), key(), F.lit(' = "1.'), key(), F.lit('"'))
@@ -49,7 +52,7 @@ def manifest_tree(spark: SparkSession, root: str) -> DataFrame:
 
 @audit(
     "lock_tree",
-    """SELECT 'n=' || c_nationkey AS rig, 'c' || c_custkey AS crate, c_custkey || '.0.1' AS version FROM customer""",
+    f"""SELECT {FOLDER_SQL} AS rig, 'c' || c_custkey AS crate, c_custkey || '.0.1' AS version FROM customer""",
 )
 def lock_tree(spark: SparkSession, root: str) -> DataFrame:
     line = F.concat(F.lit('[[package]]\nname = "c'), key(), F.lit('"\nversion = "'), key(), F.lit('.0.1"\n'))
@@ -58,8 +61,8 @@ def lock_tree(spark: SparkSession, root: str) -> DataFrame:
 
 @audit(
     "resolver_log_tree",
-    """SELECT 'n=' || c_nationkey AS slot, 7 AS round,
-      CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS line_no,
+    f"""SELECT {FOLDER_SQL} AS slot, 7 AS round,
+      CAST(row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_custkey) AS INTEGER) AS line_no,
       'error: ' || c_custkey AS line
     FROM customer""",
 )
@@ -69,16 +72,16 @@ def resolver_log_tree(spark: SparkSession, root: str) -> DataFrame:
 
 @audit(
     "collection_tree",
-    """SELECT 'n=' || c_nationkey AS crate, 'list.txt' AS path,
+    f"""SELECT {FOLDER_SQL} AS crate, 'list.txt' AS path,
       sha256(string_agg('c' || c_custkey, chr(10) ORDER BY c_custkey) || chr(10)) AS content_hash
-    FROM customer GROUP BY c_nationkey""",
+    FROM customer GROUP BY c_nationkey, c_custkey // 1000""",
 )
 def collection_tree(spark: SparkSession, root: str) -> DataFrame:
     found = SS.read_collection(spark, tree(spark, root, "list.txt", F.concat(F.lit("c"), key())))
     return found.select("crate", "path", "content_hash")
 
 
-DIRECTIVE_TREE_SQL = """SELECT '' AS rig_scope, 'n=' || c_nationkey AS crate, 0 AS section_no, 'k' || c_custkey AS key,
+DIRECTIVE_TREE_SQL = f"""SELECT '' AS rig_scope, {FOLDER_SQL} AS crate, 0 AS section_no, 'k' || c_custkey AS key,
       'int' AS value_kind, CAST(c_custkey AS VARCHAR) AS value_json
     FROM customer"""
 
@@ -99,8 +102,8 @@ def directive_folder(spark: SparkSession, root: str) -> DataFrame:
 
 @audit(
     "target_tree",
-    """SELECT 'n=' || c_nationkey AS rig, 'fixups//n=' || c_nationkey || ':c-' || c_custkey AS src,
-      'fixups//n=' || c_nationkey || ':c-' || (c_custkey // 2) AS dst
+    f"""SELECT {FOLDER_SQL} AS rig, 'fixups//' || {FOLDER_SQL} || ':c-' || c_custkey AS src,
+      'fixups//' || {FOLDER_SQL} || ':c-' || (c_custkey // 2) AS dst
     FROM customer""",
 )
 def target_tree(spark: SparkSession, root: str) -> DataFrame:

@@ -25,6 +25,16 @@ def frames(rows: Iterable[tuple], names: Sequence[str], most: int = 4096) -> Ite
         yield pd.DataFrame(some, columns=list(names))
 
 
+def no_errors(rows: DataFrame) -> DataFrame:
+    """Rows of a parser without those that say that a text could not be read (see ``errors_of``)."""
+    return rows.where("error IS NULL").drop("error")
+
+
+def errors_of(rows: DataFrame, source: str = "source") -> DataFrame:
+    """``(source, error)`` of texts that could not be read."""
+    return rows.where("error IS NOT NULL").select(source, "error").distinct()
+
+
 def read_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """``(path, content)`` for every file below ``root`` whose name matches ``glob``.
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 import sys
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import DIRECTIVE_FILE, LOCK_FILE, MAIN_RIG, MANIFEST_FILE, SUB_RIG_MANIFEST
-from .files import frames, read_texts, relative_path
+from .files import errors_of, frames, no_errors, read_texts, relative_path
 
 # Tasks get these functions whole, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,19 +34,23 @@ DIRECTIVE_SCHEMA = (
 
 
 def _rows_of(texts: DataFrame, rows_of_document, schema: str) -> DataFrame:
-    """Apply ``rows_of_document(document) -> tuples`` to every TOML text."""
-    names = [field.split()[0] for field in schema.split(", ")]
+    """Apply ``rows_of_document(document) -> tuples`` to every TOML text. A text that cannot be read, or is not of the known form, gives one
+    row with its ``error`` and no rows besides."""
+    names = [field.split()[0] for field in schema.split(", ")] + ["error"]
+    blank = (None,) * (len(names) - 2)
+
+    def rows_of(source: str, content: str) -> list[tuple]:
+        try:
+            return [(source, *row, None) for row in rows_of_document(tomllib.loads(content))]
+        except (tomllib.TOMLDecodeError, KeyError, AttributeError, TypeError, RecursionError) as error:
+            return [(source, *blank, f"{type(error).__name__}: {error}")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = (
-                (source, *row)
-                for source, content in zip(batch["source"], batch["content"])
-                for row in rows_of_document(tomllib.loads(content))
-            )
+            rows = (row for source, content in zip(batch["source"], batch["content"]) for row in rows_of(source, content))
             yield from frames(rows, names)
 
-    return texts.select("source", "content").mapInPandas(parse, schema)
+    return texts.select("source", "content").mapInPandas(parse, f"{schema}, error STRING")
 
 
 def _dependency_rows(document: dict):
@@ -98,12 +103,12 @@ def _directive_rows(document: dict):
 
 
 def parse_manifest_deps(texts: DataFrame) -> DataFrame:
-    """``[dependencies]`` of manifests given as ``(source, content)``."""
-    return _rows_of(texts, _dependency_rows, DEPS_SCHEMA)
+    """``[dependencies]`` of manifests given as ``(source, content)``; those that cannot be read have no rows, see ``file_errors``."""
+    return no_errors(_rows_of(texts, _dependency_rows, DEPS_SCHEMA))
 
 
 def parse_lock_packages(texts: DataFrame) -> DataFrame:
-    return _rows_of(texts, _lock_rows, LOCK_SCHEMA)
+    return no_errors(_rows_of(texts, _lock_rows, LOCK_SCHEMA))
 
 
 def parse_fixup_directives(texts: DataFrame) -> DataFrame:
@@ -111,7 +116,25 @@ def parse_fixup_directives(texts: DataFrame) -> DataFrame:
 
     A file without directives gives one row with a null key.
     """
-    return _rows_of(texts, _directive_rows, DIRECTIVE_SCHEMA)
+    return no_errors(_rows_of(texts, _directive_rows, DIRECTIVE_SCHEMA))
+
+
+KINDS = {
+    MANIFEST_FILE: (_dependency_rows, DEPS_SCHEMA),
+    LOCK_FILE: (_lock_rows, LOCK_SCHEMA),
+    DIRECTIVE_FILE: (_directive_rows, DIRECTIVE_SCHEMA),
+}
+
+
+def text_errors(texts: DataFrame, file_name: str) -> DataFrame:
+    """``(source, error)`` of ``(source, content)`` texts that are no manifests, locks or directives, by the name of such files."""
+    return errors_of(_rows_of(texts, *KINDS[file_name]))
+
+
+def file_errors(spark: SparkSession, root: str, file_names: Sequence[str] = tuple(KINDS)) -> DataFrame:
+    """``(source, error)`` of all such files below ``root`` that cannot be read; the readers give no rows of them."""
+    found = [text_errors(_with_source(read_texts(spark, root, name), root), name) for name in file_names]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _with_source(texts: DataFrame, root: str) -> DataFrame:

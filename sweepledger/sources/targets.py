@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import LABEL_CELL, TARGET_FILE
-from .files import frames, read_texts, relative_path
+from .files import errors_of, frames, no_errors, read_texts, relative_path
 
 # Tasks get these functions whole, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _PARSED_SCHEMA = (
     "source STRING, kind STRING, name STRING, crate STRING, edition STRING, version STRING, actual STRING, "
-    "features ARRAY<STRING>, deps ARRAY<STRING>, unread ARRAY<STRING>, attrs STRING"
+    "features ARRAY<STRING>, deps ARRAY<STRING>, unread ARRAY<STRING>, attrs STRING, error STRING"
 )
 
 
@@ -82,20 +82,43 @@ def _targets_of(text: str) -> Iterator[tuple]:
         )
 
 
-def parse_targets(texts: DataFrame) -> DataFrame:
-    """One row per rule call of ``(source, content)`` texts.
-
-    ``named_deps``, ``platform_deps`` and ``env`` are maps. ``unread`` names the
-    attributes that are no literals; they are left out, since nothing is evaluated.
-    """
+def _parsed(texts: DataFrame) -> DataFrame:
     names = [field.split()[0] for field in _PARSED_SCHEMA.split(", ")]
+    blank = (None,) * (len(names) - 2)
+
+    def rows_of(source: str, content: str) -> list[tuple]:
+        try:
+            return [(source, *row, None) for row in _targets_of(content)]
+        except (SyntaxError, ValueError, TypeError, AttributeError, RecursionError, MemoryError) as error:
+            return [(source, *blank, f"{type(error).__name__}: {error}")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = ((source, *row) for source, content in zip(batch["source"], batch["content"]) for row in _targets_of(content))
+            rows = (row for source, content in zip(batch["source"], batch["content"]) for row in rows_of(source, content))
             yield from frames(rows, names)
 
-    parsed = texts.select("source", "content").mapInPandas(parse, _PARSED_SCHEMA)
+    return texts.select("source", "content").mapInPandas(parse, _PARSED_SCHEMA)
+
+
+def text_errors(texts: DataFrame) -> DataFrame:
+    """``(source, error)`` of texts that are no target files."""
+    return errors_of(_parsed(texts))
+
+
+def file_errors(spark: SparkSession, root: str) -> DataFrame:
+    """``(source, error)`` of target files below ``root`` that cannot be read; the readers give no rows of them."""
+    texts = read_texts(spark, root, TARGET_FILE).select(relative_path(F.col("path"), root).alias("source"), "content")
+    return text_errors(texts)
+
+
+def parse_targets(texts: DataFrame) -> DataFrame:
+    """One row per rule call of ``(source, content)`` texts; texts that cannot be read have none, see ``text_errors``.
+
+    ``named_deps``, ``platform_deps`` and ``env`` are maps. ``unread`` names the
+    attributes that are no literals; they are left out, since nothing is evaluated.
+    """
+    names = [field.split()[0] for field in _PARSED_SCHEMA.split(", ") if field != "error STRING"]
+    parsed = no_errors(_parsed(texts))
     platforms = F.from_json(
         F.get_json_object("attrs", "$.platform"), "MAP<STRING, STRUCT<deps: ARRAY<STRING>>>"
     )

@@ -52,6 +52,11 @@ def test_scope_regex(values):
     assert values(L.scope_regex(c("p")), [(p,) for p, _ in SCOPES], "p") == [r for _, r in SCOPES]
 
 
+def test_scope_regex_takes_paths_as_they_are(values):
+    rows = [("//a.b+c:", "fixups//a.b+c:x"), ("//a.b+c:", "fixups//aXb+c:x"), ("//a.b/...", "fixups//a.b/d:x"), ("//a.b/...", "fixups//acb/d:x")]
+    assert values(F.regexp_like(c("l"), L.scope_regex(c("p"))), rows, "p", "l") == [True, False, True, False]
+
+
 @pytest.mark.parametrize(
     "pattern, inside",
     [

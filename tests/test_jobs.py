@@ -8,6 +8,7 @@ from test_sources import TARGETS, write
 
 from sweepledger.operators import loglines as LL
 from sweepledger.plans import jobs
+from sweepledger.sinks.files import copy_members
 from sweepledger.sources.files import read_lines_in_order
 
 
@@ -130,6 +131,30 @@ def test_drift(spark, tmp_path):
     assert as_set(shown.select("name", "change")) == {("pebble-2", "changed")}
 
 
+def test_files_are_copied_once(spark, tmp_path):
+    source = write(tmp_path / "s", {"new/f": "1", "new/deep/g": "1", "both/f": "2", "both/g": "2"})
+    target = write(tmp_path / "t", {"both/f": "1", "own/f": "1"})
+
+    def state():
+        return {str(p.relative_to(target)): p.read_text() for p in (tmp_path / "t").rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+    def copied(name):
+        return as_set(spark.read.parquet(str(tmp_path / name / "copied")))
+
+    jobs.refresh(spark, source, target, str(tmp_path / "r"), copy=True)
+    assert copied("r") == {("both", "f", "copied"), ("both", "g", "copied")}
+    assert state() == {"both/f": "2", "both/g": "2", "own/f": "1"}
+    jobs.extend(spark, source, target, str(tmp_path / "e"), copy=True)
+    assert copied("e") == {("new", "f", "copied"), ("new", "deep/g", "copied")}
+    want = {"both/f": "2", "both/g": "2", "own/f": "1", "new/f": "1", "new/deep/g": "1"}
+    assert state() == want
+    for name, job in (("r2", jobs.refresh), ("e2", jobs.extend)):
+        job(spark, source, target, str(tmp_path / name), copy=True)
+        assert copied(name) == set() and state() == want  # no file left under an attempt's name either
+    listed = spark.createDataFrame([("new", "f", "0" * 64)], "crate STRING, path STRING, content_hash STRING")
+    assert as_set(copy_members(listed, source, target)) == {("new", "f", "changed")} and state() == want
+
+
 def test_extend_and_refresh(spark, tmp_path):
     source = write(tmp_path / "s", {"new/f": "1", "both/f": "2", "both/g": "2"})
     target = write(tmp_path / "t", {"both/f": "1", "own/f": "1"})
@@ -180,7 +205,7 @@ def test_directives(spark, tmp_path):
         {
             "fixups/a/fixups.toml": shared,
             "fixups/idle/fixups.toml": "run = true\n",
-            "fixups/odd/fixups.toml": "['cfg(version = \">1\")']\nrun = true\n",
+            "fixups/odd/fixups.toml": "['cfg(version = \"soon\")']\nrun = true\n",
             "main/fixups/a/fixups.toml": "run = 7\n",
             "main/Cargo.lock": '[[package]]\nname = "a"\nversion = "1.0.0"\n[[package]]\nname = "odd"\nversion = "2.0.0"\n',
             "side/Cargo.lock": '[[package]]\nname = "a"\nversion = "1.0.0"\n[[package]]\nname = "a"\nversion = "2.0.0"\n',
@@ -188,7 +213,8 @@ def test_directives(spark, tmp_path):
     )
     out = str(tmp_path / "out")
     row = jobs.directives(spark, root, root, out, [("l", "linux", "x", "")])
-    assert row.asDict() == {"n_effective": 3, "n_dead": 2, "n_uncovered": 1, "n_unused": 1, "n_unread": 1}
+    counts = {"n_effective": 3, "n_dead": 1, "n_uncovered": 1, "n_gaps": 1, "n_overlaps": 0, "n_shadowed": 0, "n_unused": 1, "n_unread": 1, "n_errors": 0}
+    assert row.asDict() == counts
     in_force = spark.read.parquet(f"{out}/effective").select("rig", "crate", "version", "value_json")
     assert as_set(in_force) == {("main", "a", "1.0.0", "7"), ("side", "a", "1.0.0", "true"), ("side", "a", "2.0.0", "false")}
     assert as_set(spark.read.parquet(f"{out}/unused")) == {("idle",)}
@@ -205,7 +231,7 @@ def test_graph(spark, tmp_path):
     known = write(tmp_path / "ci", {"expected-failures-L.txt": "fixups//sys:one.lib\n"})
     out = str(tmp_path / "out")
     row = jobs.graph(spark, root, known, out)
-    assert row.asDict() == {"n_broken": 2, "n_causes": 2, "n_roots": 1, "n_unlisted": 0, "n_dangling": 1, "n_conflicts": 2}
+    assert row.asDict() == {"n_broken": 2, "n_causes": 2, "n_roots": 1, "n_unlisted": 0, "n_dangling": 1, "n_conflicts": 2, "n_errors": 0}
     assert as_set(spark.read.parquet(f"{out}/broken")) == {("L", "fixups//sys:one.lib", 0), ("L", "fixups//rig:a", 1)}
     assert as_set(spark.read.parquet(f"{out}/dangling")) == {("fixups//rig:gone",)}
     assert "fixups//sys:two.lib" in {r["label"] for r in spark.read.parquet(f"{out}/unreferenced").collect()}

@@ -259,3 +259,30 @@ def test_collection(spark, tmp_path):
     got = as_set(SS.read_collection(spark, root).select("crate", "path", "content_hash"))
     digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
     assert got == {("serde", "fixups.toml", digest("a")), ("serde", "src/lib.rs", digest("b"))}
+
+
+def test_files_that_cannot_be_read_are_rows(spark, tmp_path):
+    """One bad file does not end the audit: the others are read, and it is named."""
+    root = write(
+        tmp_path / "tree",
+        {
+            "main/Cargo.toml": '[dependencies]\na = "1"\n',
+            "bad/Cargo.toml": "[dependencies\n",
+            "odd/Cargo.toml": "dependencies = 3\n",
+            "main/Cargo.lock": '[[package]]\nname = "a"\nversion = "1.0.0"\n',
+            "bad/Cargo.lock": '[[package]]\nname = "a"\n',
+            "fixups/a/fixups.toml": "run = true\n",
+            "fixups/b/fixups.toml": "run = \n",
+            "fixups/c/fixups.toml": "['cfg(unix)'] \nrun = 1\n",
+            "main/BUCK": TARGETS,
+            "bad/BUCK": "lib(name = \n",
+        },
+    )
+    assert {r["crate"] for r in SM.read_manifest_deps(spark, root).collect()} == {"a"}
+    assert as_set(SM.read_lock_packages(spark, root)) == {("main", "a", "1.0.0")}
+    assert {r["crate"] for r in SM.read_fixup_directives(spark, root).collect()} == {"a", "c"}
+    assert {r["rig"] for r in ST.read_target_graph(spark, root).collect()} == {"main"}
+    errors = {r["source"]: r["error"] for r in SM.file_errors(spark, root).collect()}
+    assert set(errors) == {"bad/Cargo.toml", "odd/Cargo.toml", "bad/Cargo.lock", "fixups/b/fixups.toml"}
+    assert errors["bad/Cargo.lock"].startswith("KeyError")
+    assert [r["source"] for r in ST.file_errors(spark, root).collect()] == ["bad/BUCK"]

@@ -33,7 +33,7 @@ def tree(spark: SparkSession, root: str, name: str, line: Column, head: str | No
     ordered = rows.repartition("n").sortWithinPartitions("n", "at").select("n", "line")
     ordered.write.partitionBy("n").text(f"{out}/{below}")
     written = spark.read.text(f"{out}/{below}", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("old")).distinct()
-    rename_files(written.select("old", F.regexp_replace("old", "[^/]*$", name).alias("new")))
+    rename_files(written.select("old", F.regexp_replace("old", "[^/]+$", name).alias("new")))
     return out
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .shared import fresh, row_places, ship, slices, words_of
+from .shared import fresh, row_places, ship, slices, without_places, words_of
 
 SHARD_WORDS = 1 << 17
 BLOCK_WORDS = 1 << 19
@@ -336,8 +336,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     (place,) = fresh(docs, "place")
     placed = row_places(docs, place)
     found = find_passages(placed.select(F.col(place).alias("doc_id"), "text"), items, width)
-    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(place))
-    return placed.join(hit, place, "left_anti").drop(place)
+    return without_places(placed, found.where(F.size("spans") > 0).withColumnRenamed("doc_id", place), place)
 
 
 def joined_spans(spans: Column) -> Column:

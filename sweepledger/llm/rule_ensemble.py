@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .shared import fresh, row_places
+from .shared import fresh, row_places, without_places
 
-BROADCAST_BYTES = 32 << 20
 A_Z, DIGITS, SYMBOLS, STOPS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "%$#&*@^~=+<>{}[]\\_", ".,;:"
 
 
@@ -153,13 +152,10 @@ def judge_quality(docs: DataFrame, labels: DataFrame, accept: float = 0.3) -> Da
 def keep_accepted(docs: DataFrame, labels: DataFrame, accept: float = 0.3) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score at least ``accept``.
 
-    Statistics are worked out once, for learning and for judging; rows are told apart by their places (see ``row_places``). The
-    places of rejected rows are broadcast while they hold ``BROADCAST_BYTES`` at most, else both sides are shuffled by place.
+    Statistics are worked out once, for learning and for judging; rows are told apart by their places (see ``row_places``).
     """
     (place,) = fresh(docs, "place")
     placed = row_places(docs, place)
     numbers = stage(placed.select("doc_id", place, statistics(F.col("text")).alias("numbers")), "statistics")
     score = learn(numbers, labels).score(F.col("numbers"))
-    rejected = stage(numbers.where(score < accept).select(place), "rejected")
-    size = rejected.agg(F.sum(F.octet_length(F.to_json(F.struct(place))))).first()[0] or 0
-    return placed.join(F.broadcast(rejected) if size <= BROADCAST_BYTES else rejected, place, "left_anti").drop(place)
+    return without_places(placed, numbers.where(score < accept), place)

@@ -61,19 +61,37 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def row_places(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a column ``name`` that differs from row to row and stays the same however often ``df`` is read.
 
-    Rows of a frame that is Parquet files as they are, are told apart by file and row number there, so nothing is written. Those of any
-    other frame, where such a row may stand several times or come in another order when executors come or go,
-    are written once with numbers.
+    Rows of a frame that is Parquet files as they are, are told apart by file and row number there, so nothing is written; files
+    by a hash of their paths, which is checked to differ. Those of any other frame, where such a row may stand several times or
+    come in another order when executors come or go, are written once with numbers.
     """
     if df._jdf.queryExecution().analyzed().children().isEmpty():
         try:
             meta = df.metadataColumn("_metadata")
-            return df.withColumn(name, F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")))
+            path = meta["file_path"]
+            files = df.select(path.alias("path")).distinct()
+            n, different = files.agg(F.count("*"), F.count_distinct(F.xxhash64("path"))).first()
+            if n == different:
+                return df.withColumn(name, F.struct(F.xxhash64(path).alias("file"), meta["row_index"].alias("row")))
         except AnalysisException:
             pass  # no files, or not of Parquet
     return stage(df.withColumn(name, F.monotonically_increasing_id()), "placed")
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def without_places(placed: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """Rows of ``placed`` whose place is not in ``dropped``, without the column ``name`` of places.
+
+    The dropped places are written and measured: while they hold ``BROADCAST_BYTES`` at most they are broadcast, so that no text is
+    shuffled; else both sides are shuffled by place.
+    """
+    gone = stage(dropped.select(name).distinct(), "dropped")
+    size = gone.agg(F.sum(F.octet_length(F.to_json(F.struct(name))))).first()[0] or 0
+    return placed.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, name, "left_anti").drop(name)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words ``[0-9a-z]`` or beyond ASCII, as UTF-8 bytes; none for null."""
     return [] if text is None else utf8(text).translate(WORD_BYTES).split()

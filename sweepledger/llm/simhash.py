@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .components import components
-from .shared import LOWER_BYTES, fresh, row_places, ship, slices, utf8
+from .shared import LOWER_BYTES, fresh, row_places, ship, slices, utf8, without_places
 
 BITS = 64
 SEED = 42
@@ -153,5 +153,6 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 3, segments: int =
     placed = row_places(docs, place)
     prints = stage(fingerprints(placed, width, ("doc_id", place)), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(place).alias("at"))
-    kept = _groups(prints, order, distance, segments).select(F.col("first.at").alias(place)).distinct()
-    return placed.join(kept, place, "left_semi").drop(place)
+    found = _groups(prints, order, distance, segments)
+    others = prints.join(found, "fingerprint").where(F.col(place) != F.col("first.at"))
+    return without_places(placed, others, place)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sweepledger.llm.components import components
 from sweepledger.llm.license_templates import Automaton, Scanner, scan_licenses
 from sweepledger.llm.positional_index import find_passages, keep_clean, passage_digest
-from sweepledger.llm.shared import row_places
+from sweepledger.llm.shared import row_places, without_places
 from sweepledger.llm.simhash import keep_one, links_within, near_duplicates
 
 
@@ -134,13 +134,25 @@ def test_rows_keep_their_places_when_splits_change(spark, recut):
     assert sorted(collect(keep_clean(docs, items))) == [(i, t) for i, t in enumerate(texts) if i // 2 not in (0, 4)]
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 25])
+def test_dropping_by_place(odd_docs, monkeypatch, limit):
+    """Broadcast or shuffled, the same rows go, and none but those."""
+    monkeypatch.setattr("sweepledger.llm.shared.BROADCAST_BYTES", limit)
+    placed = row_places(odd_docs, "at")
+    gone = placed.where("length(text) > 5")
+    kept = without_places(placed, gone.union(gone), "at")
+    assert kept.columns == odd_docs.columns
+    assert rows_of(kept) == rows_of(odd_docs.where("text IS NULL OR length(text) <= 5"))
+    assert rows_of(without_places(placed, gone.limit(0), "at")) == rows_of(odd_docs)
+
+
 def test_row_places(spark, odd_docs):
     """Places differ from row to row, also where rows of a file stand several times."""
     twice = odd_docs.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))
     for frame in (odd_docs, odd_docs.union(odd_docs), twice, spark.range(50), odd_docs.join(odd_docs.select("doc_id"), "doc_id")):
         placed = row_places(frame, "at")
         assert placed.count() == frame.count() == placed.select("at").distinct().count()
-    assert row_places(odd_docs, "at").schema["at"].dataType.simpleString() == "struct<file:string,row:bigint>"
+    assert row_places(odd_docs, "at").schema["at"].dataType.simpleString() == "struct<file:bigint,row:bigint>"
 
 
 @pytest.mark.parametrize("distance, segments", [(3, 2), (3, 4), (1, 2), (2, 2), (5, 4)])

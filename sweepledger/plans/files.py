@@ -15,6 +15,7 @@ from ..session import scratch_path, stage
 from ..sinks import text as K
 from ..sources import sweeps as SS
 from ..sources import targets as ST
+from ..sources.run_folders import read_run_folders
 from .changes import CRATES_SQL, PATHS_SQL, paths
 from .inputs import KNOWN_SQL, LABEL_SQL, PLAIN_SQL, known, label, labels_of, table
 from .registry import audit
@@ -86,6 +87,50 @@ def report_run_states(spark: SparkSession, root: str) -> DataFrame:
     return SS.run_states(SS.read_runs(spark, out, at, "part-*"), reports, cancelled)
 
 
+FOLDER_REPORTS_SQL = """reports AS (
+    SELECT l_linestatus AS platform, CAST(year(l_shipdate) AS VARCHAR) AS run_id, l_suppkey // 10 AS part, 'fixups//p:' || l_partkey || '-' || l_suppkey AS label,
+      bool_or(l_returnflag = 'R') AS bad, bool_or(l_returnflag = 'A') AS none
+    FROM lineitem GROUP BY ALL)"""
+
+
+def _report_folders(spark: SparkSession, root: str) -> str:
+    """A report per platform, run and ten suppliers, with a result per part; some have no outcome. One more per run is cut off."""
+    out = scratch_path(spark, "folders")
+    label = F.concat(F.lit("fixups//p:"), "l_partkey", F.lit("-"), "l_suppkey")
+    flags = table(spark, root, "lineitem").groupBy(
+        F.col("l_linestatus").alias("platform"), F.year("l_shipdate").cast("string").alias("run_id"), F.expr("l_suppkey div 10").alias("part"), label.alias("label")
+    ).agg(F.bool_or(F.col("l_returnflag") == "R").alias("bad"), F.bool_or(F.col("l_returnflag") == "A").alias("none"))
+    outcome = F.struct(F.when(~F.col("none"), F.when(F.col("bad"), "FAIL").otherwise("SUCCESS")).alias("success"))
+    # A file holds what ten suppliers delivered in a year, so a group's size does not grow with their number.
+    each = flags.groupBy("platform", "run_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("label", outcome))).alias("results"))
+    whole = each.select("platform", "run_id", F.col("part").cast("string").alias("part"), F.to_json(F.struct("results")).alias("text"))
+    cut = flags.select("platform", "run_id").distinct().select("platform", "run_id", F.lit("cut").alias("part"), F.lit('{"results": {"x').alias("text"))
+    whole.unionByName(cut).repartition("platform", "run_id").write.partitionBy("platform", "run_id", "part").text(out)
+    return out
+
+
+@audit(
+    "folder_reports",
+    f"""WITH {FOLDER_REPORTS_SQL} SELECT platform, run_id, label, CASE WHEN none THEN NULL WHEN bad THEN 'FAIL' ELSE 'SUCCESS' END AS success
+    FROM reports WHERE platform = 'F' AND run_id IN ('1996', '1998', '2003')""",
+)
+def folder_reports(spark: SparkSession, root: str) -> DataFrame:
+    """Reports of some runs of one platform; other folders are not opened."""
+    rows = read_run_folders(spark, _report_folders(spark, root), suffix=".txt").where("label IS NOT NULL")
+    return rows.where((F.col("platform") == "F") & F.col("run_id").isin("1996", "1998", "2003")).select("platform", "run_id", "label", "success")
+
+
+@audit(
+    "folder_run_states",
+    f"""WITH {FOLDER_REPORTS_SQL}, files AS (SELECT DISTINCT platform, run_id, part FROM reports)
+    SELECT platform, run_id, 'read' AS state, count(*) AS n FROM files GROUP BY ALL
+    UNION ALL SELECT DISTINCT platform, run_id, 'unreadable', CAST(1 AS BIGINT) FROM files""",
+)
+def folder_run_states(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_run_folders(spark, _report_folders(spark, root), suffix=".txt").where("label IS NULL")
+    return rows.groupBy("platform", "run_id", "state").agg(F.count("*").alias("n"))
+
+
 @audit("changed_path_files", f"WITH {PATHS_SQL}, {CRATES_SQL} SELECT crate FROM crates")
 def changed_path_files(spark: SparkSession, root: str) -> DataFrame:
     out = scratch_path(spark, "paths")

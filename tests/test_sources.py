@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sweepledger.sources import manifests as SM
 from sweepledger.sources import sweeps as SS
 from sweepledger.sources import targets as ST
+from sweepledger.sources.run_folders import EqualTo, In, RunFolderReader, read_run_folders
 
 
 def write(root, files):
@@ -286,3 +287,33 @@ def test_files_that_cannot_be_read_are_rows(spark, tmp_path):
     assert set(errors) == {"bad/Cargo.toml", "odd/Cargo.toml", "bad/Cargo.lock", "fixups/b/fixups.toml"}
     assert errors["bad/Cargo.lock"].startswith("KeyError")
     assert [r["source"] for r in ST.file_errors(spark, root).collect()] == ["bad/BUCK"]
+
+
+def test_run_folders(spark, tmp_path):
+    good = json.dumps({"results": {"//a:x#lib": {"success": "SUCCESS"}, "//a:y": {}, "//a:z": None}})
+    root = write(
+        tmp_path / "sweeps",
+        {"L/1/r.json": good, "L/1/build.log": "one\r\ntwo", "L/2/r.json": "{}", "L/3/r.json": "", "W/1/deep/r.json": '{"results"', "W/1/n.txt": "x", "W/2/r.json": "[1]"},
+    )
+    rows = read_run_folders(spark, root)
+    assert as_set(rows.where("label IS NULL").select("platform", "run_id", "state")) == {
+        ("L", "1", "read"), ("L", "2", "read"), ("L", "3", "unreadable"), ("W", "1", "unreadable"), ("W", "2", "unreadable")
+    }
+    assert as_set(rows.where("label IS NOT NULL").select("run_id", "label", "success")) == {("1", "//a:x#lib", "SUCCESS"), ("1", "//a:y", None), ("1", "//a:z", None)}
+    lines = read_run_folders(spark, root, "lines", ".log")
+    assert as_set(lines.select("platform", "run_id", "file", "line_no", "line")) == {("L", "1", "build.log", 1, "one"), ("L", "1", "build.log", 2, "two")}
+
+
+def test_filters_reach_the_listing(spark, tmp_path):
+    root = write(tmp_path / "sweeps", {f"{p}/{r}/r.json": "{}" for p in "LMW" for r in range(40)})
+    reader = RunFolderReader(root, "reports", ".json")
+    assert len([f for p in reader.partitions() for f in p.folders]) == 120 and len(reader.partitions()) == 4
+    left = list(reader.pushFilters([EqualTo(("platform",), "L"), In(("run_id",), ("3", "7", "99")), EqualTo(("label",), "x")]))
+    assert [f.attribute for f in left] == [("label",)]
+    assert [f[:2] for p in reader.partitions() for f in p.folders] == [("L", "3"), ("L", "7")]
+    assert list(reader.pushFilters([EqualTo(("run_id",), "7")])) == []
+    assert [f[:2] for p in reader.partitions() for f in p.folders] == [("L", "7")]
+    got = read_run_folders(spark, root).where("platform = 'W' AND run_id IN ('5', '6')")
+    assert as_set(got.select("platform", "run_id", "state")) == {("W", "5", "read"), ("W", "6", "read")}
+    assert "PushedFilters: [EqualTo" in got._jdf.queryExecution().executedPlan().toString() or got.rdd.getNumPartitions() == 1
+    assert read_run_folders(spark, root).where("platform = 'X'").count() == 0

@@ -52,6 +52,11 @@ BSD_DISCLAIMER = (
     "arising in any way out of the use of this software even if advised of the possibility of such damage"
 )
 
+LGPL = (
+    "gnu <<var;match=lesser|library>> general public license "
+    "<<beginOptional>>as published by the free software foundation <<beginOptional>>either <<endOptional>><<endOptional>>"
+)
+
 # Label of the notice, and its template. ``{X}`` in a label stands for the words that regions named X took.
 TEMPLATES = [
     (
@@ -75,12 +80,12 @@ TEMPLATES = [
         "mit-notice",
         "<<beginOptional>><<var;match=released|licensed|distributed|available>> under <<endOptional>>the mit license",
     ),
-    (
-        "lgpl-{version}",
-        "gnu <<var;match=lesser|library>> general public license "
-        "<<beginOptional>>as published by the free software foundation <<beginOptional>>either <<endOptional>><<endOptional>>"
-        "version <<var;match=[0-9]+;name=version>> <<var;match=[0-9];least=0;most=1;name=version>>",
-    ),
+    # A second number counts only where the version has one, so that a number that merely follows does not.
+    *[
+        ("lgpl-{version}", LGPL + f"version <<var;match={major};name=version>> <<var;match={minor};least=0;most=1;name=version>>")
+        for major, minor in (("2", "[01]"), ("3", "0"))
+    ],
+    ("lgpl-{version}", LGPL + "version <<var;match=[014-9]|[0-9]{2,};name=version>>"),
     (
         "agpl-{version}",
         "gnu affero general public license "

@@ -188,6 +188,9 @@ NOTICES = {
     "a mit license": ("mit", "mit"),
     "GNU General Public License": ("gpl", "gpl"),
     "gnu general public licenses": ("", ""),
+    "GNU Lesser General Public License version 3 7 days later": ("", "lgpl-3"),
+    "GNU Lesser General Public License version 2.1 or later": ("", "lgpl-2.1"),
+    "GNU Library General Public License version 2, 1999": ("", "lgpl-2"),
 }
 
 

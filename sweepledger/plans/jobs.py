@@ -23,7 +23,7 @@ from ..operators import manifests as M
 from ..operators import reconcile as R
 from ..operators import sync as S
 from ..operators.setops import distinct_keys
-from ..session import stage
+from ..session import stage, tidy
 from ..sinks import text as K
 from ..sinks.files import copy_members
 from ..sources import manifests as SM
@@ -32,6 +32,7 @@ from ..sources import targets as ST
 from ..sources.files import read_lines, read_lines_in_order, read_texts, relative_path
 
 
+@tidy
 def sweep(
     spark: SparkSession,
     reports: str,
@@ -82,6 +83,7 @@ def sweep(
     return verdicts.agg(F.count("*").alias("n_runs"), F.count_if(failed).alias("n_failed")).first()
 
 
+@tidy
 def impact(
     spark: SparkSession, changed_paths: str, targets: str, known: str, out: str, exact_names: Sequence[str] = ()
 ) -> Row:
@@ -100,6 +102,7 @@ def impact(
     return spark.read.text(f"{out}/labels").agg(F.count("*").alias("n_labels")).first()
 
 
+@tidy
 def mint(
     spark: SparkSession,
     root: str,
@@ -176,6 +179,7 @@ def mint(
     return total.first()
 
 
+@tidy
 def drift(
     spark: SparkSession, committed: str, regenerated: str, output: DataFrame, runs: DataFrame, out: str, check: bool = True
 ) -> Row:
@@ -207,6 +211,7 @@ def drift(
     return D.overall_status(spark.read.parquet(f"{out}/rigs")).first()
 
 
+@tidy
 def directives(
     spark: SparkSession, root: str, locks: str, out: str, platforms: Sequence[tuple[str, str, str, str]]
 ) -> Row:
@@ -240,6 +245,7 @@ def directives(
     return _write_counted(spark, tables, out)
 
 
+@tidy
 def graph(
     spark: SparkSession, root: str, known: str, out: str, platforms: Mapping[str, Sequence[str]] | None = None
 ) -> Row:
@@ -280,11 +286,13 @@ def _write_counted(spark: SparkSession, tables: dict[str, DataFrame], out: str)
     return Row(**{f"n_{name}": spark.read.schema(rows.schema).parquet(f"{out}/{name}").count() for name, rows in tables.items()})
 
 
+@tidy
 def extend(spark: SparkSession, source: str, target: str, out: str, copy: bool = False) -> Row:
     """Members the target has after every crate it lacks was copied; status per crate. With ``copy`` the files are copied too."""
     return _sync(spark, source, target, out, S.insert_if_absent, S.insert_status, copy)
 
 
+@tidy
 def refresh(spark: SparkSession, source: str, target: str, out: str, copy: bool = False) -> Row:
     """Members the target has after its own crates were refreshed; status per crate. With ``copy`` the files are copied too."""
     return _sync(spark, source, target, out, S.refresh_matched, S.refresh_status, copy)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,8 +52,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint folder, which all executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the checkpoint folder, which all executors share. It is noted, see ``drop_scratch``."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch(spark).append(path)
+    return path
+
+
+def _scratch(spark: SparkSession) -> list[str]:
+    """The scratch folders of the application that were not dropped together."""
+    context = spark.sparkContext
+    if not hasattr(context, "_sweepledger_scratch"):
+        context._sweepledger_scratch = []
+    return context._sweepledger_scratch
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """Where scratch folders made from now on begin, for ``drop_scratch``."""
+    return len(_scratch(spark))
+
+
+def drop_scratch(spark: SparkSession, since: int, keep: Sequence[str] = ()) -> int:
+    """Delete the scratch folders made since a mark but those in ``keep``; how many. For callers whose results are written,
+    because frames made in between may still read these folders."""
+    noted = _scratch(spark)
+    gone = [path for path in noted[since:] if path not in keep]
+    noted[since:] = [path for path in noted[since:] if path in keep]
+    for path in gone:
+        drop_stage(spark, path)
+    return len(gone)
+
+
+def tidy(job: Callable) -> Callable:
+    """A job that leaves no scratch folder behind, whether it ends well or not; its first argument is the session."""
+
+    @wraps(job)
+    def run(spark: SparkSession, *args, **kwargs):
+        mark = scratch_mark(spark)
+        try:
+            return job(spark, *args, **kwargs)
+        finally:
+            drop_scratch(spark, mark)
+
+    return run
 
 
 def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from test_sources import TARGETS, write
 
 from sweepledger.operators import loglines as LL
 from sweepledger.plans import jobs
+from sweepledger.session import drop_scratch, scratch_mark, scratch_path, stage
 from sweepledger.sinks.files import copy_members
 from sweepledger.sources.files import read_lines_in_order
 
@@ -235,3 +236,19 @@ def test_graph(spark, tmp_path):
     assert as_set(spark.read.parquet(f"{out}/broken")) == {("L", "fixups//sys:one.lib", 0), ("L", "fixups//rig:a", 1)}
     assert as_set(spark.read.parquet(f"{out}/dangling")) == {("fixups//rig:gone",)}
     assert "fixups//sys:two.lib" in {r["label"] for r in spark.read.parquet(f"{out}/unreferenced").collect()}
+
+
+def test_jobs_leave_no_scratch_folder(spark, tmp_path):
+    """Nor does a job that fails; folders made before it stay."""
+    path = stage(spark.range(3), "before").inputFiles()[0].split(":", 1)[-1].rsplit("/", 1)[0]
+    mark = scratch_mark(spark)
+    source, target = (write(tmp_path / n, {f"{n}/f": "1"}) for n in ("s", "t"))
+    jobs.extend(spark, source, target, str(tmp_path / "e"))
+    with pytest.raises(Exception, match="nowhere"):
+        jobs.graph(spark, str(tmp_path / "nowhere"), str(tmp_path / "none"), str(tmp_path / "g"))
+    assert scratch_mark(spark) == mark and spark.read.parquet(path).count() == 3
+    made = [scratch_path(spark, "x") for _ in range(2)]
+    for folder in made:
+        spark.range(1).write.parquet(folder)
+    assert drop_scratch(spark, mark, keep=made[:1]) == 1 and scratch_mark(spark) == mark + 1
+    assert spark.read.parquet(made[0]).count() == 1 and drop_scratch(spark, mark) == 1

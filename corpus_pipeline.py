@@ -14,7 +14,7 @@ from sweepledger.llm.positional_index import keep_clean
 from sweepledger.llm.rule_ensemble import keep_accepted
 from sweepledger.llm.shared import table
 from sweepledger.llm.simhash import keep_one
-from sweepledger.session import stage
+from sweepledger.session import drop_scratch, scratch_mark, stage_at
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole table ``documents``. What a stage wrote for itself is dropped when its result is written, and a result
+    when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        mark = scratch_mark(spark)
+        docs, path = stage_at(function(spark, docs, sf_dir), name)
+        drop_scratch(spark, mark if before is None else mark - 1, keep=[path])
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,11 +27,17 @@ def parser() -> argparse.ArgumentParser:
     sweep.add_argument("patterns", nargs="*", default=[f"//{MAIN_RIG}/..."])
 
     impact = names.add_parser("impact", help="labels a change hits")
-    impact.add_argument("--changed", required=True)
+    impact.add_argument("--changed", help="file of changed paths")
+    impact.add_argument("--crates", nargs="*", default=[], help="changed crates by name")
+    impact.add_argument("--rigs", nargs="*", default=[], help="changed rigs by name")
     impact.add_argument("--targets", required=True)
-    impact.add_argument("--known", required=True)
+    impact.add_argument("--known", help="list of the platform that builds")
     impact.add_argument("--exact-name", action="append", default=[])
 
+    matrix = names.add_parser("matrix", help="failures per platform, dependencies per slot")
+    matrix.add_argument("--known", required=True)
+    matrix.add_argument("--root", required=True)
+
     mint = names.add_parser("mint", help="manifests of dated slots")
     mint.add_argument("--root", required=True)
     mint.add_argument("--index", required=True)
@@ -76,8 +82,11 @@ def main(argv: list[str] | None = None) -> int:
         row = jobs.sweep(spark, given.reports, given.known, given.out, given.patterns, given.logs, given.ci, given.name_run)
         failed = row["n_failed"] > 0
     elif given.job == "impact":
-        row = jobs.impact(spark, given.changed, given.targets, given.known, given.out, given.exact_name)
+        row = jobs.impact(spark, given.changed, given.targets, given.known, given.out, given.exact_name, given.crates, given.rigs)
         failed = False
+    elif given.job == "matrix":
+        row = jobs.matrix(spark, given.known, given.root, given.out)
+        failed = row["n_errors"] > 0
     elif given.job == "mint":
         more = (given.config, given.features, given.conflicts, given.gaps)
         row = jobs.mint(spark, given.root, given.slots, given.index, given.requirements, given.out, *more)

@@ -33,6 +33,9 @@ RIG_OF_FIXUP_PATH = r"^(third-party/conflict-rigs/[^/]*)/fixups/.*"
 
 # Rigs and the files in them.
 MAIN_RIG = "third-party"
+SNAPSHOT_RIG = r"^third-party/snapshots/([^/]+)$"
+# What a change can hit: the main rig and the conflict rigs. Dated snapshots are left to the sweep.
+IMPACT_PATTERNS = ("//third-party:", "//third-party/conflict-rigs/...")
 SUB_RIG_MANIFEST = r"^(third-party/(?:conflict-rigs|snapshots)/[^/]+)/Cargo\.toml$"
 MANIFEST_FILE = "Cargo.toml"
 LOCK_FILE = "Cargo.lock"

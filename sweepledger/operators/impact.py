@@ -60,6 +60,14 @@ def unmatched_changes(changed: DataFrame, targets: DataFrame) -> DataFrame:
     return changed.join(distinct_keys(_by_match_name(targets), ["crate"]), "crate", "left_anti")
 
 
+def impact_of(
+    crates: DataFrame, rigs: DataFrame, targets: DataFrame, known: DataFrame, cell: str = LABEL_CELL, exact_names: Sequence[str] = ()
+) -> DataFrame:
+    """Labels to build for changed ``(crate)`` and ``(rig)``, less known-broken ones."""
+    hits = union_distinct([impacted_targets(crates, targets), impacted_rigs(rigs, targets, cell)])
+    return drop_known_broken(hits, known, exact_names)
+
+
 def change_impact(
     paths: DataFrame,
     targets: DataFrame,
@@ -67,11 +75,5 @@ def change_impact(
     cell: str = LABEL_CELL,
     exact_names: Sequence[str] = (),
 ) -> DataFrame:
-    """Labels to build for a change: hit by crate or by rig, less known-broken ones."""
-    hits = union_distinct(
-        [
-            impacted_targets(changed_crates(paths), targets),
-            impacted_rigs(changed_rigs(paths), targets, cell),
-        ]
-    )
-    return drop_known_broken(hits, known, exact_names)
+    """Labels to build for changed paths: hit by crate or by rig, less known-broken ones."""
+    return impact_of(changed_crates(paths), changed_rigs(paths), targets, known, cell, exact_names)

@@ -1,4 +1,4 @@
-"""The jobs over files: sweep, impact, mint, drift, directives, graph, extend, refresh.
+"""The jobs over files: sweep, impact, matrix, mint, drift, directives, graph, extend, refresh.
 
 Each reads its inputs, runs the operators over all runs, platforms, rigs and slots
 at once, writes its outputs below ``out``, and returns the row that decides.
@@ -8,10 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import DIFF_LINES, DIRECTIVE_FILE, IMPACT_KINDS, LINKS_VARIABLE, LOCK_FILE, MAIN_RIG, MANIFEST_FILE, PLATFORMS, TARGET_FILE
+from ..fixed_values import (
+    DIFF_LINES,
+    DIRECTIVE_FILE,
+    IMPACT_KINDS,
+    IMPACT_PATTERNS,
+    LINKS_VARIABLE,
+    LOCK_FILE,
+    MAIN_RIG,
+    MANIFEST_FILE,
+    PLATFORMS,
+    SNAPSHOT_RIG,
+    TARGET_FILE,
+)
 from ..functions.outcomes import index_is_faithful
 from ..functions.versions import is_prerelease, version_key
 from ..operators import drift as D
@@ -85,23 +98,69 @@ def sweep(
 
 @tidy
 def impact(
-    spark: SparkSession, changed_paths: str, targets: str, known: str, out: str, exact_names: Sequence[str] = ()
+    spark: SparkSession,
+    changed_paths: str | None,
+    targets: str,
+    known: str | None,
+    out: str,
+    exact_names: Sequence[str] = (),
+    crates: Sequence[str] = (),
+    rigs: Sequence[str] = (),
+    patterns: Sequence[str] = IMPACT_PATTERNS,
 ) -> Row:
     """Labels to build for a change, and changed crates no target is named after.
 
-    ``targets`` is a stored ``(label, kind)`` table without the snapshot rigs;
-    ``known`` is the list of the platform that builds.
+    What changed are the paths in the file ``changed_paths``, the ``crates`` and ``rigs`` given by name, or all of these.
+    ``targets`` is a stored ``(label, kind)`` table, of which ``patterns`` count: by default all but the snapshot rigs.
+    ``known`` is the list of the platform that builds; without one, or where there is no such file, nothing is known to be broken.
     """
-    paths = SS.read_changed_paths(spark, changed_paths)
-    universe = I.of_kind(ST.read_targets(spark, targets), IMPACT_KINDS)
-    broken = SS.read_known_failures(spark, known)
-    hits = I.change_impact(paths, universe, broken, exact_names=exact_names)
+    paths = SS.read_changed_paths(spark, changed_paths) if changed_paths is not None else spark.createDataFrame([], "path STRING")
+    changed = I.changed_crates(paths).union(spark.createDataFrame([(c,) for c in crates], "crate STRING")).distinct()
+    hit_rigs = I.changed_rigs(paths).union(spark.createDataFrame([(r,) for r in rigs], "rig STRING")).distinct()
+    universe = R.scope_known(I.of_kind(ST.read_targets(spark, targets), IMPACT_KINDS), patterns)
+    hits = I.impact_of(changed, hit_rigs, universe, _known_or_none(spark, known), exact_names=exact_names)
     K.write_label_lines(hits, f"{out}/labels")
-    skipped = I.unmatched_changes(I.changed_crates(paths), universe)
+    skipped = I.unmatched_changes(changed, universe)
     K.write_label_lines(skipped, f"{out}/skipped", "crate")
     return spark.read.text(f"{out}/labels").agg(F.count("*").alias("n_labels")).first()
 
 
+def _known_or_none(spark: SparkSession, known: str | None) -> DataFrame:
+    """The list's entries; none if there is no list. Any other failure to read it is an error."""
+    try:
+        if known is not None:
+            return SS.read_known_failures(spark, known)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.createDataFrame([], "platform STRING, label STRING")
+
+
+@tidy
+def matrix(
+    spark: SparkSession, known: str, root: str, out: str, platforms: Sequence[str] = (), slots: Sequence[str] = ()
+) -> Row:
+    """Presence of known failures per platform and of direct dependencies per dated slot.
+
+    ``known`` holds the lists, ``root`` the rigs with their manifests. Without ``platforms`` or ``slots`` all that have a list or
+    a manifest get a column; otherwise the others are marked, not dropped. Writes ``platforms``, ``slots`` and ``errors`` (manifests that
+    cannot be read).
+    """
+    listed = stage(SS.read_known_failures(spark, known), "known")
+    deps = SM.read_manifest_deps(spark, root).select("rig", "crate")
+    slot = F.regexp_extract("rig", SNAPSHOT_RIG, 1)
+    deps = stage(deps.withColumn("rig", F.when(F.col("rig") == MAIN_RIG, "main").when(slot != "", slot).otherwise(F.col("rig"))), "deps")
+    if not platforms:
+        platforms = sorted(r[0] for r in listed.select("platform").distinct().collect())  # one per list
+    if not slots:
+        slots = sorted(r[0] for r in deps.where("rig != 'main' AND NOT contains(rig, '/')").select("rig").distinct().collect())  # one per snapshot
+    M.platform_matrix(listed, platforms).write.mode("overwrite").parquet(f"{out}/platforms")
+    M.slot_matrix(deps, slots).write.mode("overwrite").parquet(f"{out}/slots")
+    SM.file_errors(spark, root, [MANIFEST_FILE]).write.mode("overwrite").parquet(f"{out}/errors")
+    count = lambda name: spark.read.parquet(f"{out}/{name}").count()
+    return Row(n_labels=count("platforms"), n_crates=count("slots"), n_errors=count("errors"))
+
+
 @tidy
 def mint(
     spark: SparkSession,

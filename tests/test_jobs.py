@@ -77,6 +77,47 @@ def test_impact(spark, tmp_path):
     assert lines(tmp_path / "out/skipped") == ["gone"]
 
 
+def test_impact_by_name(spark, tmp_path):
+    """Names instead of paths; snapshots are out of reach; a list that is not there is an empty one."""
+    stored = str(tmp_path / "targets")
+    labels = ["third-party:serde", "third-party/conflict-rigs/a:serde-1", "third-party/conflict-rigs/a:x", "third-party/snapshots/2025-11:serde"]
+    rows = [(f"fixups//{label}", "alias") for label in labels]
+    spark.createDataFrame(rows, "label STRING, kind STRING").write.parquet(stored)
+    missing = str(tmp_path / "none/expected-failures-L.txt")
+    row = jobs.impact(spark, None, stored, missing, str(tmp_path / "o"), crates=["serde", "gone"], rigs=["third-party/conflict-rigs/a"])
+    assert row["n_labels"] == 3 and lines(tmp_path / "o/skipped") == ["gone"]
+    assert lines(tmp_path / "o/labels") == sorted(f"fixups//{label}" for label in labels[:3])
+    assert jobs.impact(spark, None, stored, None, str(tmp_path / "n"))["n_labels"] == 0
+    wide = jobs.impact(spark, None, stored, None, str(tmp_path / "w"), crates=["serde"], patterns=["//third-party/..."])
+    assert wide["n_labels"] == 3
+
+
+def test_matrix(spark, tmp_path):
+    known = write(tmp_path / "ci", {"expected-failures-L.txt": "fixups//a:x\nfixups//a:y\n", "expected-failures-W.txt": "fixups//a:x\n"})
+    manifest = lambda *crates: "[dependencies]\n" + "".join(f'{c} = "1"\n' for c in crates)
+    root = write(
+        tmp_path / "tree",
+        {
+            "third-party/Cargo.toml": manifest("a", "new"),
+            "third-party/snapshots/2024-11/Cargo.toml": manifest("a", "old"),
+            "third-party/snapshots/2025-05/Cargo.toml": manifest("a"),
+            "third-party/conflict-rigs/q/Cargo.toml": manifest("only"),
+            "third-party/snapshots/broken/Cargo.toml": "[dep",
+        },
+    )
+    row = jobs.matrix(spark, known, root, str(tmp_path / "m"))
+    assert row.asDict() == {"n_labels": 2, "n_crates": 4, "n_errors": 1}
+    failing = spark.read.parquet(str(tmp_path / "m/platforms")).select("label", "on_L", "on_W", "everywhere")
+    assert as_set(failing) == {("fixups//a:x", True, True, True), ("fixups//a:y", True, False, False)}
+    slots = spark.read.parquet(str(tmp_path / "m/slots")).select("crate", "`in_2024-11`", "`in_2025-05`", "in_other", "first_slot", "absent_vs_main")
+    assert as_set(slots) == {
+        ("a", True, True, False, "2024-11", False),
+        ("new", False, False, False, None, False),
+        ("old", True, False, False, "2024-11", True),
+        ("only", False, False, True, None, True),
+    }
+
+
 def test_mint(spark, tmp_path):
     root = write(tmp_path / "repo", {"third-party/Cargo.toml": '[dependencies]\na = "1"\nb = { version = "1", features = ["x"] }\nring = "=1"\nlate = "1"\n'})
     index, needs = str(tmp_path / "index"), str(tmp_path / "needs")

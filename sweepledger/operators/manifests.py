@@ -98,10 +98,10 @@ def platform_matrix(known: DataFrame, platforms: Sequence[str]) -> DataFrame:
     return counted.withColumn("everywhere", F.col("n_platforms") == len(platforms))
 
 
-def latest_by_slot(index: DataFrame, slots: Sequence[str], keys: Sequence[str], order: Column) -> DataFrame:
+def latest_by_slot(index: DataFrame, slots: Sequence[str] | None, keys: Sequence[str], order: Column) -> DataFrame:
     """For each key and slot the row with the highest ``order`` first seen by then.
 
-    ``index.slot`` is the first slot a row is visible in. Each (key, slot) is
+    ``index.slot`` is the first slot a row is visible in; without ``slots`` those of the index count, found in the same job. Each (key, slot) is
     reduced to its best row before the shuffle; a running maximum over the few
     slots of a key follows, and each result holds until the key's next slot.
     """
@@ -114,8 +114,12 @@ def latest_by_slot(index: DataFrame, slots: Sequence[str], keys: Sequence[str],
         F.lead("slot").over(history).alias("until"),
         F.max("best").over(history.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("best"),
     )
-    slot_list = F.array(*[F.lit(s) for s in slots])
-    valid = F.filter(slot_list, lambda s: (s >= F.col("since")) & (F.col("until").isNull() | (s < F.col("until"))))
+    if slots is None:
+        slot_list = best.select("slot").distinct().agg(F.collect_list("slot")).scalar()  # one row per slot
+    else:
+        slot_list = F.array(*[F.lit(s) for s in slots])
+    running = running.withColumn("_slots", slot_list)
+    valid = F.filter("_slots", lambda s: (s >= F.col("since")) & (F.col("until").isNull() | (s < F.col("until"))))
     return running.select(*keys, F.explode(valid).alias("slot"), F.col("best.row.*"))
 
 

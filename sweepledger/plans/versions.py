@@ -159,7 +159,7 @@ def latest_by_year(spark: SparkSession, root: str) -> DataFrame:
     """Each customer's latest order up to the end of each year."""
     orders = table(spark, root, "orders").select("o_custkey", "o_orderkey", "o_orderdate", year_of("o_orderdate").alias("slot"))
     order = F.struct("o_orderdate", "o_orderkey")
-    return M.latest_by_slot(orders, _slots_of(orders), ["o_custkey"], order).drop("o_orderdate")
+    return M.latest_by_slot(orders, None, ["o_custkey"], order).drop("o_orderdate")
 
 
 @audit(

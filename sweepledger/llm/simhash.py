@@ -111,7 +111,8 @@ def links_within(prints: DataFrame, distance: int = 3, segments: int = 2) -> Dat
         F.explode(F.when(F.col("segment") <= rest, masks(wide)).otherwise(masks(small))).alias("pattern"),
     ).select("segment", F.col("part").bitwiseXOR(F.col("pattern")).alias("part"), "probe")
     near = F.bit_count(F.col("probe").bitwiseXOR(F.col("fingerprint"))) <= distance
-    met = probes.join(table, ["segment", "part"]).where((F.col("probe") < F.col("fingerprint")) & near)
+    # Probes are many times the fingerprints, which estimates of their size do not see: they are never to be broadcast.
+    met = probes.hint("merge").join(table, ["segment", "part"]).where((F.col("probe") < F.col("fingerprint")) & near)
     return met.select(F.col("probe").alias("a"), F.col("fingerprint").alias("b")).distinct()
 
 

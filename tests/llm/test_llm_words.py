@@ -171,6 +171,11 @@ def test_links_are_all_pairs_within(spark, distance, segments):
     assert {tuple(r) for r in links_within(frame, distance, segments).collect()} == near
 
 
+def test_probes_are_not_broadcast(spark):
+    plan = links_within(spark.range(100).selectExpr("id AS fingerprint"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_path_and_a_hub(spark):
     links = [(i, i + 1) for i in range(700)] + [(10**6, 10**6 + i) for i in range(1, 500)] + [(5, 5), (None, 3), (1, 2)]
     random.Random(2).shuffle(links)

@@ -71,6 +71,11 @@ def scratch_mark(spark: SparkSession) -> int:
     return len(_scratch(spark))
 
 
+def scratch_since(spark: SparkSession, mark: int) -> list[str]:
+    """The scratch folders made since a mark that were not dropped."""
+    return list(_scratch(spark)[mark:])
+
+
 def drop_scratch(spark: SparkSession, since: int, keep: Sequence[str] = ()) -> int:
     """Delete the scratch folders made since a mark but those in ``keep``; how many. For callers whose results are written,
     because frames made in between may still read these folders."""

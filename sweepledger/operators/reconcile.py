@@ -132,6 +132,22 @@ def stale_in_runs(seen: DataFrame, classes: DataFrame, runs: DataFrame) -> DataF
     return pairs.join(seen.where("listed").select(*RUN, "label"), [*RUN, "label"], "left_anti")
 
 
+def stale_per_run(observed: DataFrame, known: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(run_id, platform, label)`` of the stale entries of all ``runs``, one row per run and entry.
+
+    An entry meets the runs that failed on it once and gives a row for each other run of its platform, so what is
+    shuffled grows with the failures and the lists; only the result has a row per run and entry. Null runs and labels are values like others.
+    """
+    run = F.struct("run_id")
+    sides = known.select(*KEYS, F.lit(True).alias("listed"), F.lit(None).cast("struct<run_id:string>").alias("run")).unionByName(
+        observed.select(*KEYS, F.lit(False).alias("listed"), run.alias("run"))
+    )
+    hits = sides.groupBy(*KEYS).agg(F.bool_or("listed").alias("listed"), F.collect_set("run").alias("hits"))
+    per_platform = runs.select(*RUN).groupBy("platform").agg(F.collect_set(run).alias("runs"))
+    others = F.inline(F.array_except("runs", "hits"))
+    return hits.where("listed").join(per_platform, "platform").select(others, *KEYS)
+
+
 def target_count(targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Targets in scope, per ``keys`` or over all."""
     return targets.where(F.col("label") != "").groupBy(*keys).agg(F.count("*").alias("target_count"))

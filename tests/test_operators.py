@@ -75,6 +75,39 @@ def test_report_to_verdict(table):
     assert as_set(shared) == {("L", "stale", "fixups//a:v", 2), ("L", "stale", "fixups//a:y", 1)}
 
 
+def test_each_run_names_its_stale_entries(spark):
+    rng = random.Random(11)
+    runs = [(r, p) for r in ("1", "2", "3", None) for p in "LM"]
+    observed = [(*rng.choice(runs), rng.choice(["a", "b", "c", "d", None])) for _ in range(12)]
+    known = [(rng.choice("LMN"), rng.choice(["a", "b", "c", None])) for _ in range(12)]
+    stale = R.stale_per_run(
+        spark.createDataFrame(observed, "run_id STRING, platform STRING, label STRING"),
+        spark.createDataFrame(known, "platform STRING, label STRING"),
+        spark.createDataFrame(runs * 2, "run_id STRING, platform STRING"),
+    )
+    got = [tuple(r) for r in stale.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(r, p, k) for r, p in runs for q, k in known if p == q} - set(observed)
+
+
+def test_verdict_lines_have_a_row_per_run_and_stale_entry(spark, tmp_path):
+    from sweepledger.plans.catalog import AUDITS
+
+    parts = [(k, "red bolt", "PROMO", 5, "Brand#1") for k in (1, 2)]
+    spark.createDataFrame(parts, "p_partkey LONG, p_name STRING, p_type STRING, p_size INT, p_brand STRING").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(1, s, "F", flag, day) for s, flag, day in (
+        (1, "A", "1995-03-01"), (2, "A", "1995-03-01"), (3, "R", "1995-03-01"), (1, "R", "1996-03-01"), (9, "N", "1997-03-01")
+    )]
+    made = spark.createDataFrame(lines, "l_partkey LONG, l_suppkey LONG, l_linestatus STRING, l_returnflag STRING, day STRING")
+    made.withColumn("l_shipdate", F.to_timestamp_ntz("day")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    report = AUDITS["verdict_lines"](spark, str(tmp_path))
+    name = "//promo:red_bolt-5-s"
+    assert as_set(report.where("part > 0").select("run_id", "platform", "kind", "label")) == {
+        ("1995", "F", "new", f"{name}3"), ("1995", "F", "stale", f"{name}1"), ("1995", "F", "stale", f"{name}2"),
+        ("1996", "F", "stale", f"{name}2"), ("1997", "F", "stale", f"{name}1"), ("1997", "F", "stale", f"{name}2"),
+    }
+    assert report.count() == 9
+
+
 def test_two_sided_sets_equal_brute_force(spark):
     rng = random.Random(7)
     for size in (0, 5, 400):

@@ -1,8 +1,9 @@
 """Phrase collocations, counted in stripes: each prefix keys an associative counter of the words that follow it.
 
 Stripes of one word more are made from those before. A task cuts its texts into blocks of numbered words once; for each
-length it sends, per block and prefix, one stripe of next words and counts, and stripes of the
-same prefix are merged elementwise. A phrase can only reach the wanted frequency if what is left
+length it makes, per block and prefix, one stripe of next words and counts, and stripes of the
+same prefix are merged elementwise. A block sends its stripes in a bounded number of bundles, by a hash of the prefix, so the rows sent grow
+with the blocks, not with the prefixes that become frequent as texts are added. A phrase can only reach the wanted frequency if what is left
 without its first and without its last word does, so longer stripes are made of such
 words only. Which phrases do is told to the tasks by a bitmap of fixed size, addressed by a hash: it never
 leaves a frequent phrase out, and what it lets through by chance falls short when stripes are merged.
@@ -27,8 +28,10 @@ from ..session import drop_stage, stage, stage_at
 from .shared import ship, slices
 
 BLOCK_WORDS = 1 << 20
-# Parts of a stripe, by a hash of the next word: of prefixes that make up a thousandth of all words or more, and of the empty prefix.
-HOT_SHARE, HOT_PARTS, WORD_PARTS = 1000, 64, 1024
+# Bundles of stripes, by a hash of the prefix. A stripe is cut over several of them, by a hash of the next word: over so many that of a
+# prefix that makes up a thousandth of all words or more, over all of them that of the empty prefix.
+PARTS, HOT_SHARE, HOT_PARTS = 1024, 1000, 64
+MERGE_BYTES = 4 << 20  # of next words, in a batch that is merged
 BITS = 26  # the bitmap has 2 ** BITS bits: 8 MB
 # A-Z lower-cased; the ends of pieces become line feeds, tabs spaces.
 PIECES = bytes(
@@ -36,10 +39,18 @@ PIECES = bytes(
 )
 FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BLOCK = "lang string, words binary, ids binary"
-# Next words, a line feed between two, and their counts as 64-bit integers.
-STRIPE = "lang string, prefix string, part int, nexts string, counts binary"
+# A bundle: prefixes, a line feed between two, how many next words each has, those with a line feed between two, and
+# their counts; numbers are 64-bit integers.
+STRIPE = "lang string, part int, prefixes string, sizes binary, nexts string, counts binary"
 STRIPE_TYPE = pa.schema(
-    [("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("nexts", pa.string()), ("counts", pa.binary())]
+    [
+        ("lang", pa.string()),
+        ("part", pa.int32()),
+        ("prefixes", pa.string()),
+        ("sizes", pa.binary()),
+        ("nexts", pa.string()),
+        ("counts", pa.binary()),
+    ]
 )
 ENTRY = "lang string, prefix string, next string, n long"
 
@@ -121,38 +132,46 @@ def _positions(ids: np.ndarray, hashes: np.ndarray, width: int, bitmap: np.ndarr
     return at, part[at]
 
 
-def packed(lang: pa.Array, prefix: pa.Array, part: np.ndarray, first: np.ndarray, nexts: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    """Stripes from their entries; each begins at ``first``. Counts are narrowed by the shuffle's compression."""
-    ends = np.r_[first, len(counts)]
-    words = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), nexts), "\n")
-    raw = pa.py_buffer(counts.astype(np.int64).tobytes())
-    numbers = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((8 * ends).astype(np.int32).tobytes()), raw])
-    return pa.RecordBatch.from_arrays([lang, prefix, pa.array(part.astype(np.int32)), words, numbers], schema=STRIPE_TYPE)
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the row before in one of the ``keys``."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def packed(lang: pa.Array, part: np.ndarray, bundle: np.ndarray, prefix: np.ndarray, known: pa.Array, nexts: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """Bundles from entries in order: of each the number of its ``bundle``, of its prefix among the ``known``, its next word and count."""
+
+    def joined(ends: np.ndarray, words: pa.Array) -> pa.Array:
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words), "\n")
 
+    def numbers(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+        raw = pa.py_buffer(values.astype(np.int64).tobytes())
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((8 * ends).astype(np.int32).tobytes()), raw])
 
-def unpacked(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Entries of stripes: how many each has, their words and counts."""
-    words = pc.split_pattern(rows.column("nexts"), "\n")
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64)
-    return np.diff(words.offsets.to_numpy()), words.flatten(), counts
+    stripe = starts_of(bundle, prefix)
+    first = starts_of(bundle)
+    ends, stripe_ends = np.r_[first, len(counts)], np.r_[np.searchsorted(stripe, first), len(stripe)]
+    prefixes = joined(stripe_ends, known.take(pa.array(prefix[stripe])))
+    sizes = numbers(stripe_ends, np.diff(np.r_[stripe, len(counts)]))
+    columns = [lang, pa.array(part.astype(np.int32)), prefixes, sizes, joined(ends, nexts), numbers(ends, counts)]
+    return pa.RecordBatch.from_arrays(columns, schema=STRIPE_TYPE)
 
 
 def block_stripes(lang: str, words: list[bytes], ids: np.ndarray, width: int, bitmap: np.ndarray | None, hot: set[str]) -> pa.RecordBatch:
-    """The stripes of a block's phrases of ``width`` words, the last of which is the next word; those of ``hot`` prefixes in parts."""
+    """The stripes of a block's phrases of ``width`` words, the last of which is the next word, in bundles; those of ``hot`` prefixes cut."""
     names = pa.array(words, pa.binary()).cast(pa.string())
     hashes = word_hashes(lang, words)
     if width == 1:
         count = np.bincount(ids[ids >= 0], minlength=len(words))
-        part = (hashes % np.uint64(WORD_PARTS)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        following, count, part = order, count[order], part[order]
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(order) else order
-        prefixes = pa.array([""] * len(first), pa.string())
-        part = part[first]
+        following = np.arange(len(words))
+        prefix, known, part = np.zeros(len(words), np.int64), pa.array([""]), hashes % np.uint64(PARTS)
     else:
         at, prefix_hash = _positions(ids, np.r_[hashes, np.uint64(0)], width, bitmap)
         if width == 2:
-            prefix, known = ids[at].astype(np.int64), names
+            prefix, known, of = ids[at].astype(np.int64), names, hashes
         else:
             # Numbers of the prefixes; two with one hash stay apart, as their words are compared.
             order = np.argsort(prefix_hash, kind="stable")
@@ -163,24 +182,25 @@ def block_stripes(lang: str, words: list[bytes], ids: np.ndarray, width: int, bi
             prefix = np.zeros(len(at), np.int64)
             prefix[order] = np.cumsum(new) - 1
             known = pc.binary_join_element_wise(*[names.take(pa.array(ids[sorted_at[new] + k])) for k in range(width - 1)], " ")
-        following = ids[at + width - 1].astype(np.int64)
-        is_hot = pc.is_in(known, pa.array(sorted(hot), pa.string())).to_numpy(zero_copy_only=False)
-        part = np.where(is_hot[prefix], (hashes % np.uint64(HOT_PARTS)).astype(np.int64)[following], 0) if len(at) else at
-        keys = np.sort((prefix * HOT_PARTS + part) << 32 | following)
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else keys
+            of = prefix_hash[order][new]
+        keys = np.sort(prefix << 32 | ids[at + width - 1].astype(np.int64))
+        starts = starts_of(keys)
         count = np.diff(np.r_[starts, len(keys)])
-        keys = keys[starts]
-        following, stripe = keys & 0xFFFFFFFF, keys >> 32
-        first = np.flatnonzero(np.r_[True, stripe[1:] != stripe[:-1]]) if len(keys) else keys
-        part = stripe[first] % HOT_PARTS
-        prefixes = known.take(pa.array(stripe[first] // HOT_PARTS))
-    return packed(pa.array([lang] * len(first), pa.string()), prefixes, part, first, names.take(pa.array(following)), count)
+        prefix, following = keys[starts] >> 32, keys[starts] & 0xFFFFFFFF
+        is_hot = pc.is_in(known, pa.array(sorted(hot), pa.string())).to_numpy(zero_copy_only=False)
+        cut = np.where(is_hot[prefix], hashes[following] % np.uint64(HOT_PARTS), np.uint64(0))
+        part = ((of[prefix] * SPREAD >> np.uint64(32)) + cut) % np.uint64(PARTS)
+    order = np.argsort(part, kind="stable")
+    part, following = part[order].astype(np.int64), following[order]
+    parts = part[starts_of(part)]
+    return packed(pa.array([lang] * len(parts), pa.string()), parts, part, prefix[order], known, names.take(pa.array(following)), count[order])
 
 
 def stripes(blocks: DataFrame, width: int, bitmap: np.ndarray | None = None, hot: set[tuple[str, str]] = frozenset()) -> DataFrame:
-    """``(lang, prefix, part, nexts, counts)``: per block and prefix of ``width - 1`` words its next words and their counts.
+    """``(lang, part, prefixes, sizes, nexts, counts)``: per block and prefix of ``width - 1`` words its next words and their counts.
 
-    The stripe of a ``hot`` ``(lang, prefix)`` is cut into parts by a hash of the next word, so that no task merges all of it.
+    A block has ``PARTS`` rows at most, each with the stripes of some prefixes. The stripe of a ``hot`` ``(lang, prefix)`` is cut over
+    ``HOT_PARTS`` of them by a hash of the next word, so that no task merges all of it.
     """
     ship(blocks.sparkSession)
     sent = blocks.sparkSession.sparkContext.broadcast((bitmap, hot))
@@ -196,62 +216,63 @@ def stripes(blocks: DataFrame, width: int, bitmap: np.ndarray | None = None, hot
     return blocks.mapInArrow(run, STRIPE)
 
 
-def merged(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Sorted stripes with those of one key added up: first row of each key; per entry its key's number and count; next words."""
+def merged(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """Sorted bundles with those of one lang and part added up: first row of each; per entry the number of its bundle and of its
+    prefix, all prefixes, next words and counts."""
     n = rows.num_rows
     new = np.zeros(n, bool)
     new[:1] = True
-    for c in ("lang", "prefix", "part"):
+    for c in ("lang", "part"):
         column = rows.column(c)
         new[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    key = np.cumsum(new) - 1
-    sizes, nexts, counts = unpacked(rows)
-    coded = nexts.dictionary_encode()
-    entry = np.repeat(key, sizes) << 32 | coded.indices.to_numpy()
+    bundle = np.cumsum(new) - 1
+    prefixes = pc.split_pattern(rows.column("prefixes"), "\n")
+    sizes, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("sizes", "counts"))
+    known, nexts = prefixes.flatten().dictionary_encode(), pc.split_pattern(rows.column("nexts"), "\n").flatten().dictionary_encode()
+    stripe = np.repeat(bundle, np.diff(prefixes.offsets.to_numpy())) << 32 | known.indices.to_numpy()
+    stripes_of, number = np.unique(stripe, return_inverse=True)
+    entry = np.repeat(number, sizes) << 32 | nexts.indices.to_numpy()
     order = np.argsort(entry, kind="stable")
     entry = entry[order]
-    starts = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]]) if len(entry) else order
+    starts = starts_of(entry)
     sums = np.add.reduceat(counts[order], starts) if len(starts) else counts
-    return np.flatnonzero(new), entry[starts] >> 32, sums, coded.dictionary.take(pa.array(entry[starts] & 0xFFFFFFFF))
+    own = stripes_of[entry[starts] >> 32]
+    following = nexts.dictionary.take(pa.array(entry[starts] & 0xFFFFFFFF))
+    return np.flatnonzero(new), own >> 32, own & 0xFFFFFFFF, known.dictionary, following, sums
 
 
 def merge_stripes(rows: DataFrame, least: int, rest: bool = False) -> DataFrame:
     """``(lang, prefix, next, n)``: the entries of elementwise merged stripes that reach ``least``.
 
-    With ``rest``, all others of a stripe make one entry with a null ``next``, so that totals stay whole. Rows are
-    dealt by prefix and part and merged in order, a batch at a time; of a key that goes on in the next batch the merged stripe is kept.
+    With ``rest``, all others of a bundle and prefix make one entry with a null ``next``, so that totals stay whole. Rows are
+    dealt by lang and part and merged in order, some at a time; of a part that goes on in the next ones the merged bundle is kept.
     """
-    dealt = rows.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
+    dealt = rows.repartition("lang", "part").sortWithinPartitions("lang", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def entries(batch: pa.RecordBatch, first, key, sums, nexts) -> pa.RecordBatch:
+        def entries(batch: pa.RecordBatch, first, bundle, prefix, known, nexts, sums) -> pa.RecordBatch:
             big = sums >= least
-            at, n, following = key[big], sums[big], nexts.filter(pa.array(big))
+            of, at, n, following = bundle[big], prefix[big], sums[big], nexts.filter(pa.array(big))
             if rest:
-                small = np.zeros(len(first), np.int64)
-                np.add.at(small, key[~big], sums[~big])
-                others = np.flatnonzero(small)
-                at, n = np.r_[at, others], np.r_[n, small[others]]
-                following = pa.concat_arrays([following, pa.nulls(len(others), pa.string())])
-            row = pa.array(first[at])
-            return pa.RecordBatch.from_arrays(
-                [batch.column("lang").take(row), batch.column("prefix").take(row), following, pa.array(n, pa.int64())],
-                ["lang", "prefix", "next", "n"],
-            )
+                stripe, number = np.unique(bundle[~big] << 32 | prefix[~big], return_inverse=True)
+                small = np.zeros(len(stripe), np.int64)
+                np.add.at(small, number, sums[~big])
+                of, at, n = np.r_[of, stripe >> 32], np.r_[at, stripe & 0xFFFFFFFF], np.r_[n, small]
+                following = pa.concat_arrays([following, pa.nulls(len(stripe), pa.string())])
+            langs = batch.column("lang").take(pa.array(first[of]))
+            return pa.RecordBatch.from_arrays([langs, known.take(pa.array(at)), following, pa.array(n, pa.int64())], ["lang", "prefix", "next", "n"])
 
         kept: pa.RecordBatch | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, "nexts", MERGE_BYTES):
             if kept is not None:
                 batch = pa.concat_batches([kept, batch.cast(STRIPE_TYPE)])
-            first, key, sums, nexts = merged(batch)
+            first, bundle, prefix, known, nexts, sums = merged(batch)
             last = len(first) - 1
-            done = int(np.searchsorted(key, last))
-            yield entries(batch, first[:last], key[:done], sums[:done], nexts.slice(0, done))
+            done = int(np.searchsorted(bundle, last))
+            yield entries(batch, first[:last], bundle[:done], prefix[:done], known, nexts.slice(0, done), sums[:done])
             row = batch.slice(int(first[last]), 1)
             kept = packed(
-                row.column("lang"), row.column("prefix"), row.column("part").to_numpy(), np.zeros(1, np.int64), nexts.slice(done), sums[done:]
+                row.column("lang"), row.column("part").to_numpy(), np.zeros(len(sums) - done, np.int64), prefix[done:], known, nexts.slice(done), sums[done:]
             )
         if kept is not None:
             yield entries(kept, *merged(kept))

@@ -205,6 +205,20 @@ def test_full_bitmap_changes_nothing(spark, monkeypatch):
     assert rows_of(C.collocations(docs, least=20)) == want and want
 
 
+def test_stripes_of_a_block_are_few_rows_whatever_is_frequent():
+    words = [b"w%d" % i for i in range(5000)]
+    ids = np.r_[np.arange(5000), -1, np.arange(5000), 0].astype(np.int32)
+    every = np.full(1 << (C.BITS - 6), 2**64 - 1, np.uint64)
+    for width in (2, 3):
+        bundles = C.block_stripes("en", words, ids, width, every, {"w7"})
+        assert 0 < bundles.num_rows <= 1024
+        first, bundle, prefix, known, nexts, counts = C.merged(bundles)
+        got = Counter(dict(zip(zip(known.take(prefix).to_pylist(), nexts.to_pylist()), counts.tolist())))
+        plain = [f"w{i}" if i >= 0 else "." for i in ids.tolist()]
+        phrases = [plain[i : i + width] for i in range(len(plain) - width + 1)]
+        assert got == Counter((" ".join(p[:-1]), p[-1]) for p in phrases if "." not in p)
+
+
 def test_scores_beyond_64_bits(spark, monkeypatch):
     counts = [("en", 1, "a", 3 * 10**12), ("en", 1, "b", 2 * 10**12 + 1), ("en", 2, "a b", 10**12 + 7)]
     counted = spark.createDataFrame(counts, "lang string, width int, phrase string, f long")

@@ -20,6 +20,8 @@ from .setops import apart, distinct_keys
 
 # Rounds kept as separate tables before they are written as one.
 COMPACT_EVERY = 16
+# Rows of a round that are broadcast at most.
+BROADCAST_ROWS = 10_000
 
 
 def float_deps(deps: DataFrame, skip: Sequence[str] = EXACT_PINNED) -> DataFrame:
@@ -290,6 +292,12 @@ def _judged_conflicts(rivals: DataFrame, dropped: DataFrame) -> DataFrame:
     return live.join(distinct_keys(beaten, group), group, "left_anti").select("slot", F.col("pick.crate").alias("crate")).distinct()
 
 
+def _side(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """A side of a join that is broadcast if ``n``, the most rows it may have, is small. Any other is shuffled, so that it does not
+    pass through the driver in each of many rounds."""
+    return F.broadcast(rows) if n is not None and n <= BROADCAST_ROWS else rows.hint("merge")
+
+
 def prune_versions(candidates: DataFrame, requirements: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``(slot, crate, version, round)``: candidate versions that cannot be used, in the round in which they fall.
 
@@ -300,7 +308,8 @@ def prune_versions(candidates: DataFrame, requirements: DataFrame, max_rounds: i
     Support is counted: of each distinct range the candidates inside it. In a round the candidates that fell
     take their support away from the ranges they are in, and the owners of ranges without support fall
     next. So the pairs of a range and a version are met once at the start and once per fallen
-    version. Each round's tables are written to the shared folder; the driver sees one count per round.
+    version. Each round's tables are written to the shared folder; the driver sees one count per round and, as
+    broadcasts, rounds of ``BROADCAST_ROWS`` at most.
     """
     spark = candidates.sparkSession
     key = ["slot", "crate", "version"]
@@ -314,36 +323,41 @@ def prune_versions(candidates: DataFrame, requirements: DataFrame, max_rounds: i
     ranges = stage(asked.select(*span).distinct().withColumn("range", F.monotonically_increasing_id()), "spans")
     same = lambda a, b: (F.col(f"{a}.slot") == F.col(f"{b}.slot")) & (F.col(f"{a}.needs") == F.col(f"{b}.needs"))
     equal = same("a", "r") & F.col("a.lo").eqNullSafe(F.col("r.lo")) & F.col("a.hi").eqNullSafe(F.col("r.hi"))
-    owners = stage(asked.alias("a").join(ranges.alias("r"), equal).select("a.slot", "a.crate", "a.version", "range"), "owners")
+    owners = stage(asked.alias("a").join(_side(ranges).alias("r"), equal).select("a.slot", "a.crate", "a.version", "range"), "owners")
 
-    def support(of: DataFrame) -> DataFrame:
+    def support(of: DataFrame, n: int | None = None) -> DataFrame:
         inside = (F.col("c.slot") == F.col("r.slot")) & (F.col("c.crate") == F.col("r.needs")) & in_range(F.col("c.v"), F.col("r.lo"), F.col("r.hi"))
-        return of.alias("c").join(ranges.alias("r"), inside).groupBy("range").agg(F.count("*").alias("n"))
+        return _side(of, n).alias("c").join(ranges.alias("r"), inside).groupBy("range").agg(F.count("*").alias("n"))
 
     full = stage(support(held), "support")
-    failed = ranges.select("range").join(full, "range", "left_anti")
-    fallen, losses, round_no = [], [], 0
+    failed, n_failed = ranges.select("range").join(_side(full), "range", "left_anti"), None
+    fallen, losses, round_no, n_fallen = [], [], 0, 0
     while True:
         round_no += 1
-        hit = owners.join(failed, "range", "left_semi").select("slot", "crate", "version").distinct()
+        hit = stage(owners.join(_side(failed, n_failed), "range", "left_semi").select("slot", "crate", "version").distinct(), "hit")
+        n_hit = hit.count()
         # A requirement of all versions of a crate, or of one.
         whole = hit.where("version IS NULL").select("slot", "crate").distinct()
         single = hit.where("version IS NOT NULL")
-        down = held.join(whole, ["slot", "crate"], "left_semi").unionByName(held.join(single, key, "left_semi")).distinct()
-        for old in fallen:
-            down = down.join(old.select(*key), key, "left_anti")
+        down = held.join(_side(whole, n_hit), ["slot", "crate"], "left_semi").unionByName(held.join(_side(single, n_hit), key, "left_semi")).distinct()
+        if fallen:
+            before = reduce(DataFrame.unionByName, [old.select(*key) for old in fallen])
+            down = down.join(_side(before, n_fallen), key, "left_anti")
         now, path = stage_at(down, "fallen")
-        if now.isEmpty():
+        n_now = now.count()
+        if not n_now:
             drop_stage(spark, path)
             break
+        n_fallen += n_now
         if max_rounds is not None and round_no > max_rounds:
             raise RoundsExceeded(f"not ended after {max_rounds} rounds")
         fallen.append(now.withColumn("round", F.lit(round_no)))
-        lost = stage(support(now), "losses")
+        lost = stage(support(now, n_now), "losses")
+        n_failed = lost.count()
         losses.append(lost)
-        touched = reduce(DataFrame.unionByName, losses).join(lost.select("range"), "range", "left_semi")
+        touched = reduce(DataFrame.unionByName, losses).join(_side(lost.select("range"), n_failed), "range", "left_semi")
         gone = touched.groupBy("range").agg(F.sum("n").alias("gone"))
-        failed = gone.join(full, "range").where("gone = n").select("range")
+        failed = full.join(_side(gone, n_failed), "range").where("gone = n").select("range")
         if len(fallen) > COMPACT_EVERY:
             fallen = [stage(reduce(DataFrame.unionByName, fallen), "fallen")]
             losses = [stage(reduce(DataFrame.unionByName, losses).groupBy("range").agg(F.sum("n").alias("n")), "losses")]
@@ -354,9 +368,10 @@ def prune_versions(candidates: DataFrame, requirements: DataFrame, max_rounds: i
 def lost_crates(candidates: DataFrame, fallen: DataFrame) -> DataFrame:
     """``(slot, crate, round)`` of crates whose every candidate fell, with the round of the last."""
     keys = ["slot", "crate"]
-    left = candidates.select(*keys, "version").distinct().join(fallen.select(*keys, "version"), [*keys, "version"], "left_anti")
+    gone = _side(fallen.select(*keys, "version"))
+    left = candidates.select(*keys, "version").distinct().join(gone, [*keys, "version"], "left_anti")
     return fallen.groupBy(*keys, apart(keys)).agg(F.max("round").alias("round")).select(*keys, "round").join(
-        distinct_keys(left, keys), keys, "left_anti"
+        _side(distinct_keys(left, keys)), keys, "left_anti"
     )
 
 

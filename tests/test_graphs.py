@@ -179,6 +179,28 @@ def test_pruned_versions_equal_brute_force(spark, monkeypatch, seed, compact):
         M.prune_versions(held, needs, max_rounds=1)
 
 
+def test_large_rounds_of_versions_do_not_pass_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def noting(write):
+        def noted(df, *args):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return write(df, *args)
+
+        return noted
+
+    monkeypatch.setattr(M, "stage", noting(M.stage))
+    monkeypatch.setattr(M, "stage_at", noting(M.stage_at))
+    monkeypatch.setattr(M, "BROADCAST_ROWS", -1, raising=False)  # not even no rows
+    held = spark.createDataFrame([("s", c, "1.0.0") for c in "abcd"], "slot STRING, crate STRING, version STRING")
+    asked = [("s", "a", "x", "*"), ("s", "b", "a", "*"), ("s", "c", "b", "^1"), ("s", "d", "d", "*")]
+    needs = spark.createDataFrame(asked, "slot STRING, crate STRING, needs STRING, version_req STRING")
+    lost = M.lost_crates(held, M.prune_versions(held, needs))
+    plans.append(lost._jdf.queryExecution().executedPlan().toString())
+    assert as_set(lost) == {("s", "a", 1), ("s", "b", 2), ("s", "c", 3)}
+    assert len(plans) > 10 and [p[:1200] for p in plans if "BroadcastExchange" in p] == []
+
+
 def slow_conflicts(members, needs, conflicts):
     """Drops by rounds: to rest, then the conflicts that come first, and so on."""
     alive = {c for c, ok in members if ok}

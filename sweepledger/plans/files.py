@@ -17,7 +17,7 @@ from ..sources import sweeps as SS
 from ..sources import targets as ST
 from ..sources.run_folders import read_run_folders
 from .changes import CRATES_SQL, PATHS_SQL, paths
-from .inputs import KNOWN_SQL, LABEL_SQL, PLAIN_SQL, known, label, labels_of, table
+from .inputs import KNOWN_SQL, LABEL_SQL, PLAIN_SQL, balanced, known, label, labels_of, table
 from .registry import audit
 from .versions import DEPS_SQL, SKIPPED, manifest_deps_of
 
@@ -105,7 +105,9 @@ def _report_folders(spark: SparkSession, root: str) -> str:
     each = flags.groupBy("platform", "run_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("label", outcome))).alias("results"))
     whole = each.select("platform", "run_id", F.col("part").cast("string").alias("part"), F.to_json(F.struct("results")).alias("text"))
     cut = flags.select("platform", "run_id").distinct().select("platform", "run_id", F.lit("cut").alias("part"), F.lit('{"results": {"x').alias("text"))
-    whole.unionByName(cut).repartition("platform", "run_id").write.partitionBy("platform", "run_id", "part").text(out)
+    # A file each: written by all tasks, which also put them in place, as the driver would one by one.
+    files = balanced(whole.unionByName(cut), "platform", "run_id", "part").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    files.partitionBy("platform", "run_id", "part").text(out)
     return out
 
 

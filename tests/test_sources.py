@@ -317,3 +317,17 @@ def test_filters_reach_the_listing(spark, tmp_path):
     assert as_set(got.select("platform", "run_id", "state")) == {("W", "5", "read"), ("W", "6", "read")}
     assert "PushedFilters: [EqualTo" in got._jdf.queryExecution().executedPlan().toString() or got.rdd.getNumPartitions() == 1
     assert read_run_folders(spark, root).where("platform = 'X'").count() == 0
+
+
+def test_one_run_of_many_files_is_read_by_many_tasks(spark, tmp_path):
+    folder = tmp_path / "F" / "1"
+    (folder / "below").mkdir(parents=True)
+    names = [f"r{i}.json" for i in range(40)] + [f"below/{i}.json" for i in range(5)]
+    for name in names:
+        (folder / name).write_text('{"results": {"fixups//a:%s": null}}' % name)
+    (folder / "cut.json").write_text("{")
+    rows = read_run_folders(spark, str(tmp_path))
+    read = rows.where("label IS NOT NULL")
+    assert sorted(r["file"] for r in read.collect()) == sorted(names)
+    assert read.select(F.spark_partition_id()).distinct().count() > 8
+    assert rows.where("label IS NULL").groupBy("state").count().orderBy("state").collect() == [("read", 45), ("unreadable", 1)]

@@ -93,6 +93,9 @@ FOLDER_REPORTS_SQL = """reports AS (
     FROM lineitem GROUP BY ALL)"""
 
 
+SHARES = 8  # of a run, whose files grow with the suppliers
+
+
 def _report_folders(spark: SparkSession, root: str) -> str:
     """A report per platform, run and ten suppliers, with a result per part; some have no outcome. One more per run is cut off."""
     out = scratch_path(spark, "folders")
@@ -118,7 +121,7 @@ def _report_folders(spark: SparkSession, root: str) -> str:
 )
 def folder_reports(spark: SparkSession, root: str) -> DataFrame:
     """Reports of some runs of one platform; other folders are not opened."""
-    rows = read_run_folders(spark, _report_folders(spark, root), suffix=".txt").where("label IS NOT NULL")
+    rows = read_run_folders(spark, _report_folders(spark, root), suffix=".txt", shares=SHARES).where("label IS NOT NULL")
     return rows.where((F.col("platform") == "F") & F.col("run_id").isin("1996", "1998", "2003")).select("platform", "run_id", "label", "success")
 
 
@@ -129,7 +132,7 @@ def folder_reports(spark: SparkSession, root: str) -> DataFrame:
     UNION ALL SELECT DISTINCT platform, run_id, 'unreadable', CAST(1 AS BIGINT) FROM files""",
 )
 def folder_run_states(spark: SparkSession, root: str) -> DataFrame:
-    rows = read_run_folders(spark, _report_folders(spark, root), suffix=".txt").where("label IS NULL")
+    rows = read_run_folders(spark, _report_folders(spark, root), suffix=".txt", shares=SHARES).where("label IS NULL")
     return rows.groupBy("platform", "run_id", "state").agg(F.count("*").alias("n"))
 
 

@@ -326,7 +326,7 @@ def test_one_run_of_many_files_is_read_by_many_tasks(spark, tmp_path):
     for name in names:
         (folder / name).write_text('{"results": {"fixups//a:%s": null}}' % name)
     (folder / "cut.json").write_text("{")
-    rows = read_run_folders(spark, str(tmp_path))
+    rows = read_run_folders(spark, str(tmp_path), shares=16)
     read = rows.where("label IS NOT NULL")
     assert sorted(r["file"] for r in read.collect()) == sorted(names)
     assert read.select(F.spark_partition_id()).distinct().count() > 8

@@ -182,6 +182,21 @@ def test_word_tables_are_emptied(documents, monkeypatch):
         assert [np.frombuffer(x, "<i4").tolist() for x in pairs.encode(some)] == want
 
 
+def test_words_met_last_stay_when_tables_are_full(monkeypatch):
+    """F-op3: full tables keep what the last texts held, and rows of words, parts, long words and whole texts do not mix."""
+    monkeypatch.setattr("sweepledger.llm.byte_pairs.HELD_BYTES", 20_000)
+    pairs = BytePairs(BYTE_PAIRS)
+    words = [f"w{i}x," for i in range(120)]
+    for some in (words[:60], words[60:100], words[100:]):
+        texts = [" ".join(["First", *some, "y" * 100 + str(len(some))]), "two  spaces\n\nhere ", "", " ", "<|endoftext|> " + some[0], "First"]
+        want = [e.ids for e in pairs.library.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<i4").tolist() for x in pairs.encode(texts)] == want
+        ids, sizes = pairs.encode_flat(texts * 2)
+        assert ids.tolist() == 2 * sum(want, []) and sizes.tolist() == 2 * [len(w) for w in want]
+    assert set(words[100:]) <= set(pairs.words) and not set(words[:100]) & set(pairs.words)
+    assert pairs.encode([]) == []
+
+
 def test_histogram_is_encoded_once(spark, documents):
     """One pass over the texts: the answers come from the stored histogram."""
     plan = context_answers(length_histogram(encoded_lengths(documents, BYTE_PAIRS)))._jdf.queryExecution().executedPlan().toString()

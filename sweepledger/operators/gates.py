@@ -105,18 +105,29 @@ def gate_matches(resolved: DataFrame, gates: DataFrame, key: str = "crate") -> D
     return joined.select(*[resolved[c] for c in resolved.columns], *[gates[c] for c in gates.columns if c != key])
 
 
-def dead_gates(gates: DataFrame, resolved: DataFrame, key: str = "crate") -> DataFrame:
-    """Gates no resolved version is in. They are allowed, and reported."""
-    versions = resolved.select(key, "v").distinct()
+def _versions(resolved: DataFrame, key: str, once: bool) -> DataFrame:
+    """Distinct ``(key, v)``. Spark hashes these wide rows before and after the shuffle, which rows that are
+    distinct already need not go through; ``once`` says so."""
+    versions = resolved.select(key, "v")
+    return versions if once else versions.distinct()
+
+
+def dead_gates(gates: DataFrame, resolved: DataFrame, key: str = "crate", once: bool = False) -> DataFrame:
+    """Gates no resolved version is in. They are allowed, and reported.
+
+    ``once`` tells that ``resolved`` has each ``(key, v)`` in one row only.
+    """
+    versions = _versions(resolved, key, once)
     return gates.join(versions, _hit(versions, gates, key), "left_anti")
 
 
-def uncovered_versions(resolved: DataFrame, gates: DataFrame, key: str = "crate") -> DataFrame:
+def uncovered_versions(resolved: DataFrame, gates: DataFrame, key: str = "crate", once: bool = False) -> DataFrame:
     """Resolved versions no gate covers, of crates that are gated at all.
 
-    Give it the exact gates only to find versions that need a section of their own.
+    Give it the exact gates only to find versions that need a section of their own. ``once`` tells that ``resolved`` has each
+    ``(key, v)`` in one row only.
     """
-    versions = resolved.select(key, "v").distinct()
+    versions = _versions(resolved, key, once)
     gated = versions.join(distinct_keys(gates, [key]), key, "left_semi")
     return gated.join(gates, _hit(gated, gates, key), "left_anti")
 

@@ -312,7 +312,9 @@ USED_SQL = """used AS (SELECT DISTINCT l_partkey AS part, CAST(l_quantity AS BIG
 
 
 def _used(spark: SparkSession, root: str) -> DataFrame:
-    lines = table(spark, root, "lineitem").select("l_partkey", F.col("l_quantity").cast("bigint").alias("major")).distinct()
+    """Each crate and version key once: a version with a minus before it has no key, like none."""
+    major = F.col("l_quantity").cast("bigint")
+    lines = table(spark, root, "lineitem").select("l_partkey", F.when(major >= 0, major).alias("major")).distinct()
     version = F.concat("major", F.lit(".0.0"))
     return V.with_version_key(lines.select(F.concat(F.lit("part-"), "l_partkey").alias("crate"), version.alias("version")))
 
@@ -330,7 +332,7 @@ def _sized(spark: SparkSession, root: str) -> DataFrame:
     WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.part = s.part AND u.major BETWEEN lo AND last)""",
 )
 def dead_gates(spark: SparkSession, root: str) -> DataFrame:
-    return V.dead_gates(_sized(spark, root), _used(spark, root)).select("crate", "gate")
+    return V.dead_gates(_sized(spark, root), _used(spark, root), once=True).select("crate", "gate")
 
 
 @audit(
@@ -340,7 +342,8 @@ def dead_gates(spark: SparkSession, root: str) -> DataFrame:
       AND NOT EXISTS (SELECT 1 FROM sized s WHERE u.part = s.part AND u.major BETWEEN lo AND last)""",
 )
 def uncovered_versions(spark: SparkSession, root: str) -> DataFrame:
-    return V.uncovered_versions(_used(spark, root), _sized(spark, root)).select("crate", F.col("v")[0].alias("major"))
+    found = V.uncovered_versions(_used(spark, root), _sized(spark, root), once=True)
+    return found.select("crate", F.col("v")[0].alias("major"))
 
 
 @audit(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sinks.files import rename_files
+from ..sinks.files import write_line_files
 from ..sources import manifests as SM
 from ..sources import sweeps as SS
 from ..sources import targets as ST
@@ -20,20 +20,25 @@ from .registry import audit
 FOLDER_SQL = "'n=' || c_nationkey || '-' || (c_custkey // 1000)"
 
 
+# Customers of a task; a task writes their files one after the other.
+TASK_ROWS = 16_000
+
+
 def tree(spark: SparkSession, root: str, name: str, line: Column, head: str | None = None, below: str = "") -> str:
     """A folder per nation and thousand customers with one file ``name``: ``head``, then a text per customer, in order.
 
-    Returns the root. The part files are renamed in tasks.
+    Returns the root. The number of tasks follows the number of customers: their rows are so small that adaptive execution would
+    put thousands of files into one task.
     """
     out = scratch_path(spark, "tree")
-    folder = F.concat_ws("-", "c_nationkey", F.expr("c_custkey div 1000")).alias("n")
-    rows = table(spark, root, "customer").select(folder, F.col("c_custkey").alias("at"), line.alias("line"))
+    folder = F.concat_ws("-", "c_nationkey", F.expr("c_custkey div 1000"))
+    named = F.concat(F.lit("n="), F.coalesce(F.nullif(folder, F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit(f"/{name}"))
+    customers = table(spark, root, "customer")
+    rows = customers.select(named.alias("path"), F.col("c_custkey").alias("at"), line.alias("line"))
     if head is not None:
-        rows = rows.unionByName(rows.select("n").distinct().select("n", F.lit(-1).alias("at"), F.lit(head).alias("line")))
-    ordered = rows.repartition("n").sortWithinPartitions("n", "at").select("n", "line")
-    ordered.write.partitionBy("n").text(f"{out}/{below}")
-    written = spark.read.text(f"{out}/{below}", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("old")).distinct()
-    rename_files(written.select("old", F.regexp_replace("old", "[^/]+$", name).alias("new")))
+        rows = rows.unionByName(rows.select("path").distinct().select("path", F.lit(-1).alias("at"), F.lit(head).alias("line")))
+    tasks = -(-customers.count() // TASK_ROWS) or 1
+    write_line_files(rows.repartition(tasks, "path").sortWithinPartitions("path", "at"), f"{out}/{below}" if below else out)
     return out
 
 

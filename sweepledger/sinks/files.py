@@ -1,4 +1,4 @@
-"""Files copied or renamed in tasks, each under a name of its own first."""
+"""Files copied or written in tasks, each under a name of its own first."""
 
 from __future__ import annotations
 
@@ -57,17 +57,34 @@ def copy_members(members: DataFrame, source: str, target: str) -> DataFrame:
     return members.select("crate", "path", "content_hash").mapInPandas(run, "crate STRING, path STRING, status STRING")
 
 
-def rename_files(names: DataFrame) -> int:
-    """Rename files ``(old, new)`` in tasks; how many there were. One that is no longer there was renamed by an earlier attempt."""
+def write_line_files(lines: DataFrame, out: str) -> int:
+    """Write rows ``(path, line)`` as text files below ``out``, a line each, null as an empty one; how many files there are.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+    The rows of a path stand in one partition, one after the other. A task holds a batch of rows; it writes a file under a name of
+    its own and renames it when it is whole, so a lost or repeated task leaves no half file behind and nothing is left to be
+    committed by the driver. ``out`` is on a file system that all executors see, and is made even if there are no rows.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = _store(out)
+        n, path, stream = 0, None, None
         for batch in batches:
-            for old, new in zip(batch["old"], batch["new"]):
-                store, path = _store(old)
-                if store.get_file_info(path).type != fs.FileType.NotFound:
-                    store.move(path, _store(new)[1])
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    return sum(r["n"] for r in names.select("old", "new").mapInPandas(run, "n LONG").collect())  # one row per batch
+            for given, some in batch.groupby("path", sort=False)["line"]:
+                if given != path:
+                    if stream:
+                        stream.close()
+                        store.move(own, f"{top}/{path}")
+                    path, n = given, n + 1
+                    folder, _, name = f"{top}/{path}".rpartition("/")
+                    own = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                    store.create_dir(folder, recursive=True)
+                    stream = store.open_output_stream(own)
+                stream.write("".join(f"{'' if line is None else line}\n" for line in some).encode())
+        if stream:
+            stream.close()
+            store.move(own, f"{top}/{path}")
+        yield pd.DataFrame({"n": [n]})
+
+    store, top = _store(out)
+    store.create_dir(top, recursive=True)
+    return sum(r["n"] for r in lines.select("path", "line").mapInPandas(run, "n LONG").collect())  # one row per task

@@ -121,14 +121,16 @@ def dead_gates(gates: DataFrame, resolved: DataFrame, key: str = "crate", once:
     return gates.join(versions, _hit(versions, gates, key), "left_anti")
 
 
-def uncovered_versions(resolved: DataFrame, gates: DataFrame, key: str = "crate", once: bool = False) -> DataFrame:
+def uncovered_versions(resolved: DataFrame, gates: DataFrame, key: str = "crate", once: bool = False, many: bool = False) -> DataFrame:
     """Resolved versions no gate covers, of crates that are gated at all.
 
     Give it the exact gates only to find versions that need a section of their own. ``once`` tells that ``resolved`` has each
-    ``(key, v)`` in one row only.
+    ``(key, v)`` in one row only, ``many`` that there are more gates than each task should hold, however small their files are.
     """
-    versions = _versions(resolved, key, once)
-    gated = versions.join(distinct_keys(gates, [key]), key, "left_semi")
+    keys = distinct_keys(gates, [key])
+    if many:
+        keys, gates = keys.hint("merge"), gates.hint("merge")
+    gated = _versions(resolved, key, once).join(keys, key, "left_semi")
     return gated.join(gates, _hit(gated, gates, key), "left_anti")
 
 

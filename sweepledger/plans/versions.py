@@ -311,10 +311,20 @@ USED_SQL = """used AS (SELECT DISTINCT l_partkey AS part, CAST(l_quantity AS BIG
     FROM part)"""
 
 
+# Lines of a task that makes them distinct, parts of one that reads their gates; parts whose gates Spark may broadcast.
+TASK_LINES, TASK_GATES, BROADCAST_GATES = 250_000, 25_000, 100_000
+
+
 def _used(spark: SparkSession, root: str) -> DataFrame:
-    """Each crate and version key once: a version with a minus before it has no key, like none."""
+    """Each crate and version key once: a version with a minus before it has no key, like none.
+
+    The number of tasks follows the number of lines: these are a few bytes each in a shuffle and many times that in a hash table, so
+    adaptive execution would give millions to a task.
+    """
     major = F.col("l_quantity").cast("bigint")
-    lines = table(spark, root, "lineitem").select("l_partkey", F.when(major >= 0, major).alias("major")).distinct()
+    items = table(spark, root, "lineitem").select("l_partkey", F.when(major >= 0, major).alias("major"))
+    tasks = -(-items.count() // TASK_LINES) or 1
+    lines = items.repartition(tasks, "l_partkey", "major").distinct()
     version = F.concat("major", F.lit(".0.0"))
     return V.with_version_key(lines.select(F.concat(F.lit("part-"), "l_partkey").alias("crate"), version.alias("version")))
 
@@ -323,7 +333,9 @@ def _sized(spark: SparkSession, root: str) -> DataFrame:
     exact = F.format_string('cfg(version = "=%d")', "p_size")
     wide = F.format_string('cfg(version = ">=%d, <%d")', "p_size", F.col("p_size") + 5)
     gate = F.when(F.col("p_partkey") % 2 == 1, exact).otherwise(wide)
-    return V.with_bounds(table(spark, root, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("crate"), gate.alias("gate")))
+    tasks = -(-table(spark, root, "part").count() // TASK_GATES) or 1
+    parts = table(spark, root, "part").select("p_partkey", "p_size").repartition(tasks)
+    return V.with_bounds(parts.select(F.concat(F.lit("part-"), "p_partkey").alias("crate"), gate.alias("gate")))
 
 
 @audit(
@@ -342,7 +354,8 @@ def dead_gates(spark: SparkSession, root: str) -> DataFrame:
       AND NOT EXISTS (SELECT 1 FROM sized s WHERE u.part = s.part AND u.major BETWEEN lo AND last)""",
 )
 def uncovered_versions(spark: SparkSession, root: str) -> DataFrame:
-    found = V.uncovered_versions(_used(spark, root), _sized(spark, root), once=True)
+    many = table(spark, root, "part").count() > BROADCAST_GATES
+    found = V.uncovered_versions(_used(spark, root), _sized(spark, root), once=True, many=many)
     return found.select("crate", F.col("v")[0].alias("major"))
 
 

@@ -169,7 +169,8 @@ def nearest(
     The tree and the number of visits come from ``sample_rows`` rows at most, drawn by a hash of their id; every
     row is indexed. Equal vectors are one entry with the ``k + 1`` smallest different ids, of which any
     query needs no more. Entries are cut into chunks within each leaf, as are the queries that
-    visit it, and each chunk of ``CHUNK`` entries or so meets each of as many queries; the tree, of bounded size, goes to all tasks.
+    visit it, and each chunk of ``CHUNK`` entries or so meets each of as many queries; the tree and a row per leaf of it, of bounded
+    size, go to all tasks. Other joins are shuffled: no table of vectors passes through the driver.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -228,7 +229,9 @@ def nearest(
     walked = stage(asked.mapInArrow(walk, "v array<double>, first_id long, mark long, reach double, leaves array<long>"), "walks")
     visiting = walked.select("v", *asker, "reach", F.explode("leaves").alias("leaf"))
     groups = visiting.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("groups"))
-    blocks = chunks.join(groups, "leaf")
+    # At most one row per leaf of the tree, so the two joins with it broadcast this and never the vectors, which Spark takes for as
+    # small as their files although each query comes once per leaf it visits. Written first, so that the broadcast waits for nothing.
+    blocks = F.broadcast(stage(chunks.join(groups, "leaf"), "blocks"))
     key = ["leaf", "chunk", "group"]
 
     def block(df: DataFrame, own: str, parts: str, other: str, others: str) -> DataFrame:
@@ -288,8 +291,8 @@ def nearest(
     nearest_of_id = each.groupBy(*asker, "vec_id").agg(F.min("score").alias("score"))
     best = nearest_of_id.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1)
     lists = best.groupBy(*asker).agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
-    found = walked.select("v", *asker).join(lists, asker).select("v", "near")
-    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").join(found, "v")
+    found = walked.select("v", *asker).hint("merge").join(lists, asker).select("v", "near")
+    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").hint("merge").join(found, "v")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return queries.select("query_id", F.posexplode(others).alias("place", "found")).select(
         "query_id", (F.col("place") + 1).alias("rank"), F.col("found.vec_id").alias("vec_id"), F.col("found.score").alias("score")

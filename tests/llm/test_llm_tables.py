@@ -218,6 +218,26 @@ def test_neighbours_of_repeated_rows(spark):
         assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == sorted((n + 1, i, d) for near in want.values() for n, (d, i) in enumerate(near))
 
 
+def broadcast_columns(node):
+    """The columns of each table that a physical plan broadcasts."""
+    if node.nodeName().startswith("AdaptiveSparkPlan"):
+        return broadcast_columns(node.executedPlan())
+    children = [node.children().apply(i) for i in range(node.children().size())]
+    own = [{node.output().apply(i).name() for i in range(node.output().size())}] if node.nodeName() == "BroadcastExchange" else []
+    return own + [found for child in children for found in broadcast_columns(child)]
+
+
+def test_vectors_are_not_broadcast(spark):
+    """Each query comes once per leaf it visits, so files that are small enough are no measure of what a broadcast would hold."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 6)).round(3).astype(np.float32))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest(vectors, F.col("vec_id") % 100 == 0, leaf_size=8, recall=1.0)
+    sent = broadcast_columns(got._jdf.queryExecution().executedPlan())
+    assert sent and all(columns == {"leaf", "chunks", "groups"} for columns in sent)
+    assert {q: len(v) for q, v in found_by_query(got).items()} == dict.fromkeys((0, 100, 200, 300), 10)
+
+
 def test_pipeline_stages(spark, testdata, tmp_path):
     """Every stage against its operator over its own input; the last equals ``run``."""
     docs = spark.read.parquet(f"{testdata}/documents.parquet")
